@@ -101,6 +101,18 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
         *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)])
 
 
+def recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """One audited recording per order."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf, "orders").select(
+        k.alias("recording"), F.concat_ws("-", c.cast("string"), F.year("o_orderdate").cast("string")).alias("capture_group"),
+        (c % 10).alias("device_id"), F.col("o_orderpriority").alias("activity"),
+        F.when(F.col("o_orderstatus") == "F", "csv").when(F.col("o_orderstatus") == "O", "txt").otherwise("bin").alias("source_format"),
+        (F.col("o_totalprice") / 2000).alias("duration_s"), ((c % 7 + 1) * 50 * (F.lit(0.8) + (k % 5) / F.lit(10.0))).alias("sample_rate_hz"),
+        (k % 1000 + 100).alias("rows"), ((k % 10) / F.lit(100.0)).alias("full_duplicate_ratio"), (k % 86400).cast("double").alias("start_second_of_day"),
+        (k % 13 != 0).alias("orientation_valid"), F.when(k % 17 == 0, "q0;q1").otherwise("").alias("missing_core_columns"))
+
+
 FEATURES = ["f0", "f1", "f2", "f3"]
 
 CTE = {
@@ -122,6 +134,11 @@ FROM events""",
     "segments6": """SELECT device, segment_id, segment_id * 3 + abs(g) / 400 AS start_s, segment_id * 3 + CAST(2.2 AS DOUBLE) + abs(r) / 300 AS end_s,
   'act' || CAST(CAST(abs(g) % 5 AS INTEGER) AS VARCHAR) AS activity, CASE WHEN abs(g) % 3 = 0 THEN 'non_motion' ELSE 'motion' END AS motion_state
 FROM (SELECT device, idx // 150 AS segment_id, min(gx) AS g, max(roll) AS r FROM imu6 GROUP BY 1, 2) z""",
+    "recs": """SELECT o_orderkey AS recording, o_custkey || '-' || year(o_orderdate) AS capture_group, o_custkey % 10 AS device_id, o_orderpriority AS activity,
+ CASE o_orderstatus WHEN 'F' THEN 'csv' WHEN 'O' THEN 'txt' ELSE 'bin' END AS source_format, o_totalprice / 2000 AS duration_s,
+ (o_custkey % 7 + 1) * 50 * (CAST(0.8 AS DOUBLE) + (o_orderkey % 5) / CAST(10 AS DOUBLE)) AS sample_rate_hz, o_orderkey % 1000 + 100 AS rows,
+ (o_orderkey % 10) / CAST(100 AS DOUBLE) AS full_duplicate_ratio, CAST(o_orderkey % 86400 AS DOUBLE) AS start_second_of_day,
+ o_orderkey % 13 <> 0 AS orientation_valid, CASE WHEN o_orderkey % 17 = 0 THEN 'q0;q1' ELSE '' END AS missing_core_columns FROM orders""",
     "scores": """SELECT l.doc_id, l.quality AS y, l.toxic AS y2, CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS score, d.source AS grp, d.lang AS dim
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "features": """SELECT vec_id, label, vec_id % 10 AS grp, vec_id % 25 AS subject, CAST(embedding[1] AS DOUBLE) AS f0,
