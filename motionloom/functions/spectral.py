@@ -20,37 +20,33 @@ def _batches(arrays: pd.Series):
             yield at, np.stack(arrays.iloc[at].to_list()).astype(float)
 
 
-def band_power(x: np.ndarray, fs: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and rfft power of mean-free rows, limited to the band."""
-    centred = x - x.mean(axis=1, keepdims=True)
-    freq = np.fft.rfftfreq(x.shape[1], 1.0 / fs)
-    keep = (freq >= low) & (freq <= min(high, fs / 2))
-    return freq[keep], np.abs(np.fft.rfft(centred, axis=1)[:, keep]) ** 2
-
-
-def spectral(array: Column, fs: float, low: float = 0.2, high: float = 15.0, floor: float = 1e-15,
+def spectral(array: Column, fs: Column | float, low: float = 0.2, high: float = 15.0, floor: float = 1e-15,
              entropy_floor: float = 1.0, min_samples: int = 1) -> Column:
-    """struct<dominant_hz, entropy>; a window without power gives zeros, a short one NULL."""
+    """struct<dominant_hz, entropy> of the rfft power in [low, min(high, fs/2)].
+
+    A window without power gives zeros, one below ``min_samples`` NULL.
+    """
 
     @F.pandas_udf("struct<dominant_hz:double,entropy:double>")
-    def run(arrays: pd.Series) -> pd.DataFrame:
+    def run(arrays: pd.Series, rate: pd.Series) -> pd.DataFrame:
         out = np.full((len(arrays), 2), np.nan)
+        hz = rate.to_numpy(dtype=float)
         for at, x in _batches(arrays):
-            if x.shape[1] < min_samples:
+            n = x.shape[1]
+            if n < min_samples:
                 continue
-            freq, power = band_power(x, fs, low, high)
-            total = power.sum(axis=1)
+            freq = np.arange(n // 2 + 1) * (hz[at, None] / n)
+            keep = (freq >= low) & (freq <= np.minimum(high, hz[at, None] / 2))
+            power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2 * keep
+            total, bins = power.sum(axis=1), keep.sum(axis=1)
             live = total > floor
-            out[at] = 0.0
-            if not len(freq) or not live.any():
-                continue
-            p = power[live] / total[live, None]
-            entropy = -(p * np.log2(p + 1e-15)).sum(axis=1) / max(np.log2(len(freq)), entropy_floor)
-            out[at[live], 0] = freq[power[live].argmax(axis=1)]
-            out[at[live], 1] = entropy if len(freq) > 1 else 0.0
+            p = power / np.where(live, total, 1.0)[:, None]
+            entropy = -(p * np.log2(p + 1e-15)).sum(axis=1) / np.maximum(np.log2(np.maximum(bins, 1)), entropy_floor)
+            out[at, 0] = np.where(live, freq[np.arange(len(at)), power.argmax(axis=1)], 0.0)
+            out[at, 1] = np.where(live & (bins > 1), entropy, 0.0)
         return pd.DataFrame(out, columns=["dominant_hz", "entropy"])
 
-    return run(array)
+    return run(array, fs if isinstance(fs, Column) else F.lit(float(fs)))
 
 
 def autocorr_period(array: Column, fs: float) -> Column:
@@ -66,13 +62,29 @@ def autocorr_period(array: Column, fs: float) -> Column:
                 continue
             centred = x - x.mean(axis=1, keepdims=True)
             padded = np.fft.rfft(centred, 2 * n, axis=1)
-            corr = np.fft.irfft(np.abs(padded) ** 2, 2 * n, axis=1)[:, low:high]
-            out[at] = np.where(x.std(axis=1) < 1e-8, 0.0, (low + corr.argmax(axis=1)) / fs)
+            corr = np.fft.irfft(np.abs(padded) ** 2, 2 * n, axis=1)
+            inside = corr[:, low:high]
+            top = inside.max(axis=1, keepdims=True) - 1e-9 * corr[:, :1]  # equal peaks: the first lag
+            out[at] = np.where(x.std(axis=1) < 1e-8, 0.0, (low + (inside >= top).argmax(axis=1)) / fs)
         return pd.Series(out)
 
     return run(array)
 
 
+def partial_dft(x: np.ndarray, start: int, n: int, k0: int, bins: int) -> np.ndarray:
+    """Share of samples ``start..`` in bins k0.. of an n-point DFT (chirp transform, any n)."""
+    j, k = np.arange(len(x)), np.arange(bins)
+    chirp = lambda m: np.exp(-1j * np.pi * ((m.astype(object) * m.astype(object)) % (2 * n)).astype(float) / n)
+    turn = lambda m: np.exp(-2j * np.pi * (m % n) / n)
+    size = 1 << int(np.ceil(np.log2(len(x) + bins)))
+    wj, wk = chirp(j), chirp(k)
+    kernel = np.zeros(size, complex)
+    kernel[:bins] = 1 / wk
+    kernel[size - len(x) + 1:] = 1 / wj[1:][::-1]
+    y = np.fft.ifft(np.fft.fft(x * turn(j * k0) * wj, size) * np.fft.fft(kernel))[:bins] * wk
+    return y * turn(start * (k0 + k))
+
+
 def mean_quaternion(products: Column) -> Column:
     """Largest eigenvector of the summed 4x4 outer product (10 upper entries, row by row)."""
 

@@ -142,12 +142,12 @@ def exact_percentile(df: DataFrame, key: list[str], value: str, points: dict[str
     if not key:
         return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, points, bins).drop("_all")
     v = F.col(value)
-    counts = df.filter(v.isNotNull()).groupBy(*key, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(v.isNotNull()).groupBy(*key, v.alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
     grid = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    shape = counts.groupBy(*key).agg(F.percentile_approx("_v", grid, 1000).alias("_edges"), F.sum("_c").alias("_n"))
+    shape = counts.groupBy(*key).agg(F.percentile_approx("_v", grid, 1000).alias("_edges"), F.sum("_rows").alias("_n"))
     binned = spread_join(counts, shape, key, "inner").withColumn(
         "_bin", F.aggregate("_edges", F.lit(0), lambda a, e: a + F.when(e < F.col("_v"), 1).otherwise(0))).drop("_edges")
-    cum = block_scan(binned, key, ["_v"], F.col("_bin"), [Scan("_cum", F.col("_c"), "sum")])
+    cum = block_scan(binned, key, ["_v"], F.col("_bin"), [Scan("_cum", F.col("_rows"), "sum")])
     picks = []
     for name, p in points.items():
         at = (F.col("_n") - 1) * F.lit(p)
