@@ -205,33 +205,33 @@ s AS (SELECT device, segment_id, activity, greatest(start_us / 1e6, rs) AS s, le
 k AS (SELECT *, greatest(rs, coalesce(max(e) OVER (PARTITION BY device ORDER BY s, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rs)) AS cur FROM s WHERE s < e),
 u AS (SELECT device, cur AS s, s AS e, 'unlabelled' AS activity, true AS filler FROM k WHERE s > cur UNION ALL SELECT device, greatest(s, cur), e, activity, false FROM k WHERE greatest(s, cur) < e
  UNION ALL SELECT device, coalesce(m, rs), re, 'unlabelled', true FROM rec LEFT JOIN (SELECT device, max(e) AS m FROM k GROUP BY 1) z USING (device) WHERE coalesce(m, rs) < re)
-SELECT device, round(s, 4) + 0.0 AS start_s, round(e, 4) + 0.0 AS end_s, activity, filler FROM u""")
+SELECT device, round(s, 6) + 0.0 AS start_s, round(e, 6) + 0.0 AS end_s, activity, filler FROM u""")
 def q_timeline(spark, sf):
     c = F.col
     s = segments1(spark, sf).withColumns({"start": c("start_us") / 1e6, "end": c("start_us") / 1e6 + c("duration_s") * 200})
     rec = segments1(spark, sf).groupBy("device").agg((F.min("start_us") / 1e6 + 30).alias("rec_start"), (F.max("start_us") / 1e6 + 60).alias("rec_end"))
     t = L.timeline_gap_fill(s, rec, ["device"], "segment_id", "activity", 3600.0)
-    return t.select("device", r(c("start"), 4).alias("start_s"), r(c("end"), 4).alias("end_s"), "activity", "filler")
+    return t.select("device", r(c("start"), 6).alias("start_s"), r(c("end"), 6).alias("end_s"), "activity", "filler")
 
 
 @query("time_regressions", sql="""
 , t AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 - CASE WHEN event_id % 13 = 0 THEN 200000 ELSE 0 END AS s FROM events), l AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM t)
-SELECT user_id, count(*) AS row_count, round(min(s), 4) + 0.0 AS start_s, round(max(s), 4) + 0.0 AS end_s, count_if(s < p) AS regression_count, round(greatest(coalesce(max(p - s), 0), 0), 4) + 0.0 AS max_regression_seconds FROM l GROUP BY 1""")
+SELECT user_id, count(*) AS row_count, round(min(s), 6) + 0.0 AS start_s, round(max(s), 6) + 0.0 AS end_s, count_if(s < p) AS regression_count, round(greatest(coalesce(max(p - s), 0), 0), 6) + 0.0 AS max_regression_seconds FROM l GROUP BY 1""")
 def q_regressions(spark, sf):
     e = F.col("event_id")
     d = table(spark, sf, "events").select("user_id", "event_id", (F.unix_micros("ts") / F.lit(1e6) - F.when(e % 13 == 0, 200000).otherwise(0)).alias("s"))
     t = L.time_regressions(d, ["user_id"], ["event_id"], F.floor(e / 65536), "s")
-    return t.withColumns({c: r(F.col(c), 4) for c in ("start_s", "end_s", "max_regression_seconds")})
+    return t.withColumns({c: r(F.col(c), 6) for c in ("start_s", "end_s", "max_regression_seconds")})
 
 
 @query("fragment_continuity", sql="""
 , f AS (SELECT user_id, 'rec_' || CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) // 2 AS BIGINT) || '.csv' AS name, date_diff('day', TIMESTAMP '2024-01-01', ts) // 2 AS n, min(epoch_us(ts)) / 1e6 AS s, max(epoch_us(ts)) / 1e6 AS e FROM events GROUP BY ALL),
 l AS (SELECT *, s - lag(e) OVER (PARTITION BY user_id ORDER BY n) AS gap FROM f)
-SELECT user_id, name, round(gap, 4) + 0.0 AS gap_seconds, coalesce(gap < -0.1 OR gap > 40000, false) AS discontinuous FROM l""")
+SELECT user_id, name, round(gap, 6) + 0.0 AS gap_seconds, coalesce(gap < -0.1 OR gap > 40000, false) AS discontinuous FROM l""")
 def q_fragments(spark, sf):
     d = fragments(spark, sf).groupBy("user_id", "name").agg((F.min(F.unix_micros("ts")) / 1e6).alias("start"), (F.max(F.unix_micros("ts")) / 1e6).alias("end"))
     f = L.fragment_continuity(d, ["user_id"], "name", 40000.0)
-    return f.select("user_id", "name", r(F.col("gap_seconds"), 4).alias("gap_seconds"), "discontinuous")
+    return f.select("user_id", "name", r(F.col("gap_seconds"), 6).alias("gap_seconds"), "discontinuous")
 
 
 def fragments(spark, sf):
@@ -280,10 +280,10 @@ def trial_reports(spark, sf):
 TRIAL_SQL = DOC_SQL.replace(", s AS (SELECT l_orderkey", ", sg AS (SELECT l_orderkey").replace("FROM s JOIN o ON", "FROM sg s JOIN o ON").replace("SELECT l_orderkey FROM s)", "SELECT l_orderkey FROM sg)").replace("o AS (SELECT o_orderkey AS doc_id", "od AS (SELECT o_orderkey AS doc_id").replace("s.*, o.*", "s.*, od.*").replace("JOIN o ON doc_id", "JOIN od ON doc_id").replace("FROM o WHERE", "FROM od WHERE").replace("e AS (SELECT doc_id, -6", "ee AS (SELECT doc_id, -6").replace("FROM e WHERE", "FROM ee WHERE")
 TRIAL = STREAM_SQL + TRIAL_SQL + """
 , st AS (SELECT device // 2 AS trial, device, issues, clipped, device * 37 % 700 AS ms, device % 2 AS side FROM q),
-g AS (SELECT trial, count(*) AS streams, count(DISTINCT side) = 2 AS both_sides, max(ms) - min(ms) AS off, max(clipped) AS clip FROM st GROUP BY 1),
+gg AS (SELECT trial, count(*) AS streams, count(DISTINCT side) = 2 AS both_sides, max(ms) - min(ms) AS off, max(clipped) AS clip FROM st GROUP BY 1),
 si AS (SELECT trial, device || ':' || UNNEST(string_split(issues, ';')) AS issue FROM st WHERE issues <> ''),
 sa AS (SELECT trial, string_agg(issue, '|' ORDER BY issue) AS stream_issues, bool_or(regexp_matches(issue, '(timestamp_not_strictly_increasing|sample_rate_outside_5_percent|non_finite_sensor_value)$')) AS fatal FROM si GROUP BY 1),
-x AS (SELECT g.trial, CASE WHEN od.doc_id IS NULL THEN 'label file missing' ELSE replace(er.errors, '; ', '|') END AS label_errors, streams, both_sides, off, clip, stream_issues, coalesce(fatal, false) AS fatal, tier FROM g LEFT JOIN sa USING (trial) LEFT JOIN od ON od.doc_id = g.trial LEFT JOIN er ON er.doc_id = g.trial),
+x AS (SELECT g.trial, CASE WHEN od.doc_id IS NULL THEN 'label file missing' ELSE replace(er.errors, '; ', '|') END AS label_errors, streams, both_sides, off, clip, stream_issues, coalesce(fatal, false) AS fatal, tier FROM gg g LEFT JOIN sa USING (trial) LEFT JOIN od ON od.doc_id = g.trial LEFT JOIN er ON er.doc_id = g.trial),
 y AS (SELECT trial, concat_ws('|', label_errors, CASE WHEN streams <> 2 THEN 'dual_ear_stream_missing' END, CASE WHEN NOT both_sides THEN 'left_right_pair_incomplete' END, CASE WHEN streams = 2 AND off > 100 THEN 'left_right_sync_offset' END, stream_issues) AS issues,
  label_errors IS NOT NULL OR streams <> 2 OR NOT both_sides OR off > 500 OR fatal OR clip > 0.02 AS hard, label_errors, tier FROM x)
 """

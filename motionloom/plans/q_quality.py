@@ -20,17 +20,17 @@ DEV = ["device"]
  SELECT event_id + 100000000, user_id, epoch_us(ts) / 1e6, event_id % 50, event_type, value FROM events WHERE event_type = 'view'),
 a AS (SELECT device, count(*) AS rows, count(DISTINCT (host, chip, unit, value)) AS da, count(DISTINCT host) AS dh, count(DISTINCT chip) AS dc, count(DISTINCT unit) AS du,
  arg_min(host, event_id) AS h0, arg_max(host, event_id) AS h1 FROM d GROUP BY 1)
-SELECT device, rows, round(CASE WHEN h1 - h0 > 0 THEN h1 - h0 ELSE rows - 1 END, 4) + 0.0 AS duration_s,
+SELECT device, rows, round(CASE WHEN h1 - h0 > 0 THEN h1 - h0 ELSE rows - 1 END, 6) + 0.0 AS duration_s,
  round((rows - 1) / CASE WHEN h1 - h0 > 0 THEN h1 - h0 ELSE rows - 1 END, 8) + 0.0 AS sample_rate_hz, 4 AS columns, 'q0' AS missing_core_columns,
  rows - da AS full_duplicate_rows, round((rows - da) / rows, 6) + 0.0 AS full_duplicate_ratio, round((rows - dh) / rows, 6) + 0.0 AS host_timestamp_duplicate_ratio,
- round((rows - dc) / rows, 6) + 0.0 AS onboard_timestamp_duplicate_ratio, du AS device_count, round(h0, 4) + 0.0 AS start_s, round(h0 % 86400, 4) + 0.0 AS start_second_of_day FROM a""")
+ round((rows - dc) / rows, 6) + 0.0 AS onboard_timestamp_duplicate_ratio, du AS device_count, round(h0, 6) + 0.0 AS start_s, round(h0 % 86400, 6) + 0.0 AS start_second_of_day FROM a""")
 def q_summary(spark, sf):
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("device"), "event_id", (F.unix_micros("ts") / F.lit(1e6)).alias("host"), (F.col("event_id") % 50).alias("chip"),
         F.col("event_type").alias("unit"), "value")
     d = e.unionByName(e.filter("unit = 'view'").withColumn("event_id", F.col("event_id") + 100000000))
     s = Q.recording_summary(d, DEV, "event_id", "host", "chip", "unit", ["host", "chip", "value", "q0"])
-    digits = {"duration_s": 4, "sample_rate_hz": 8, "start_s": 4, "start_second_of_day": 4, "full_duplicate_ratio": 6,
+    digits = {"duration_s": 6, "sample_rate_hz": 8, "start_s": 6, "start_second_of_day": 6, "full_duplicate_ratio": 6,
               "host_timestamp_duplicate_ratio": 6, "onboard_timestamp_duplicate_ratio": 6}
     return s.withColumns({c: r(F.col(c), n) for c, n in digits.items()})
 

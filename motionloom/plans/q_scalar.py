@@ -55,15 +55,15 @@ def q_parse_host_time(spark, sf):
 
 
 @query("time_axis_rebuild", uses="stream1", sql=CLOCK_SQL + """
-SELECT device, row_id, time_source, round(CASE WHEN span IS NULL THEN CAST(idx AS DOUBLE) WHEN n > 1 THEN span * idx / (n - 1) ELSE 0 END, 4) + 0.0
+SELECT device, row_id, time_source, round(CASE WHEN span IS NULL THEN CAST(idx AS DOUBLE) WHEN n > 1 THEN span * idx / (n - 1) ELSE 0 END, 6) + 0.0
  AS analysis_time_s FROM c JOIN u USING (device)""")
 def q_time_axis(spark, sf):
     d = ta.time_axis(host_clock(spark, sf), ["device"], "idx", "host", "chip")
-    return d.select("device", "row_id", "time_source", r(F.col("analysis_time_s"), 4).alias("analysis_time_s"))
+    return d.select("device", "row_id", "time_source", r(F.col("analysis_time_s"), 6).alias("analysis_time_s"))
 
 
 @query("sampling_info", uses="stream1", sql=CLOCK_SQL + """
-SELECT device, time_source, round(coalesce(span, n - 1), 4) + 0.0 AS duration_s,
+SELECT device, time_source, round(coalesce(span, n - 1), 6) + 0.0 AS duration_s,
  CASE WHEN coalesce(span, n - 1) > 0 THEN round((n - 1) / coalesce(span, n - 1), 8) + 0.0 END AS sample_rate_hz FROM u""")
 def q_sampling_info(spark, sf):
     rows = stream_rows(spark, sf)
@@ -72,26 +72,26 @@ def q_sampling_info(spark, sf):
         "host": F.when((F.col("device") % 3 != 0) & F.col("x").isNotNull(), sec),
         "chip": F.when(F.col("device") % 5 != 0, sec - 100.0), "at": F.struct("ts", "row_id")})
     d = ta.sampling_info(rows, ["device"], "at", "host", "chip")
-    return d.select("device", "time_source", r(F.col("duration_s"), 4).alias("duration_s"), r(F.col("sample_rate_hz"), 8).alias("sample_rate_hz"))
+    return d.select("device", "time_source", r(F.col("duration_s"), 6).alias("duration_s"), r(F.col("sample_rate_hz"), 8).alias("sample_rate_hz"))
 
 
 @query("recording_duration", sql="""
 , t AS (SELECT user_id AS device, ts, event_id, CASE WHEN user_id % 11 <> 0 AND event_id % 7 <> 0 THEN (epoch_us(ts) % 86400000000) / 1e6 END AS tod FROM events),
 g AS (SELECT device, count(*) AS n, count(tod) AS v,
   arg_max(tod, (ts, event_id)) FILTER (tod IS NOT NULL) - arg_min(tod, (ts, event_id)) FILTER (tod IS NOT NULL) AS d FROM t GROUP BY 1)
-SELECT device, round(CASE WHEN v < 2 THEN greatest(0, (n - 1) / 100.0) WHEN d < 0 THEN d + 86400 ELSE d END, 4) + 0.0 AS duration_s FROM g""")
+SELECT device, round(CASE WHEN v < 2 THEN greatest(0, (n - 1) / 100.0) WHEN d < 0 THEN d + 86400 ELSE d END, 6) + 0.0 AS duration_s FROM g""")
 def q_recording_duration(spark, sf):
     tod = F.when((F.col("user_id") % 11 != 0) & (F.col("event_id") % 7 != 0), F.unix_micros("ts") % 86400000000 / F.lit(1e6))
     d = table(spark, sf, "events").select(F.col("user_id").alias("device"), F.struct("ts", "event_id").alias("at"), tod.alias("tod"))
-    return ta.recording_duration(d, ["device"], "at", "tod").select("device", r(F.col("duration_s"), 4).alias("duration_s"))
+    return ta.recording_duration(d, ["device"], "at", "tod").select("device", r(F.col("duration_s"), 6).alias("duration_s"))
 
 
 @query("midnight_rollover", sql="""
 , t AS (SELECT user_id AS device, ts, event_id, (epoch_us(ts) % 86400000000) / 1000000.0 AS tod FROM events),
 l AS (SELECT *, lag(tod) OVER (PARTITION BY device ORDER BY ts, event_id) AS p FROM t),
 s AS (SELECT *, sum(CASE WHEN p - tod > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY ts, event_id) AS day FROM l)
-SELECT device, count(*) AS row_count, round(arg_min(tod, (ts, event_id)), 4) + 0.0 AS start_s,
- round(arg_max(tod + 86400.0 * day, (ts, event_id)), 4) + 0.0 AS end_s, CAST(max(day) AS BIGINT) AS days,
+SELECT device, count(*) AS row_count, round(arg_min(tod, (ts, event_id)), 6) + 0.0 AS start_s,
+ round(arg_max(tod + 86400.0 * day, (ts, event_id)), 6) + 0.0 AS end_s, CAST(max(day) AS BIGINT) AS days,
  CAST(sum(CASE WHEN tod < p AND p - tod <= 43200 THEN 1 ELSE 0 END) AS BIGINT) AS error_rows FROM s GROUP BY 1""")
 def q_midnight(spark, sf):
     d = table(spark, sf, "events").select(F.col("user_id").alias("device"), "ts", "event_id",
@@ -99,8 +99,8 @@ def q_midnight(spark, sf):
     u = ta.unwrap_time_of_day(d, ["device"], ["ts", "event_id"], hour(), "tod")
     at = F.struct("ts", "event_id")
     return u.groupBy("device").agg(
-        F.count(F.lit(1)).alias("row_count"), r(F.min_by("tod", at), 4).alias("start_s"),
-        r(F.max_by(F.col("tod") + F.col("day") * 86400.0, at), 4).alias("end_s"), F.max("day").alias("days"),
+        F.count(F.lit(1)).alias("row_count"), r(F.min_by("tod", at), 6).alias("start_s"),
+        r(F.max_by(F.col("tod") + F.col("day") * 86400.0, at), 6).alias("end_s"), F.max("day").alias("days"),
         F.sum(F.col("backwards").cast("long")).alias("error_rows"))
 
 
