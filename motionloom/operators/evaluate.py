@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.taxonomy import MOTION_STATES  # noqa: F401
+from ..session import staged
 from .joins import class_pairs
 from .ordered import Scan, block_scan, exact_percentile, number_rows, spread_join
 
@@ -74,17 +74,34 @@ def action_contrast(df: DataFrame, person: str, action: str, a, b, feats: list[s
         "feature", person, "difference", ((F.col("_p") >= 2) & (F.col("_lo") == F.col("_hi"))).alias("direction_consistent"))
 
 
-def impute_standardize(df: DataFrame, feats: list[str]) -> tuple[DataFrame, DataFrame]:
-    """z-scored features (median for non-finite, population std) and the one-row scaler."""
-    ok = lambda f: F.when(F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(f) != float("inf")), F.col(f))
-    clean = df.withColumns({f: ok(f) for f in feats})
+def finite(f: str) -> Column:
+    return F.when(F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(f) != float("inf")), F.col(f))
+
+
+def scaler(df: DataFrame, feats: list[str]) -> DataFrame:
+    """One row: median of the finite values, then mean and population std after filling with it."""
+    clean = df.select(*[finite(f).alias(f) for f in feats])
     med = exact_percentile(clean.unpivot([], feats, "_f", "_v"), ["_f"], "_v", {"m": 0.5}).agg(
         *[F.max(F.when(F.col("_f") == f, F.col("m"))).alias(f"_med_{f}") for f in feats])
-    filled = with_row(clean, med).withColumns({f: F.coalesce(F.col(f), F.col(f"_med_{f}")) for f in feats})
-    scale = filled.agg(*[F.avg(f).alias(f"_mean_{f}") for f in feats], *[F.stddev_pop(f).alias(f"_sd_{f}") for f in feats])
-    z = lambda f: (F.col(f) - F.col(f"_mean_{f}")) / F.when(F.col(f"_sd_{f}") < 1e-12, 1.0).otherwise(F.col(f"_sd_{f}"))
-    out = with_row(filled, scale).withColumns({f: z(f) for f in feats})
-    return out.drop(*[f"_{p}_{f}" for f in feats for p in ("med", "mean", "sd")]), med.withColumn("_one", F.lit(0)).join(scale.withColumn("_one", F.lit(0)), "_one").drop("_one")
+    # mean and std follow from sums over the finite values plus the number of filled rows
+    n = F.count(F.lit(1))
+    fill = lambda f: n - F.count(f)
+    sums = clean.agg(n.alias("_n"), *[fill(f).alias(f"_k_{f}") for f in feats], *[F.avg(f).alias(f"_a_{f}") for f in feats], *[F.var_pop(f).alias(f"_v_{f}") for f in feats])
+    one = med.withColumn("_one", F.lit(0)).join(sums.withColumn("_one", F.lit(0)), "_one")
+    out = {}
+    for f in feats:
+        k, total, a, m = F.col(f"_k_{f}"), F.col("_n"), F.col(f"_a_{f}"), F.col(f"_med_{f}")
+        mean = (a * (total - k) + m * k) / total
+        var = ((F.col(f"_v_{f}") + F.pow(a - mean, 2)) * (total - k) + F.pow(m - mean, 2) * k) / total
+        out[f"_mean_{f}"], out[f"_sd_{f}"] = mean, F.sqrt(var)
+    return one.withColumns(out).select(*[f"_{p}_{f}" for f in feats for p in ("med", "mean", "sd")])
+
+
+def impute_standardize(df: DataFrame, feats: list[str]) -> DataFrame:
+    """z-scored features: median for non-finite values, population std (1 where it vanishes)."""
+    z = lambda f: (F.coalesce(finite(f), F.col(f"_med_{f}")) - F.col(f"_mean_{f}")) / F.when(F.col(f"_sd_{f}") < 1e-12, 1.0).otherwise(F.col(f"_sd_{f}"))
+    out = with_row(df, scaler(df, feats)).withColumns({f: z(f) for f in feats})
+    return out.drop(*[f"_{p}_{f}" for f in feats for p in ("med", "mean", "sd")])
 
 
 def group_weights(df: DataFrame, y: str, group: str, out: str = "weight") -> DataFrame:
@@ -301,7 +318,7 @@ def subject_holdout(df: DataFrame, subject: str, label: str, share: float, candi
 
 
 def three_way_split(df: DataFrame, subject: str, label: str, candidates: int = 4096, seed: int = 7) -> DataFrame:
-    test = subject_holdout(df, subject, label, 0.15, candidates, seed)
+    test = staged(subject_holdout(df, subject, label, 0.15, candidates, seed), "holdout")
     rest = df.join(test, subject, "left_anti")
     val = subject_holdout(rest, subject, label, 0.1765, candidates, seed + 1)
     marks = test.withColumn("split", F.lit("test")).unionByName(val.withColumn("split", F.lit("validation")))

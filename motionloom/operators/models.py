@@ -36,13 +36,14 @@ def _balanced(scored: DataFrame, group: str, y: str) -> float:
     return E.binary_metrics(E.group_vote(scored, group, y, "p"), "actual", "predicted").first()["balanced_accuracy"]
 
 
-def _fold_fit(train: DataFrame, test: DataFrame, feats: list[str], y: str, group: str, c: float) -> DataFrame:
-    weighted = E.group_weights(train, y, group)
-    z, scaler = E.impute_standardize(weighted, feats)
+def _fold_fit(train: DataFrame, test: DataFrame, feats: list[str], y: str, group: str, c: float, stage: bool = True) -> DataFrame:
+    weighted = staged(E.group_weights(train, y, group), "cv-train")
+    s = E.scaler(weighted, feats).first()  # one row of scaler numbers
+    spec = {"median": [s[f"_med_{f}"] for f in feats], "mean": [s[f"_mean_{f}"] for f in feats], "scale": [max(s[f"_sd_{f}"], 0.0) or 1.0 for f in feats]}
+    spec["scale"] = [v if v >= 1e-12 else 1.0 for v in spec["scale"]]
+    z = weighted.withColumns({f: (F.coalesce(E.finite(f), F.lit(m)) - mu) / sd for f, m, mu, sd in zip(feats, spec["median"], spec["mean"], spec["scale"])})
     model = fit_logistic(z, feats, y, "weight", c)
-    s = scaler.first()  # one row of scaler numbers
-    spec = {"intercept": model.intercept, "coefficients": [float(v) for v in model.coefficients], "median": [s[f"_med_{f}"] for f in feats],
-            "mean": [s[f"_mean_{f}"] for f in feats], "scale": [s[f"_sd_{f}"] if s[f"_sd_{f}"] >= 1e-12 else 1.0 for f in feats]}
+    spec.update(intercept=model.intercept, coefficients=[float(v) for v in model.coefficients])
     return E.logistic_score(test, feats, spec, "p")
 
 

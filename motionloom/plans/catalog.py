@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_eval, q_joins, q_labels, q_quality, q_scalar, q_windows  # noqa: F401
+from . import q_clean, q_eval, q_joins, q_labels, q_live, q_quality, q_scalar, q_windows  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

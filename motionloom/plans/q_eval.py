@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded as r
 from ..operators import evaluate as E
 from ..operators import models as M
+from ..session import staged
 from .registry import query
 from .views import FEATURES, features, scores, table
 
@@ -73,8 +74,7 @@ SELECT vec_id, round((f0 - a0) / d0, 6) + 0.0 AS f0, round((f1 - a1) / d1, 6) +
 def q_standardize(spark, sf):
     v = F.col("vec_id")
     d = features(spark, sf).select("vec_id", F.when(v % 11 != 3, F.col("f0")).alias("f0"), F.when(v % 13 != 5, F.col("f1")).otherwise(float("nan")).alias("f1"))
-    z, _ = E.impute_standardize(d, ["f0", "f1"])
-    return rounded_all(z, ["vec_id"])
+    return rounded_all(E.impute_standardize(d, ["f0", "f1"]), ["vec_id"])
 
 
 WEIGHT_SQL = """, g AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY grp) AS w FROM scores), c AS (SELECT *, w / sum(w) OVER (PARTITION BY y) AS v FROM g)"""
@@ -87,14 +87,13 @@ def q_weights(spark, sf):
 
 def standardised(spark, sf):
     d = E.group_weights(features(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")), "y", "grp")
-    return E.impute_standardize(d, FEATURES)[0]
+    return staged(E.impute_standardize(d, FEATURES), "standardised")
 
 
 @query("logistic_l2_fit")
 def q_fit(spark, sf):
-    z = standardised(spark, sf).persist()
+    z = standardised(spark, sf)
     model = M.fit_logistic(z, FEATURES, "y", "weight", 1.0)
-    z.unpersist()
     return spark.createDataFrame([(float(model.intercept), *[float(c) for c in model.coefficients])], ["intercept", *FEATURES])
 
 
