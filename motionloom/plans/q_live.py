@@ -62,7 +62,7 @@ def q_frames(spark, sf):
 
 
 @query("packets_decode_batch", uses="imu6", sql=f"""
-SELECT device, idx, CASE WHEN idx % 13 = 2 THEN 'crc_failed' WHEN idx % 17 = 3 THEN 'length_mismatch' WHEN idx % 19 = 4 THEN 'unsupported_packet' END AS reason,
+SELECT device, idx, CASE WHEN idx % 19 = 4 THEN 'unsupported_packet' WHEN idx % 17 = 3 THEN 'length_mismatch' WHEN idx % 13 = 2 THEN 'crc_failed' END AS reason,
  CASE WHEN NOT (idx % 13 = 2 OR idx % 17 = 3 OR idx % 19 = 4) THEN idx % 65536 END AS sequence_id, CASE WHEN NOT (idx % 13 = 2 OR idx % 17 = 3 OR idx % 19 = 4) THEN floor(ax * 2048) * 16 / 32768 END AS ax_g,
  CASE WHEN NOT (idx % 13 = 2 OR idx % 17 = 3 OR idx % 19 = 4) THEN floor(gz * 16) * 2000 / 32768 END AS gz_dps FROM imu6""")
 def q_compact(spark, sf):
@@ -168,7 +168,7 @@ def q_live_exercise(spark, sf):
 
 
 CLASSES = ["run", "squat", "sitting", "standing"]
-WEIGHTS = {"run": (0.8, 1.2, 0.01), "squat": (0.5, 2.0, 0.005), "sitting": (-1.0, -1.5, 0.0), "standing": (-0.8, -1.0, 0.002)}
+WEIGHTS = {"run": (0.8, 1.2, 0.01), "squat": (3.0, 2.0, 0.005), "sitting": (-1.0, -1.5, 0.0), "standing": (-0.8, -1.0, 0.002)}
 
 
 def activity_probabilities(f):

@@ -105,9 +105,12 @@ def scan_strict(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).csv(path).select(*STRICT, F.col("_metadata.file_path").alias("_file"))
 
 
-def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per (session, trial, stream) with the array ``errors`` of broken rules."""
-    m = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def scan_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per (session, trial, stream) with the array ``errors`` of broken rules.
+
+    ``multi_line`` is for one document per file; without it every line is a document and files split.
+    """
+    m = spark.read.schema(MANIFEST).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     need = ["schema_version", "protocol_version", "date", "session_id", "subject_id", "collector_id", "app_version", "trials"]
     c = F.col
     ids = F.transform("trials", lambda t: t["trial_id"])
@@ -128,9 +131,9 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
         "axis_sign", F.coalesce("axis_sign", F.array(F.lit(1), F.lit(1), F.lit(1))))
 
 
-def scan_label_docs(spark: SparkSession, path: str) -> DataFrame:
+def scan_label_docs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Label documents; v2 rows are ready for ``label_errors``, others are marked legacy."""
-    d = spark.read.schema(LABEL_DOC).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    d = spark.read.schema(LABEL_DOC).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     return d.withColumns({"recording_duration_s": F.col("recording.duration_seconds"), "legacy": F.coalesce(F.col("schema_version") != "2.0", F.lit(True)), "_file": F.col("_metadata.file_path"),
                           "segments": F.coalesce("segments", F.array().cast(d.schema["segments"].dataType))})
 
@@ -160,8 +163,8 @@ def scan_notes(spark: SparkSession, path: str, limit: int = 100_000, device_term
     return f.select("path", F.trim(F.regexp_replace(text, "^﻿", "")).alias("content"))
 
 
-def sha256_check(spark: SparkSession, path: str, manifest: DataFrame, name: str, digest: str) -> DataFrame:
-    """Checksum of each file against the manifest (by file name)."""
+def sha256_check(spark: SparkSession, path: str, manifest: DataFrame, name: str, digest: str, depth: int = 1) -> DataFrame:
+    """Checksum of each file against the manifest, by the last ``depth`` parts of the path."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    f = f.select(F.element_at(F.split("path", "/"), -1).alias(name), F.sha2("content", 256).alias("_have"))
+    f = f.select(F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/").alias(name), F.sha2("content", 256).alias("_have"))
     return manifest.join(f, name, "left").withColumn("sha256_valid", F.coalesce(F.col("_have") == F.lower(F.col(digest)), F.lit(False))).drop("_have")
