@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,7 +92,7 @@ def greedy_chain(df: DataFrame, key: list[str], t: str, until: str, first: Colum
         ts, un = pdf[t].to_numpy(float), pdf[until].to_numpy(float)
         return ts, un, np.searchsorted(ts, un - 1e-9)
 
-    def summary(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summary(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         ts, un, nxt = chain(pdf)
         out = un.copy()
         for i in range(len(ts) - 1, -1, -1):
@@ -112,7 +114,7 @@ def greedy_chain(df: DataFrame, key: list[str], t: str, until: str, first: Colum
     entries = rows.withColumn("_e", entry).select(*key, F.explode(F.arrays_zip(F.transform("_m", lambda m: m["_blk"]).alias("b"), F.slice("_e", 1, F.size("_m")).alias("e"))).alias("_x")).select(
         *key, F.col("_x.b").alias("_blk"), F.col("_x.e").alias("_in"))
 
-    def pick(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pick(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         ts, _, nxt = chain(pdf)
         i, got = int(np.searchsorted(ts, pdf["_in"].iloc[0] - 1e-9)), []
         while i < len(ts):
@@ -249,7 +251,7 @@ def posture_calibrate(df: DataFrame, key: list[str], t: str, gyro: Column, secon
     state = rows.groupBy(*key).agg(F.min("t").alias("from"), F.max("t").alias("_max")).withColumn("tried", F.lit(0))
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
 
-    def attempts(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def attempts(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         ts, g = pdf["t"].to_numpy(float), pdf["g"].to_numpy(float)
         i, tried, ok, mean = 0, int(pdf["tried"].iloc[0]), False, None
@@ -317,7 +319,7 @@ def workout_events(df: DataFrame, key: list[str], idx: str, t: str, classes: lis
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
     strong = set(strength)
 
-    def run(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
         state, out, device = MC.workout_state(), [], "|".join(str(v) for v in group[:-1])
         for time, bad, *p in zip(pdf["_time"], pdf["_poor"], *[pdf[c] for c in classes]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ def decode_frames(df: DataFrame, key: list[str], idx: str, arrival: str, payload
         n = sum(len(p) for p, o in zip(parts, own) if o)
         return pdf, b"".join(parts), n
 
-    def leave(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def leave(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         if not pdf["_core"].any():
             return pd.DataFrame(columns=[*key, "_blk", "_to"])
         _, data, n = load(pdf)
@@ -62,7 +64,7 @@ def decode_frames(df: DataFrame, key: list[str], idx: str, arrival: str, payload
     e = m.withColumn("_e", entry).select(*key, F.explode(F.arrays_zip(F.transform("_m", lambda b: b["_blk"]).alias("b"), F.slice("_e", 1, F.size("_m")).alias("e"))).alias("_x"))
     e = e.select(*key, F.col("_x.b").alias("_blk"), F.col("_x.e").alias("_in"))
 
-    def decode(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def decode(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, data, n = load(pdf)
         starts, _, lost = MC.scan_frames(data, int(pdf["_in"].iloc[0]), n)
         if len(data) == n and data[-1:] == MC.FRAME_MAGIC[:1] and (not starts or starts[-1] + size < n):

@@ -7,6 +7,10 @@ further exchange, because it is a refinement of the same partitioning.
 
 from __future__ import annotations
 
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -226,20 +230,17 @@ def recording_contrast(df: DataFrame, key: list[str], idx: str, axes: dict[str,
 
 
 def _dominant_bins(src: DataFrame, stats: DataFrame, key: list[str], idx: str, fs: float, size: int, bins: int) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
     n = F.col("n")
     lo, hi = F.ceil(0.15 * n / fs - 1e-9), F.floor(F.lit(min(3.0, fs / 2)) * n / fs + 1e-9)
     chunks = stats.select(*key, "n", "_ma", "_mg", F.explode(F.sequence(F.floor(lo / bins), F.floor(hi / bins))).alias("_kc"), lo.alias("_lo"), hi.alias("_hi"))
     rows = src.select(*key, idx, "acc_mag", "gyro_mag").withColumn("_blk", F.floor(F.col(idx) / size))
     j = spread_join(rows, chunks, key, "inner")
 
-    def share(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def share(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
         total, kc = int(pdf["n"].iloc[0]), int(pdf["_kc"].iloc[0])
         k0, k1 = max(int(pdf["_lo"].iloc[0]), kc * bins), min(int(pdf["_hi"].iloc[0]), (kc + 1) * bins - 1)
-        out = {"k": np.arange(k0, k1 + 1)}
+        out = {"_bin": np.arange(k0, k1 + 1)}
         for name, mean in (("acc", "_ma"), ("gyro", "_mg")):
             y = partial_dft((pdf[f"{name}_mag"] - pdf[mean]).to_numpy(), int(pdf[idx].iloc[0]), total, k0, k1 - k0 + 1)
             out[f"{name}_re"], out[f"{name}_im"] = y.real, y.imag
@@ -249,9 +250,9 @@ def _dominant_bins(src: DataFrame, stats: DataFrame, key: list[str], idx: str, f
         return frame
 
     types = ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in key)
-    parts = j.groupBy(*key, "_blk", "_kc").applyInPandas(share, f"{types}, k bigint, acc_re double, acc_im double, gyro_re double, gyro_im double")
-    total = parts.groupBy(*key, "k").agg(*[F.sum(c).alias(c) for c in ("acc_re", "acc_im", "gyro_re", "gyro_im")])
-    best = lambda c: F.max_by("k", F.struct(F.col(f"{c}_re") * F.col(f"{c}_re") + F.col(f"{c}_im") * F.col(f"{c}_im"), -F.col("k")))
+    parts = j.groupBy(*key, "_blk", "_kc").applyInPandas(share, f"{types}, _bin bigint, acc_re double, acc_im double, gyro_re double, gyro_im double")
+    total = parts.groupBy(*key, "_bin").agg(*[F.sum(c).alias(c) for c in ("acc_re", "acc_im", "gyro_re", "gyro_im")])
+    best = lambda c: F.max_by("_bin", F.struct(F.col(f"{c}_re") * F.col(f"{c}_re") + F.col(f"{c}_im") * F.col(f"{c}_im"), -F.col("_bin")))
     return total.groupBy(*key).agg(best("acc").alias("_a"), best("gyro").alias("_g")).join(stats.select(*key, "n"), key).select(
         *key, (F.col("_a") * fs / F.col("n")).alias("acc_dominant_hz"), (F.col("_g") * fs / F.col("n")).alias("gyro_dominant_hz"))
 

@@ -18,7 +18,7 @@ MAP = dict(zip(WN.AXES, AXES))
 MAP9 = {**MAP, "angle_x": "roll", "angle_y": "pitch", "angle_z": "yaw"}
 
 
-def long(df, ids, digits=7):
+def long(df, ids, digits=6):
     """Feature columns as rows (feature, value), rounded."""
     cols = [c for c in df.columns if c not in ids]
     return df.select(*ids, *[r(F.col(c), digits).alias(c) for c in cols]).unpivot(ids, cols, "feature", "value")
@@ -72,7 +72,7 @@ def v2(spark, sf):
     return WN.window_stats_v2(imu6(spark, sf), DEV, "idx", MAP)
 
 
-def pick(df, names, digits=7):
+def pick(df, names, digits=6):
     return df.select("device", "win", *[r(F.col(n), digits).alias(n) for n in names])
 
 
@@ -85,7 +85,7 @@ def q_sliding(spark, sf):
 
 @query("window_stats_v2", uses="imu6", sql=LONG_V2 + dft_sql(200, 0.2, 15.0) + PERIOD_SQL + f""", a AS ({STATS_V2} UNION ALL {CORR_SQL} UNION ALL {GRAV_SQL}
 UNION ALL SELECT device, win, ch || '_dominant_hz', dominant FROM f UNION ALL SELECT device, win, ch || '_spectral_entropy', entropy FROM f UNION ALL SELECT device, win, ch || '_period_s', period FROM pe)
-SELECT device, win, feature, round(value, 7) + 0.0 AS value FROM a""")
+SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM a""")
 def q_v2(spark, sf):
     return long(v2(spark, sf), ["device", "win"])
 
@@ -113,12 +113,12 @@ def q_period(spark, sf):
     return window_arrays(imu6(spark, sf)).select("device", "win", r(autocorr_period(F.col("acc_mag"), 50.0), 5).alias("period_s"))
 
 
-@query("axis_correlation", uses="imu6", sql=win_sql(200, 50) + f"SELECT device, win, feature, round(value, 7) + 0.0 AS value FROM ({CORR_SQL}) q")
+@query("axis_correlation", uses="imu6", sql=win_sql(200, 50) + f"SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM ({CORR_SQL}) q")
 def q_corr(spark, sf):
     return pick(v2(spark, sf), list(CORR)).unpivot(["device", "win"], list(CORR), "feature", "value")
 
 
-@query("gravity_direction", uses="imu6", sql=win_sql(200, 50) + f"SELECT device, win, feature, round(value, 7) + 0.0 AS value FROM ({GRAV_SQL}) q")
+@query("gravity_direction", uses="imu6", sql=win_sql(200, 50) + f"SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM ({GRAV_SQL}) q")
 def q_gravity(spark, sf):
     names = ["gravity_x", "gravity_y", "gravity_z"]
     return pick(v2(spark, sf), names).unpivot(["device", "win"], names, "feature", "value")
@@ -126,7 +126,7 @@ def q_gravity(spark, sf):
 
 @query("sma", uses="imu6", sql=win_sql(200, 50) + """
 , q AS (SELECT device, win, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM w GROUP BY 1, 2)
-SELECT w.device, w.win, round(avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)), 7) + 0.0 AS acc_sma FROM w JOIN q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2""")
+SELECT w.device, w.win, round(avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)), 6) + 0.0 AS acc_sma FROM w JOIN q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2""")
 def q_sma(spark, sf):
     return pick(v2(spark, sf), ["acc_sma"])
 
@@ -139,7 +139,7 @@ s AS (SELECT device, win, ch, avg(x) AS mean, stddev_samp(x) AS std, sqrt(avg(x
  FROM d JOIN md USING (device, win, ch) GROUP BY 1, 2, 3),
 u AS (SELECT device, win, ch || '_' || UNNEST(['mean', 'std', 'rms', 'range', 'iqr', 'jerk_rms', 'mad']) AS feature, UNNEST([mean, std, rms, rng, iqr, jerk, mad]) AS value FROM s
  UNION ALL SELECT w.device, w.win, 'acc_sma', avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)) FROM w JOIN (SELECT device, win, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM w GROUP BY 1, 2) q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2)
-SELECT device, win, feature, round(value, 7) + 0.0 AS value FROM u"""
+SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM u"""
 
 
 def holes(spark, sf):
@@ -166,7 +166,7 @@ s AS (SELECT w.device, w.win, stddev_pop(am) AS a1, quantile_cont(abs(am - med),
  FROM w JOIN md ON md.device = w.device AND md.win = w.win GROUP BY 1, 2),
 u AS (SELECT device, win, UNNEST(['acc_mag_std','acc_dynamic_p95','gyro_mag_mean','gyro_mag_std','gyro_mag_p95','acc_x_std','acc_y_std','acc_z_std','gyro_x_std','gyro_y_std','gyro_z_std','angle_x_range_p90','angle_y_range_p90','angle_z_range_p90']) AS feature,
  UNNEST([a1,a2,a3,a4,a5,b1,b2,b3,b4,b5,b6,c1,c2,c3]) AS value FROM s UNION ALL SELECT device, win, ch || '_dominant_hz', dominant FROM f)
-SELECT device, win, feature, round(value, 7) + 0.0 AS value FROM u"""
+SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM u"""
 
 
 @query("contrast_window_features", uses="imu6", sql=win_sql(100, 50) + CONTRAST_SQL)
@@ -184,7 +184,7 @@ s AS (SELECT device, any_value(n) AS a0, stddev_pop(am) AS a1, quantile_cont(abs
  FROM w JOIN md USING (device) GROUP BY 1),
 u AS (SELECT device, UNNEST(['n','acc_mag_std','acc_dynamic_p95','gyro_mag_mean','gyro_mag_std','gyro_mag_p95','acc_x_std','acc_y_std','acc_z_std','gyro_x_std','gyro_y_std','gyro_z_std','angle_x_range_p90','angle_y_range_p90','angle_z_range_p90']) AS feature,
  UNNEST([a0,a1,a2,a3,a4,a5,b1,b2,b3,b4,b5,b6,c1,c2,c3]) AS value FROM s UNION ALL SELECT device, 'acc_dominant_hz', arg_max(k, pa) * 50.0 / any_value(n) FROM pw GROUP BY 1 UNION ALL SELECT device, 'gyro_dominant_hz', arg_max(k, pg) * 50.0 / any_value(n) FROM pw GROUP BY 1)
-SELECT device, feature, round(value, 7) + 0.0 AS value FROM u""")
+SELECT device, feature, round(value, 6) + 0.0 AS value FROM u""")
 def q_recording(spark, sf):
     from ..session import staged
 
