@@ -123,8 +123,11 @@ def weak_targets(participant: DataFrame, by_name: DataFrame, legacy: DataFrame,
     return spread_join(chosen, totals, key)
 
 
-def set_violations(docs: DataFrame, id_: str) -> DataFrame:
-    """One row (id, rule) per violated data-set rule; docs carry ``errors`` and ``raw_action``."""
+def set_violations(docs: DataFrame, id_: str, accepted: str | None = None) -> DataFrame:
+    """One row (id, rule) per violated data-set rule; docs carry ``errors`` and ``raw_action``.
+
+    With ``accepted`` a document without violations gives one row of that name.
+    """
     c = F.col
     use = lambda s: F.coalesce(s["window_trainable"], F.lit(False))
     some = lambda t: F.exists("segments", t)
@@ -137,7 +140,9 @@ def set_violations(docs: DataFrame, id_: str) -> DataFrame:
              (long_ & (c("raw_action").contains("3组") | c("raw_action").contains("6组")) & (F.size("segments") > 0), "long_group_record_segmented"),
              (some(dual), "trainable_missing_dual_label")]
     hits = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), n) for t, n in tests]))
-    return docs.select(id_, F.explode(hits).alias("rule"))
+    d = docs.select(id_, hits.alias("_hits"))
+    rules = F.col("_hits") if accepted is None else F.when(F.size("_hits") == 0, F.array(F.lit(accepted))).otherwise(F.col("_hits"))
+    return d.select(id_, F.explode(rules).alias("rule"))
 
 
 def label_policy(df: DataFrame, source: str, motion: str | None, activity: str, state: str) -> DataFrame:

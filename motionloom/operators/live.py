@@ -16,7 +16,7 @@ from . import machines as MC
 from .joins import interval_join
 from .ordered import BLOCK_ROWS, Scan, block_scan, index_block, islands, neighbours, number_rows, spread_join, with_halo
 from .resample import explode_range, lerp, uniform_resample
-from .windows import AXES, _aggregate_v2, _series, _spectra
+from .windows import AXES, _aggregate_v2, _series, _spectra, _values
 
 
 def assign_batch_clock(df: DataFrame, key: list[str], idx: str, count: str, arrival: str, rate_hz: float = 100.0, size: int = BLOCK_ROWS) -> DataFrame:
@@ -188,7 +188,7 @@ def window_features_live(rows: DataFrame, key: list[str], t: str, axes: dict[str
     stats = [F.avg(c).alias(f"{c}_mean") for c in channels] + [F.stddev_samp(c).alias(f"{c}_std") for c in channels]
     fs = (F.count(F.lit(1)) - 1) / F.greatest(F.max("_t") - F.min("_t"), F.lit(1e-6))
     g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), fs.alias("fs"), *stats, _series(channels, "_t")).filter(F.col("samples") >= minimum)
-    return _spectra(g, ["acc_mag", "gyro_mag", "dynamic_acc"], F.col("fs"), ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12)
+    return _spectra(g, _values(["acc_mag", "gyro_mag", "dynamic_acc"]), F.col("fs"), ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12)
 
 
 def orientation_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrating: str, size: int = BLOCK_ROWS, warm: int = 800) -> DataFrame:

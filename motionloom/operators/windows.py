@@ -65,10 +65,11 @@ def _prepare(df: DataFrame, key: list[str], idx: str, cols: list[str], extra: di
     d = blocked(df.select(*key, idx, *cols).withColumns(extra), idx, n, size)
     channels = cols + list(extra)
     if skip_nulls:
-        back = w.rowsBetween(-(n - 1), -1)
-        prev = {f"_p_{c}": F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).alias("v"))), True).over(back) for c in channels}
+        back = w.rowsBetween(W.unboundedPreceding, -1)  # grows with the row: one step each, unlike a sliding frame
+        prev = {f"_p_{c}": F.last(c, True).over(back) for c in channels}
+        prev.update({f"_i_{c}": F.last(F.when(F.col(c).isNotNull(), F.col(idx)), True).over(back) for c in channels})
         e = explode_windows(d.withColumns(prev), idx, n, step, size)
-        return e.withColumns({f"_p_{c}": F.when(F.col(f"_p_{c}")["i"] >= F.col("win") * step, F.col(f"_p_{c}")["v"]) for c in channels})
+        return e.withColumns({f"_p_{c}": F.when(F.col(f"_i_{c}") >= F.col("win") * step, F.col(f"_p_{c}")) for c in channels}).drop(*[f"_i_{c}" for c in channels])
     prev = {f"_p_{c}": F.lag(c).over(w) for c in channels}
     e = explode_windows(d.withColumns(prev), idx, n, step, size)
     return e.withColumns({f"_p_{c}": F.when(F.col(idx) > F.col("win") * step, F.col(f"_p_{c}")) for c in channels})
@@ -97,17 +98,38 @@ def _member(c: str) -> Column:
     return F.transform("_series", lambda s: s[c])
 
 
-def _spectra(g: DataFrame, channels: list[str], fs: Column | float, names: tuple[str, str], period: bool, **kw) -> DataFrame:
-    arr = lambda c: F.filter(_member(c), lambda v: v.isNotNull())
-    out = {f"_s_{c}": spectral(arr(c), fs, **kw) for c in channels}
+def _sum(array: Column, f) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + f(v))
+
+
+def sorted_percentile(array: Column, p: float) -> Column:
+    """Linear-interpolated percentile of a sorted array."""
+    at = (F.size(array) - 1) * F.lit(p)
+    lo, hi = F.get(array, F.floor(at).cast("int")), F.get(array, F.ceil(at).cast("int"))
+    return lo + (hi - lo) * (at - F.floor(at))
+
+
+def _sma() -> Column:
+    """Mean over the window of the summed distances of the three axes from their means."""
+    far = lambda s: sum((F.abs(s[c] - F.col(f"{c}_mean")) for c in AXES[1:3]), F.abs(s["acc_x"] - F.col("acc_x_mean")))
+    whole = F.filter(F.transform("_series", far), lambda v: v.isNotNull())
+    return _sum(whole, lambda v: v) / F.size(whole)
+
+
+def _spectra(g: DataFrame, arrays: dict[str, Column], fs: Column | float, names: tuple[str, str], period: bool, **kw) -> DataFrame:
+    out = {f"_s_{c}": spectral(a, fs, **kw) for c, a in arrays.items()}
     g = g.withColumns(out)
-    g = g.withColumns({**{f"{c}_{names[0]}": F.nanvl(F.col(f"_s_{c}.dominant_hz"), F.lit(None)) for c in channels},
-                       **{f"{c}_{names[1]}": F.nanvl(F.col(f"_s_{c}.entropy"), F.lit(None)) for c in channels}})
+    g = g.withColumns({**{f"{c}_{names[0]}": F.nanvl(F.col(f"_s_{c}.dominant_hz"), F.lit(None)) for c in arrays},
+                       **{f"{c}_{names[1]}": F.nanvl(F.col(f"_s_{c}.entropy"), F.lit(None)) for c in arrays}})
     if period:
-        g = g.withColumns({f"{c}_period_s": autocorr_period(arr(c), float(fs)) for c in channels})
+        g = g.withColumns({f"{c}_period_s": autocorr_period(a, float(fs)) for c, a in arrays.items()})
     return g.drop("_series", *out)
 
 
+def _values(channels: list[str]) -> dict[str, Column]:
+    return {c: F.filter(_member(c), lambda v: v.isNotNull()) for c in channels}
+
+
 def window_stats_v2(df: DataFrame, key: list[str], idx: str, axes: dict[str, str], fs: float = 50.0, window_s: float = 4.0, hop_s: float = 1.0,
                     size: int = BLOCK_ROWS) -> DataFrame:
     """The 91 features of the second generation: population std, dynamic part about the window's median.
@@ -121,22 +143,31 @@ def window_stats_v2(df: DataFrame, key: list[str], idx: str, axes: dict[str, str
 
 
 def _aggregate_v2(e: DataFrame, by: list[str], idx: str, fs: float, n: int) -> DataFrame:
-    ww = W.partitionBy(*by)
-    e = e.withColumns({"_med": F.percentile("acc_mag", F.lit(0.5)).over(ww), **{f"_m_{c}": F.avg(c).over(ww) for c in AXES[:3]}})
-    sma = sum((F.abs(F.col(c) - F.col(f"_m_{c}")) for c in AXES[1:3]), F.abs(F.col("acc_x") - F.col("_m_acc_x")))
-    e = e.withColumns({"dynamic_acc": F.abs(F.col("acc_mag") - F.col("_med")), "_p_dynamic_acc": F.abs(F.col("_p_acc_mag") - F.col("_med")), "_sma": sma})
-    channels = AXES + ["acc_mag", "dynamic_acc", "gyro_mag"]
-    names = ("mean", "std", "rms", "range", "iqr", "jerk_rms")
-    aggs = [a for c in channels for a in _stats(c, fs, 0, names)]
+    """Features of exploded window rows in one aggregation.
+
+    What depends on a window's own mean or median (sma, the dynamic part) is taken from the
+    window's array afterwards, so the exploded rows are grouped once and not windowed first.
+    """
+    channels = AXES + ["acc_mag", "gyro_mag"]
+    aggs = [a for c in channels for a in _stats(c, fs, 0, ("mean", "std", "rms", "range", "iqr", "jerk_rms"))]
     for f in ("acc", "gyro"):
         for a, b in ("xy", "xz", "yz"):
             x, y = f"{f}_{a}", f"{f}_{b}"
             scale = F.stddev_pop(x) * F.stddev_pop(y)
             aggs.append(F.when(scale * n > 1e-12, F.covar_pop(x, y) / scale).otherwise(0.0).alias(f"{f}_corr_{a}{b}"))
-    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, F.avg("_sma").alias("acc_sma"), _series(channels, idx)).filter(F.col("_n") == n).drop("_n")
+    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, F.percentile("acc_mag", F.lit(0.5)).alias("_med"), _series(channels, idx)).filter(F.col("_n") == n).drop("_n")
+    d = F.col("_dyn")
+    g = g.withColumn("_dyn", F.transform(_member("acc_mag"), lambda v: F.abs(v - F.col("_med")))).withColumns({"_ord": F.array_sort("_dyn"), "dynamic_acc_mean": _sum(d, lambda v: v) / n})
+    steps = F.zip_with(F.slice(d, 2, n - 1), F.slice(d, 1, n - 1), lambda b, a: (b - a) * (b - a))
     length = F.greatest(S.norm(*[F.col(f"{c}_mean") for c in AXES[:3]]), F.lit(1e-9))
-    g = g.withColumns({f"gravity_{c[-1]}": F.col(f"{c}_mean") / length for c in AXES[:3]})
-    return _spectra(g, channels, fs, ("dominant_hz", "spectral_entropy"), True)
+    g = g.withColumns({
+        "dynamic_acc_std": F.sqrt(_sum(d, lambda v: (v - F.col("dynamic_acc_mean")) * (v - F.col("dynamic_acc_mean"))) / n),
+        "dynamic_acc_rms": F.sqrt(_sum(d, lambda v: v * v) / n), "dynamic_acc_range": F.get("_ord", F.lit(n - 1)) - F.get("_ord", F.lit(0)),
+        "dynamic_acc_iqr": sorted_percentile(F.col("_ord"), 0.75) - sorted_percentile(F.col("_ord"), 0.25),
+        "dynamic_acc_jerk_rms": F.sqrt(_sum(steps, lambda v: v) / (n - 1)) * fs, "acc_sma": _sma(),
+        **{f"gravity_{c[-1]}": F.col(f"{c}_mean") / length for c in AXES[:3]}})
+    arrays = {**{c: _member(c) for c in channels}, "dynamic_acc": d}
+    return _spectra(g, arrays, fs, ("dominant_hz", "spectral_entropy"), True).drop("_dyn", "_ord", "_med")
 
 
 def window_stats_v1(df: DataFrame, key: list[str], idx: str, axes: dict[str, str], fs: float = 50.0, window_s: float = 2.0, overlap: float = 0.5,
@@ -151,19 +182,19 @@ def window_stats_v1(df: DataFrame, key: list[str], idx: str, axes: dict[str, str
     extra = {"acc_mag": _magnitude(AXES[:3]), "gyro_mag": _magnitude(AXES[3:]), "dynamic_acc": F.abs(_magnitude(AXES[:3]) - 1.0)}
     e = _prepare(src, key, idx, list(axes), extra, n, step, size, True)
     channels, by = list(axes) + list(extra), [*key, "_blk", "win"]
-    ww = W.partitionBy(*by)
-    e = e.withColumns({**{f"_d_{c}": F.percentile(c, F.lit(0.5)).over(ww) for c in channels}, **{f"_m_{c}": F.avg(c).over(ww) for c in AXES[:3]}})
-    sma = sum((F.abs(F.col(c) - F.col(f"_m_{c}")) for c in AXES[1:3]), F.abs(F.col("acc_x") - F.col("_m_acc_x")))
     aggs = []
     for c in channels:
         aggs += _stats(c, fs, 1, ("mean", "std", "rms", "range", "iqr", "jerk_rms"))
-        aggs += [F.percentile(F.abs(F.col(c) - F.col(f"_d_{c}")), F.lit(0.5)).alias(f"{c}_mad"), F.count(c).alias(f"_k_{c}")]
-    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, F.avg(sma).alias("acc_sma"), _series(channels, idx)).filter(F.col("_n") == n)
-    g = _spectra(g, channels, fs, ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12, min_samples=8)
+        aggs += [F.percentile(c, F.lit(0.5)).alias(f"_d_{c}"), F.count(c).alias(f"_k_{c}")]
+    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, _series(channels, idx)).filter(F.col("_n") == n)
+    arrays = _values(channels)
+    far = lambda c: F.array_sort(F.transform(arrays[c], lambda v: F.abs(v - F.col(f"_d_{c}"))))
+    g = g.withColumns({**{f"{c}_mad": sorted_percentile(far(c), 0.5) for c in channels}, "acc_sma": _sma()})
+    g = _spectra(g, arrays, fs, ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12, min_samples=8)
     names = ("mean", "std", "rms", "range", "iqr", "mad", "jerk_rms", "dom_freq_hz", "spec_entropy")
     g = g.withColumns({f"{c}_{s}": F.when(F.col(f"_k_{c}") >= 2, F.col(f"{c}_{s}")) for c in channels for s in names})
     return g.withColumns({"window_start_s": F.col("win") * step / F.lit(fs), "window_end_s": (F.col("win") * step + n - 1) / F.lit(fs)}).drop(
-        "_n", "_blk", *[f"_k_{c}" for c in channels])
+        "_n", "_blk", *[f"_{p}_{c}" for c in channels for p in "kd"])
 
 
 def live_features_v1(df: DataFrame, key: list[str], idx: str, t: str, axes: dict[str, str], n: int, step: int, size: int = BLOCK_ROWS) -> DataFrame:
@@ -173,30 +204,27 @@ def live_features_v1(df: DataFrame, key: list[str], idx: str, t: str, axes: dict
     d = blocked(src.withColumns(extra), idx, n, size).repartition(*key, "_blk")
     e = explode_windows(d, idx, n, step, size)
     channels, by = AXES + list(extra), [*key, "_blk", "win"]
-    ww = W.partitionBy(*by)
-    e = e.withColumns({f"_m_{c}": F.avg(c).over(ww) for c in AXES[:3]})
-    sma = sum((F.abs(F.col(c) - F.col(f"_m_{c}")) for c in AXES[1:3]), F.abs(F.col("acc_x") - F.col("_m_acc_x")))
     stats = [F.avg(c).alias(f"{c}_mean") for c in channels] + [F.stddev_samp(c).alias(f"{c}_std") for c in channels] + [F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{c}_rms") for c in channels]
     span = F.greatest(F.max("_t") - F.min("_t"), F.lit(1e-6))
-    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), ((F.count(F.lit(1)) - 1) / span).alias("fs"), *stats, F.avg(sma).alias("acc_sma"), _series(channels, idx))
-    g = g.filter(F.col("_n") == n).drop("_n")
-    return _spectra(g, channels, F.col("fs"), ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12).drop("_blk")
+    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), ((F.count(F.lit(1)) - 1) / span).alias("fs"), *stats, _series(channels, idx))
+    g = g.filter(F.col("_n") == n).drop("_n").withColumn("acc_sma", _sma())
+    return _spectra(g, _values(channels), F.col("fs"), ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12).drop("_blk")
 
 
 def contrast_features(e: DataFrame, by: list[str], idx: str, n: int | None, fs: float) -> DataFrame:
     """Action-contrast features of exploded windows (acc_*, gyro_*, angle_* columns)."""
-    ww = W.partitionBy(*by)
-    e = e.withColumn("_dyn", F.abs(F.col("acc_mag") - F.percentile("acc_mag", F.lit(0.5)).over(ww)))
     spread = lambda c: (lambda p: (p[1] - p[0]).alias(f"angle_{c}_range_p90"))(F.percentile(f"angle_{c}", F.array(F.lit(0.05), F.lit(0.95))))
-    aggs = [F.stddev_pop("acc_mag").alias("acc_mag_std"), F.percentile("_dyn", F.lit(0.95)).alias("acc_dynamic_p95"), F.avg("gyro_mag").alias("gyro_mag_mean"),
+    aggs = [F.stddev_pop("acc_mag").alias("acc_mag_std"), F.percentile("acc_mag", F.lit(0.5)).alias("_med"), F.avg("gyro_mag").alias("gyro_mag_mean"),
             F.stddev_pop("gyro_mag").alias("gyro_mag_std"), F.percentile("gyro_mag", F.lit(0.95)).alias("gyro_mag_p95")]
     aggs += [F.stddev_pop(c).alias(f"{c}_std") for c in AXES] + [spread(c) for c in "xyz"]
     g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, _series(["acc_mag", "gyro_mag"], idx))
     if n is not None:
         g = g.filter(F.col("_n") == n)
+    dyn = F.array_sort(F.transform(_member("acc_mag"), lambda v: F.abs(v - F.col("_med"))))
+    g = g.withColumn("acc_dynamic_p95", sorted_percentile(dyn, 0.95))
     for c in ("acc", "gyro"):
         g = g.withColumn(f"{c}_dominant_hz", spectral(_member(f"{c}_mag"), fs, 0.15, 3.0, floor=-1.0)["dominant_hz"])
-    return g.drop("_series", "_n")
+    return g.drop("_series", "_n", "_med")
 
 
 def contrast_windows(df: DataFrame, key: list[str], idx: str, axes: dict[str, str], fs: float = 50.0, window_s: float = 2.0, overlap: float = 0.5,

@@ -21,7 +21,8 @@ MAP9 = {**MAP, "angle_x": "roll", "angle_y": "pitch", "angle_z": "yaw"}
 def long(df, ids, digits=6):
     """Feature columns as rows (feature, value), rounded."""
     cols = [c for c in df.columns if c not in ids]
-    return df.select(*ids, *[r(F.col(c), digits).alias(c) for c in cols]).unpivot(ids, cols, "feature", "value")
+    pairs = [F.struct(F.lit(c).alias("feature"), r(F.col(c), 8 if c == "acc_sma" else digits).alias("value")) for c in cols]
+    return df.select(*ids, F.inline(F.array(*pairs)))
 
 
 def win_sql(n, step):
@@ -73,7 +74,7 @@ def v2(spark, sf):
 
 
 def pick(df, names, digits=6):
-    return df.select("device", "win", *[r(F.col(n), digits).alias(n) for n in names])
+    return df.select("device", "win", *[r(F.col(n), 8 if n == "acc_sma" else digits).alias(n) for n in names])
 
 
 @query("sliding_windows", uses="imu6", sql=win_sql(200, 50) + """
@@ -85,7 +86,7 @@ def q_sliding(spark, sf):
 
 @query("window_stats_v2", uses="imu6", sql=LONG_V2 + dft_sql(200, 0.2, 15.0) + PERIOD_SQL + f""", a AS ({STATS_V2} UNION ALL {CORR_SQL} UNION ALL {GRAV_SQL}
 UNION ALL SELECT device, win, ch || '_dominant_hz', dominant FROM f UNION ALL SELECT device, win, ch || '_spectral_entropy', entropy FROM f UNION ALL SELECT device, win, ch || '_period_s', period FROM pe)
-SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM a""")
+SELECT device, win, feature, round(value, CASE WHEN feature = 'acc_sma' THEN 8 ELSE 6 END) + 0.0 AS value FROM a""")
 def q_v2(spark, sf):
     return long(v2(spark, sf), ["device", "win"])
 
@@ -126,7 +127,7 @@ def q_gravity(spark, sf):
 
 @query("sma", uses="imu6", sql=win_sql(200, 50) + """
 , q AS (SELECT device, win, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM w GROUP BY 1, 2)
-SELECT w.device, w.win, round(avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)), 6) + 0.0 AS acc_sma FROM w JOIN q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2""")
+SELECT w.device, w.win, round(avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)), 8) + 0.0 AS acc_sma FROM w JOIN q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2""")
 def q_sma(spark, sf):
     return pick(v2(spark, sf), ["acc_sma"])
 
@@ -139,7 +140,7 @@ s AS (SELECT device, win, ch, avg(x) AS mean, stddev_samp(x) AS std, sqrt(avg(x
  FROM d JOIN md USING (device, win, ch) GROUP BY 1, 2, 3),
 u AS (SELECT device, win, ch || '_' || UNNEST(['mean', 'std', 'rms', 'range', 'iqr', 'jerk_rms', 'mad']) AS feature, UNNEST([mean, std, rms, rng, iqr, jerk, mad]) AS value FROM s
  UNION ALL SELECT w.device, w.win, 'acc_sma', avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)) FROM w JOIN (SELECT device, win, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM w GROUP BY 1, 2) q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2)
-SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM u"""
+SELECT device, win, feature, round(value, CASE WHEN feature = 'acc_sma' THEN 8 ELSE 6 END) + 0.0 AS value FROM u"""
 
 
 def holes(spark, sf):
