@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .joins import class_pairs
-from .ordered import Scan, block_scan, exact_percentile, number_rows, spread_join
+from .ordered import Scan, block_scan, exact_percentile, number_rows, one_row, spread_join
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -87,8 +87,7 @@ def scaler(df: DataFrame, feats: list[str]) -> DataFrame:
     n = F.count(F.lit(1))
     fill = lambda f: n - F.count(f)
     sums = clean.agg(n.alias("_n"), *[fill(f).alias(f"_k_{f}") for f in feats], *[F.avg(f).alias(f"_a_{f}") for f in feats], *[F.var_pop(f).alias(f"_v_{f}") for f in feats])
-    one = med.withColumn("_one", F.lit(0)).join(sums.withColumn("_one", F.lit(0)), "_one")
-    out = {}
+    one, out = one_row(med, sums), {}
     for f in feats:
         k, total, a, m = F.col(f"_k_{f}"), F.col("_n"), F.col(f"_a_{f}"), F.col(f"_med_{f}")
         mean = (a * (total - k) + m * k) / total

@@ -14,6 +14,7 @@ third of all rows, so nothing here does that. Each key's order is cut into block
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -132,6 +133,12 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], how: str =
     return salted.join(copies, [*key, "_salt"], how).drop("_salt")
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Combine one-row tables with different columns into one row, without a join."""
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.agg(*[F.max(c).alias(c) for c in u.columns])
+
+
 def exact_percentile(df: DataFrame, key: list[str], value: str, points: dict[str, float],
                      bins: int = 64) -> DataFrame:
     """Exact linear-interpolated percentiles per key (numpy's default rule), one row per key.

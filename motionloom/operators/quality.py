@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import MAD_SCALE, longest_runs, over_limit, robust_limits
-from .ordered import BLOCK_ROWS, block_window, exact_percentile, keep_core, spread_join, with_halo
+from .ordered import BLOCK_ROWS, block_window, exact_percentile, keep_core, one_row, spread_join, with_halo
 
 FLAGS = ["missing_core_columns", "orientation_invalid", "short_recording", "sampling_rate_irregular", "unlabelled_action",
          "earphone_contact_artifact", "protocol_truncated", "mixed_action"]
@@ -199,9 +199,8 @@ def format_pairs(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def equivalent_exports(pairs: DataFrame) -> DataFrame:
-    med = None
-    for c in ("start_offset_s", "duration_abs_diff_s", "sample_rate_abs_diff_hz"):
-        m = exact_percentile(pairs, [], c, {c: 0.5}).withColumn("_k", F.lit(0))
-        med = m if med is None else med.join(m, "_k")
+    """Are csv and txt the same recordings? Medians of the pair differences against fixed limits."""
+    names = ("start_offset_s", "duration_abs_diff_s", "sample_rate_abs_diff_hz")
+    med = one_row(*[exact_percentile(pairs, [], c, {c: 0.5}) for c in names])
     test = (F.col("start_offset_s") < 0.1) & (F.col("duration_abs_diff_s") < 0.2) & (F.col("sample_rate_abs_diff_hz") < 0.1)
-    return med.withColumn("equivalent", test).drop("_k")
+    return med.withColumn("equivalent", test)

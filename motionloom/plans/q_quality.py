@@ -8,7 +8,7 @@ from ..functions import scalar as S
 from ..functions.scalar import rounded as r
 from ..operators import clean as C
 from ..operators import quality as Q
-from ..operators.ordered import exact_percentile, spread_join
+from ..operators.ordered import exact_percentile, one_row, spread_join
 from .registry import query
 from .views import AXES, features, imu6, recordings, segments1, stream1, stream_rows, table
 
@@ -72,8 +72,7 @@ def q_totals(spark, sf):
     med = exact_percentile(d, [], "sample_rate_hz", {"m": 0.5})
     a = d.agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("total_rows"), F.min("sample_rate_hz").alias("lo"), F.max("sample_rate_hz").alias("hi"),
               F.sum(F.round(F.col("rows") * F.col("full_duplicate_ratio"))).cast("long").alias("duplicates"))
-    one = a.withColumn("_k", F.lit(0)).join(med.withColumn("_k", F.lit(0)), "_k")
-    return one.select("files", "total_rows", r(F.col("m")).alias("rate_median"), r(F.col("lo")).alias("rate_min"), r(F.col("hi")).alias("rate_max"), "duplicates")
+    return one_row(a, med).select("files", "total_rows", r(F.col("m")).alias("rate_median"), r(F.col("lo")).alias("rate_min"), r(F.col("hi")).alias("rate_max"), "duplicates")
 
 
 PAIR_SQL = """, p AS (SELECT capture_group, device_id, count(*) AS n, count_if(source_format = 'csv') AS nc, count_if(source_format = 'txt') AS nt,

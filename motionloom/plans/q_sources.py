@@ -62,7 +62,7 @@ def q_discover(spark, sf):
     table(spark, sf, "events").select(F.concat(F.lit("rec"), F.col("user_id").cast("string")).alias("rec"), "event_id", "value").repartition("rec").write.partitionBy("rec").csv(path)
     d = FS.discover_captures(spark, path)
     f = d.groupBy(F.regexp_extract("path", r"rec=rec(\d+)", 1).cast("long").alias("number")).agg(F.min("natural").alias("k"))
-    n = number_rows(f.withColumn("_all", F.lit(0)), ["_all"], ["k"], F.substring("k", 1, 400), "position")
+    n = number_rows(f.withColumn("_all", F.lit(0)), ["_all"], ["k"], F.regexp_extract("k", "^(.*rec\u0001[0-9]{6})", 1), "position")
     return n.select("number", (F.col("position") + 1).alias("position"))
 
 
