@@ -107,18 +107,18 @@ def q_strict(spark, sf):
 
 
 @query("scan_manifest", sql="""
-, o AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderkey % 7) AS same FROM orders)
-SELECT 's' || o_custkey AS session_id, 't' || (o_orderkey % 7) AS trial_id, side AS ear_side, concat_ws(';', CASE WHEN o_custkey % 31 = 0 THEN 'schema_version must be 1.0' END, CASE WHEN same > 1 THEN 'trial_id must occur exactly once' END,
+, o AS (SELECT o_orderkey // 8 AS ses, o_orderkey, count(*) OVER (PARTITION BY o_orderkey // 8, o_orderkey % 7) AS same FROM orders)
+SELECT 's' || ses AS session_id, 't' || (o_orderkey % 7) AS trial_id, side AS ear_side, concat_ws(';', CASE WHEN ses % 31 = 0 THEN 'schema_version must be 1.0' END, CASE WHEN same > 1 THEN 'trial_id must occur exactly once' END,
  CASE WHEN o_orderkey % 11 = 0 THEN 'trial missing label_file' END, CASE WHEN o_orderkey % 13 = 0 THEN 'duplicate device stream' END, CASE WHEN o_orderkey % 5 = 0 THEN 'device stream missing sha256' END) AS errors
 FROM o, LATERAL (SELECT UNNEST(['left', CASE WHEN o_orderkey % 13 = 0 THEN 'left' ELSE 'right' END]) AS side)""")
 def q_manifest(spark, sf):
     path = scratch_path(spark, "manifest")
-    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    k, u = F.col("o_orderkey"), F.col("ses")
     stream = lambda side: F.struct(F.lit("d1").alias("device_id"), side.alias("ear_side"), F.lit("a.csv").alias("csv_file"), F.when(k % 5 != 0, "ab").alias("sha256"), F.lit(50.0).alias("sample_rate_configured_hz"), F.lit("g").alias("acceleration_unit"),
                                    F.lit("deg/s").alias("angular_velocity_unit"), F.lit(16.0).alias("acceleration_range"), F.lit(2000.0).alias("angular_velocity_range"), F.lit("none").alias("filter_config"), F.lit("1").alias("firmware_version"))
     trial = F.struct(F.concat(F.lit("t"), (k % 7).cast("string")).alias("trial_id"), F.when(k % 11 != 0, "l.json").alias("label_file"),
                      F.array(stream(F.lit("left")), stream(F.when(k % 13 == 0, "left").otherwise("right"))).alias("streams"))
-    m = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(trial).alias("trials"))  # the trials of one session make one document
+    m = table(spark, sf, "orders").groupBy(F.floor(k / 8).alias("ses")).agg(F.collect_list(trial).alias("trials"))  # eight order keys make one session document
     doc = F.struct(F.when(u % 31 == 0, "0.9").otherwise("1.0").alias("schema_version"), F.lit("p").alias("protocol_version"), F.lit("2026-01-01").alias("date"), F.concat(F.lit("s"), u.cast("string")).alias("session_id"),
                    F.lit("sub").alias("subject_id"), F.lit("c").alias("collector_id"), F.lit("1").alias("app_version"), "trials")
     m.select(F.to_json(doc).alias("value")).write.text(path)
@@ -165,14 +165,13 @@ def q_posture_segments(spark, sf):
     return P.posture_segments(d).select("event_id", "label")
 
 
-@query("scan_notes", sql="SELECT count(*) AS notes, CAST(sum(length(text)) AS BIGINT) AS characters FROM (SELECT string_agg(turn || ':' || role, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id) z")
+@query("scan_notes", sql="SELECT count(*) AS notes, CAST(sum(length(turn || ':' || role)) AS BIGINT) AS characters FROM conversations")
 def q_notes(spark, sf):
     path = scratch_path(spark, "notes")
     line = F.concat_ws(":", F.col("turn").cast("string"), F.col("role"))
-    note = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
-    note.select((F.pmod("conv_id", F.lit(50))).alias("part"), F.col("t").alias("value")).write.partitionBy("part").option("lineSep", "\u0003").text(path)
-    d = FS.scan_notes(spark, path)
-    n = d.select(F.explode(F.filter(F.split("content", "\u0003"), lambda x: x != "")).alias("n"))
+    # many small note files, as a session folder has them
+    table(spark, sf, "conversations").select(line.alias("value")).repartition(32).write.option("maxRecordsPerFile", 2000).text(path)
+    n = FS.scan_notes(spark, path).select(F.explode(F.filter(F.split("content", "\n"), lambda x: x != "")).alias("n"))
     return n.agg(F.count(F.lit(1)).alias("notes"), F.sum(F.length("n")).alias("characters"))
 
 

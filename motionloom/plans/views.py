@@ -35,7 +35,7 @@ def imu6(spark: SparkSession, sf: str) -> DataFrame:
 
 def _numbered_events(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
-    return number_rows(ev, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    return number_rows(ev, ["user_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
 
 
 def stream1(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: dict[str, str] = {}
+_SCRATCH: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "motionloom") -> SparkSession:
@@ -32,15 +32,15 @@ def scratch_root(spark: SparkSession) -> str:
     It is the cluster's ``spark.checkpoint.dir``. Only a local master may fall back to a
     temporary folder, because there driver and executors are one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if app not in _SCRATCH:
-        _SCRATCH[app] = tempfile.mkdtemp(prefix="motionloom-")
-    return _SCRATCH[app]
+        _SCRATCH[app] = tempfile.TemporaryDirectory(prefix="motionloom-", ignore_cleanup_errors=True)
+    return _SCRATCH[app].name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
