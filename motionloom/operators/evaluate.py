@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .joins import class_pairs
-from .ordered import Scan, block_scan, exact_percentile, number_rows, one_row, spread_join
+from .ordered import Scan, block_scan, exact_percentile, number_rows, one_row, spread_join, value_bin
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -194,17 +194,16 @@ def loro_nearest_centroid(df: DataFrame, group: str, label: str, feats: list[str
     return t.select(group, *keep, F.col(label).alias("actual"), F.array_min(dist)["label"].alias("predicted"))
 
 
-def median_without(df: DataFrame, group: str, feats: list[str], bins: int = 64) -> DataFrame:
+def median_without(df: DataFrame, group: str, feats: list[str], per_octave: int = 16) -> DataFrame:
     """Median of each feature over all other groups, one row per (feature, group).
 
-    Counts per bin (edges from a bounded sketch) locate the bins that hold the two middle ranks for
-    each left-out group; only rows of those bins are compared again.
+    Counts per value bin locate the bins that hold the two middle ranks for each left-out group;
+    only rows of those bins are compared again.
     """
     long = df.select(group, *feats).unpivot([group], feats, "_f", "_v").filter("_v IS NOT NULL")
     v = long.groupBy("_f", group, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    grid = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = long.groupBy("_f").agg(F.percentile_approx("_v", grid, 1000).alias("_e"))
-    v = spread_join(v, edges, ["_f"], "inner").withColumn("_b", F.aggregate("_e", F.lit(0), lambda a, e: a + F.when(e < F.col("_v"), 1).otherwise(0))).drop("_e")
+    low = v.groupBy("_f").agg(F.min("_v").alias("_low"))
+    v = spread_join(v, low, ["_f"], "inner").withColumn("_b", value_bin(F.col("_v"), F.col("_low"), per_octave)).drop("_low")
     hist = v.groupBy("_f", group, "_b").agg(F.sum("_k").alias("_k"))
     total = hist.groupBy("_f", "_b").agg(F.sum("_k").alias("_t"))
     who = hist.groupBy("_f", group).agg(F.sum("_k").alias("_own"))

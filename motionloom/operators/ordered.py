@@ -127,8 +127,12 @@ def islands(df: DataFrame, key: list[str], idx: str, change: Column, out: str =
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join rows to a table with at most one row per key, spreading each key over ``salts`` tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    """Join rows to a small per-key table, spreading each key over ``salts`` tasks.
+
+    The salt is a hash of the row, so a recomputed task after a lost executor salts as before.
+    """
+    hashable = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*key, "_salt"], how).drop("_salt")
 
@@ -139,21 +143,29 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return u.agg(*[F.max(c).alias(c) for c in u.columns])
 
 
-def exact_percentile(df: DataFrame, key: list[str], value: str, points: dict[str, float],
-                     bins: int = 64) -> DataFrame:
+def value_bin(v: Column, low: Column, per_octave: int = 512) -> Column:
+    """Monotone bin of ``v`` by the logarithm of its distance from the smallest value.
+
+    Fine near the bulk of any distribution, a bounded number of bins however far the outliers, and
+    the same in every attempt of a task.
+    """
+    d = v - low
+    return F.when(d > 0, F.floor(F.log2(d) * per_octave)).otherwise(F.lit(-(1 << 40))).cast("long")
+
+
+def exact_percentile(df: DataFrame, key: list[str], value: str, points: dict[str, float], per_octave: int = 512) -> DataFrame:
     """Exact linear-interpolated percentiles per key (numpy's default rule), one row per key.
 
-    Equal values are counted first, so copies cost nothing. An approximate sketch (bounded size)
-    only chooses bin edges; cumulative counts over bins then find the exact ranks.
+    Equal values are counted first, so copies cost nothing; running counts over value bins then
+    find the ranks. No task ever holds all values of a key.
     """
     if not key:
-        return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, points, bins).drop("_all")
+        return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, points, per_octave).drop("_all")
     v = F.col(value)
-    counts = df.filter(v.isNotNull()).groupBy(*key, v.alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
-    grid = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    shape = counts.groupBy(*key).agg(F.percentile_approx("_v", grid, 1000).alias("_edges"), F.sum("_rows").alias("_n"))
-    binned = spread_join(counts, shape, key, "inner").withColumn(
-        "_bin", F.aggregate("_edges", F.lit(0), lambda a, e: a + F.when(e < F.col("_v"), 1).otherwise(0))).drop("_edges")
+    real = v.isNotNull() & ~F.isnan(v) if dict(df.dtypes)[value] in ("double", "float") else v.isNotNull()
+    counts = df.filter(real).groupBy(*key, v.alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
+    shape = counts.groupBy(*key).agg(F.min("_v").alias("_low"), F.sum("_rows").alias("_n"))
+    binned = spread_join(counts, shape, key, "inner").withColumn("_bin", value_bin(F.col("_v"), F.col("_low"), per_octave)).drop("_low")
     cum = block_scan(binned, key, ["_v"], F.col("_bin"), [Scan("_cum", F.col("_rows"), "sum")])
     picks = []
     for name, p in points.items():

@@ -55,7 +55,7 @@ def test_halo_frames_equal_pandas(rows):
 
 def test_exact_percentile(rows):
     pdf, df = rows
-    got = O.exact_percentile(df, ["k"], "x", {"a": 0.5, "b": 0.95, "c": 0.0}, bins=8).toPandas().set_index("k").sort_index()
+    got = O.exact_percentile(df, ["k"], "x", {"a": 0.5, "b": 0.95, "c": 0.0}, per_octave=4).toPandas().set_index("k").sort_index()
     want = pdf.groupby("k")["x"].quantile([0.5, 0.95, 0.0]).unstack()
     np.testing.assert_allclose(got[["a", "b", "c"]], want[[0.5, 0.95, 0.0]], atol=1e-12)
 
@@ -149,7 +149,7 @@ def test_interval_join_equals_brute_force(spark):
 def test_median_without(spark):
     rng = np.random.default_rng(1)
     p = pd.DataFrame({"g": rng.integers(0, 4, 301), "f": rng.normal(size=301)})
-    got = E.median_without(spark.createDataFrame(p), "g", ["f"], bins=8).toPandas().set_index("g")["median"]
+    got = E.median_without(spark.createDataFrame(p), "g", ["f"], per_octave=4).toPandas().set_index("g")["median"]
     for g in range(4):
         assert got[g] == pytest.approx(p[p["g"] != g]["f"].median(), abs=1e-12)
 
