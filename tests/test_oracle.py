@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from motionloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +45,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_is_registered():
-    assert len(entry.queries()) == 179
+    assert len(catalog.QUERIES) == 179
+    assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(SQL) <= set(entry.queries())
 
 
