@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, quality
+from . import decontaminate, lempelziv, linededup, mixing, quality, suffix
 from .common import table
 
 QUERIES: dict = {}
@@ -21,6 +21,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_suffix_dedup")
+def op1(spark, sf):
+    return suffix.remove_repeats(table(spark, sf, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query("op5_substring_dedup")
+def op5(spark, sf):
+    return lempelziv.remove_copies(table(spark, sf, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query("op2_quality_rules")
 def op2(spark, sf):
     out = quality.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
