@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from motionloom.session import staged
 
-from .common import BROADCAST_ROWS, ascii_lower, let, row_key, small, words
+from .common import ascii_lower, let, row_key, small, words
 
 #: All ASCII but digits and lower-case letters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Candidates that may be broadcast: under 400 bytes each with their n-gram's words.
+HIT_ROWS = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -51,7 +53,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     Columns: row (key), doc_id, n_words, n_hit, item_ids (sorted strings), hit_words (positions from 1).
     The n-grams are a broadcast hash set up to ``BROADCAST_ROWS`` of them, else they are joined by shuffle. A window
     that hashes like one is compared word by word before it counts: the few candidates are brought back to
-    the texts, broadcast up to ``BROADCAST_ROWS`` of them, else by a shuffle join.
+    the texts, broadcast up to ``HIT_ROWS`` of them, else by a shuffle join.
 
     Null and empty texts have no words and no hits; an item without words hits nothing; repeated
     rows are answered alike; a null item_id counts as a hit but is not named in ``item_ids``.
@@ -64,7 +66,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
         return base.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none[1].alias("item_ids"), none[0].alias("hit_words"))
     found = staged(candidates(docs, grams, lengths), "test-hits")
     per_row = found.groupBy("row").agg(F.collect_set(F.struct("pos", "m", "item_id", "gram_words")).alias("at"))
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if found.limit(HIT_ROWS + 1).count() <= HIT_ROWS:
         per_row = F.broadcast(per_row)
     out = base.join(per_row, "row", "left")
     true = F.filter("at", lambda a: F.slice("w", a["pos"] + 1, a["m"]) == a["gram_words"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lempelziv, linededup, mixing, quality, suffix
+from . import decontaminate, jaccard, lempelziv, linededup, mixing, quality, suffix
 from .common import table
 
 QUERIES: dict = {}
@@ -81,6 +81,14 @@ def op6(spark, sf):
     return out.select(F.col("row").alias("page_id"), "host", "n_lines", (F.col("n_lines") - left).alias("n_dropped"), F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op7_jaccard_join")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = jaccard.jaccard_components(docs, words=3, similarity=(90, 100))
+    number = lambda c: F.when(F.col(c) != jaccard.ABSENT, F.col(c))
+    return out.select(number("doc").alias("doc_id"), "n_shingles", number("component").alias("component_id"))
+
+
 @query("op9_mixing")
 def op9(spark, sf):
     return mixing.mixing_rates(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("row")
