@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lempelziv, linededup, mixing, quality, suffix
+from . import decontaminate, jaccard, lempelziv, linededup, mixing, quality, suffix, tokencount
 from .common import table
 
 QUERIES: dict = {}
@@ -26,6 +26,23 @@ def op1(spark, sf):
     return suffix.remove_repeats(table(spark, sf, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+#: Tokens above which a document does not fit the model's context.
+TOKEN_LIMIT = 4096
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the installed vocabulary files lie: in the package, so on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op4_token_counts")
+def op4(spark, sf):
+    out = tokencount.token_counts(table(spark, sf, "documents"), tokenizer_path())
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @query("op5_substring_dedup")
 def op5(spark, sf):
     return lempelziv.remove_copies(table(spark, sf, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
