@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lempelziv, linededup, mixing, quality, suffix, tokencount
+from . import decontaminate, jaccard, lempelziv, linededup, mixing, quality, secrets, suffix, tokencount
 from .common import table
 
 QUERIES: dict = {}
@@ -106,6 +106,14 @@ def op7(spark, sf):
     return out.select(number("doc").alias("doc_id"), "n_shingles", number("component").alias("component_id"))
 
 
+@query("op8_secret_scan")
+def op8(spark, sf):
+    out = secrets.find_secrets(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+    base = F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return out.select("doc_id", count(0), count(1), count(2), base, secrets.written(F.concat("base", "found")).alias("spans"))
+
+
 @query("op9_mixing")
 def op9(spark, sf):
     return mixing.mixing_rates(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("row")
