@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lempelziv, linededup, mixing, quality, secrets, suffix, tokencount
+from . import decontaminate, jaccard, lempelziv, linededup, mixing, mixlm, quality, secrets, suffix, tokencount
 from .common import table
 
 QUERIES: dict = {}
@@ -119,6 +119,11 @@ def op9(spark, sf):
     return mixing.mixing_rates(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("row")
 
 
+@query("op10_lm_scoring")
+def op10(spark, sf):
+    return mixlm.score_texts(table(spark, sf, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
