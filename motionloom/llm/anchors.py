@@ -167,21 +167,24 @@ def shared_places(docs: DataFrame, unit: str, window: int, k: int, same_doc: boo
 
 
 def _bodies(unit: str):
-    """The tokens of the contexts that need comparing, each as bytes."""
+    """The text of the contexts that need comparing, from their first token to their last."""
 
     def run(batches):
         for rows, texts in shards(batches):
-            codes, begin, _, data, *_ = codes_of(texts, unit)
-            tokens = data if unit == "byte" else codes
+            data, begin, end = joined(texts)
+            if unit == "word":
+                start, stop, upto = find_words(data, end)
+                begin = np.concatenate(([0], upto[:-1])).astype(np.int64)
             items = rows["items"].combine_chunks()
             n = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(len(texts)), n)
             flat = items.flatten()
             low, high = (flat.field(x).to_numpy().astype(np.int64) for x in ("low", "high"))
-            size = tokens.dtype.itemsize
-            lo, hi = (low + begin[owner]) * size, (high + begin[owner]) * size
-            raw = memoryview(np.ascontiguousarray(tokens)).cast("B")
-            body = [raw[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            low, high = low + begin[owner], high + begin[owner]
+            if unit == "word":
+                low, high = start[low], stop[high - 1]
+            raw = memoryview(data)
+            body = [raw[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             cols = [flat.field("gram"), rows["row"].combine_chunks().take(pa.array(owner)), rows["doc"].combine_chunks().take(pa.array(owner)), *(flat.field(x) for x in ("pos", "low", "high", "places")), pa.array(body, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["gram", "row", "doc", "pos", "low", "high", "places", "body"])
 
@@ -202,7 +205,8 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, same_doc: bo
     found = staged(shared_places(keyed(docs), unit, window, k, same_doc), "anchors")
     wanted = found.where("not known").groupBy("row").agg(F.collect_list(F.struct("gram", "pos", "low", "high", "places")).alias("items"))
     bodies = texts.dropDuplicates(["row"]).join(wanted, "row").select("row", "doc", "text", "items").mapInArrow(_bodies(unit), BODY_SCHEMA)
-    compared = bodies.repartition("gram").mapInArrow(resolve, SPAN_SCHEMA)
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition should be one shard
+    compared = bodies.repartition(parts, "gram").mapInArrow(resolve, SPAN_SCHEMA)
     known = found.where("known").select("row", F.col("pos") - F.col("low"), F.col("high") - F.col("pos"), F.explode("places").alias("p")).toDF("row", "back", "ahead", "p")
     spans = compared.union(known.select("row", (F.col("p") - F.col("back")).alias("low"), (F.col("p") + F.col("ahead")).alias("high")))
     return texts, spans.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))

@@ -16,12 +16,12 @@ from .suffix import common_prefixes, spans, suffix_array
 from .tokens import shards
 
 WINDOW, K = 50, 12
-#: Bytes (8 a word) of one reference block.
+#: Bytes of text of one reference block.
 BLOCK = 8 << 20
 
 
-def longest_earlier(sa: np.ndarray, lcp: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """By place: the longest common prefix with a suffix of a document with a smaller id.
+def longest_earlier(sa: np.ndarray, lcp: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """By place: the longest common prefix with a suffix of a document with a smaller id; 0 if under ``least``.
 
     On either side in suffix order the nearest suffix of a smaller document has it; pointers to the
     nearest double their reach in each round.
@@ -32,12 +32,13 @@ def longest_earlier(sa: np.ndarray, lcp: np.ndarray, doc: np.ndarray) -> np.ndar
         n = len(d)
         near = np.arange(-1, n - 1)
         have = (lcp if way == 1 else np.concatenate((lcp[1:], [0]))[::-1]).astype(np.int64)
-        have[near < 0] = 0
+        have[(near < 0) | (have < least)] = 0
         open_ = np.flatnonzero((near >= 0) & (have > 0))
         open_ = open_[d[near[open_]] >= d[open_]]
         while len(open_):
             p = near[open_]
             have[open_] = np.minimum(have[open_], have[p])
+            have[open_[have[open_] < least]] = 0
             near[open_] = near[p]
             open_ = open_[(near[open_] >= 0) & (have[open_] > 0)]
             open_ = open_[d[near[open_]] >= d[open_]]
@@ -48,7 +49,7 @@ def longest_earlier(sa: np.ndarray, lcp: np.ndarray, doc: np.ndarray) -> np.ndar
 
 
 def factors(match: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Greedy parse of every stretch, all abreast: marks where factors start (a word without a match is its own)."""
+    """Greedy parse of every stretch, all abreast: marks where factors start (a word without a sufficient match is its own)."""
     cut = np.zeros(len(match) + 1, bool)
     at = begin[begin < end].copy()
     stop = end[begin < end]
@@ -74,31 +75,35 @@ def copied(match: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int) -
     return np.flatnonzero(inside | across)
 
 
-def _match(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, cap: int) -> np.ndarray:
+def _match(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """The longest earlier match at each place of the stretches, cut at their ends and at two windows; 0 if under a window."""
     words = np.unique(codes, return_inverse=True)[1] + 1
     owner = np.searchsorted(begin, np.arange(len(codes)), side="right") - 1
     words[end[end < len(words)]] = 0  # a separator after each stretch
     sa = suffix_array(words)
-    lcp = common_prefixes(words, sa, begin, end, cap)
+    lcp = common_prefixes(words, sa, begin, end, 2 * window)
     room = end[owner] - np.arange(len(codes))
-    return np.minimum(longest_earlier(sa, lcp, doc[owner]), np.maximum(room, 0))
+    return np.minimum(longest_earlier(sa, lcp, doc[owner], window), np.maximum(room, 0))
 
 
 def _resolve(window: int, size: int):
     def run(batches):
         blocks = []
         for rows, bodies in shards(batches, size, "body"):
-            codes = np.frombuffer((b"\0" * 8).join([*bodies, b""]), np.uint64)
-            length = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 8
-            end = np.cumsum(length + 1) - 1
-            blocks.append((rows, codes, end - length, end))
+            order = np.argsort(rows["doc"].to_numpy(), kind="stable")  # then equal suffixes, sorted by place, have their first document first
+            rows, bodies = rows.take(pa.array(order)), [bodies[i] for i in order.tolist()]
+            found, begin, end, *_ = anchors.codes_of(bodies, "word")
+            shift = np.arange(len(bodies))  # a place for a separator after each
+            codes = np.zeros(len(found) + len(bodies), np.uint64)
+            codes[np.arange(len(found)) + np.repeat(shift, end - begin)] = found
+            blocks.append((rows, codes, begin + shift, end + shift))
         for i, (rows, codes, begin, end) in enumerate(blocks):
             doc = rows["doc"].to_numpy()
-            found = copied(_match(codes, begin, end, doc, 2 * window), begin, end, window)
+            found = copied(_match(codes, begin, end, doc, window), begin, end, window)
             for j, (rows2, codes2, begin2, end2) in enumerate(blocks):
                 if j != i:
                     n = len(codes2)
-                    both = _match(np.concatenate((codes2, codes)), np.concatenate((begin2, begin + n)), np.concatenate((end2, end + n)), np.concatenate((rows2["doc"].to_numpy(), doc)), 2 * window)
+                    both = _match(np.concatenate((codes2, codes)), np.concatenate((begin2, begin + n)), np.concatenate((end2, end + n)), np.concatenate((rows2["doc"].to_numpy(), doc)), window)
                     found = np.union1d(found, copied(both[n:], begin, end, window))
             lane = np.searchsorted(begin, found, side="right") - 1
             places = rows["places"].combine_chunks()

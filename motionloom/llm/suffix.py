@@ -16,7 +16,7 @@ from .tokens import shards
 
 WINDOW, K = 100, 32
 #: Bytes of one suffix array.
-SHARD = 8 << 20
+SHARD = 4 << 20
 
 
 def refine(sa: np.ndarray, rank: np.ndarray, h: int) -> np.ndarray:
