@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .ordered import BLOCK_ROWS, Scan, block_scan, block_window, exact_percentile, index_block, keep_core, spread_join, with_halo
 
 MAD_SCALE = 0.67448975
@@ -92,14 +93,14 @@ def smooth_centred(df: DataFrame, key: list[str], idx: str, channels: list[str],
 
 
 def clean_channels(df: DataFrame, key: list[str], idx: str, channels: list[str], fs: float | None,
-                   hampel_s: float = 0.15, smooth_s: float = 0.06, size: int = BLOCK_ROWS) -> DataFrame:
+                   hampel_s: float = 0.15, smooth_s: float = 0.06, size: int = BLOCK_ROWS, widths: tuple[int, int, int] | None = None) -> DataFrame:
     """zero -> spike -> fill -> smooth for each channel, at one sampling rate.
 
     Adds ``<c>_zero``, ``<c>_spike`` and ``<c>_gap`` (missing after detection) masks and keeps the
     original as ``<c>_raw``. Detection and smoothing have bounded frames (blocks with a halo); the
     fill needs the far end of a gap of any length, so it is a carried scan.
     """
-    width, limit, sw = hampel_width(fs, hampel_s), gap_limit(fs), smooth_width(fs, smooth_s)
+    width, limit, sw = widths or (hampel_width(fs, hampel_s), gap_limit(fs), smooth_width(fs, smooth_s))
     reach = 3 + 2 * (width // 2)
     w = block_window(key, idx)
     d = with_halo(df, idx, reach, reach, size).withColumns({f"{c}_raw": F.col(c) for c in channels})
@@ -115,14 +116,22 @@ def clean_channels(df: DataFrame, key: list[str], idx: str, channels: list[str],
     return smooth_centred(d, key, idx, channels, sw, size) if sw > 1 else d
 
 
+def rate_widths(fs: str) -> Column:
+    """Widths of spike frame, gap and smoothing at the rate in column ``fs`` (NULL: the defaults), as a struct."""
+    whole = lambda seconds: F.bround(F.col(fs) * seconds, 0).cast("int")
+    spike = F.greatest(F.lit(5), F.coalesce(F.greatest(F.lit(5), whole(0.15)), F.lit(7)).bitwiseOR(F.lit(1)))
+    return F.struct(spike.alias("spike"), F.coalesce(F.greatest(F.lit(1), whole(0.25)), F.lit(5)).alias("gap"), F.coalesce(F.greatest(F.lit(1), whole(0.06)), F.lit(3)).alias("smooth"))
+
+
 def clean_by_rate(df: DataFrame, key: list[str], idx: str, channels: list[str], fs: str, size: int = BLOCK_ROWS) -> DataFrame:
-    """``clean_channels`` when each key has its own rate: one branch per distinct set of frame widths."""
-    rates = df.select(F.round(fs, 0).alias("_hz")).distinct().orderBy("_hz")
-    classes: dict[tuple, list[float]] = {}
-    for (hz,) in rates.collect():  # distinct whole Hz values: bounded by the sensors' maximum rate
-        classes.setdefault((hampel_width(hz), gap_limit(hz), smooth_width(hz)), []).append(hz)
-    parts = [clean_channels(df.filter(F.round(fs, 0).isin(hz)), key, idx, channels, hz[0], size=size) for hz in classes.values()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """``clean_channels`` when each key has its own rate: one branch per distinct set of frame widths.
+
+    Widths follow each key's own rate; their distinct sets are bounded by the sensors' fastest rate.
+    """
+    d = staged(df.withColumn("_w", rate_widths(fs)), "by_rate")
+    sets = [tuple(r) for r in d.select("_w.*").distinct().orderBy("spike", "gap", "smooth").collect()]
+    parts = [clean_channels(d.filter((F.col("_w.spike") == s) & (F.col("_w.gap") == g) & (F.col("_w.smooth") == m)), key, idx, channels, None, size=size, widths=(s, g, m)) for s, g, m in sets]
+    return reduce(lambda a, b: a.unionByName(b), parts).drop("_w") if parts else clean_channels(df, key, idx, channels, None, size=size)
 
 
 def row_flags(d: DataFrame, channels: list[str], limits: dict[str, float]) -> DataFrame:

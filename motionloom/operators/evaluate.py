@@ -312,7 +312,12 @@ def subject_holdout(df: DataFrame, subject: str, label: str, share: float, candi
     s = j.groupBy("candidate").agg(F.count_if(c("_sh") == c("_subs")).alias("_lost"), F.count_if(ok2).alias("coverage"), F.sum(err).alias("_e"))
     base = with_row(glob, size).agg(F.sum(F.when(ok2, c("_kt") / c("_all")).otherwise(0.0)).alias("_b"))
     best = with_row(s.filter("_lost = 0"), base).agg(F.max_by("candidate", F.struct("coverage", -F.round(c("_e") + c("_b"), 12), -c("candidate"))).alias("candidate"))
-    return held.join(best, "candidate").select(subject)
+    return held.join(found(best, "no candidate holdout keeps every class in training"), "candidate").select(subject)
+
+
+def found(best: DataFrame, message: str) -> DataFrame:
+    """The chosen candidate, or an error where there is none: a split must not be silently empty."""
+    return best.select(F.coalesce(F.col("candidate"), F.raise_error(F.lit(message)).cast("int")).alias("candidate"))
 
 
 def three_way_split(df: DataFrame, subject: str, label: str, candidates: int = 4096, seed: int = 7) -> DataFrame:
@@ -331,7 +336,7 @@ def class_cover_split(df: DataFrame, subject: str, label: str, candidates: int =
     held = _candidates(cell.select(subject).distinct(), subject, share, candidates, seed)
     h = spread_join(held.join(cell, subject).groupBy("candidate", label).agg(F.count(F.lit(1)).alias("_sh")), glob, [label])
     ok = with_row(h.groupBy("candidate").agg(F.count(F.lit(1)).alias("_in"), F.count_if(F.col("_sh") == F.col("_subs")).alias("_lost")), n).filter("_in = _classes AND _lost = 0")
-    return held.join(ok.agg(F.min("candidate").alias("candidate")), "candidate").select(subject)
+    return held.join(found(ok.agg(F.min("candidate").alias("candidate")), "no candidate split has every class on both sides"), "candidate").select(subject)
 
 
 TEMPERATURES = [0.5 + i * 0.025 for i in range(101)]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .ordered import spread_join
 
-TERM_LIMIT = 1000
 PAIR_SHARDS = 8
 
 
@@ -48,26 +47,23 @@ def taxonomy_join(df: DataFrame, name: str, reviewed: DataFrame, excluded: DataF
                           "phase": F.when(out | F.col("phase").isNull(), "transition").otherwise(F.col("phase"))}).drop("_n", "trainable", "reason")
 
 
-def contains_first(df: DataFrame, id_: str, text: str, terms: DataFrame) -> DataFrame:
-    """Value of the first dictionary term (by ``ordinal``) that the text contains.
+def contains_first(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """Value of the first dictionary term (by ``ordinal``) that the text contains; NULL without one.
 
-    A dictionary up to TERM_LIMIT terms becomes a literal array searched in order, without a join.
-    A larger one is matched by equality: every substring of a length that occurs among the terms.
+    The text's substrings as long as the shortest term meet the terms' beginnings by equality, for a
+    dictionary of any size; each candidate carries as many characters as the longest term has, which decide.
+    Rows meet their answer by a digest of the text, so rows that share other columns are answered alone.
     """
-    small = terms.orderBy("ordinal").limit(TERM_LIMIT + 1).collect()
-    if len(small) <= TERM_LIMIT:
-        hit = F.lit(None).cast("string")
-        for row in reversed(small):
-            hit = F.when(F.contains(F.col(text), F.lit(row["term"])), F.lit(row["value"])).otherwise(hit)
-        return df.withColumn("value", hit)
-    lengths = [r[0] for r in terms.select(F.length("term").alias("n")).distinct().collect()]  # distinct term lengths
-    grams = None
-    for n in lengths:
-        g = df.select(id_, F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n))))).alias("term"))
-        grams = g if grams is None else grams.unionByName(g)
-    first = grams.join(terms, "term").groupBy(id_).agg(F.min_by("value", "ordinal").alias("value"))
-    return df.join(first, id_, "left")
+    d = df.withColumn("_digest", F.md5(text))
+    bounds = terms.agg(F.min(F.length("term")).alias("_short"), F.max(F.length("term")).alias("_long"))
+    b = spread_join(d.select("_digest", F.col(text).alias("_text"), F.lit(0).alias("_one")), bounds.withColumn("_one", F.lit(0)), ["_one"], "inner")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_text") - F.col("_short") + 1, F.lit(1)))
+    parts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.col("_long"))))
+    g = b.select("_digest", "_short", F.explode(parts).alias("_part")).withColumn("_begin", F.substring(F.col("_part"), F.lit(1), F.col("_short")))
+    t = spread_join(terms.withColumn("_one", F.lit(0)), bounds.withColumn("_one", F.lit(0)), ["_one"], "inner").select("ordinal", "term", "value", F.substring(F.col("term"), F.lit(1), F.col("_short")).alias("_begin"))
+    hit = g.join(t, "_begin").filter(F.startswith("_part", "term"))
+    first = hit.groupBy("_digest").agg(F.min_by("value", "ordinal").alias("value"))
+    return d.join(first, "_digest", "left").drop("_digest")
 
 
 def dual_stream_pair(df: DataFrame, trial: str, side: str, start_ns: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import machines as MC
-from .ordered import index_block, with_halo
+from ..session import staged
+from .ordered import index_block, number_rows, with_halo
 
 # fixed values of the wire formats
 AXIS_NAMES = ["ax_g", "ay_g", "az_g", "gx_dps", "gy_dps", "gz_dps", "roll_deg", "pitch_deg", "yaw_deg"]
@@ -31,6 +32,9 @@ def decode_frames(df: DataFrame, key: list[str], idx: str, arrival: str, payload
     rows = df.filter(F.length(payload) > 0).select(*key, idx, F.col(arrival).alias("_a"), F.col(payload).alias("_p"))
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
     size = MC.FRAME_BYTES
+    # chunks without bytes are gone: counted anew, the next 20 chunks hold the 19 bytes a frame may need
+    rows = staged(number_rows(rows, key, [idx], index_block(idx, chunk_rows), "_n"), "chunks")
+    idx = "_n"
     h = with_halo(rows, idx, 0, size, chunk_rows)
 
     def load(pdf: pd.DataFrame):

@@ -43,7 +43,7 @@ def q_taxonomy(spark, sf):
 SELECT doc_id, (SELECT arg_min(value, ordinal) FROM t WHERE contains(text, term)) AS value FROM documents""")
 def q_contains(spark, sf):
     terms = spark.createDataFrame(TERMS, "ordinal int, term string, value string")
-    return J.contains_first(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", terms).select("doc_id", "value")
+    return J.contains_first(table(spark, sf, "documents").select("doc_id", "text"), "text", terms).select("doc_id", "value")
 
 
 @query("segment_interval_join", uses="imu6 segments6", sql="""

@@ -165,10 +165,11 @@ def q_posture_segments(spark, sf):
     return P.posture_segments(d).select("event_id", "label")
 
 
-@query("scan_notes", sql="SELECT count(*) AS notes, CAST(sum(length(turn || ':' || role)) AS BIGINT) AS characters FROM conversations")
+@query("scan_notes", sql=r"SELECT count(*) AS notes, CAST(sum(length(turn || ':' || role || ':' || trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\v\f]+', ' ', 'g'), ' ') || '.')) AS BIGINT) AS characters FROM conversations")
 def q_notes(spark, sf):
     path = scratch_path(spark, "notes")
-    line = F.concat_ws(":", F.col("turn").cast("string"), F.col("role"))
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\x0B\f]+", " "))
+    line = F.concat(F.col("turn").cast("string"), F.lit(":"), F.col("role"), F.lit(":"), text, F.lit("."))
     # many small note files, as a session folder has them
     table(spark, sf, "conversations").select(line.alias("value")).repartition(32).write.option("maxRecordsPerFile", 2000).text(path)
     n = FS.scan_notes(spark, path).select(F.explode(F.filter(F.split("content", "\n"), lambda x: x != "")).alias("n"))

@@ -153,14 +153,18 @@ def scan_timeline(spark: SparkSession, path: str) -> DataFrame:
                     "activity_id", *[(col(n, v).cast("boolean") if n == "window_trainable" else col(n, v)).alias(n) for n, v in TIMELINE_DEFAULTS.items()])
 
 
-def scan_notes(spark: SparkSession, path: str, limit: int = 100_000, device_terms: tuple[str, ...] = ("WT901", "WT22222")) -> DataFrame:
-    """Small note files as text: UTF-8, else GB18030; device logs are left out."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).filter(F.col("length") <= limit)
+def scan_notes(spark: SparkSession, path: str, limit: int | None = None, device_terms: tuple[str, ...] = ("WT901", "WT22222")) -> DataFrame:
+    """Note files as text: UTF-8, else GB18030; device logs are left out.
+
+    A file above ``limit`` bytes keeps its row, without content and with the reason ``too_large``.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
     for t in device_terms:
         f = f.filter(~F.element_at(F.split("path", "/"), -1).contains(t))
     utf8 = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    text = F.coalesce(utf8, F.decode("content", "GB18030"))
-    return f.select("path", F.trim(F.regexp_replace(text, "^﻿", "")).alias("content"))
+    text = F.trim(F.regexp_replace(F.coalesce(utf8, F.decode("content", "GB18030")), "^﻿", ""))
+    large = F.col("length") > limit if limit is not None else F.lit(False)
+    return f.select("path", F.when(~large, text).alias("content"), F.when(large, "too_large").alias("reason"))
 
 
 def sha256_check(spark: SparkSession, path: str, manifest: DataFrame, name: str, digest: str, depth: int = 1) -> DataFrame:
