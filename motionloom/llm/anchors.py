@@ -84,10 +84,10 @@ def first_of(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, pos: np.nda
     return order, new_gram, new_gram | np.concatenate(([True], context[1:] != context[:-1]))[: len(gram)]
 
 
-def repeats(new: np.ndarray, doc: np.ndarray, same_doc: bool) -> np.ndarray:
-    """Whether a context was there before: at any earlier place, or (not ``same_doc``) in an earlier document."""
+def repeats(new: np.ndarray, doc: np.ndarray, pos: np.ndarray, same_doc: bool) -> np.ndarray:
+    """Whether a context was there before: at any earlier place, or (not ``same_doc``) in an earlier document. Repeated rows are one."""
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return ~new if same_doc else doc > doc[first]
+    return (doc > doc[first]) | ((pos > pos[first]) & same_doc)
 
 
 def _anchors(unit: str, window: int, k: int, same_doc: bool):
@@ -105,7 +105,7 @@ def _anchors(unit: str, window: int, k: int, same_doc: bool):
             gram, context = gram.view(np.int64), context.view(np.int64)
             order, _, new = first_of(gram, context, doc, place)
             gram, context, row, doc, place, low, high = (x[order] for x in (gram, context, row, doc, place, low, high))
-            known = repeats(new, doc, same_doc)
+            known = repeats(new, doc, place, same_doc)
             route = np.where(known, row, gram)
             cols = [route, gram, context, row, doc, *(x.astype(np.int32) for x in (place, low, high)), known]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["route", "gram", "context", "row", "doc", "pos", "low", "high", "known"])
@@ -136,7 +136,7 @@ def _judge(same_doc: bool):
         gram, context, row, doc, pos, low, high, _ = (c[~settled] for c in cols)
         order, new_gram, new = first_of(gram, context, doc, pos)
         gram, row, doc, pos, low, high = (x[order] for x in (gram, row, doc, pos, low, high))
-        known = repeats(new, doc, same_doc)
+        known = repeats(new, doc, pos, same_doc)
         yield out(row[known], gram[known], pos[known], low[known], high[known], alone(pos[known]), np.ones(known.sum(), bool))
         group = np.cumsum(new_gram) - 1
         open_ = (np.bincount(group, new)[group] > 1) & ~known

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from motionloom.session import staged
 
-from .common import ascii_lower, row_key, words
+from .common import ascii_lower, row_key, small, words
 
 #: The classifier's words are hashed to so many buckets: the model's size, whatever the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 22
+SHRINK, CLEAR = 10.0, 25.0
+EVIDENCE, STEPS, CELL = 1.0, 12, 5.0
 DOMAINS = ("good", "low", "toxic")
 #: Production targets: shares of the tokens of the mix.
 TARGETS = {"good": 0.95, "low": 0.05, "toxic": 0.0}
@@ -28,39 +30,57 @@ def buckets(docs: DataFrame) -> DataFrame:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The naive Bayes table (bucket, w0, w1, w2): each domain's log-likelihood of a bucket, all labelled rows counted.
+    """The naive Bayes table (bucket, w0, w1, w2): log of each domain's likelihood of a bucket against the whole's, all labelled rows counted.
 
-    Bucket -1 holds the log priors. At most BUCKETS + 1 rows, so it may always be broadcast. A document with
+    A bucket's share of a domain is drawn to the domain's share of all words by SHRINK words, so that rare
+    words say little and a small domain is at no disadvantage; buckets whose counts differ from the domains' shares
+    by no more than chance (chi-squared up to CLEAR) say nothing.
+
+    Bucket -1 holds the log priors. At most BUCKETS + 1 rows, those that say nothing left out. A document with
     conflicting labels counts as its worst: toxic before low before good.
     """
-    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    marks = marks.select("doc_id", *[(domain(F.col("quality"), F.col("toxic")) == d).cast("long").alias(f"n{k}") for k, d in enumerate(DOMAINS)])
-    seen = buckets(docs).select("doc_id", "b").join(marks, "doc_id")
+    seen = buckets(docs).select("doc_id", "b").join(marked(labels), "doc_id")
     each = seen.select(F.explode_outer(F.concat(F.array(F.lit(-1).cast("long")), "b")).alias("bucket"), "n0", "n1", "n2")
     counts = each.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
     counts = staged(counts, "mixing-counts")
     t = counts.agg(*[F.sum(F.when(F.col("bucket") >= 0, F.col(f"n{k}"))).alias(f"t{k}") for k in range(3)], *[F.max(F.when(F.col("bucket") < 0, F.col(f"n{k}"))).alias(f"d{k}") for k in range(3)]).first()
     totals, docs_of = [t[f"t{k}"] or 0 for k in range(3)], [t[f"d{k}"] or 0 for k in range(3)]
-    rest = [F.log((F.col(f"n{k}") + 1) / F.lit(float(totals[k] + BUCKETS))) for k in range(3)]
+    all_ = F.col("n0") + F.col("n1") + F.col("n2")
+    share = [x / max(sum(totals), 1) for x in totals]
+    off = [(F.col(f"n{k}") - all_ * share[k]) * (F.col(f"n{k}") - all_ * share[k]) / F.greatest(all_ * share[k], F.lit(1.0)) for k in range(3)]
+    telling = F.greatest(*off) > CLEAR  # otherwise chance differences of many words add up
+    rest = [F.log((F.col(f"n{k}") + SHRINK * share[k]) / ((all_ + SHRINK) * share[k])) if share[k] else F.lit(0.0) for k in range(3)]
     prior = [F.log((F.col(f"n{k}") + 1) / F.lit(float(sum(docs_of) + 3))) for k in range(3)]
-    return counts.select("bucket", *[F.when(F.col("bucket") < 0, prior[k]).otherwise(rest[k]).alias(f"w{k}") for k in range(3)])
+    return counts.where((F.col("bucket") < 0) | telling).select("bucket", *[F.when(F.col("bucket") < 0, prior[k]).otherwise(rest[k]).alias(f"w{k}") for k in range(3)])
+
+
+def marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, n0, n1, n2): 1 for the domain of each labelled document; conflicting labels count as the worst."""
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return marks.select("doc_id", *[(domain(F.col("quality"), F.col("toxic")) == d).cast("long").alias(f"n{k}") for k, d in enumerate(DOMAINS)])
 
 
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(row, doc_id, n_tokens, p_good, p_low, p_toxic) of every document row.
 
-    Buckets that no labelled text has are left out; a text without words has the priors' posterior; without
-    any label the three are equal. Repeated rows are answered once and joined back.
+    The two log-odds of the fitted table, in steps of EVIDENCE up to STEPS either way, give a cell; the labelled
+    documents of each cell correct its posteriors (they weigh as CELL documents). Buckets that no labelled
+    text has are left out; a text without words has the priors' log-odds; without any label the three are equal.
     """
-    model = F.broadcast(fit_domains(docs, labels))
+    model = small(fit_domains(docs, labels))
     b = buckets(docs)
     each = b.select("row", F.explode_outer(F.concat(F.array(F.lit(-1).cast("long")), "b")).alias("bucket"))
-    sums = each.join(model, "bucket").groupBy("row").agg(*[F.sum(f"w{k}").alias(f"s{k}") for k in range(3)])
+    sums = each.join(model, "bucket").groupBy("row").agg(*[F.sum(f"w{k}").alias(f"s{k}") for k in range(3)], F.count(F.when(F.col("bucket") == -1, 1)).alias("times"))
     out = b.select("row", "doc_id", "n_tokens").join(sums, "row", "left").fillna(0.0, ["s0", "s1", "s2"])
+    step = lambda c: F.greatest(F.lit(-STEPS), F.least(F.lit(STEPS), F.round((F.col(c) - F.col("s0")) / F.greatest(F.col("times"), F.lit(1)) / EVIDENCE).cast("int")))
     top = F.greatest("s0", "s1", "s2")
     e = [F.exp(F.col(f"s{k}") - top) for k in range(3)]
-    out = out.select("row", "doc_id", "n_tokens", *[(e[k] / (e[0] + e[1] + e[2])).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
-    return out
+    q = [e[k] / (e[0] + e[1] + e[2]) for k in range(3)]
+    out = staged(out.select("row", "doc_id", "n_tokens", step("s1").alias("low"), step("s2").alias("toxic"), *[q[k].alias(f"q{k}") for k in range(3)]), "mixing-scores")
+    cells = out.join(marked(labels), "doc_id").groupBy("low", "toxic").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])  # at most (2 * STEPS + 1) squared
+    out = out.join(F.broadcast(cells), ["low", "toxic"], "left").fillna(0, ["n0", "n1", "n2"])
+    p = [(F.col(f"n{k}") + CELL * F.col(f"q{k}")) / (F.col("n0") + F.col("n1") + F.col("n2") + CELL) for k in range(3)]
+    return out.select("row", "doc_id", "n_tokens", *[p[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
 
 
 def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, iterations: int = ITERATIONS) -> tuple[Column, list[float]]:
