@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..session import staged
-from . import machines as MC
+from . import workout as WK
 from .joins import interval_join
 from .ordered import BLOCK_ROWS, Scan, block_scan, index_block, islands, neighbours, number_rows, spread_join, with_halo
 from .resample import explode_range, lerp, uniform_resample
@@ -191,35 +191,46 @@ def window_features_live(rows: DataFrame, key: list[str], t: str, axes: dict[str
     return _spectra(g, _values(["acc_mag", "gyro_mag", "dynamic_acc"]), F.col("fs"), ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12)
 
 
-def orientation_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrating: str, size: int = BLOCK_ROWS, warm: int = 800) -> DataFrame:
-    """Six-axis relative orientation (roll, pitch, yaw, q0..q3).
+def gravity(df: DataFrame, key: list[str], idx: str, size: int = BLOCK_ROWS, warm: int = 800) -> DataFrame:
+    """Adds g0..g2, the direction of gravity: a recursive mean of the usable acceleration directions.
 
-    Only the gravity filter is recursive. Its memory fades by 0.94 per row, so a block started
-    ``warm`` rows early has the same gravity to the last bit that matters (0.94^800 < 1e-21). Bias,
-    baseline, yaw (a running sum) and the quaternions are plain Spark expressions.
+    Rows without usable acceleration keep the last direction (straight up before the first). Usable rows are
+    counted by themselves; the filter's memory fades by 0.94 a usable row, so a block that starts ``warm`` of them
+    early has the same direction to the last bit that matters (0.94^800 < 1e-21).
     """
     c = F.col
-    h = with_halo(df, idx, warm, 0, size)
-    cols = [f.name for f in df.schema]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def gravity(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        a = pdf[["ax", "ay", "az"]].to_numpy(float)
-        n = np.linalg.norm(a, axis=1)
-        out, g = np.empty_like(a), None
-        for i in range(len(a)):
-            if n[i] > 1e-6:
-                g = a[i] / n[i] if g is None else 0.94 * g + 0.06 * (a[i] / n[i])
-                g = g / max(float(np.sqrt(g @ g)), 1e-9)
-            elif g is None:
-                g = np.array([0.0, 0.0, 1.0])
+    d = neighbours(df, key, idx, {"_before": idx}, size=size).withColumn("_n", S.norm(c("ax"), c("ay"), c("az")))
+    usable = d.filter("_n > 1e-6").select(*key, idx, *[(c(a) / c("_n")).alias(f"_u{i}") for i, a in enumerate(("ax", "ay", "az"))], c("_before").isNotNull().alias("_late"))
+    h = with_halo(staged(number_rows(usable, key, [idx], index_block(idx, size), "_k"), "usable"), "_k", warm, 0, size)
+    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k")
+        u = pdf[["_u0", "_u1", "_u2"]].to_numpy(float)
+        g = np.array([0.0, 0.0, 1.0]) if pdf["_k"].iloc[0] == 0 and pdf["_late"].iloc[0] else u[0]
+        out = np.empty_like(u)
+        for i, v in enumerate(u):
+            g = 0.94 * g + 0.06 * v
+            g = g / max(float(np.sqrt(g @ g)), 1e-9)
             out[i] = g
-        res = pdf[cols].assign(g0=out[:, 0], g1=out[:, 1], g2=out[:, 2])
+        res = pdf[[*key, idx]].assign(g0=out[:, 0], g1=out[:, 1], g2=out[:, 2])
         return res[pdf["_core"].to_numpy()]
 
-    d = h.groupBy(*key, "_blk").applyInPandas(gravity, f"{types}, g0 double, g1 double, g2 double")
-    d = staged(d, "gravity")
+    g = h.groupBy(*key, "_blk").applyInPandas(follow, f"{types}, `{idx}` {df.schema[idx].dataType.simpleString()}, g0 double, g1 double, g2 double")
+    d = d.drop("_before", "_n").join(g.withColumn("_g", F.struct("g0", "g1", "g2")).drop("g0", "g1", "g2"), [*key, idx], "left")
+    d = block_scan(d, key, [idx], index_block(idx, size), [Scan("_last", c("_g"), "last")])
+    return d.withColumns({f"g{i}": F.coalesce(c(f"_last.g{i}"), F.lit(up)) for i, up in enumerate((0.0, 0.0, 1.0))}).drop("_g", "_last")
+
+
+def orientation_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrating: str, size: int = BLOCK_ROWS, warm: int = 800) -> DataFrame:
+    """Six-axis relative orientation (roll, pitch, yaw, q0..q3).
+
+    Only the gravity filter is recursive (see ``gravity``). Bias, baseline, yaw (a running sum) and the
+    quaternions are plain Spark expressions.
+    """
+    c = F.col
+    cols = [f.name for f in df.schema]
+    d = staged(gravity(df, key, idx, size, warm), "gravity")
     cal = d.filter(calibrating)
     ends = cal.groupBy(*key).agg(*[F.percentile(x, F.lit(0.5)).alias(f"_b{x}") for x in ("gx", "gy", "gz")], *[F.max_by(x, idx).alias(f"_z{x}") for x in ("g0", "g1", "g2")], F.max(idx).alias("_ci"))
     d = spread_join(neighbours(d, key, idx, {"_pt": t}, size=size), ends, key)
@@ -240,47 +251,37 @@ def orientation_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrat
     return d.withColumns({"roll_deg": roll, "pitch_deg": pitch, "yaw_deg": yaw}).select(*cols, "roll_deg", "pitch_deg", "yaw_deg", "q0", "q1", "q2", "q3")
 
 
-def posture_calibrate(df: DataFrame, key: list[str], t: str, gyro: Column, seconds: float = 10.0, limit: float = 8.0, chunk_s: float = 600.0, max_rounds: int | None = None) -> DataFrame:
+def posture_calibrate(df: DataFrame, key: list[str], t: str, gyro: Column, seconds: float = 10.0, limit: float = 8.0, chunk_s: float = 600.0) -> DataFrame:
     """First calibration that succeeds per key: attempts, start, end and mean gyro.
 
-    An attempt collects ``seconds`` and fails above ``limit``; the next starts with the next sample.
-    Only a bounded stretch of each unfinished key is looked at per round, so no long stream reaches
-    a task; rounds continue until every key is calibrated or exhausted.
+    An attempt collects ``seconds`` and fails above ``limit``; the next starts with the next sample. Where an
+    attempt ends does not depend on its success, so all attempts of a key are a chain that ``greedy_chain`` picks in
+    parallel time blocks of ``chunk_s``; their means are one aggregation. No task sees more than a block.
     """
-    rows = df.select(*key, F.col(t).alias("t"), gyro.alias("g"))
-    state = rows.groupBy(*key).agg(F.min("t").alias("from"), F.max("t").alias("_max")).withColumn("tried", F.lit(0))
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
-
-    def attempts(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        ts, g = pdf["t"].to_numpy(float), pdf["g"].to_numpy(float)
-        i, tried, ok, mean = 0, int(pdf["tried"].iloc[0]), False, None
-        while i < len(ts):
-            j = int(np.searchsorted(ts, ts[i] + seconds - 1e-9))
-            if j >= len(ts):
-                break
-            tried, mean = tried + 1, float(g[i:j + 1].mean())
-            if mean <= limit:
-                ok = True
-                break
-            i = j + 1
-        start = ts[i] if i < len(ts) else np.inf
-        return pd.DataFrame({**{k: [v] for k, v in zip(key, group)}, "ok": [ok], "from": [float(start)], "end": [float(ts[j]) if ok else None], "mean_gyro": [mean if ok else None],
-                             "tried": [tried], "seen": [float(ts[-1])], "_max": [float(pdf["_max"].iloc[0])]})
-
-    done = None
-    while True:
-        part = spread_join(rows, state, key, "inner").filter((F.col("t") >= F.col("from")) & (F.col("t") < F.col("from") + chunk_s))
-        r = staged(part.groupBy(*key).applyInPandas(attempts, f"{types}, ok boolean, `from` double, `end` double, mean_gyro double, tried int, seen double, _max double"), "calibrate")
-        # a key is exhausted when its chunk reached its last sample; a gap longer than the chunk moves on
-        over = r.filter(F.col("ok") | (F.col("seen") >= F.col("_max")))
-        done = over if done is None else done.unionByName(over)
-        nxt = r.filter(~F.col("ok") & (F.col("seen") < F.col("_max"))).select(*key, F.when(F.col("from") == float("inf"), F.col("seen") + 1e-9).otherwise(F.col("from")).alias("from"), "_max", "tried")
-        if nxt.isEmpty():
-            break
-        state = nxt
-        chunk_s *= 2
-    return done.select(*key, "ok", F.when(F.col("ok"), F.col("from")).alias("start"), "end", "mean_gyro", F.col("tried").alias("attempts"))
+    c = F.col
+    block = F.floor(c("t") / chunk_s)
+    rows = staged(df.select(*key, c(t).alias("t"), gyro.alias("g")).withColumn("_blk", block), "calibrate")
+    # an attempt ends with the first sample ``seconds`` after its start: in the start's block or just behind it ...
+    copies = rows.withColumn("_core_blk", c("_blk")).withColumn("_blk", F.explode(F.sequence(F.floor((c("t") - seconds) / chunk_s), c("_core_blk"))))
+    ahead = W.partitionBy(*key, "_blk").orderBy(F.round(c("t") * 1e6).cast("long")).rangeBetween(int(seconds * 1e6), W.unboundedFollowing)
+    near = copies.withColumn("_near", F.min("t").over(ahead)).filter("_blk = _core_blk").drop("_core_blk")
+    # ... or, after a stall, with the first sample of a later block
+    late = F.min(F.when(c("t") > c("_blk") * chunk_s + seconds, c("t")))
+    blocks = rows.groupBy(*key, "_blk").agg(F.min("t").alias("_t0"), late.alias("_t1"))
+    w = W.partitionBy(*key).orderBy("_blk")
+    beyond = F.when(F.lead("_blk").over(w) == c("_blk") + 1, F.coalesce(F.lead("_t1").over(w), F.lead("_t0", 2).over(w))).otherwise(F.lead("_t0").over(w))
+    d = near.join(blocks.withColumn("_far", beyond).select(*key, "_blk", "_far"), [*key, "_blk"])
+    d = d.withColumn("end", F.coalesce("_near", "_far")).filter("end IS NOT NULL").select(*key, "t", "end")
+    d = staged(d.withColumn("until", c("end") + 2e-9 + F.abs("end") * 4.5e-16), "attempts")  # the next attempt starts after that sample
+    starts = greedy_chain(d.drop("end"), key, "t", "until", F.lit(-1e300), chunk_s)
+    tries = starts.join(d, [*key, "t"]).select(*key, c("t").alias("start"), "end")
+    held = interval_join(rows.drop("_blk"), tries, key, "t", "start", "end", max(seconds, 1.0), F.lit(True))
+    means = held.groupBy(*key, "start", "end").agg(F.avg("g").alias("mean_gyro"))
+    good = F.when(c("mean_gyro") <= limit, c("start"))
+    first = means.groupBy(*key).agg(F.min_by(F.struct("start", "end", "mean_gyro"), good).alias("_f"), F.min(good).alias("_s"))
+    count = means.join(first.select(*key, "_s"), key).groupBy(*key).agg(F.count_if(c("_s").isNull() | (c("start") <= c("_s"))).cast("int").alias("attempts"))
+    out = rows.select(*key).distinct().join(first, key, "left").join(count, key, "left")
+    return out.select(*key, c("_s").isNotNull().alias("ok"), *[F.when(c("_s").isNotNull(), c(f"_f.{n}")).alias(n) for n in ("start", "end", "mean_gyro")], F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
 def quiet_episodes(df: DataFrame, key: list[str], idx: str, t: str, level: Column, size: int = BLOCK_ROWS) -> DataFrame:
@@ -292,12 +293,12 @@ def quiet_episodes(df: DataFrame, key: list[str], idx: str, t: str, level: Colum
     left out. Episodes are independent and as short as a workout.
     """
     c = F.col
-    d = df.withColumn("_quiet", level < MC.CONTINUE)
+    d = df.withColumn("_quiet", level < WK.CONTINUE)
     d = block_scan(d, key, [idx], index_block(idx, size), [Scan("_q0", F.when(~c("_quiet"), c(idx)), "last")])
     d = d.withColumn("_run", F.when(c("_quiet"), F.coalesce(c("_q0"), F.lit(-1)) + 1))
     first = neighbours(d, key, idx, {"_pr": "_run"}, size=size)
     first = block_scan(first, key, [idx], index_block(idx, size), [Scan("_t0", F.when(c("_run").isNotNull() & ((c("_pr") != c("_run")) | c("_pr").isNull()), c(t)), "last")])
-    first = first.withColumn("_late", c("_run").isNotNull() & (c(t) - c("_t0") >= MC.TIMEOUT))
+    first = first.withColumn("_late", c("_run").isNotNull() & (c(t) - c("_t0") >= WK.TIMEOUT))
     h = with_halo(first, idx, 3, 0, size)
     w = W.partitionBy(*key, "_blk").orderBy(idx)
     cut = c("_late") & F.coalesce(F.lag("_late", 2).over(w), F.lit(False)) & (F.lag("_run", 2).over(w) == c("_run")) & ~F.coalesce(
@@ -317,15 +318,13 @@ def workout_events(df: DataFrame, key: list[str], idx: str, t: str, classes: lis
     level = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
     d = quiet_episodes(df.select(*key, idx, F.col(t).alias("_time"), *classes, *([F.col(poor).alias("_poor")] if poor else [F.lit(False).alias("_poor")])), key, idx, "_time", level, size)
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
-    strong = set(strength)
 
     def run(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
-        state, out, device = MC.workout_state(), [], "|".join(str(v) for v in group[:-1])
-        for time, bad, *p in zip(pdf["_time"], pdf["_poor"], *[pdf[c] for c in classes]):
-            out += MC.workout_step(state, time, dict(zip(classes, p)), strong, bad, device)
-        out += MC.workout_flush(state, float(pdf["_time"].iloc[-1]), strong)
-        frame = pd.DataFrame(out, columns=MC.WORKOUT_EVENT)
+        policy = WK.Workout(classes, strength, "|".join(str(v) for v in group[:-1]))
+        time = pdf["_time"].to_numpy(float)
+        out = policy.advance(time, pdf[classes].to_numpy(float), pdf["_poor"].to_numpy(bool)) + policy.flush(float(time[-1]))
+        frame = pd.DataFrame(out, columns=WK.WORKOUT_EVENT)
         for k, v in zip(reversed(key), reversed(group[:-1])):
             frame.insert(0, k, v)
         return frame

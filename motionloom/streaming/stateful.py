@@ -1,8 +1,9 @@
 """Streaming forms of the state machines on ``transformWithStateInPandas``.
 
 One processor serves all of them: it keeps a machine's state as JSON in a value state (RocksDB
-provider) and feeds it the rows of its key, ordered inside the micro-batch. Rows later than the
-watermark are dropped by Spark; the state of each machine is bounded by construction.
+provider) and feeds it the rows of its key, ordered inside the micro-batch. The state of each machine is
+bounded by construction. Rows are taken in the order of their micro-batches: a source that may
+deliver late rows needs a watermark and an order of its own before these operators.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import machines as MC
+from ..operators import workout as WK
 from ..operators.episodes import device_health
 from ..operators.live import WORKOUT_SCHEMA
 
@@ -27,10 +30,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class StepProcessor(StatefulProcessor):
-    """Runs ``feed(state, row_tuple) -> list of output tuples`` over a key's rows."""
+    """Runs ``feed(state, key, rows) -> output tuples`` over a key's rows of a micro-batch."""
 
-    def __init__(self, initial: Callable[[], dict], feed: Callable, order: list[str], inputs: list[str], key: list[str], outputs: list[str]):
-        self.initial, self.feed, self.order, self.inputs, self.key, self.outputs = initial, feed, order, inputs, key, outputs
+    def __init__(self, initial: Callable[[], dict], feed: Callable, order: list[str], key: list[str], outputs: list[str]):
+        self.initial, self.feed, self.order, self.key, self.outputs = initial, feed, order, key, outputs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("machine", "json string")
@@ -39,7 +42,7 @@ class StepProcessor(StatefulProcessor):
         stored = self.state.get() if self.state.exists() else None
         state = json.loads(stored[0]) if stored else self.initial()
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        out = [(*key, *o) for row in batch[self.inputs].itertuples(index=False, name=None) for o in self.feed(state, *row)]
+        out = [(*key, *o) for o in self.feed(state, key, batch)]
         self.state.update((json.dumps(state),))
         yield pd.DataFrame(out, columns=[*self.key, *self.outputs])
 
@@ -47,36 +50,50 @@ class StepProcessor(StatefulProcessor):
         pass
 
 
-def run_machine(df: DataFrame, key: list[str], order: list[str], inputs: list[str], schema: str, feed: Callable, initial: Callable[[], dict] = dict) -> DataFrame:
-    """Apply a machine per key; ``schema`` describes the output columns after the key."""
+def row_by_row(inputs: list[str], step: Callable) -> Callable:
+    """A feed from ``step(state, *values) -> output tuples``."""
+    return lambda state, key, rows: [o for row in rows[inputs].itertuples(index=False, name=None) for o in step(state, *row)]
+
+
+def run_machine(df: DataFrame, key: list[str], order: list[str], inputs: list[str], schema: str, step: Callable, initial: Callable[[], dict] = dict) -> DataFrame:
+    """Apply a row-wise machine per key; ``schema`` describes the output columns after the key."""
+    return run_stretches(df, key, order, schema, row_by_row(inputs, step), initial)
+
+
+def run_stretches(df: DataFrame, key: list[str], order: list[str], schema: str, feed: Callable, initial: Callable[[], dict] = dict) -> DataFrame:
+    """Apply ``feed`` to each key's ordered rows of each micro-batch."""
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return df.groupBy(*key).transformWithStateInPandas(StepProcessor(initial, feed, order, inputs, key, names), f"{types}, {schema}", "Append", "None")
+    return df.groupBy(*key).transformWithStateInPandas(StepProcessor(initial, feed, order, key, names), f"{types}, {schema}", "Append", "None")
 
 
-def workout(df: DataFrame, key: list[str], t: str, classes: list[str], strength: list[str]) -> DataFrame:
+def workout(df: DataFrame, key: list[str], t: str, classes: list[str], strength: list[str], poor: str | None = None) -> DataFrame:
     """Workout events from probability rows; sample-driven, like the batch form without its final flush."""
-    strong = set(strength)
-
-    def feed(s, time, *p):
-        return [tuple(e.values()) for e in MC.workout_step(s, time, dict(zip(classes, p)), strong)]
+    def feed(state, device, rows):
+        policy = WK.Workout(classes, strength, "|".join(str(v) for v in device), state or None)
+        bad = rows[poor].fillna(False).to_numpy(bool) if poor else np.zeros(len(rows), bool)
+        out = policy.advance(rows[t].to_numpy(float), rows[classes].to_numpy(float), bad)
+        state.update(policy.state)
+        return out
 
-    return run_machine(df, key, [t], [t, *classes], WORKOUT_SCHEMA, feed, MC.workout_state)
+    return run_stretches(df, key, [t], WORKOUT_SCHEMA, feed)
 
 
 def batch_clock(df: DataFrame, key: list[str], order: str, count: str, arrival: str, rate_hz: float = 100.0) -> DataFrame:
-    def feed(s, at, n, a):
-        times = MC.clock_step(s, int(n), a)
-        return [(int(at), times[0], s["period"])] if times else []
+    def feed(state, _, rows):
+        rows = rows[rows[count] > 0]
+        first, period = WK.clock(state, rows[count].to_numpy(float), rows[arrival].to_numpy(float), rate_hz)
+        return zip(rows[order].astype(int), first.tolist(), period.tolist())
 
-    return run_machine(df, key, [order], [order, count, arrival], "idx bigint, first_s double, period_s double", feed, lambda: MC.clock_state(rate_hz))
+    return run_stretches(df, key, [order], "idx bigint, first_s double, period_s double", feed)
 
 
 def normalise(df: DataFrame, key: list[str], t: str, order: str, channels: list[str], hz: float = 100.0) -> DataFrame:
-    def feed(s, time, _, *v):
-        return [(at, *row) for at, row in MC.normalise_step(s, time, list(v), 1.0 / hz)]
+    def feed(state, _, rows):
+        at, values = WK.normalise(state, rows[t].to_numpy(float), rows[channels].to_numpy(float), hz)
+        return [(a, *v) for a, v in zip(at.tolist(), values.tolist())]
 
-    return run_machine(df, key, [order], [t, order, *channels], "t double, " + ", ".join(f"{c} double" for c in channels), feed, MC.normalise_state)
+    return run_stretches(df, key, [order], "t double, " + ", ".join(f"{c} double" for c in channels), feed)
 
 
 def sequence_gaps(df: DataFrame, key: list[str], order: str, seq: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-known answers on small inputs, and brute force where there is no SQL twin."""
 
 import math
+import json
 import struct
 
 import numpy as np
@@ -15,6 +16,7 @@ from motionloom.operators import episodes as EP
 from motionloom.operators import evaluate as E
 from motionloom.operators import live as LV
 from motionloom.operators import machines as MC
+from motionloom.operators import workout as WK
 from motionloom.operators import packets as PK
 from motionloom.operators import posture as P
 from motionloom.operators import resample as R
@@ -161,11 +163,46 @@ def test_start_holds(spark):
     d, _ = workout_rows(spark, [(40, 0.3, 0.5)], 1.0)
     ev = LV.workout_events(d, ["dev"], "idx", "t", ["squat", "run"], ["squat"]).toPandas()
     assert "cardio_started" in set(ev["type"])
-    s, hit = MC.workout_state(), None
-    for t in range(40):
-        if MC.workout_step(s, float(t), {"squat": 0.9}, {"squat"}) and hit is None:
-            hit = t
-    assert hit == 3
+    policy = WK.Workout(["squat"], ["squat"])
+    hits = [t for t in range(40) if policy.advance(np.array([float(t)]), np.array([[0.9]]), np.array([False]))]
+    assert hits == [3]
+
+
+def stretches(t, p, poor, cuts):
+    """Events of the rows cut into stretches, the state carried as JSON."""
+    state, out = None, []
+    for a, b in zip(cuts, cuts[1:]):
+        policy = WK.Workout(["squat", "run"], ["squat"], "1", json.loads(json.dumps(state)) if state else None)
+        out += policy.advance(t[a:b], p[a:b], poor[a:b])
+        state = policy.state
+    return out + policy.flush(float(t[-1]))
+
+
+def test_workout_session_by_hand():
+    # 0-9 s squats, rest, 40-51 s squats of which two rows are poor, rest; one row a second
+    t = np.arange(400.0)
+    squat = np.where((t < 10) | ((t >= 40) & (t < 52)), 0.9, 0.1)
+    poor = (t == 43) | (t == 44)
+    p = np.stack([squat, np.full(400, 0.05)], 1)
+    events = stretches(t, p, poor, [0, 400])
+    brief = [(e[0], e[2], e[6], e[8]) for e in events]
+    assert brief == [("workout_started", 0.0, None, None), ("set_started", 0.0, None, None), ("set_ended", 10.0, 10.0, None), ("set_started", 45.0, None, None),
+                     ("set_ended", 52.0, 7.0, None), ("workout_ended", 292.0, 17.0, 2)]
+    assert len({e[1] for e in events}) == 1
+
+
+def test_workout_does_not_depend_on_cuts():
+    rng = np.random.default_rng(5)
+    n = 3000
+    t, level = np.cumsum(rng.choice([0.5, 1.0, 9.0], n)), np.array([[0.9, 0.02], [0.05, 0.8], [0.1, 0.05], [0.3, 0.4]])
+    p = np.clip(level[np.repeat(rng.integers(0, 4, n), rng.integers(1, 60, n))[:n]] + rng.normal(0, 0.08, (n, 2)), 0, 1)
+    poor = rng.random(n) < 0.03
+    want = stretches(t, p, poor, [0, n])
+    assert len(want) > 20
+    for cuts in ([*range(0, n, 7), n], sorted({0, n, *rng.integers(0, n, 20).tolist()})):
+        got = stretches(t, p, poor, cuts)
+        assert [e[:4] for e in got] == [e[:4] for e in want]
+        assert [e[7] for e in got if e[7] is not None] == pytest.approx([e[7] for e in want if e[7] is not None])
 
 
 def test_quiet_cut_equals_one_long_run(spark):
@@ -175,11 +212,8 @@ def test_quiet_cut_equals_one_long_run(spark):
         phases += [(float(rng.integers(3, 60)), *((0.9, 0.02) if rng.random() < 0.5 else (0.05, 0.8))), (float(rng.choice([10, 25, 300, 900])), 0.1, 0.05)]
     d, rows = workout_rows(spark, phases, 1.0)
     got = LV.workout_events(d, ["dev"], "idx", "t", ["squat", "run"], ["squat"], size=50).toPandas().sort_values(["timestamp", "type"])
-    s, want = MC.workout_state(), []
-    for _, _, t, a, b in rows:
-        want += MC.workout_step(s, t, {"squat": a, "run": b}, {"squat"}, device="1")
-    want += MC.workout_flush(s, rows[-1][2], {"squat"})
-    want = pd.DataFrame(want).sort_values(["timestamp", "type"])
+    flat = np.array([r[2:] for r in rows])
+    want = pd.DataFrame(stretches(flat[:, 0], flat[:, 1:], np.zeros(len(flat), bool), [0, len(flat)]), columns=WK.WORKOUT_EVENT).sort_values(["timestamp", "type"])
     assert list(got["type"]) == list(want["type"]) and list(got["session_id"]) == list(want["session_id"])
     np.testing.assert_allclose(got["timestamp"], want["timestamp"])
     cut = LV.quiet_episodes(d, ["dev"], "idx", "t", F.col("squat") + F.col("run"), 50)
@@ -225,10 +259,10 @@ def test_crc_known_value():
 
 
 def test_clock_is_increasing():
-    s, out = MC.clock_state(), []
-    for n, a in ((1, 10.0), (1, 10.00125), (8, 10.01125)):
-        out += MC.clock_step(s, n, a)
-    assert all(b > a for a, b in zip(out, out[1:])) and 1 / s["period"] > 500
+    count = np.array([1.0, 1.0, 8.0])
+    first, period = WK.clock({}, count, np.array([10.0, 10.00125, 10.01125]))
+    out = [f + k * p for f, p, n in zip(first, period, count) for k in range(int(n))]
+    assert all(b > a for a, b in zip(out, out[1:])) and 1 / period[-1] > 500
 
 
 def test_clock_closed_form_equals_machine(spark):
@@ -236,8 +270,16 @@ def test_clock_closed_form_equals_machine(spark):
     n, a = rng.integers(1, 9, 300), np.cumsum(rng.choice([0.0, 0.004, 0.02, 0.3], 300))
     rows = [(1, i, int(x), float(y)) for i, (x, y) in enumerate(zip(n, a))]
     got = LV.assign_batch_clock(spark.createDataFrame(rows, "dev int, idx int, n int, a double"), ["dev"], "idx", "n", "a", size=31).orderBy("idx").toPandas()
-    s = MC.clock_state()
-    want = [(MC.clock_step(s, x, y)[0], s["period"]) for _, _, x, y in rows]
+    state, parts = {}, []
+    for k in range(0, 300, 23):
+        parts.append(np.stack(WK.clock(state, n[k:k + 23].astype(float), a[k:k + 23]), 1))
+    want = np.concatenate(parts)
+    # by hand: each notification ends at its arrival or right after the one before
+    last = None
+    for (_, _, x, y), (first, period) in zip(rows, want):
+        ask = y if last is None else max(y - period * (x - 1), last + 1e-6)
+        assert first == pytest.approx(ask, abs=1e-9)
+        last = ask + period * (x - 1)
     np.testing.assert_allclose(got[["first_s", "period_s"]], want, atol=1e-9)
 
 
@@ -245,10 +287,12 @@ def test_normalise_801_samples(spark):
     rows = [(1, i, i / 800, float(i)) for i in range(801)]
     got = LV.live_normalize(spark.createDataFrame(rows, "dev int, idx int, t double, v double"), ["dev"], "idx", "t", ["v"], size=64).orderBy("t").toPandas()
     assert 99 <= len(got) <= 102
-    s, want = MC.normalise_state(), []
-    for _, _, t, v in rows:
-        want += MC.normalise_step(s, t, [v])
-    np.testing.assert_allclose(got["v"], [w[1][0] for w in want], atol=1e-6)
+    state, want = {}, []
+    for k in range(0, 801, 50):
+        want += WK.normalise(state, np.array([r[2] for r in rows[k:k + 50]]), np.array([[r[3]] for r in rows[k:k + 50]]))[1][:, 0].tolist()
+    np.testing.assert_allclose(got["v"], want, atol=1e-6)
+    grid = np.arange(len(want)) * 8.0  # the values at 100 Hz, then the mean of up to 7
+    np.testing.assert_allclose(want, [grid[max(0, i - 6):i + 1].mean() for i in range(len(grid))], atol=1e-6)
 
 
 def test_greedy_chain_equals_brute_force(spark):
@@ -320,80 +364,71 @@ def test_orientation_fusion_small_blocks(spark):
     assert np.abs(want[-200:, :2]).max() > 10
 
 
-def test_calibration_rounds(spark):
-    t = np.arange(0, 90, 0.1).round(3)
-    g = np.where(t < 31, 20.0, 1.0)
-    d = spark.createDataFrame(pd.DataFrame({"dev": 1, "t": t, "g": g}))
-    got = LV.posture_calibrate(d, ["dev"], "t", F.col("g"), chunk_s=15.0).collect()[0]
-    s, want = {}, None
-    for a, b in zip(t, g):
-        e = MC.calibrate_step(s, float(a), float(b))
-        if e and e["ok"]:
-            want = e
-    assert got["ok"] and got["attempts"] == want["attempts"]
-    assert got["start"] == pytest.approx(want["start"]) and got["mean_gyro"] == pytest.approx(want["mean_gyro"])
-
-
-def lcs(a, b):
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-    return best[-1][-1]
-
-
-def test_lcs_brute_force(spark):
+def test_unusable_acceleration_keeps_gravity(spark):
+    n = 3000
     rng = np.random.default_rng(13)
-    rows = [("".join(rng.choice(list("abc"), rng.integers(0, 7))), "".join(rng.choice(list("abc"), rng.integers(0, 7)))) for _ in range(80)]
-    d = spark.createDataFrame([(list(a), list(b)) for a, b in rows], "a array<string>, b array<string>")
-    assert [r[0] for r in d.select(S.lcs_length(F.col("a"), F.col("b"))).collect()] == [lcs(a, b) for a, b in rows]
-
-
-def test_weak_session(spark):
-    d = spark.createDataFrame([(["bench", "press", "dip"], ["bench", "dip"], 5, 2)], "e array<string>, p array<string>, es int, ps int")
-    r = E.weak_session_eval(d, "e", "p", "es", "ps").first()
-    assert r["activity_coverage"] == pytest.approx(2 / 3) and r["order_score"] == pytest.approx(2 / 3) and r["set_count_error"] == -3
-
-
-def test_splits_keep_their_promises(spark):
+    a = np.stack([np.full(n, 0.5), rng.normal(0, 0.1, n), np.full(n, 0.8)], 1)
+    for lo, hi in ((0, 7), (400, 2400)):  # a lead-in and 2,000 rows in a row without acceleration
+        a[lo:hi] = 0
+    pdf = pd.DataFrame({"dev": 1, "idx": range(n), **dict(zip(("ax", "ay", "az"), a.T))})
+    got = LV.gravity(spark.createDataFrame(pdf), ["dev"], "idx", size=500).orderBy("idx").toPandas()
+    g, want = None, []
+    for v in a:
+        length = np.linalg.norm(v)
+        if length > 1e-6:
+            g = v / length if g is None else 0.94 * g + 0.06 * v / length
+            g = g / np.linalg.norm(g)
+        elif g is None:
+            g = np.array([0.0, 0.0, 1.0])
+        want.append(g)
+    np.testing.assert_allclose(got[["g0", "g1", "g2"]], want, atol=1e-12)
+
+
+@pytest.mark.parametrize("chunk", [15.0, 600.0])
+def test_calibration_attempts(spark, chunk):
     rng = np.random.default_rng(14)
-    rows = [(int(s), "only" if s == 0 and i == 0 else f"c{int(rng.integers(0, 4))}") for s in range(12) for i in range(30)]
-    d = spark.createDataFrame(rows, "s int, c string")
-    held = {r["s"] for r in E.subject_holdout(d, "s", "c", 0.25, 256).collect()}
-    assert held and 0 not in held and len(held) == 3
-    train = {c for s, c in rows if s not in held}
-    assert train == {c for _, c in rows}
-    split = E.three_way_split(d, "s", "c", 256).select("s", "split").distinct().toPandas()
-    assert split["s"].is_unique and set(split["split"]) == {"train", "validation", "test"}
-    both = {r["s"] for r in E.class_cover_split(d.filter("c <> 'only'"), "s", "c").collect()}
-    rest = [(s, c) for s, c in rows if c != "only"]
-    assert {c for s, c in rest if s in both} == {c for s, c in rest if s not in both}
-
-
-def test_logistic_fit_is_the_regularised_optimum(spark):
-    from motionloom.operators import models as M
-
-    rng = np.random.default_rng(15)
-    x = rng.normal(size=(300, 2))
-    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0).astype(int)
-    w = rng.random(300) + 0.5
-    d = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y, "w": w}))
-    m = M.fit_logistic(d, ["a", "b"], "y", "w", 1.0)
-    beta = np.r_[m.intercept, m.coefficients]
-    design = np.c_[np.ones(300), x]
-    p = 1 / (1 + np.exp(-design @ beta))
-    gradient = design.T @ (w * (p - y)) / w.sum() + np.r_[0, beta[1:]] / w.sum()
-    assert np.abs(gradient).max() < 1e-6
-
-
-def test_state_names(spark):
-    d = spark.createDataFrame([("深蹲3组",), ("x掉落",), ("走路",), ("站立",), ("?",)], "n string")
-    assert [r[0] for r in d.select(T.state_by_prefix(F.col("n"))).collect()] == ["exercise", "wear_artifact", "ambiguous", "non_exercise", "unlabelled"]
-
-
-def test_unknown_unit_fails(spark):
-    d = spark.createDataFrame([(1.0, 1.0)], "a double, g double")
-    with pytest.raises(Exception, match="unsupported acceleration unit"):
-        ta.to_si_units(d, ["a"], ["g"], F.lit("furlong"), F.lit("rad/s"), [F.lit(1)]).collect()
-    r = ta.to_si_units(d, ["a"], ["g"], F.lit("g"), F.lit("deg/s"), [F.lit(1)]).first()
-    assert r["a"] == 9.80665
+    devices = {1: (np.arange(0, 90, 0.1), lambda t: np.where(t < 31, 20.0, 1.0)), 2: (np.arange(0, 4000, 0.5), lambda t: np.full(len(t), 50.0)),
+               3: (np.cumsum(rng.choice([0.2, 0.9, 45.0], 400)), lambda t: np.where(t < 700, 20.0, 2.0)), 4: (np.array([0.0, 1.0]), lambda t: t)}
+    frames = [pd.DataFrame({"dev": k, "t": t.round(3), "g": f(t)}) for k, (t, f) in devices.items()]
+    got = {r["dev"]: r for r in LV.posture_calibrate(spark.createDataFrame(pd.concat(frames)), ["dev"], "t", F.col("g"), chunk_s=chunk).collect()}
+    for k, d in enumerate(frames, 1):
+        t, g, i, tries, hit = d["t"].to_numpy(), d["g"].to_numpy(), 0, 0, None
+        while i < len(t) and hit is None:
+            j = int(np.searchsorted(t, t[i] + 10.0 - 1e-9))
+            if j >= len(t):
+                break
+            tries += 1
+            if g[i:j + 1].mean() <= 8.0:
+                hit = (t[i], t[j], g[i:j + 1].mean())
+            i = j + 1
+        assert got[k]["ok"] == (hit is not None) and got[k]["attempts"] == tries
+        if hit:
+            assert (got[k]["start"], got[k]["end"], got[k]["mean_gyro"]) == pytest.approx(hit)
+
+
+@pytest.mark.parametrize("chunk_rows", [4, 30, 1000])
+def test_frames_in_single_bytes_with_empty_chunks(spark, chunk_rows):
+    data = b"".join(frame([i] * 9) for i in range(20))
+    rows = []
+    for b in data:
+        rows += [(1, len(rows), 0.0, bytearray([b])), (1, len(rows) + 1, 0.0, bytearray())]
+    got = PK.decode_frames(spark.createDataFrame(rows, "dev int, idx int, a double, p binary"), ["dev"], "idx", "a", "p", chunk_rows).dropna(subset=["ax_g"])
+    assert got.count() == 20
+
+
+def test_impossible_holdout_raises(spark):
+    from motionloom.operators import evaluate as EV
+
+    d = spark.createDataFrame([(s, s) for s in range(6)], "subject int, label int")
+    for f in (lambda: EV.subject_holdout(d, "subject", "label", 0.2, 50), lambda: EV.three_way_split(d, "subject", "label", 50), lambda: EV.class_cover_split(d, "subject", "label", 50)):
+        with pytest.raises(Exception, match="no candidate"):
+            f().collect()
+
+
+def test_large_note_is_read(spark, tmp_path):
+    from motionloom.sources import files as FS
+
+    (tmp_path / "a.txt").write_text("x" * 300_000, encoding="utf8")
+    assert FS.scan_notes(spark, str(tmp_path)).select(F.length("content")).first()[0] == 300_000
+    row = FS.scan_notes(spark, str(tmp_path), limit=100_000).first()
+    assert row["content"] is None and row["reason"] == "too_large"
