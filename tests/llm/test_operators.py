@@ -315,7 +315,8 @@ def test_mixing(spark):
     assert all(got[d]["p_toxic"] > 0.9 and got[d]["rate"] < 0.05 for d in range(2001, 2060, 2))
     assert all(got[d]["p_good"] > 0.9 and got[d]["rate"] > 0.9 for d in range(1, 300, 2))
     rate, share = mixing.fit_rates(soft, targets)
-    assert share == pytest.approx([0.9, 0.1, 0.0], abs=2e-3)
+    assert share[:2] == pytest.approx([0.9, 0.1], abs=2e-3)
+    assert share[2] < 0.006  # clean documents have a posterior of about 0.005, which no rate can take away
     # a plain version of the same descent
     table = [(r["n_tokens"], [r["p_good"], r["p_low"], r["p_toxic"]]) for r in soft.collect()]
     total = sum(n for n, _ in table)
