@@ -13,6 +13,7 @@ count is left out while weights are learned. Nothing depends on how texts are de
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
 
 import numpy as np
@@ -26,10 +27,14 @@ from .anchors import keyed
 from .tokens import BYTE_CODE, LOWER, Sums, find_words, joined, mix, shards, word_codes
 
 #: The model's size, whatever the corpus: dictionary words, slots of each table (a power of two), bins of the refining table.
-WORDS, SLOT_BITS, BINS = 16384, 18, 33
+WORDS, SLOT_BITS, BINS = 4096, 18, 33
 SLOTS = 1 << SLOT_BITS
 TABLES, GATES = 4, 16
-SHARD, CHUNK = 8 << 20, 1 << 18
+#: Bytes of text at a time; decisions at a time (few enough for a core's cache), and when slots are counted.
+SHARD, CHUNK, COUNTED, LEXICON_ROWS = 4 << 20, 1 << 15, 1 << 19, 50_000
+#: Costs of spelled words that a worker remembers (of the last model), and how many.
+_SPELLED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+REMEMBERED = 1_500_000
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -50,15 +55,23 @@ class Tokens:
         self.held = np.fromiter(map(held_out, rows["doc_id"].to_pylist()), bool, len(texts))
         self.owner = np.repeat(np.arange(len(texts)), self.count)
 
+    def spelled(self, word: np.ndarray):
+        """A function giving the words number a to b of ``word``, each with a space after it."""
+        length = self.stop[word] - self.start[word] + 1  # every word has white space or the texts' separator after it
+        end = np.concatenate(([0], np.cumsum(length)))
+        data = self.data[np.repeat(self.start[word], length) + _within(length)]
+        data[end[1:] - 1] = 32
+        return lambda a, b: data[end[a] : end[b]].tobytes()
+
 
 # --- counts of words, and the base score -------------------------------------------------------------------------------------
 
-ASKED = "bucket int, shard long, codes binary, owners binary, times binary, meta binary"
+ASKED = "bucket int, shard long, codes binary, owners binary, times binary, meta binary, letters binary, words binary"
 ANSWERED = "shard long, kind int, base binary, known binary, meta binary, codes array<long>, counts array<long>, vocabulary long, tokens long"
 
 
 def _ask(buckets: int):
-    """Each shard's (word, text, times) by hash bucket; with bucket 0 go its texts: row, training or not."""
+    """Each shard's (word, text, times) by hash bucket, and its distinct words in the same order; with bucket 0 goes how often its training words have each byte, and their number."""
 
     def run(batches):
         for rows, texts in shards(batches, SHARD):
@@ -66,24 +79,31 @@ def _ask(buckets: int):
             order = np.lexsort((t.owner, t.code))
             code, owner = t.code[order], t.owner[order]
             at = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])))[: len(code)])
+            place = order[at]
             times = np.diff(np.append(at, len(code))).astype(np.uint32)
             code, owner = code[at], owner[at].astype(np.uint32)
             bucket = (code >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            code, owner, times = code[order], owner[order], times[order]
+            code, owner, times, place = code[order], owner[order], times[order], place[order]
+            first = np.concatenate(([True], code[1:] != code[:-1]))[: len(code)]
+            spelled, upto = t.spelled(place[first]), np.concatenate(([0], np.cumsum(first)))
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
             row = rows["row"].to_numpy()
             shard = int(mix(np.bitwise_xor.reduce(mix(row.view(np.uint64) + np.arange(len(row), dtype=np.uint64)), keepdims=True)).view(np.int64)[0])
             meta = np.stack((row, t.held.astype(np.int64), t.count.astype(np.int64))).tobytes()
-            n = range(buckets)
-            cols = [pa.array(list(n), pa.int32()), pa.array([shard] * buckets), *(pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in n], pa.binary()) for x in (code, owner, times)), pa.array([meta] * buckets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "shard", "codes", "owners", "times", "meta"])
+            n, train = range(buckets), ~t.held[t.owner]
+            length = (t.stop - t.start)[train]
+            letters = np.bincount(t.data[np.repeat(t.start[train], length) + _within(length)], minlength=257)
+            letters[256] = train.sum()
+            letters = letters.astype(np.int64).tobytes()
+            cols = [pa.array(list(n), pa.int32()), pa.array([shard] * buckets), *(pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in n], pa.binary()) for x in (code, owner, times)), pa.array([meta] * buckets, pa.binary()), pa.array([b"" if b else letters for b in n], pa.binary()), pa.array([spelled(upto[cut[b]], upto[cut[b + 1]]) for b in n], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "shard", "codes", "owners", "times", "meta", "letters", "words"])
 
     return run
 
 
 def _answer(batches):
-    """Within one partition: training counts of its words; each text's share of the base score, and the most frequent words."""
+    """Within one partition: training counts of its words; each text's share of the base score, the words, and the most frequent."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -107,6 +127,16 @@ def _answer(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, _ANSWER_TYPES, strict=True)], names)
     top = np.lexsort((kinds, -c))[:WORDS]
     top = top[c[top] > 0]
+    first = np.concatenate([np.concatenate(([True], x[1:] != x[:-1]))[: len(x)] for x in (codes[e - s : e] for e, s in zip(end, size, strict=True))]) if len(codes) else np.zeros(0, bool)
+    spell = b"".join(t["words"].to_pylist()).split()
+    new = np.unique(codes[first], return_index=True)[1]  # an occurrence of each distinct word, in the order of kinds
+    for a in range(0, len(kinds), LEXICON_ROWS):
+        part = slice(a, a + LEXICON_ROWS)
+        cols = [[0], [3], [b" ".join([spell[i] for i in new[part].tolist()])], [c[part].astype(np.uint32).tobytes()], [b""], [[]], [[]], [0], [0]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, _ANSWER_TYPES, strict=True)], names)
+    letters = sum((np.frombuffer(x, np.int64) for x in t["letters"].to_pylist() if x), np.zeros(257, np.int64))
+    cols = [[0], [2], [b""], [b""], [b""], [list(range(257))], [letters.tolist()], [0], [0]]
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, _ANSWER_TYPES, strict=True)], names)
     cols = [[0], [1], [b""], [b""], [b""], [kinds[top].view(np.int64).tolist()], [c[top].astype(np.int64).tolist()], [int((c > 0).sum())], [int(c.sum())]]
     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, _ANSWER_TYPES, strict=True)], names)
 
@@ -166,9 +196,9 @@ def slots(hashes: list[np.ndarray | None], node: np.ndarray, owner: np.ndarray)
     node_code = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     out = []
     for h in hashes:
-        x = node_code if h is None else h[owner] + node_code
+        x = node_code if h is None else h.take(owner) + node_code
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-        out.append((x >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+        out.append((x >> np.uint64(64 - SLOT_BITS)).view(np.int64))
     return out
 
 
@@ -247,26 +277,50 @@ def _counts(lexicon):
 
     def run(batches):
         lex = lexicon.value
-        table = np.zeros((2, TABLES, SLOTS, 2))
+        table = np.zeros((TABLES, SLOTS, 2))
         for rows, texts in shards(batches, SHARD):
             t = Tokens(rows, texts)
-            symbol, _, at, hashes = lex.word_level(t, np.flatnonzero(~t.held))
-            for _, bit, slot in decisions(lex.word_code, symbol, hashes):
+            symbol, _, _, hashes = lex.word_level(t, np.flatnonzero(~t.held))
+            for _, bit, slot in decisions(lex.word_code, symbol, hashes, COUNTED):
                 for k in range(TABLES):
-                    table[0, k] += np.bincount(slot[k] * 2 + bit, minlength=2 * SLOTS).reshape(-1, 2)
-            word, times, _ = escaped_words(lex, t, symbol, at)
+                    table[k] += np.bincount(slot[k] * 2 + bit, minlength=2 * SLOTS).reshape(-1, 2)
+        yield from _table_parts(table, 0)
+
+    return run
+
+
+def _count_spelling(lexicon):
+    """The same for the spelling of the escaped words of the whole corpus, each as often as it occurs in training."""
+
+    def run(batches):
+        lex, table = lexicon.value, np.zeros((TABLES, SLOTS, 2))
+        for t, word, times in lexicon_rows(lex, batches):
             symbol, owner, hashes = lex.spelling(t, word)
-            for i, bit, slot in decisions(lex.byte_code, symbol, hashes):
+            for i, bit, slot in decisions(lex.byte_code, symbol, hashes, COUNTED):
                 weight = times[owner[i]]
                 for k in range(TABLES):
-                    table[1, k] += np.bincount(slot[k] * 2 + bit, weight, minlength=2 * SLOTS).reshape(-1, 2)
-        parts = table.astype(np.uint32).reshape(PARTS, -1)
-        used = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["part", "counts"])
+                    table[k] += np.bincount(slot[k] * 2 + bit, weight, minlength=2 * SLOTS).reshape(-1, 2)
+        yield from _table_parts(table, 1)
 
     return run
 
 
+def lexicon_rows(lex: Lexicon, batches):
+    """From rows of words and training counts: the words as tokens, which of them training escapes, and how often."""
+    for b in batches:
+        for words, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            t = Tokens(pa.table({"doc_id": [0]}), [words])
+            times = np.frombuffer(counts, np.uint32)
+            at = np.flatnonzero((lex.symbols(t.code) == lex.escape) & (times > 0))
+            yield t, at, times[at].astype(float)
+
+
+def _table_parts(table: np.ndarray, level: int):
+    parts = table.astype(np.uint32).reshape(PARTS // 2, -1)
+    used = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array((used + level * (PARTS // 2)).astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["part", "counts"])
+
+
 PARTS = 64
 
 
@@ -300,15 +354,15 @@ class Predictors:
         """The predictors' log-odds and the gate; with ``bit``, as if this decision had not been counted."""
         a, b = (3, 2) if level else (2, 1)
         if bit is None:
-            return [self.odds[level, k][slot[k]] for k in range(TABLES)], self.trust[level, a][slot[a]] * 4 + self.trust[level, b][slot[b]]
-        return [self.without[level, k][slot[k] * 2 + bit] for k in range(TABLES)], self.trust_less[level, a][slot[a]] * 4 + self.trust_less[level, b][slot[b]]
+            return [self.odds[level, k].take(slot[k]) for k in range(TABLES)], self.trust[level, a].take(slot[a]) * 4 + self.trust[level, b].take(slot[b])
+        return [self.without[level, k].take(slot[k] * 2 + bit) for k in range(TABLES)], self.trust_less[level, a].take(slot[a]) * 4 + self.trust_less[level, b].take(slot[b])
 
 
 def blend(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     w = weights.astype(np.float32)
-    z = w[:, 0][gate] * x[0]
+    z = np.ascontiguousarray(w[:, 0]).take(gate) * x[0]
     for k in range(1, TABLES):
-        z += w[:, k][gate] * x[k]
+        z += np.ascontiguousarray(w[:, k]).take(gate) * x[k]
     return np.clip(z, -12, 12)
 
 
@@ -319,41 +373,42 @@ def bins(gate: np.ndarray, z: np.ndarray) -> np.ndarray:
 WEIGHTED = "level int, gate int, weight array<double>, seen double, ones array<double>, times array<double>"
 
 
-def _weigh(lexicon, predictors):
-    """Online weights over all training texts of a partition, and what came true for each gate and blend."""
+def _weigh(lexicon, predictors, level: int):
+    """Online weights over all training texts (level 0) or escaped words (level 1) of a partition, and what came true for each gate and blend."""
 
     def run(batches):
         lex, tables = lexicon.value, predictors.value
-        weights = np.full((2, GATES, TABLES), 0.35)
-        seen, ones, times = np.zeros((2, GATES)), np.zeros((2, GATES * BINS)), np.zeros((2, GATES * BINS))
+        weights = np.full((GATES, TABLES), 0.35)
+        seen, ones, times = np.zeros(GATES), np.zeros(GATES * BINS), np.zeros(GATES * BINS)
 
-        def learn(level, code, symbol, hashes, weight):
+        def learn(code, symbol, hashes, weight):
             for i, bit, slot in decisions(code, symbol, hashes):
                 m = None if weight is None else weight[i]
                 x, gate = tables.look(level, slot, bit)
-                z = blend(x, gate, weights[level])
+                z = blend(x, gate, weights)
                 p = 1 / (1 + np.exp(-z))
                 at = bins(gate, z)
-                times[level] += np.bincount(at, m, GATES * BINS)
-                ones[level] += np.bincount(at, bit if m is None else bit * m, GATES * BINS)
-                seen[level] += np.bincount(gate, m, GATES)
+                times[:] += np.bincount(at, m, GATES * BINS)
+                ones[:] += np.bincount(at, bit if m is None else bit * m, GATES * BINS)
+                seen[:] += np.bincount(gate, m, GATES)
                 miss, spread = bit - p, p * (1 - p)
                 if m is not None:
                     miss, spread = miss * m, spread * m
                 for k in range(TABLES):
                     up = np.bincount(gate, miss * x[k], GATES)
-                    weights[level][:, k] += up / (TABLES * np.bincount(gate, spread * x[k] * x[k], GATES) + 1.0)
-
-        for rows, texts in shards(batches, SHARD):
-            t = Tokens(rows, texts)
-            symbol, _, at, hashes = lex.word_level(t, np.flatnonzero(~t.held))
-            learn(0, lex.word_code, symbol, hashes, None)
-            word, often, _ = escaped_words(lex, t, symbol, at)
-            symbol, owner, hashes = lex.spelling(t, word)
-            learn(1, lex.byte_code, symbol, hashes, often[owner].astype(float))
-        rows = [(level, gate) for level in range(2) for gate in range(GATES)]
-        cut = lambda x: [x[v, g * BINS : (g + 1) * BINS].tolist() for v, g in rows]
-        cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([weights[r].tolist() for r in rows]), pa.array([float(seen[r]) for r in rows]), pa.array(cut(ones)), pa.array(cut(times))]
+                    weights[:, k] += up / (TABLES * np.bincount(gate, spread * x[k] * x[k], GATES) + 1.0)
+
+        if level:
+            for t, word, often in lexicon_rows(lex, batches):
+                symbol, owner, hashes = lex.spelling(t, word)
+                learn(lex.byte_code, symbol, hashes, often[owner])
+        else:
+            for rows, texts in shards(batches, SHARD):
+                t = Tokens(rows, texts)
+                symbol, _, _, hashes = lex.word_level(t, np.flatnonzero(~t.held))
+                learn(lex.word_code, symbol, hashes, None)
+        cut = lambda x: [x[g * BINS : (g + 1) * BINS].tolist() for g in range(GATES)]
+        cols = [pa.array([level] * GATES, pa.int32()), pa.array(list(range(GATES)), pa.int32()), pa.array(weights.tolist()), pa.array(seen.tolist()), pa.array(cut(ones)), pa.array(cut(times))]
         yield pa.RecordBatch.from_arrays(cols, ["level", "gate", "weight", "seen", "ones", "times"])
 
     return run
@@ -364,7 +419,10 @@ def _score(lexicon, predictors, final, kind: str):
 
     def run(batches):
         lex, tables = lexicon.value, predictors.value
-        weights, truth = final.value
+        weights, truth, name = final.value
+        if name not in _SPELLED:  # words that earlier shards of this worker have spelled with this model
+            _SPELLED.clear()
+            _SPELLED[name] = np.zeros(0, np.uint64), np.zeros(0)
 
         def cost(level, code, symbol, hashes, groups, owner):
             out = np.zeros(groups)
@@ -380,8 +438,18 @@ def _score(lexicon, predictors, final, kind: str):
             symbol, owner, at, hashes = lex.word_level(t, np.arange(len(texts)))
             score = cost(0, lex.word_code, symbol, hashes, len(texts), owner)
             word, _, back = escaped_words(lex, t, symbol, at)
-            letters, of, hashes = lex.spelling(t, word)
-            spelled = cost(1, lex.byte_code, letters, hashes, len(word), of)
+            code = t.code[word]  # distinct and sorted
+            seen, costs = _SPELLED[name]
+            slot = np.minimum(np.searchsorted(seen, code), max(len(seen) - 1, 0))
+            known = seen[slot] == code if len(seen) else np.zeros(len(code), bool)
+            letters, of, hashes = lex.spelling(t, word[~known])
+            spelled = np.zeros(len(word))
+            spelled[known] = costs[slot[known]]
+            spelled[~known] = cost(1, lex.byte_code, letters, hashes, int((~known).sum()), of)
+            if len(seen) + len(code) <= REMEMBERED:
+                seen, costs = np.concatenate((seen, code[~known])), np.concatenate((costs, spelled[~known]))
+                order = np.argsort(seen, kind="stable")
+                _SPELLED[name] = seen[order], costs[order]
             score += np.bincount(owner[symbol == lex.escape], spelled[back], len(texts))
             size = pa.array(list(map(len, texts)), pa.int64())
             yield pa.RecordBatch.from_arrays([rows["row"].combine_chunks(), rows["doc_id"].combine_chunks(), size, pa.array(score)], ["row", "doc_id", "n_bytes", "score"])
@@ -389,22 +457,6 @@ def _score(lexicon, predictors, final, kind: str):
     return run, f"row long, doc_id {kind}, n_bytes long, score double"
 
 
-def _bytes(words):
-    """Bytes (and ends) of the escaped words of all training texts."""
-
-    def run(batches):
-        known, total = words.value, np.zeros(257, np.int64)
-        for rows, texts in shards(batches, SHARD):
-            t = Tokens(rows, texts)
-            train = ~t.held[t.owner]
-            new = train & ~np.isin(t.code, known)
-            total[:256] += np.bincount(t.data[np.repeat(t.start[new], t.stop[new] - t.start[new]) + _within(t.stop[new] - t.start[new])], minlength=256)
-            total[256] += new.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["n"])
-
-    return run
-
-
 def _within(length: np.ndarray) -> np.ndarray:
     return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
 
@@ -429,17 +481,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     vocabulary, tokens = (sums["v"] or 0) + (ends > 0), (sums["n"] or 0) + ends
     top = lists.select(F.explode(F.arrays_zip("codes", "counts")).alias("x")).select("x.codes", "x.counts").orderBy(F.desc("counts"), "codes").limit(WORDS).collect()
     words, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
-    known = sc.broadcast(words)
-    spelled = rows.mapInArrow(_bytes(known), "n array<long>").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     letters = np.zeros(257, np.int64)
-    for r in spelled:
-        letters[r["pos"]] = r["n"]
-    lexicon = sc.broadcast(Lexicon(words, counts, ends, int(letters[256]), letters))
+    for r in answers.where("kind = 2").select(F.explode(F.arrays_zip("codes", "counts")).alias("x")).groupBy("x.codes").agg(F.sum("x.counts").alias("n")).collect():
+        letters[r["codes"]] = r["n"]
+    lexicon = sc.broadcast(Lexicon(words, counts, ends, max(int(letters[256] - counts.sum()), 0), letters))
     table = np.zeros((PARTS, SIZE_32 // 4), np.int64)
-    for r in rows.mapInArrow(_counts(lexicon), "part int, counts binary").repartition("part").mapInArrow(_add, "part int, counts binary").collect():  # the tables, of fixed size
+    spelled = answers.where("kind = 3").select(F.col("base").alias("words"), F.col("known").alias("counts")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = rows.mapInArrow(_counts(lexicon), "part int, counts binary").union(spelled.mapInArrow(_count_spelling(lexicon), "part int, counts binary"))
+    for r in counted.repartition("part").mapInArrow(_add, "part int, counts binary").collect():  # the tables, of fixed size
         table[r["part"]] = np.frombuffer(r["counts"], np.int64)
     predictors = sc.broadcast(Predictors(table.reshape(2, TABLES, SLOTS, 2)))
-    each = rows.mapInArrow(_weigh(lexicon, predictors), WEIGHTED)
+    each = rows.mapInArrow(_weigh(lexicon, predictors, 0), WEIGHTED).union(spelled.mapInArrow(_weigh(lexicon, predictors, 1), WEIGHTED))
     weights, truth = np.full((2, GATES, TABLES), 0.35), np.zeros((2, GATES, BINS))
     add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(BINS)]).alias(c)
     sums = each.groupBy("level", "gate").agg(F.sum("seen").alias("seen"), F.array(*[F.sum(F.col("weight")[k] * F.col("seen")) for k in range(TABLES)]).alias("weight"), add("ones"), add("times")).collect()
@@ -450,7 +502,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         if r["seen"]:
             weights[at] = np.round(np.array(r["weight"]) / r["seen"], 6)
         truth[at] = (np.array(r["ones"]) + 10 * expected) / (np.array(r["times"]) + 10)
-    final = sc.broadcast((weights, truth.reshape(2, -1)))
+    final = sc.broadcast((weights, truth.reshape(2, -1), uuid.uuid4().hex))
     scored = rows.mapInArrow(*_score(lexicon, predictors, final, docs.schema["doc_id"].dataType.simpleString()))
     out = scored.join(base.dropDuplicates(["row"]), "row")
     n = F.col("n_words") + 1
