@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, tempfile.TemporaryDirectory] = {}
+#: Folders of intermediate tables that this process has made, by application.
+_MADE: dict[str, list[str]] = {}
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "motionloom") -> SparkSession:
@@ -44,7 +46,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; their number. Call it when their results have been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

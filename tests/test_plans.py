@@ -62,3 +62,16 @@ def test_spread_join_salts_hot_keys(spark):
 def test_views_are_block_numbered(spark):
     text = plan(imu6(spark, SF))
     assert "windowspecdefinition(l_suppkey" in text and "_blk" in text
+
+
+def test_staged_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from motionloom import session
+
+    before = session._MADE.pop(spark.sparkContext.applicationId, [])
+    session.staged(spark.range(3), "gone")
+    (path,) = session._MADE[spark.sparkContext.applicationId]
+    assert os.path.isdir(path)
+    assert session.drop_staged(spark) == 1 and not os.path.exists(path)
+    session._MADE[spark.sparkContext.applicationId] = before
