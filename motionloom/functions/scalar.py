@@ -1,7 +1,9 @@
-"""Column functions: angles, quaternions, parsing, ids. All run inside code generation."""
+"""Column functions: angles, quaternions, parsing, ids. All but the subsequence length run inside the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,21 +115,23 @@ def map_sum_subset(m: Column, keys: list[str]) -> Column:
 
 
 def lcs_length(left: Column, right: Column) -> Column:
-    """Longest common subsequence of two arrays: one dynamic-programming row folded over ``left``."""
-    zero = F.transform(F.concat(right, F.array(F.lit(None).cast("string"))), lambda _: F.lit(0))
-
-    def step(prev: Column, item: Column) -> Column:
-        positions = F.sequence(F.lit(1), F.size(right))
-
-        def cell(row: Column, j: Column) -> Column:
-            same = F.element_at(right, j) == item
-            value = F.when(same, F.element_at(prev, j) + 1).otherwise(
-                F.greatest(F.element_at(prev, j + 1), F.element_at(row, -1)))
-            return F.concat(row, F.array(value))
-
-        return F.when(F.size(right) == 0, prev).otherwise(F.aggregate(positions, F.array(F.lit(0)), cell))
-
-    return F.element_at(F.aggregate(left, zero, step), -1)
+    """Longest common subsequence of two arrays of strings, in Arrow batches; NULL elements match nothing."""
+
+    @F.pandas_udf("int")
+    def lcs(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        def one(a, b):
+            if a is None or b is None:
+                return None
+            codes = {v: i for i, v in enumerate({*a, *b} - {None})}
+            target, row = np.array([codes.get(v, -1) for v in b], int), np.zeros(len(b) + 1, int)
+            for v in a:
+                if v is not None:
+                    row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(target == codes[v], row[:-1] + 1, 0)))
+            return int(row[-1])
+
+        return pd.Series([one(a, b) for a, b in zip(lefts, rights)], dtype="Int32")
+
+    return lcs(left, right)
 
 
 def register(spark: SparkSession) -> None:

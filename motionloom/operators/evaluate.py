@@ -343,15 +343,18 @@ TEMPERATURES = [0.5 + i * 0.025 for i in range(101)]
 
 
 def temperature_fit(df: DataFrame, probs: list[str], label: str) -> DataFrame:
-    """Grid temperature with the smallest negative log-likelihood; the first one wins a tie."""
-    logs = F.array(*[F.log(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), F.col(p)))) for p in probs])
-    d = df.select(logs.alias("_l"), F.col(label).alias("_y")).withColumn("_t", F.explode(F.array(*[F.lit(t) for t in TEMPERATURES])))
-    z = F.transform("_l", lambda v: v / F.col("_t"))
-    d = d.withColumn("_z", z).withColumn("_m", F.array_max("_z"))
-    total = F.aggregate("_z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_m")))
-    p = F.exp(F.get("_z", F.col("_y")) - F.col("_m")) / total
-    loss = d.groupBy("_t").agg((-F.avg(F.log(p + 1e-12))).alias("_loss"))
-    return loss.agg(F.min_by("_t", F.struct("_loss", "_t")).alias("temperature"), F.min("_loss").alias("loss"))
+    """Grid temperature with the smallest negative log-likelihood; the first one wins a tie. One aggregation, one loss a temperature."""
+    d = df.select(*[F.log(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), F.col(p)))).alias(f"_l{i}") for i, p in enumerate(probs)], F.col(label).alias("_y"))
+
+    def loss(t: float) -> Column:
+        z = [F.col(f"_l{i}") / F.lit(t) for i in range(len(probs))]
+        m = F.greatest(*z) if len(z) > 1 else z[0]
+        total = reduce(lambda a, v: a + F.exp(v - m), z, F.lit(0.0))
+        return -F.avg(F.log(F.exp(F.get(F.array(*z), F.col("_y")) - m) / total + 1e-12))
+
+    losses = d.agg(*[loss(t).alias(f"_t{i}") for i, t in enumerate(TEMPERATURES)])
+    best = losses.select(F.array_min(F.array(*[F.struct(F.col(f"_t{i}").alias("loss"), F.lit(t).alias("temperature")) for i, t in enumerate(TEMPERATURES)])).alias("_b"))
+    return best.select("_b.temperature", "_b.loss")
 
 
 def temperature_apply(df: DataFrame, probs: list[str], t: Column) -> DataFrame:

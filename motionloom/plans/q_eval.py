@@ -307,7 +307,7 @@ def q_promote(spark, sf):
 @query("weak_session_eval")
 def q_weak(spark, sf):
     name = lambda a, b: F.transform(F.slice("embedding", a, b), lambda x: F.when(x > 0.1, "squat").when(x < -0.1, "run").when(x > 0, "plank").otherwise("press"))
-    d = table(spark, sf, "embeddings").select("vec_id", name(1, 5).alias("e"), name(3, 6).alias("p"), (F.col("vec_id") % 5).alias("es"), (F.col("label") % 6).alias("ps"))
+    d = table(spark, sf, "embeddings").select("vec_id", name(1, 40).alias("e"), name(25, 40).alias("p"), (F.col("vec_id") % 5).alias("es"), (F.col("label") % 6).alias("ps"))
     return E.weak_session_eval(d, "e", "p", "es", "ps").select("vec_id", "activity_coverage", "order_score", "set_count_error")
 
 

@@ -211,7 +211,7 @@ def q_explode(spark, sf):
 @query("lcs_length")
 def q_lcs(spark, sf):
     signs = lambda a, b: F.transform(F.slice("embedding", a, b), lambda x: F.when(x > 0.1, "u").when(x < -0.1, "d").otherwise("z"))
-    return table(spark, sf, "embeddings").select("vec_id", S.lcs_length(signs(1, 8), signs(9, 8)).alias("lcs"))
+    return table(spark, sf, "embeddings").select("vec_id", S.lcs_length(signs(1, 32), signs(33, 32)).alias("lcs"))
 
 
 @query("duplicate_ids", sql="""

@@ -432,3 +432,22 @@ def test_large_note_is_read(spark, tmp_path):
     assert FS.scan_notes(spark, str(tmp_path)).select(F.length("content")).first()[0] == 300_000
     row = FS.scan_notes(spark, str(tmp_path), limit=100_000).first()
     assert row["content"] is None and row["reason"] == "too_large"
+
+
+def test_lcs_equals_plain_table(spark):
+    from motionloom.functions import scalar as S
+
+    rng = np.random.default_rng(15)
+    pairs = [([str(x) for x in rng.integers(0, 4, rng.integers(0, 30))], [str(x) for x in rng.integers(0, 4, rng.integers(0, 30))]) for _ in range(60)]
+    pairs += [([], ["a"]), (["a", None, "b"], ["a", None, "b"]), (None, ["a"])]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>").repartition(4)
+    got = {r["i"]: r["n"] for r in d.select("i", S.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        if a is None:
+            assert got[i] is None
+            continue
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x, u in enumerate(a):
+            for y, v in enumerate(b):
+                t[x + 1][y + 1] = t[x][y] + 1 if u is not None and u == v else max(t[x][y + 1], t[x + 1][y])
+        assert got[i] == t[-1][-1]
