@@ -204,7 +204,7 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, same_doc: bo
     texts = keyed(docs).repartition("row")
     found = staged(shared_places(keyed(docs), unit, window, k, same_doc), "anchors")
     wanted = found.where("not known").groupBy("row").agg(F.collect_list(F.struct("gram", "pos", "low", "high", "places")).alias("items"))
-    bodies = texts.dropDuplicates(["row"]).join(wanted, "row").select("row", "doc", "text", "items").mapInArrow(_bodies(unit), BODY_SCHEMA)
+    bodies = texts.join(wanted, "row").select("row", "doc", "text", "items").mapInArrow(_bodies(unit), BODY_SCHEMA)
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition should be one shard
     compared = bodies.repartition(parts, "gram").mapInArrow(resolve, SPAN_SCHEMA)
     known = found.where("known").select("row", F.col("pos") - F.col("low"), F.col("high") - F.col("pos"), F.explode("places").alias("p")).toDF("row", "back", "ahead", "p")

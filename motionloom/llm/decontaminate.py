@@ -80,7 +80,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """``docs`` without the documents that hold a test n-gram; columns as they were."""
     cols = docs.columns
-    bad = hits(docs, items, n).where("n_hit > 0").select(F.col("row").alias("__hit")).distinct()
+    bad = small(staged(hits(docs, items, n).where("n_hit > 0").select(F.col("row").alias("__hit")).distinct(), "test-documents"))
     keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
     return keyed.join(bad, F.col("__row") == F.col("__hit"), "left_anti").select(*cols)
 

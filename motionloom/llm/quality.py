@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionloom.session import staged
 
-from .common import SPACES, UPPER, let, small, words
+from .common import BROADCAST_ROWS, SPACES, UPPER, let, small, words
 
 SYMBOLS = "#*$%&|<>"
 #: Share of good documents that all rules together may reject in a stratum, and the chance that a stratum's bound fails anywhere.
@@ -139,6 +139,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error:
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns. Texts are not shuffled: they are measured where they are read."""
     cols = docs.columns
-    cutoffs = certified_cutoffs(features(docs), labels, risk, error)
+    ids = labels.where("quality = 1").select("doc_id").distinct()
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then only their texts need measuring
+    labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else docs
+    cutoffs = certified_cutoffs(features(labelled), labels, risk, error)
     whole = docs.select("doc_id", "lang", "text", F.struct(*[F.col(c) for c in cols]).alias("__row"))
     return verdicts(features(whole, "__row"), cutoffs).where("kept").select("__row.*")
