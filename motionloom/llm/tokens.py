@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together in a task: the memory of a task follows this and its longest text.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Fixed random multipliers: equal on all executors and in all runs.
 _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
