@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionloom.session import staged
 
-from .common import ascii_lower, row_key, small, words
+from .common import BROADCAST_ROWS, ascii_lower, row_key, small, words
 
 #: The classifier's words are hashed to so many buckets: the model's size, whatever the corpus.
 BUCKETS = 1 << 22
@@ -39,7 +39,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Bucket -1 holds the log priors. At most BUCKETS + 1 rows, those that say nothing left out. A document with
     conflicting labels counts as its worst: toxic before low before good.
     """
-    seen = buckets(docs).select("doc_id", "b").join(marked(labels), "doc_id")
+    marks = staged(marked(labels), "mixing-labels")
+    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only labelled texts are cut into words, and none is shuffled
+        marks = F.broadcast(marks)
+        docs = docs.join(marks.select("doc_id"), "doc_id", "left_semi")
+    seen = buckets(docs).select("doc_id", "b").join(marks, "doc_id")
     each = seen.select(F.explode_outer(F.concat(F.array(F.lit(-1).cast("long")), "b")).alias("bucket"), "n0", "n1", "n2")
     counts = each.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
     counts = staged(counts, "mixing-counts")
