@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from motionloom.session import staged
+
+from .common import row_key, small
 
 #: Production parameters: the share of a host's pages, and the pages at least, that make a line boilerplate.
 RATIO, MIN_PAGES = 0.1, 10
@@ -70,7 +72,7 @@ def drop_document_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int =
     keyed = docs.withColumn("__row", row_key(F.col("source"), F.col("text")))
     pages = keyed.where(F.col("text").isNotNull()).select(F.col("__row").alias("row"), F.col("source").alias("host"), F.split("text", "\n").alias("lines"))
     hit = dropped_lines(pages, ratio, min_pages).select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped"))
-    out = keyed.join(hit, "__row", "left")
+    out = keyed.join(small(staged(hit, "dropped-lines")), "__row", "left")  # texts stay where they are unless very many lose lines
     cut = F.array_join(kept_lines(F.split("text", "\n"), F.col("__dropped")), "\n")
     out = out.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in cols:
