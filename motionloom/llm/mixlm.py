@@ -31,7 +31,7 @@ WORDS, SLOT_BITS, BINS = 4096, 18, 33
 SLOTS = 1 << SLOT_BITS
 TABLES, GATES = 4, 16
 #: Bytes of text at a time; decisions at a time (few enough for a core's cache), and when slots are counted.
-SHARD, CHUNK, COUNTED, LEXICON_ROWS = 4 << 20, 1 << 15, 1 << 19, 50_000
+SHARD, CHUNK, COUNTED, LEXICON_ROWS = 2 << 20, 1 << 15, 1 << 17, 50_000
 #: Costs of spelled words that a worker remembers (of the last model), and how many.
 _SPELLED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 REMEMBERED = 1_500_000
@@ -479,7 +479,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     sums = lists.agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("n")).first()
     ends = base.where("not held_out").count()
     vocabulary, tokens = (sums["v"] or 0) + (ends > 0), (sums["n"] or 0) + ends
-    top = lists.select(F.explode(F.arrays_zip("codes", "counts")).alias("x")).select("x.codes", "x.counts").orderBy(F.desc("counts"), "codes").limit(WORDS).collect()
+    # each partition has so many words of at least ``often`` that all have WORDS together: the most frequent are among those
+    share = -(-WORDS // max(lists.count(), 1))
+    often = lists.agg(F.min(F.coalesce(F.get("counts", F.lit(share - 1)), F.lit(0)))).first()[0] or 0
+    top = lists.select(F.explode(F.filter(F.arrays_zip("codes", "counts"), lambda x: x["counts"] >= often)).alias("x")).select("x.codes", "x.counts").orderBy(F.desc("counts"), "codes").limit(WORDS).collect()
     words, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     letters = np.zeros(257, np.int64)
     for r in answers.where("kind = 2").select(F.explode(F.arrays_zip("codes", "counts")).alias("x")).groupBy("x.codes").agg(F.sum("x.counts").alias("n")).collect():
