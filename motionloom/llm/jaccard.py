@@ -23,7 +23,7 @@ from motionloom.session import staged
 from .anchors import keyed
 from .common import small
 from .components import components
-from .tokens import LOWER, Sums, find_words, joined, mix, shards, word_codes
+from .tokens import LOWER, Sums, find_words, joined, mix, shard_ids, shards, word_codes
 
 #: Unless a contract says otherwise: words of a shingle and the least similarity of a link, as a fraction.
 WORDS, SIMILARITY = 5, (80, 100)
@@ -71,11 +71,10 @@ def _deal(words: int, buckets: int):
     """Each shard's shingles by hash bucket; with bucket 0 go its documents (row, doc, class, n). Equal sets of a shard send one."""
 
     def run(batches):
-        for rows, texts in shards(batches):
+        for shard, (rows, texts) in zip(shard_ids(), shards(batches)):  # noqa: B905
             grams, n = shingle_sets(texts, words)
             kind = set_class(grams, n)
             row, doc = rows["row"].to_numpy(), rows["doc"].to_numpy()
-            shard = int(mix(np.bitwise_xor.reduce(mix(row.view(np.uint64) + np.arange(len(row), dtype=np.uint64)), keepdims=True)).view(np.int64)[0])
             first = np.zeros(len(row), bool)
             first[np.unique(kind, return_index=True)[1]] = True
             owner = np.repeat(np.arange(len(row)), n)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from motionloom.session import staged
 
 from .anchors import keyed
-from .tokens import BYTE_CODE, LOWER, Sums, find_words, joined, mix, shards, word_codes
+from .tokens import BYTE_CODE, LOWER, Sums, find_words, joined, mix, shard_ids, shards, word_codes
 
 #: The model's size, whatever the corpus: dictionary words, slots of each table (a power of two), bins of the refining table.
 WORDS, SLOT_BITS, BINS = 4096, 18, 33
@@ -74,7 +74,7 @@ def _ask(buckets: int):
     """Each shard's (word, text, times) by hash bucket, and its distinct words in the same order; with bucket 0 goes how often its training words have each byte, and their number."""
 
     def run(batches):
-        for rows, texts in shards(batches, SHARD):
+        for shard, (rows, texts) in zip(shard_ids(), shards(batches, SHARD)):  # noqa: B905
             t = Tokens(rows, texts)
             order = np.lexsort((t.owner, t.code))
             code, owner = t.code[order], t.owner[order]
@@ -89,7 +89,6 @@ def _ask(buckets: int):
             spelled, upto = t.spelled(place[first]), np.concatenate(([0], np.cumsum(first)))
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
             row = rows["row"].to_numpy()
-            shard = int(mix(np.bitwise_xor.reduce(mix(row.view(np.uint64) + np.arange(len(row), dtype=np.uint64)), keepdims=True)).view(np.int64)[0])
             meta = np.stack((row, t.held.astype(np.int64), t.count.astype(np.int64))).tobytes()
             n, train = range(buckets), ~t.held[t.owner]
             length = (t.stop - t.start)[train]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 #: Bytes of text that are worked on together in a task: the memory of a task follows this and its longest text.
 SHARD_BYTES = 2 << 20
@@ -39,6 +41,12 @@ def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD_BYTES, column: s
         yield pa.Table.from_batches(rows), texts
 
 
+def shard_ids() -> Iterator[int]:
+    """Numbers of a task's shards, in order: no other shard of the stage has them, whatever its rows; a repeated task gives the same."""
+    task = TaskContext.get()
+    return count((task.partitionId() if task else 0) << 32)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64 bits (in place on a copy)."""
     x = x ^ (x >> np.uint64(30))
