@@ -295,7 +295,10 @@ def verified_links(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(row, doc, n_shingles, component): every document row with the least document (rank) that links reach.
+    """(row, doc, n_shingles, component, group): every document row with the least document (rank) that links reach.
+
+    Groups that share no link can share their least document (of documents without id, or two texts with one id):
+    ``group`` tells them apart, the least class of the linked sets; null for a text without words.
 
     A set has the distinct shingles of ``words`` words of the text, A-Z lower-cased; a shorter text is one shingle; a text
     without words (or null) has none and links with nothing. Two documents link if p of q hundredths, in exact integers:
@@ -317,20 +320,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[in
     sets = pulled.mapInArrow(_sets(words), "cluster long, class long, n long, grams binary").dropDuplicates(["class"])
     linked = components(verified_links(staged(sets, "jaccard-sets"), similarity))
     least = first.join(linked.select(F.col("node").alias("class"), F.col("component").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class"))
-    least = least.select("class", "group", "doc").join(least.groupBy("group").agg(F.min("doc").alias("component")), "group").select("class", "component")
+    least = least.select("class", "group", "doc").join(least.groupBy("group").agg(F.min("doc").alias("component")), "group").select("class", "component", "group")
     out = members.select("row", "doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(least, "class", "left")
-    return out.select("row", "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    return out.select("row", "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"), "group")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each component, the one of the least doc_id (of its rows with different texts, one);
+    """``docs`` with one row of each linked group, the one of the least doc_id (of its rows with different texts, one);
     texts without words all stay, but of rows repeated whole one stays. Columns as they were.
     """
     cols = docs.columns
     found = staged(jaccard_components(docs, words, similarity), "jaccard-found")
-    times = found.groupBy("row").agg(F.count("*").alias("times"), F.first("component").alias("component"), F.first("doc").alias("doc"), F.first("n_shingles").alias("n"))
-    stays = times.where("n > 0 and doc = component").groupBy("component").agg(F.min("row").alias("stay"))
-    judged = times.join(stays, "component", "left").withColumn("gone", (F.col("n") > 0) & (F.coalesce("stay", "row") != F.col("row")))
+    times = found.groupBy("row").agg(F.count("*").alias("times"), F.first("group").alias("group"), F.first("doc").alias("doc"), F.first("n_shingles").alias("n"))
+    stays = times.where("n > 0").groupBy("group").agg(F.min(F.struct("doc", "row"))["row"].alias("stay"))
+    judged = times.join(stays, "group", "left").withColumn("gone", (F.col("n") > 0) & (F.coalesce("stay", "row") != F.col("row")))
     judged = staged(judged.where("gone or times > 1").select(F.col("row").alias("__gone"), "gone", "times"), "jaccard-gone")
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     once = rows.join(small(judged.select("__gone")), F.col("__row") == F.col("__gone"), "left_anti")
