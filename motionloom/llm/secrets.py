@@ -2,8 +2,10 @@
 
 A run of 20 or more characters of an encoding's alphabet, with letters and digits, is tested for being uniformly random: chi-squared
 over the alphabet, runs about the median, lag-one serial correlation, combined by Fisher. How random natural words look is
-counted over the whole corpus, by encoding and length; a run's p-value is the share of natural words of its
-length (or the next shorter ones that exist) that look as random, and Benjamini-Hochberg bounds the share of false finds.
+counted over the whole corpus, by encoding and length. Words seldom reach the lengths of keys, so each natural word is also
+counted run on with the natural words after it, as far as each longer bin begins; a bin that still has too few takes in the
+next shorter ones, which look more random, not less. A run's p-value is the share of what its bin counts that looks as
+random, and Benjamini-Hochberg bounds the share of false finds.
 """
 
 from __future__ import annotations
@@ -108,6 +110,17 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def run_on(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural words of a counted length continued by the natural words of their text behind them, cut where each bin that the
+    word does not reach begins: the words' letters without what is between them, and the start and length of each stretch."""
+    at = np.cumsum(size) - size
+    letters = data[np.repeat(begin - at, size) + np.arange(size.sum())]
+    upto = np.append(at, size.sum())[np.searchsorted(owner, owner, side="right")]  # where the letters of the word's text end
+    long_ = np.flatnonzero(size >= LENGTHS[0])
+    out = [(at[w], np.full(len(w), n)) for n in LENGTHS[LENGTHS >= SHORTEST] for w in [long_[(size[long_] < n) & (at[long_] + n <= upto[long_])]]]
+    return letters, *(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 SCHEMA = "doc_id {}, base array<struct<start:int,kind:int,end:int>>, maybe array<struct<start:int,kind:int,end:int,cell:int>>, natural array<int>, times array<long>"
 
 
@@ -123,9 +136,11 @@ def _scan(batches):
         total = [np.concatenate(([0], np.cumsum(t[data]))) for t in (_DIGIT, _LOWER, _UPPER)]
         digits, lower, upper = (t[b] - t[a] for t in total)
         size = b - a
-        word = (size >= LENGTHS[0]) & ((lower == size) | (upper == size) | ((lower == size - 1) & _UPPER[data[np.minimum(a, max(len(data) - 1, 0))]]))
+        shape = (lower == size) | (upper == size) | ((lower == size - 1) & _UPPER[data[np.minimum(a, max(len(data) - 1, 0))]])
+        word = (size >= LENGTHS[0]) & shape
         long_ = (size >= SHORTEST) & (digits > 0) & (lower + upper > 0)
-        natural, times = np.unique(tested(data, a[word], size[word]), return_counts=True)
+        more = run_on(data, a[shape], size[shape], np.searchsorted(end, a[shape], side="right"))
+        natural, times = np.unique(np.concatenate((tested(data, a[word], size[word]), tested(*more))), return_counts=True)
         a, size = a[long_], size[long_]
         cell, owner = tested(data, a, size), np.searchsorted(end, a, side="right")
         hexes = _HEX[data] >= 0
@@ -161,10 +176,12 @@ def accepted(natural: dict[int, int], maybe: dict[int, int], rate: float = RATE)
     all_words = null.sum(0)  # natural words are no encoding's: each encoding's null is that of all
     p = np.ones_like(seen)
     for b in range(len(LENGTHS)):
-        have = [j for j in range(b + 1) if all_words[j].sum() > 0]
-        if have:
-            tail = np.cumsum(all_words[have[-1]][::-1])[::-1]
-            p[:, b] = (1 + tail) / (1 + tail[0])
+        words, j = all_words[b].copy(), b
+        while j > 0 and 1 + words.sum() < 1 / rate:  # too few to reach the rate: with the next shorter ones
+            j -= 1
+            words += all_words[j]
+        tail = np.cumsum(words[::-1])[::-1]
+        p[:, b] = (1 + tail) / (1 + tail[0])
     order = np.argsort(p, axis=None)
     upto = np.cumsum(seen.reshape(-1)[order])
     good = np.flatnonzero((p.reshape(-1)[order] <= rate * upto / max(upto[-1], 1)) & (seen.reshape(-1)[order] > 0))
