@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with a false-discovery bound.
 
-A run of 20 or more characters of an encoding's alphabet, with letters and digits, is tested for being uniformly random: chi-squared
+A run of 20 or more characters of an encoding's alphabet that has not the shape of a word (letters of one case, or a capital first) is tested for being uniformly random: chi-squared
 over the alphabet, runs about the median, lag-one serial correlation, combined by Fisher. How random natural words look is
 counted over the whole corpus, by encoding and length. Words seldom reach the lengths of keys, so each natural word is also
 counted run on with the natural words after it, as far as each longer bin begins; a bin that still has too few takes in the
@@ -52,7 +52,7 @@ _B64[[ord("-"), ord("_")]] = 62, 63
 #: The encodings inferred, narrowest first: the symbols' numbers and how many there are.
 ENCODINGS = [(_HEX, 16), (_B32, 32), (_B64, 64)]
 _RUN = _B64 >= 0
-_DIGIT, _LOWER, _UPPER = (np.isin(np.arange(256), [ord(c) for c in s]) for s in (_0, _a, _A))
+_LOWER, _UPPER = (np.isin(np.arange(256), [ord(c) for c in s]) for s in (_a, _A))
 
 
 def normal_tail(z: np.ndarray) -> np.ndarray:
@@ -121,6 +121,14 @@ def run_on(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndar
     return letters, *(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def covered(start: int, end: int, spans: list[dict]) -> bool:
+    """Whether spans, given by start, hold all of [start, end) together."""
+    for x in spans:
+        if x["start"] <= start:
+            start = max(start, x["end"])
+    return start >= end
+
+
 SCHEMA = "doc_id {}, base array<struct<start:int,kind:int,end:int>>, maybe array<struct<start:int,kind:int,end:int,cell:int>>, natural array<int>, times array<long>"
 
 
@@ -133,12 +141,12 @@ def _scan(batches):
         if len(edge) % 2:
             edge = np.append(edge, len(data))
         a, b = edge[::2], edge[1::2]
-        total = [np.concatenate(([0], np.cumsum(t[data]))) for t in (_DIGIT, _LOWER, _UPPER)]
-        digits, lower, upper = (t[b] - t[a] for t in total)
+        total = [np.concatenate(([0], np.cumsum(t[data]))) for t in (_LOWER, _UPPER)]
+        lower, upper = (t[b] - t[a] for t in total)
         size = b - a
         shape = (lower == size) | (upper == size) | ((lower == size - 1) & _UPPER[data[np.minimum(a, max(len(data) - 1, 0))]])
         word = (size >= LENGTHS[0]) & shape
-        long_ = (size >= SHORTEST) & (digits > 0) & (lower + upper > 0)
+        long_ = (size >= SHORTEST) & ~shape
         more = run_on(data, a[shape], size[shape], np.searchsorted(end, a[shape], side="right"))
         natural, times = np.unique(np.concatenate((tested(data, a[word], size[word]), tested(*more))), return_counts=True)
         a, size = a[long_], size[long_]
@@ -158,7 +166,7 @@ def _scan(batches):
         for i, s, n, c in zip(owner.tolist(), a.tolist(), size.tolist(), cell.tolist(), strict=True):
             first = int(point[start[i] - 1]) if start[i] else 0
             s, e = (int(point[s - 1]) if s else 0) - first, int(point[s + n - 1]) - first
-            if all(e <= x["start"] or x["end"] <= s for x in base[i]):
+            if not covered(s, e, base[i]):
                 maybe[i].append({"start": s, "kind": 3, "end": e, "cell": c})
         none = [[]] * (len(texts) - 1)
         spans = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -193,7 +201,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, base and found of every document row: arrays of (start, kind, end) in code points, end exclusive.
 
     ``base`` has the fixed patterns' matches, leftmost and not overlapping per kind; ``found`` those of the random runs
-    that the bound admits and that overlap none of them. Without natural words in the corpus no run is reported. A null
+    that the bound admits and that they do not cover: such a run is reported whole, with what a pattern matched of it. Without natural words in the corpus no run is reported. A null
     or empty text has none; rows stay as many as they are.
     """
     scanned = staged(docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA.format(docs.schema["doc_id"].dataType.simpleString())), "secrets")

@@ -40,3 +40,15 @@ def test_few_long_words_are_pooled_with_shorter_ones():
     natural, maybe = {cell(24, -9.0): 5, cell(20, -8.0): 10, cell(16, -6.0): 500}, {cell(32, -0.3): 4, cell(32, -7.0): 1}
     assert secrets.accepted(natural, maybe) == [cell(32, -0.3)]
     assert secrets.accepted({}, maybe) == [] and secrets.accepted({cell(24, -9.0): 5}, maybe) == []
+
+
+def test_runs_without_digits_or_beyond_a_base_span(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(LONG if rng.random() < 0.3 else SHORT) for _ in range(100))) for i in range(60)]
+    letters = "".join(rng.choice(ALNUM[:52]) for _ in range(40))
+    mixed = "Zk9QwXv7TgLm2RsB" + "3f8a1c94e07b5d62a9c41e7f"  # the hex rule matches its end alone
+    digits = "31415926535897932384"  # under the 24 of the hex rule
+    got = spans(spark, [*rows, (100, letters), (102, "password=abcdef1 x"), (103, mixed[16:]), (104, "abc-" * 12)])
+    assert (got[100], got[102], got[103], got[104]) == ("random:0:40", "assign:0:16", "hex:0:24", "")
+    scanned = next(secrets._scan(iter([secrets.pa.record_batch({"doc_id": [1, 2, 3], "text": [digits, mixed, mixed[16:]]})])))
+    assert [[(x["start"], x["end"]) for x in m] for m in scanned["maybe"].to_pylist()] == [[(0, 20)], [(0, 40)], []]
