@@ -8,18 +8,24 @@ third of all rows, so nothing here does that. Each key's order is cut into block
 * ``with_halo``    bounded frames (lag, lead, rolling): rows near a block edge are copied to the
                    neighbouring block, so each (key, block) can be computed alone;
 * ``spread_join``  rows to one-row-per-key tables with the hot keys salted;
+* ``block_entries`` the state in which a recursion enters each block, by composing the blocks' maps in a tree;
 * ``exact_percentile`` rank selection over distinct values in bins, never one task per key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 BLOCK_ROWS = 1 << 17
 SALTS = 16
 
@@ -179,3 +185,47 @@ def exact_percentile(df: DataFrame, key: list[str], value: str, points: dict[str
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         result.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return found.select(*key, *result)
+
+
+def block_entries(blocks: DataFrame, key: list[str], seq: str, maps: list[str], first: str, compose: Callable[[list[Any], list[Any]], list[Any]], enter: Callable[[list[Any], Any], Any],
+                  fan: int = 64) -> DataFrame:
+    """(key, seq, entry): the state before each block of a recursion that starts with ``first``.
+
+    A block (whole number ``seq``, distinct per key) is a map of states, held in the columns ``maps``;
+    ``compose(earlier, later)`` is the map of two blocks together and ``enter(map, state)`` what a block makes of a
+    state. ``fan`` neighbours become one map, level by level, until each key has one; then every level hands the
+    entries down. No task or row holds more than ``fan`` maps, and the work is linear in the blocks.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    types = ", ".join(f"`{k}` {kinds[k]}" for k in key)
+    level = staged(blocks.select(*key, F.col(seq).cast("long").alias("_seq"), *maps, F.col(first).alias("_first")), "maps")
+    start = staged(level.groupBy(*key).agg(F.min_by("_first", "_seq").alias("_entry")), "entries")
+    levels = [level]
+
+    def fold(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = pdf.sort_values("_seq")[maps].itertuples(index=False, name=None)
+        whole = reduce(compose, (list(p) for p in parts))
+        return pd.DataFrame([[*group, *whole]], columns=[*key, "_seq", *maps])
+
+    def walk(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_seq")
+        state, out = pdf["_entry"].iloc[0], []
+        for m in pdf[maps].itertuples(index=False, name=None):
+            out.append(state)
+            state = enter(list(m), state)
+        res = pdf[[*key, "_seq"]].copy()
+        res["_entry"] = out
+        return res
+
+    up = F.floor(F.col("_seq") / fan).alias("_seq")
+    while levels[-1].groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        folded = levels[-1].groupBy(*key, up).applyInPandas(fold, f"{types}, _seq long, " + ", ".join(f"`{m}` {kinds[m]}" for m in maps))
+        levels.append(staged(folded, "maps"))
+    same = lambda a, b, cols: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
+    top = levels.pop()
+    entries = top.join(start, same(top, start, key)).select(*[top[k] for k in key], top["_seq"], "_entry")
+    while levels:
+        low, high = levels.pop().withColumn("_up", up), entries.withColumnRenamed("_seq", "_up")
+        met = low.join(high, same(low, high, [*key, "_up"])).select(*[low[k] for k in key], low["_seq"], low["_up"], *[low[m] for m in maps], "_entry")
+        entries = staged(met.groupBy(*key, "_up").applyInPandas(walk, f"{types}, _seq long, _entry {kinds[first]}"), "entries")
+    return entries.withColumnsRenamed({"_seq": seq, "_entry": "entry"})
