@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lempelziv, linededup, mixing, mixlm, quality, secrets, suffix, tokencount
+from . import conversation_sql, decontaminate, jaccard, lempelziv, linededup, mixing, mixlm, polytope, quality, repair, secrets, suffix, tokencount, trie
 from .common import table
 
 QUERIES: dict = {}
@@ -124,6 +124,22 @@ def op10(spark, sf):
     return mixlm.score_texts(table(spark, sf, "documents"))
 
 
+@query("op11_conversation_repair", conversation_sql.REPAIR)
+def op11(spark, sf):
+    return repair.repair_damaged(table(spark, sf, "conversations"))
+
+
+@query("op12_prefix_trie", conversation_sql.TRIE)
+def op12(spark, sf):
+    return trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return polytope.nearest_neighbours(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
