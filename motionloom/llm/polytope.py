@@ -214,7 +214,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, id_: st
 
     Every row is hashed in TABLES tables; a table's buckets are joined cell by cell with the queries that probe them, and
     distances are computed on the original vectors. A query for which fewer than ``k`` rows were found is
-    compared with all rows, so small tables get exact answers. A cell with very many rows (near copies of
+    compared with all rows. A cell with very many rows (near copies of
     one vector) is split by row into parts that its queries all visit; no bucket is capped.
 
     Rows and queries with a null id or vector, without a component that is not zero, or with a null, NaN or infinite
