@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import kernels
+
 
 def _batches(arrays: pd.Series):
     """Stack arrays of equal length; yields (positions, matrix)."""
@@ -32,18 +34,7 @@ def spectral(array: Column, fs: Column | float, low: float = 0.2, high: float =
         out = np.full((len(arrays), 2), np.nan)
         hz = rate.to_numpy(dtype=float)
         for at, x in _batches(arrays):
-            n = x.shape[1]
-            if n < min_samples:
-                continue
-            freq = np.arange(n // 2 + 1) * (hz[at, None] / n)
-            keep = (freq >= low) & (freq <= np.minimum(high, hz[at, None] / 2))
-            power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2 * keep
-            total, bins = power.sum(axis=1), keep.sum(axis=1)
-            live = total > floor
-            p = power / np.where(live, total, 1.0)[:, None]
-            entropy = -(p * np.log2(p + 1e-15)).sum(axis=1) / np.maximum(np.log2(np.maximum(bins, 1)), entropy_floor)
-            out[at, 0] = np.where(live, freq[np.arange(len(at)), power.argmax(axis=1)], 0.0)
-            out[at, 1] = np.where(live & (bins > 1), entropy, 0.0)
+            out[at, 0], out[at, 1] = kernels.spectral(x, hz[at], low, high, floor, entropy_floor, min_samples)
         return pd.DataFrame(out, columns=["dominant_hz", "entropy"])
 
     return run(array, fs if isinstance(fs, Column) else F.lit(float(fs)))
@@ -56,16 +47,7 @@ def autocorr_period(array: Column, fs: float) -> Column:
     def run(arrays: pd.Series) -> pd.Series:
         out = np.zeros(len(arrays))
         for at, x in _batches(arrays):
-            n = x.shape[1]
-            low, high = max(1, int(fs / 4.0)), min(n, int(fs / 0.3))
-            if high <= low:
-                continue
-            centred = x - x.mean(axis=1, keepdims=True)
-            padded = np.fft.rfft(centred, 2 * n, axis=1)
-            corr = np.fft.irfft(np.abs(padded) ** 2, 2 * n, axis=1)
-            inside = corr[:, low:high]
-            top = inside.max(axis=1, keepdims=True) - 1e-9 * corr[:, :1]  # equal peaks: the first lag
-            out[at] = np.where(x.std(axis=1) < 1e-8, 0.0, (low + (inside >= top).argmax(axis=1)) / fs)
+            out[at] = kernels.period(x, fs)
         return pd.Series(out)
 
     return run(array)

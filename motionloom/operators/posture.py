@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import scalar as S
 from ..functions.spectral import mean_quaternion
 from ..functions.taxonomy import TRUSTED_REFERENCES
 from .ordered import BLOCK_ROWS, exact_percentile
-from .windows import blocked, explode_windows, step_by_hop, window_rows
+from .windows import kernel_windows, step_by_hop, window_rows
 
 Q = ["q0", "q1", "q2", "q3"]
 
@@ -50,38 +52,14 @@ def posture_windows(df: DataFrame, key: list[str], idx: str, base: dict[str, Col
     baseline columns already joined to the rows.
     """
     n, step = window_rows(window_s, fs), step_by_hop(hop_s, fs)
-    c = F.col
-    rel = {f"relative_{a}": S.angle_wrap_diff(c(a), base[a]) for a in ("roll", "pitch", "yaw")}
-    d = df.withColumns({**rel, **{f"_b{q}": base[q] for q in Q}, "_gm": S.norm(c("gx"), c("gy"), c("gz")), "_am": S.norm(c("ax"), c("ay"), c("az")),
-                        **{f"_b{a}": base[a] for a in ("ax", "ay", "az")}})
-    d = d.withColumns({f"_n{q}": e for q, e in zip(Q, S.quat_normalise(tuple(c(q) for q in Q)))})
-    d = d.withColumns({f"_m{q}": e for q, e in zip(Q, S.quat_normalise(tuple(c(f"_b{q}") for q in Q)))})
-    d = d.withColumns({f"_r{q}": e for q, e in zip(Q, S.quat_product(S.quat_conjugate(tuple(c(f"_m{q}") for q in Q)), tuple(c(f"_n{q}") for q in Q)))})
-    d = d.withColumns({f"rotation_vector_{a}": e for a, e in zip("xyz", S.rotation_vector(tuple(c(f"_r{q}") for q in Q)))})
-    d = d.withColumn("_rd", S.norm(*[c(f"rotation_vector_{a}") for a in "xyz"]))
-    vals = [f"relative_{a}" for a in ("roll", "pitch", "yaw")] + [f"rotation_vector_{a}" for a in "xyz"]
     raw = ["ax", "ay", "az", "gx", "gy", "gz", "roll", "pitch", "yaw", *Q]
-    finite = F.lit(True)
-    for r in raw:
-        finite = finite & c(r).isNotNull() & ~F.isnan(r)
-    d = d.withColumn("_ok", finite).select(*key, idx, *vals, "_rd", "_gm", "_am", "_ok", "ax", "ay", "az", "_bax", "_bay", "_baz")
-    e = explode_windows(blocked(d, idx, n, size).repartition(*key, "_blk"), idx, n, step, size)
-    aggs = []
-    for v in vals:
-        aggs += [F.avg(v).alias(f"{v}_mean"), F.percentile(v, F.lit(0.5)).alias(f"{v}_median"), F.stddev_pop(v).alias(f"{v}_std"), F.max_by(v, idx).alias(f"{v}_last")]
-        if v.startswith("relative"):
-            aggs.append((F.max(v) - F.min(v)).alias(f"{v}_range"))
-    aggs += [F.avg("_rd").alias("rotation_degrees_mean"), F.percentile("_rd", F.lit(0.95)).alias("rotation_degrees_p95"), F.avg("_gm").alias("gyro_mean_dps"),
-             F.percentile("_gm", F.lit(0.95)).alias("gyro_p95_dps"), F.sqrt(F.avg(c("_gm") * c("_gm"))).alias("gyro_rms_dps"), F.stddev_pop("_am").alias("dynamic_acc_std_g"),
-             (F.max("_am") - F.min("_am")).alias("dynamic_acc_range_g")]
-    aggs += [F.avg(a).alias(f"_u{a}") for a in ("ax", "ay", "az")] + [F.max(f"_b{a}").alias(f"_b{a}") for a in ("ax", "ay", "az")]
-    g = e.groupBy(*key, "_blk", "win").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("_ok").alias("_ok"), *aggs).filter((c("_n") == n) & c("_ok"))
-    u, b = F.greatest(S.norm(c("_uax"), c("_uay"), c("_uaz")), F.lit(1e-9)), F.greatest(S.norm(c("_bax"), c("_bay"), c("_baz")), F.lit(1e-9))
-    g = g.withColumns({**{f"_u{a}": c(f"_u{a}") / u for a in ("ax", "ay", "az")}, **{f"_b{a}": c(f"_b{a}") / b for a in ("ax", "ay", "az")}})
-    dot = c("_uax") * c("_bax") + c("_uay") * c("_bay") + c("_uaz") * c("_baz")
-    g = g.withColumns({"gravity_change_degrees": F.degrees(F.acos(S.clip(dot, -1.0, 1.0))), "window_seconds": F.lit((n - 1) / fs),
-                       **{f"relative_gravity_{a[1]}": c(f"_u{a}") - c(f"_b{a}") for a in ("ax", "ay", "az")}})
-    return g.drop("_n", "_ok", "_blk", *[f"_{p}{a}" for p in "ub" for a in ("ax", "ay", "az")])
+    d, neutral = df.withColumns({f"_b_{k}": v for k, v in base.items()}), list(base)
+
+    def features(x: np.ndarray) -> dict[str, np.ndarray]:
+        return K.posture(x[..., :len(raw)], {k: x[:, 0, len(raw) + i] for i, k in enumerate(neutral)}, fs)
+
+    blank = K.posture(np.zeros((0, n, len(raw))), {k: np.zeros(0) for k in neutral}, fs)
+    return kernel_windows(d, key, idx, [*raw, *[f"_b_{k}" for k in neutral]], n, step, list(blank), features, size, len(raw))
 
 
 def orientation_source(df: DataFrame, source: Column, hw: list[str], hw_quat: list[str], fused: list[str]) -> DataFrame:

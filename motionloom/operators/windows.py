@@ -1,20 +1,24 @@
 """Sliding windows and their features.
 
-Rows are shuffled once, to (key, block) with a look-ahead halo, and exploded to windows after the
-shuffle: an overlap of four costs no extra network. Grouping by (key, block, window) then needs no
-further exchange, because it is a refinement of the same partitioning.
+Rows are shuffled once, to (key, block) with a look-ahead halo: an overlap of four costs no extra network.
+Feature sets are computed by the kernels of ``functions.kernels`` on strided windows of each sorted block, many
+windows of many blocks at a time; no row is copied per window. Plain aggregates explode the rows to their
+windows instead; grouping by (key, block, window) is a refinement of the same partitioning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import scalar as S
 from ..functions.spectral import autocorr_period, partial_dft, spectral
 from .ordered import BLOCK_ROWS, block_window, exact_percentile, spread_join, with_halo
@@ -54,27 +58,6 @@ def sliding_windows(df: DataFrame, key: list[str], idx: str, n: int, step: int,
     return g.filter(F.col("_n") == n).drop("_n", "_blk")
 
 
-def _prepare(df: DataFrame, key: list[str], idx: str, cols: list[str], extra: dict[str, Column], n: int, step: int, size: int,
-             skip_nulls: bool) -> DataFrame:
-    """Blocked rows with derived channels and the previous value of each, exploded to windows.
-
-    ``_p_<c>`` is NULL on a window's first value. With ``skip_nulls`` the previous value is the last
-    one that exists inside the window.
-    """
-    w = block_window(key, idx)
-    d = blocked(df.select(*key, idx, *cols).withColumns(extra), idx, n, size)
-    channels = cols + list(extra)
-    if skip_nulls:
-        back = w.rowsBetween(W.unboundedPreceding, -1)  # grows with the row: one step each, unlike a sliding frame
-        prev = {f"_p_{c}": F.last(c, True).over(back) for c in channels}
-        prev.update({f"_i_{c}": F.last(F.when(F.col(c).isNotNull(), F.col(idx)), True).over(back) for c in channels})
-        e = explode_windows(d.withColumns(prev), idx, n, step, size)
-        return e.withColumns({f"_p_{c}": F.when(F.col(f"_i_{c}") >= F.col("win") * step, F.col(f"_p_{c}")) for c in channels}).drop(*[f"_i_{c}" for c in channels])
-    prev = {f"_p_{c}": F.lag(c).over(w) for c in channels}
-    e = explode_windows(d.withColumns(prev), idx, n, step, size)
-    return e.withColumns({f"_p_{c}": F.when(F.col(idx) > F.col("win") * step, F.col(f"_p_{c}")) for c in channels})
-
-
 def _stats(c: str, fs: Column | float, ddof: int, names: tuple[str, ...]) -> list[Column]:
     x = F.col(c)
     quart = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
@@ -130,16 +113,85 @@ def _values(channels: list[str]) -> dict[str, Column]:
     return {c: F.filter(_member(c), lambda v: v.isNotNull()) for c in channels}
 
 
+#: Windows that a kernel works on at a time.
+STACK = 512
+
+
+def kernel_windows(df: DataFrame, key: list[str], idx: str, cols: list[str], n: int, step: int, names: list[str], features: Callable[[np.ndarray], dict[str, np.ndarray]], size: int = BLOCK_ROWS,
+                   complete: int = 0) -> DataFrame:
+    """(key, win, names): ``features`` of the full windows of ``n`` rows every ``step`` rows of the columns ``cols``.
+
+    ``features`` gets stacks (windows, rows, columns) with NaN for NULL. Windows with a missing sample among the
+    first ``complete`` columns are left out. A block with its halo is what a task holds at a time.
+    """
+    rows = df.select(*key, F.col(idx).cast("long").alias("_i"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    rows = blocked(rows, "_i", n, size).drop("_core").repartition(*key, "_blk").sortWithinPartitions(*key, "_blk", "_i")
+    kinds = [rows.schema[k].dataType.simpleString() for k in key]
+    by = [*key, "_blk"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group, ready = [], None, []
+
+        def windows():
+            index, values = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            wins = np.arange(-(-group[-1] * size // step), -(-(group[-1] + 1) * size // step))
+            at = np.searchsorted(index, wins * step)
+            full = at + n <= len(index)
+            wins, at = wins[full], at[full]
+            full = (index[at] == wins * step) & (index[at + n - 1] == wins * step + n - 1)
+            view = np.lib.stride_tricks.sliding_window_view(values, n, axis=0) if full.any() else None
+            for a in range(0, int(full.sum()), STACK):
+                ready.append((group, wins[full][a:a + STACK], view[at[full][a:a + STACK]].transpose(0, 2, 1)))
+
+        def answers():
+            x = np.concatenate([r[2] for r in ready])
+            keys = [[v for r in ready for v in [r[0][k]] * len(r[1])] for k in range(len(key))]
+            wins = np.concatenate([r[1] for r in ready])
+            ready.clear()
+            good = np.isfinite(x[..., :complete]).all((1, 2))
+            with np.errstate(invalid="ignore"):
+                found = features(x[good])
+            columns = [pa.array([v for v, g in zip(vs, good) if g], types[i]) for i, vs in enumerate(keys)] + [pa.array(wins[good])]
+            return pa.record_batch([*columns, *[pa.array(found[c], pa.float64(), from_pandas=True) for c in names]], names=[*key, "win", *names])
+
+        types = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = [b.schema.field(k).type for k in key]
+            index = b.column("_i").to_numpy()
+            values = np.stack([b.column(f"_c{i}").to_numpy(zero_copy_only=False) for i in range(len(cols))], 1)
+            turns = np.zeros(len(index), bool)
+            for c in by:
+                codes = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                turns[1:] |= codes[1:] != codes[:-1]
+            starts = [0, *np.flatnonzero(turns), len(index)]
+            for a, z in zip(starts, starts[1:]):
+                now = tuple(b.column(c)[int(a)].as_py() for c in by)
+                if group is not None and now != group:
+                    windows()
+                    held = []
+                    if sum(len(r[1]) for r in ready) >= STACK:
+                        yield answers()
+                group = now
+                held.append((index[a:z], values[a:z]))
+        if held:
+            windows()
+        if ready:
+            yield answers()
+
+    return rows.mapInArrow(cut, ", ".join([*(f"`{k}` {t}" for k, t in zip(key, kinds)), "win bigint", *(f"`{c}` double" for c in names)]))
+
+
 def window_stats_v2(df: DataFrame, key: list[str], idx: str, axes: dict[str, str], fs: float = 50.0, window_s: float = 4.0, hop_s: float = 1.0,
-                    size: int = BLOCK_ROWS) -> DataFrame:
+                    size: int = BLOCK_ROWS, names: list[str] | None = None) -> DataFrame:
     """The 91 features of the second generation: population std, dynamic part about the window's median.
 
-    ``axes`` maps acc_x..gyro_z to the input's columns.
+    ``axes`` maps acc_x..gyro_z to the input's columns; ``names`` picks some of the features.
     """
     n, step = window_rows(window_s, fs), step_by_hop(hop_s, fs)
-    src = df.select(*key, idx, *[F.col(v).alias(k) for k, v in axes.items()])
-    extra = {"acc_mag": _magnitude(AXES[:3]), "gyro_mag": _magnitude(AXES[3:])}
-    return _aggregate_v2(_prepare(src, key, idx, AXES, extra, n, step, size, False), [*key, "_blk", "win"], idx, fs, n).drop("_blk")
+    names = K.V2_NAMES if names is None else names
+    return kernel_windows(df, key, idx, [axes[a] for a in AXES], n, step, names, lambda x: K.v2(x, fs, names), size)
 
 
 def _aggregate_v2(e: DataFrame, by: list[str], idx: str, fs: float, n: int) -> DataFrame:
@@ -178,62 +230,29 @@ def window_stats_v1(df: DataFrame, key: list[str], idx: str, axes: dict[str, str
     """
     n = window_rows(window_s, fs)
     step = step_by_overlap(n, overlap)
-    src = df.select(*key, idx, *[F.col(v).alias(k) for k, v in axes.items()])
-    extra = {"acc_mag": _magnitude(AXES[:3]), "gyro_mag": _magnitude(AXES[3:]), "dynamic_acc": F.abs(_magnitude(AXES[:3]) - 1.0)}
-    e = _prepare(src, key, idx, list(axes), extra, n, step, size, True)
-    channels, by = list(axes) + list(extra), [*key, "_blk", "win"]
-    aggs = []
-    for c in channels:
-        aggs += _stats(c, fs, 1, ("mean", "std", "rms", "range", "iqr", "jerk_rms"))
-        aggs += [F.percentile(c, F.lit(0.5)).alias(f"_d_{c}"), F.count(c).alias(f"_k_{c}")]
-    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, _series(channels, idx)).filter(F.col("_n") == n)
-    arrays = _values(channels)
-    far = lambda c: F.array_sort(F.transform(arrays[c], lambda v: F.abs(v - F.col(f"_d_{c}"))))
-    g = g.withColumns({**{f"{c}_mad": sorted_percentile(far(c), 0.5) for c in channels}, "acc_sma": _sma()})
-    g = _spectra(g, arrays, fs, ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12, min_samples=8)
-    names = ("mean", "std", "rms", "range", "iqr", "mad", "jerk_rms", "dom_freq_hz", "spec_entropy")
-    g = g.withColumns({f"{c}_{s}": F.when(F.col(f"_k_{c}") >= 2, F.col(f"{c}_{s}")) for c in channels for s in names})
-    return g.withColumns({"window_start_s": F.col("win") * step / F.lit(fs), "window_end_s": (F.col("win") * step + n - 1) / F.lit(fs)}).drop(
-        "_n", "_blk", *[f"_{p}_{c}" for c in channels for p in "kd"])
+    names = [f"{c}_{s}" for c in [*axes, "acc_mag", "gyro_mag", "dynamic_acc"] for s in K.V1_STATS] + ["acc_sma"]
+    g = kernel_windows(df, key, idx, list(axes.values()), n, step, names, lambda x: K.v1(x, list(axes), fs), size)
+    return g.withColumns({"window_start_s": F.col("win") * step / F.lit(fs), "window_end_s": (F.col("win") * step + n - 1) / F.lit(fs)})
 
 
 def live_features_v1(df: DataFrame, key: list[str], idx: str, t: str, axes: dict[str, str], n: int, step: int, size: int = BLOCK_ROWS) -> DataFrame:
-    """The live subset (mean, std, rms, dominant, entropy, sma) at the rate observed in each window."""
-    src = df.select(*key, idx, F.col(t).alias("_t"), *[F.col(v).alias(k) for k, v in axes.items()])
-    extra = {"acc_mag": _magnitude(AXES[:3]), "gyro_mag": _magnitude(AXES[3:]), "dynamic_acc": F.abs(_magnitude(AXES[:3]) - 1.0)}
-    d = blocked(src.withColumns(extra), idx, n, size).repartition(*key, "_blk")
-    e = explode_windows(d, idx, n, step, size)
-    channels, by = AXES + list(extra), [*key, "_blk", "win"]
-    stats = [F.avg(c).alias(f"{c}_mean") for c in channels] + [F.stddev_samp(c).alias(f"{c}_std") for c in channels] + [F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{c}_rms") for c in channels]
-    span = F.greatest(F.max("_t") - F.min("_t"), F.lit(1e-6))
-    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), ((F.count(F.lit(1)) - 1) / span).alias("fs"), *stats, _series(channels, idx))
-    g = g.filter(F.col("_n") == n).drop("_n").withColumn("acc_sma", _sma())
-    return _spectra(g, _values(channels), F.col("fs"), ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12).drop("_blk")
-
-
-def contrast_features(e: DataFrame, by: list[str], idx: str, n: int | None, fs: float) -> DataFrame:
-    """Action-contrast features of exploded windows (acc_*, gyro_*, angle_* columns)."""
-    spread = lambda c: (lambda p: (p[1] - p[0]).alias(f"angle_{c}_range_p90"))(F.percentile(f"angle_{c}", F.array(F.lit(0.05), F.lit(0.95))))
-    aggs = [F.stddev_pop("acc_mag").alias("acc_mag_std"), F.percentile("acc_mag", F.lit(0.5)).alias("_med"), F.avg("gyro_mag").alias("gyro_mag_mean"),
-            F.stddev_pop("gyro_mag").alias("gyro_mag_std"), F.percentile("gyro_mag", F.lit(0.95)).alias("gyro_mag_p95")]
-    aggs += [F.stddev_pop(c).alias(f"{c}_std") for c in AXES] + [spread(c) for c in "xyz"]
-    g = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, _series(["acc_mag", "gyro_mag"], idx))
-    if n is not None:
-        g = g.filter(F.col("_n") == n)
-    dyn = F.array_sort(F.transform(_member("acc_mag"), lambda v: F.abs(v - F.col("_med"))))
-    g = g.withColumn("acc_dynamic_p95", sorted_percentile(dyn, 0.95))
-    for c in ("acc", "gyro"):
-        g = g.withColumn(f"{c}_dominant_hz", spectral(_member(f"{c}_mag"), fs, 0.15, 3.0, floor=-1.0)["dominant_hz"])
-    return g.drop("_series", "_n", "_med")
+    """The live subset (mean, std, rms, dominant, entropy, sma) at the rate observed in each window, with that rate."""
+    names = [f"{c}_{s}" for c in [*AXES, "acc_mag", "gyro_mag", "dynamic_acc"] for s in ("mean", "std", "rms", "dom_freq_hz", "spec_entropy")] + ["acc_sma"]
+
+    def live(x: np.ndarray) -> dict[str, np.ndarray]:
+        fs = (n - 1) / np.maximum(x[:, -1, 6] - x[:, 0, 6], 1e-6)
+        return {"fs": fs, **K.v1(x[..., :6], AXES, fs, names)}
+
+    return kernel_windows(df, key, idx, [*[axes[a] for a in AXES], t], n, step, ["fs", *names], live, size)
 
 
 def contrast_windows(df: DataFrame, key: list[str], idx: str, axes: dict[str, str], fs: float = 50.0, window_s: float = 2.0, overlap: float = 0.5,
                      size: int = BLOCK_ROWS) -> DataFrame:
+    """Action-contrast features of windows; ``axes`` maps acc_*, gyro_* and angle_* to columns."""
     n = window_rows(window_s, fs)
-    step = step_by_overlap(n, overlap)
-    src = df.select(*key, idx, *[F.col(v).alias(k) for k, v in axes.items()]).withColumns({"acc_mag": _magnitude(AXES[:3]), "gyro_mag": _magnitude(AXES[3:])})
-    e = explode_windows(blocked(src, idx, n, size).repartition(*key, "_blk"), idx, n, step, size)
-    return contrast_features(e, [*key, "_blk", "win"], idx, n, fs).drop("_blk")
+    cols = [axes[a] for a in [*AXES, "angle_x", "angle_y", "angle_z"]]
+    names = list(K.contrast(np.zeros((0, n, 9)), fs))
+    return kernel_windows(df, key, idx, cols, n, step_by_overlap(n, overlap), names, lambda x: K.contrast(x, fs), size)
 
 
 def recording_contrast(df: DataFrame, key: list[str], idx: str, axes: dict[str, str], fs: float = 50.0, size: int = BLOCK_ROWS, bins: int = 1 << 14) -> DataFrame:

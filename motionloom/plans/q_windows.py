@@ -69,12 +69,23 @@ pe AS (SELECT lg.device, lg.win, lg.ch, CASE WHEN any_value(s) < 1e-8 THEN 0 ELS
 """
 
 
-def v2(spark, sf):
-    return WN.window_stats_v2(imu6(spark, sf), DEV, "idx", MAP)
+def spectra_sql(src, rate="50.0"):
+    """Spectra of series of any length in ``src`` (device, win, ch, idx, x): CTE ``f`` (device, win, ch, dominant, entropy); entropy over the bins that there are."""
+    return f""", ls AS (SELECT device, win, ch, m, fs, list(x - mu ORDER BY idx) AS xs FROM (SELECT *, avg(x) OVER q AS mu, count(*) OVER q AS m, {rate} AS fs FROM {src} WINDOW q AS (PARTITION BY device, win, ch)) z GROUP BY 1, 2, 3, 4, 5),
+tr AS (SELECT m, k, list(cos(2 * pi() * ((j * k) % m) / m) ORDER BY j) AS cs, list(sin(2 * pi() * ((j * k) % m) / m) ORDER BY j) AS sn FROM (SELECT m, UNNEST(generate_series(0, m // 2)) AS k FROM (SELECT DISTINCT m FROM ls) a) b, LATERAL (SELECT UNNEST(generate_series(0, m - 1)) AS j) c GROUP BY 1, 2),
+pw AS (SELECT device, win, ch, k * (fs / ls.m) AS hz, pow(list_dot_product(xs, cs), 2) + pow(list_dot_product(xs, sn), 2) AS p FROM ls JOIN tr ON tr.m = ls.m WHERE k * (fs / ls.m) >= 0.2 AND k * (fs / ls.m) <= least(15.0, fs / 2)),
+pt AS (SELECT device, win, ch, sum(p) AS total, count(*) AS bins FROM pw GROUP BY 1, 2, 3),
+f AS (SELECT pw.device, pw.win, pw.ch, CASE WHEN any_value(total) > 0 THEN arg_max(hz, p) ELSE 0 END AS dominant,
+ CASE WHEN any_value(total) > 0 AND any_value(bins) > 1 THEN -sum(p / total * log2(p / total + 1e-15)) / log2(any_value(bins)) ELSE 0 END AS entropy FROM pw JOIN pt ON pt.device = pw.device AND pt.win = pw.win AND pt.ch = pw.ch GROUP BY 1, 2, 3)
+"""
+
+
+def v2(spark, sf, names=None):
+    return WN.window_stats_v2(imu6(spark, sf), DEV, "idx", MAP, names=names)
 
 
-def pick(df, names, digits=6):
-    return df.select("device", "win", *[r(F.col(n), 8 if n == "acc_sma" else digits).alias(n) for n in names])
+def pick(spark, sf, names, digits=6):
+    return v2(spark, sf, names).select("device", "win", *[r(F.col(n), 8 if n == "acc_sma" else digits).alias(n) for n in names])
 
 
 @query("sliding_windows", uses="imu6", sql=win_sql(200, 50) + """
@@ -116,20 +127,20 @@ def q_period(spark, sf):
 
 @query("axis_correlation", uses="imu6", sql=win_sql(200, 50) + f"SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM ({CORR_SQL}) q")
 def q_corr(spark, sf):
-    return pick(v2(spark, sf), list(CORR)).unpivot(["device", "win"], list(CORR), "feature", "value")
+    return pick(spark, sf, list(CORR)).unpivot(["device", "win"], list(CORR), "feature", "value")
 
 
 @query("gravity_direction", uses="imu6", sql=win_sql(200, 50) + f"SELECT device, win, feature, round(value, 6) + 0.0 AS value FROM ({GRAV_SQL}) q")
 def q_gravity(spark, sf):
     names = ["gravity_x", "gravity_y", "gravity_z"]
-    return pick(v2(spark, sf), names).unpivot(["device", "win"], names, "feature", "value")
+    return pick(spark, sf, names).unpivot(["device", "win"], names, "feature", "value")
 
 
 @query("sma", uses="imu6", sql=win_sql(200, 50) + """
 , q AS (SELECT device, win, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM w GROUP BY 1, 2)
 SELECT w.device, w.win, round(avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)), 8) + 0.0 AS acc_sma FROM w JOIN q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2""")
 def q_sma(spark, sf):
-    return pick(v2(spark, sf), ["acc_sma"])
+    return pick(spark, sf, ["acc_sma"])
 
 
 V1_SQL = win_sql(100, 50).replace("FROM imu6)", "FROM (SELECT * REPLACE (CASE WHEN idx % 37 = 5 THEN NULL ELSE gx END AS gx) FROM imu6) i6)", 1)
@@ -140,7 +151,10 @@ s AS (SELECT device, win, ch, avg(x) AS mean, stddev_samp(x) AS std, sqrt(avg(x
  FROM d JOIN md USING (device, win, ch) GROUP BY 1, 2, 3),
 u AS (SELECT device, win, ch || '_' || UNNEST(['mean', 'std', 'rms', 'range', 'iqr', 'jerk_rms', 'mad']) AS feature, UNNEST([mean, std, rms, rng, iqr, jerk, mad]) AS value FROM s
  UNION ALL SELECT w.device, w.win, 'acc_sma', avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)) FROM w JOIN (SELECT device, win, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM w GROUP BY 1, 2) q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2)
-SELECT device, win, feature, round(value, CASE WHEN feature = 'acc_sma' THEN 8 ELSE 6 END) + 0.0 AS value FROM u"""
+"""
+V1 += spectra_sql("d") + """
+SELECT device, win, feature, round(value, CASE WHEN feature = 'acc_sma' THEN 8 ELSE 6 END) + 0.0 AS value FROM (SELECT * FROM u
+ UNION ALL SELECT device, win, ch || '_dom_freq_hz', dominant FROM f UNION ALL SELECT device, win, ch || '_spec_entropy', entropy FROM f) q"""
 
 
 def holes(spark, sf):
@@ -150,11 +164,18 @@ def holes(spark, sf):
 @query("window_stats_v1", uses="imu6", sql=V1)
 def q_v1(spark, sf):
     w = WN.window_stats_v1(holes(spark, sf), DEV, "idx", MAP9)
-    keep = [c for c in w.columns if c not in ("device", "win", "window_start_s", "window_end_s") and not c.endswith(("_hz", "_entropy"))]
-    return long(w.select("device", "win", *keep), ["device", "win"])
+    return long(w.drop("window_start_s", "window_end_s"), ["device", "win"])
+
+
+LIVE_SQL = win_sql(100, 50) + """, d AS (SELECT device, win, idx, t, UNNEST(['acc_x','acc_y','acc_z','gyro_x','gyro_y','gyro_z','acc_mag','gyro_mag','dynamic_acc']) AS ch, UNNEST([ax, ay, az, gx, gy, gz, am, gm, abs(am - 1)]) AS x FROM w)
+""" + spectra_sql("d", "99 / greatest(max(t) OVER q - min(t) OVER q, 1e-6)") + """, s AS (SELECT device, win, ch, avg(x) AS a, stddev_samp(x) AS b, sqrt(avg(x * x)) AS c, any_value(99 / greatest(mt - nt, 1e-6)) AS fs FROM (SELECT *, max(t) OVER q AS mt, min(t) OVER q AS nt FROM d WINDOW q AS (PARTITION BY device, win, ch)) z GROUP BY 1, 2, 3),
+u AS (SELECT device, win, ch || '_' || UNNEST(['mean', 'std', 'rms']) AS feature, UNNEST([a, b, c]) AS value FROM s UNION ALL SELECT device, win, 'fs', max(fs) FROM s GROUP BY 1, 2
+ UNION ALL SELECT device, win, ch || '_dom_freq_hz', dominant FROM f UNION ALL SELECT device, win, ch || '_spec_entropy', entropy FROM f
+ UNION ALL SELECT w.device, w.win, 'acc_sma', avg(abs(ax - mx) + abs(ay - my) + abs(az - mz)) FROM w JOIN (SELECT device, win, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM w GROUP BY 1, 2) q ON q.device = w.device AND q.win = w.win GROUP BY 1, 2)
+SELECT device, win, feature, round(value, CASE WHEN feature = 'acc_sma' THEN 8 ELSE 6 END) + 0.0 AS value FROM u"""
 
 
-@query("live_features_v1")
+@query("live_features_v1", uses="imu6", sql=LIVE_SQL)
 def q_live(spark, sf):
     d = imu6(spark, sf)
     return long(WN.live_features_v1(d, DEV, "idx", "t", MAP, 100, 50), ["device", "win"])
@@ -223,7 +244,15 @@ POSTURE_SQL = win_sql(150, 25) + """
 s AS (SELECT device, win, avg(rr) AS r1, median(rr) AS r2, stddev_pop(rr) AS r3, arg_max(rr, idx) AS r4, max(rr) - min(rr) AS r5, avg(rp) AS p1, median(rp) AS p2, stddev_pop(rp) AS p3, arg_max(rp, idx) AS p4, max(rp) - min(rp) AS p5,
  avg(ry) AS y1, median(ry) AS y2, stddev_pop(ry) AS y3, arg_max(ry, idx) AS y4, max(ry) - min(ry) AS y5, avg(gm) AS g1, quantile_cont(gm, 0.95) AS g2, sqrt(avg(gm*gm)) AS g3, stddev_pop(am) AS d1, max(am) - min(am) AS d2, avg(ax) AS ux, avg(ay) AS uy, avg(az) AS uz FROM a GROUP BY 1, 2),
 t AS (SELECT *, greatest(sqrt(ux*ux+uy*uy+uz*uz), 1e-9) AS l FROM s),
-u AS (SELECT device, win, UNNEST(['relative_roll_mean','relative_roll_median','relative_roll_std','relative_roll_last','relative_roll_range','relative_pitch_mean','relative_pitch_median','relative_pitch_std','relative_pitch_last','relative_pitch_range',
+h AS (SELECT device, win, idx, radians(roll) / 2 AS a, radians(pitch) / 2 AS b, radians(yaw) / 2 AS c, radians(10.5) / 2 AS a0, radians(-20.5) / 2 AS b0, radians(30.5) / 2 AS c0 FROM w),
+qq AS (SELECT device, win, idx, cos(a)*cos(b)*cos(c)+sin(a)*sin(b)*sin(c) AS w2, sin(a)*cos(b)*cos(c)-cos(a)*sin(b)*sin(c) AS x2, cos(a)*sin(b)*cos(c)+sin(a)*cos(b)*sin(c) AS y2, cos(a)*cos(b)*sin(c)-sin(a)*sin(b)*cos(c) AS z2,
+ cos(a0)*cos(b0)*cos(c0)+sin(a0)*sin(b0)*sin(c0) AS w1, -(sin(a0)*cos(b0)*cos(c0)-cos(a0)*sin(b0)*sin(c0)) AS x1, -(cos(a0)*sin(b0)*cos(c0)+sin(a0)*cos(b0)*sin(c0)) AS y1, -(cos(a0)*cos(b0)*sin(c0)-sin(a0)*sin(b0)*cos(c0)) AS z1 FROM h),
+rq AS (SELECT device, win, idx, w1*w2-x1*x2-y1*y2-z1*z2 AS q0, w1*x2+x1*w2+y1*z2-z1*y2 AS q1, w1*y2-x1*z2+y1*w2+z1*x2 AS q2, w1*z2+x1*y2-y1*x2+z1*w2 AS q3 FROM qq),
+rn AS (SELECT device, win, idx, CASE WHEN q0 < 0 THEN -1 ELSE 1 END AS s, abs(q0) AS q0, q1, q2, q3, sqrt(q1*q1+q2*q2+q3*q3) AS m FROM rq),
+rv AS (SELECT device, win, idx, UNNEST(['x', 'y', 'z']) AS ax, degrees(UNNEST([q1, q2, q3]) * s * CASE WHEN m > 1e-9 THEN 2 * atan2(m, least(q0, 1)) / m ELSE 2 END) AS v, degrees(m * CASE WHEN m > 1e-9 THEN 2 * atan2(m, least(q0, 1)) / m ELSE 2 END) AS d FROM rn),
+rs AS (SELECT device, win, ax, avg(v) AS v1, median(v) AS v2, stddev_pop(v) AS v3, arg_max(v, idx) AS v4, avg(d) AS d1, quantile_cont(d, 0.95) AS d2 FROM rv GROUP BY 1, 2, 3),
+u AS (SELECT device, win, 'rotation_vector_' || ax || '_' || UNNEST(['mean', 'median', 'std', 'last']) AS feature, UNNEST([v1, v2, v3, v4]) AS value FROM rs UNION ALL SELECT device, win, UNNEST(['rotation_degrees_mean', 'rotation_degrees_p95']), UNNEST([d1, d2]) FROM rs WHERE ax = 'x'
+UNION ALL SELECT device, win, UNNEST(['relative_roll_mean','relative_roll_median','relative_roll_std','relative_roll_last','relative_roll_range','relative_pitch_mean','relative_pitch_median','relative_pitch_std','relative_pitch_last','relative_pitch_range',
  'relative_yaw_mean','relative_yaw_median','relative_yaw_std','relative_yaw_last','relative_yaw_range','gyro_mean_dps','gyro_p95_dps','gyro_rms_dps','dynamic_acc_std_g','dynamic_acc_range_g','gravity_change_degrees','relative_gravity_x','relative_gravity_y','relative_gravity_z','window_seconds']) AS feature,
  UNNEST([r1,r2,r3,r4,r5,p1,p2,p3,p4,p5,y1,y2,y3,y4,y5,g1,g2,g3,d1,d2,degrees(acos(least(1, greatest(-1, (ux*0.6+uz*0.8)/l)))), ux/l - 0.6, uy/l, uz/l - 0.8, 149/50.0]) AS value FROM t)
 SELECT device, win, feature, round(value, 4) + 0.0 AS value FROM u"""
@@ -231,8 +260,7 @@ SELECT device, win, feature, round(value, 4) + 0.0 AS value FROM u"""
 
 @query("posture_window_features", uses="imu6", sql=POSTURE_SQL)
 def q_posture(spark, sf):
-    w = posture_features(with_quats(imu6(spark, sf)))
-    return long(w.select(*[c for c in w.columns if "rotation" not in c]), ["device", "win"], 4)
+    return long(posture_features(with_quats(imu6(spark, sf))), ["device", "win"], 4)
 
 
 def posture_features(d):

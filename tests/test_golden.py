@@ -451,3 +451,24 @@ def test_lcs_equals_plain_table(spark):
             for y, v in enumerate(b):
                 t[x + 1][y + 1] = t[x][y] + 1 if u is not None and u == v else max(t[x][y + 1], t[x + 1][y])
         assert got[i] == t[-1][-1]
+
+
+def test_kernels_with_holes_gaps_and_small_blocks(spark):
+    """Windows of both generations against pandas, with missing samples, missing rows and keys of several types."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(460, 6)), columns=MAP.values())
+    pdf["dev"], pdf["idx"] = np.where(np.arange(460) < 300, "a", None), np.r_[np.arange(300), np.arange(160)]
+    pdf.loc[rng.random(460) < 0.2, "gx"] = None
+    pdf = pdf[(pdf["idx"] != 120) | pdf["dev"].isna()]
+    d = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "ax double, ay double, az double, gx double, gy double, gz double, dev string, idx int").repartition(4)
+    for size in (1 << 17, 70):
+        got = WN.window_stats_v1(d, ["dev"], "idx", MAP, size=size).toPandas()
+        assert sorted(got["win"][got["dev"] == "a"]) == [0, 3, 4] and sorted(got["win"][got["dev"].isna()]) == [0, 1]
+        for _, g in got.iterrows():
+            own = pdf[(pdf["dev"] == g["dev"]) if g["dev"] else pdf["dev"].isna()]
+            w = own[(own["idx"] >= g["win"] * 50) & (own["idx"] < g["win"] * 50 + 100)].sort_values("idx")
+            x = w["gx"].dropna().to_numpy()
+            want = {"mean": x.mean(), "std": x.std(ddof=1), "iqr": np.subtract(*np.percentile(x, [75, 25])), "mad": np.median(np.abs(x - np.median(x))), "jerk_rms": np.sqrt((np.diff(x) ** 2).mean()) * 50}
+            np.testing.assert_allclose([g[f"gyro_x_{k}"] for k in want], list(want.values()), rtol=1e-9)
+    empty = WN.window_stats_v2(d.where("gx IS NULL AND idx < 0"), ["dev"], "idx", MAP)
+    assert empty.count() == 0 and len(empty.columns) == 93

@@ -10,7 +10,7 @@ from motionloom.plans.views import imu6, stream_rows
 SF = "/root/testdata/sf0.001"
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsIn", "MapInPandas", "MapInArrow")
 NATIVE = ["time_axis_rebuild", "recording_summary", "channel_profile", "robust_outlier", "stream_quality", "clean_channel", "fill_short_gaps", "hampel_spike", "longest_run",
-          "grid_interpolate", "uniform_resample_dedup", "sliding_windows", "posture_window_features", "label_validate", "timeline_gap_fill", "trial_audit", "loro_nearest_centroid",
+          "grid_interpolate", "uniform_resample_dedup", "sliding_windows", "label_validate", "timeline_gap_fill", "trial_audit", "loro_nearest_centroid",
           "lopo_two_action", "roc_auc", "temperature_fit", "group_folds", "centroid_distance", "pairwise_cross", "equivalent_exports_test", "quality_totals", "impute_standardize",
           "assign_batch_clock", "live_normalize", "sequence_gaps", "debounce_hold", "debounce_count", "posture_monitor", "sessionize_gap", "interval_union_duration", "daily_summary",
           "quat_ops", "interval_union_duration", "legacy_contains_join", "segment_interval_join", "event_store_upsert"]
@@ -34,6 +34,12 @@ def test_windows_shuffle_rows_once(spark):
     assert "Exchange" not in text  # grouping by (key, block, window) reuses the (key, block) partitioning
 
 
+@pytest.mark.parametrize("name", ["window_stats_v1", "window_stats_v2", "posture_window_features", "contrast_window_features", "live_features_v1"])
+def test_kernels_copy_no_row_per_window(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "explode(sequence(_w0" not in text and text.count("MapInArrow") == 1 and "EvalPython" not in text
+
+
 def test_scan_reads_only_needed_columns(spark):
     text = plan(stream_rows(spark, SF).groupBy("device").agg(F.count("x")))
     schema = text.split("ReadSchema:")[1].splitlines()[0]
