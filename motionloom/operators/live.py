@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import scalar as S
 from ..session import staged
 from . import workout as WK
+from .episodes import debounce_hold
 from .joins import interval_join
 from .ordered import BLOCK_ROWS, Scan, block_scan, index_block, islands, neighbours, number_rows, spread_join, with_halo
+from .posture import neutral_baseline
 from .resample import explode_range, lerp, uniform_resample
-from .windows import AXES, _aggregate_v2, _series, _spectra, _values
+from .windows import AXES, _aggregate_v2, _series, _spectra, _values, kernel_windows
+
+AXIS_NAMES = ["ax", "ay", "az", "gx", "gy", "gz"]
 
 
 def assign_batch_clock(df: DataFrame, key: list[str], idx: str, count: str, arrival: str, rate_hz: float = 100.0, size: int = BLOCK_ROWS) -> DataFrame:
@@ -125,8 +130,7 @@ def greedy_chain(df: DataFrame, key: list[str], t: str, until: str, first: Colum
     return d.drop("_first").join(entries, [*key, "_blk"]).groupBy(*key, "_blk").applyInPandas(pick, f"{types}, {t} double")
 
 
-def causal_emissions(df: DataFrame, key: list[str], idx: str, t: str, window: float, hop: float, size: int = BLOCK_ROWS, reach: int = 4096,
-                     minimum: int = 16, keep: float = 0.25, span: float = 0.95) -> DataFrame:
+def causal_emissions(df: DataFrame, key: list[str], t: str, window: float, hop: float, minimum: int = 16, keep: float = 0.25, span: float = 0.95) -> DataFrame:
     """Times at which a live window is emitted: at least ``hop`` after the last one, ``minimum``
     samples held and ``span`` of the window covered. Anchored to the data, not to the epoch.
 
@@ -145,8 +149,8 @@ def causal_emissions(df: DataFrame, key: list[str], idx: str, t: str, window: fl
 
 
 def emission_windows(samples: DataFrame, emissions: DataFrame, key: list[str], t: str, window: float) -> DataFrame:
-    """Samples of [emission - window, emission] for each emission."""
-    e = emissions.select(*key, F.col("t").alias("now"), (F.col("t") - window).alias("_lo"), F.col("t").alias("_hi"))
+    """Samples of [emission - window, emission] for each emission, with 1 ns of tolerance at the old end."""
+    e = emissions.select(*key, F.col("t").alias("now"), (F.col("t") - window - 1e-9).alias("_lo"), F.col("t").alias("_hi"))
     return interval_join(samples, e, key, t, "_lo", "_hi", max(window, 1.0), F.lit(True)).drop("_lo", "_hi")
 
 
@@ -284,6 +288,56 @@ def posture_calibrate(df: DataFrame, key: list[str], t: str, gyro: Column, secon
     return out.select(*key, c("_s").isNotNull().alias("ok"), *[F.when(c("_s").isNotNull(), c(f"_f.{n}")).alias(n) for n in ("start", "end", "mean_gyro")], F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
+def posture_monitor(df: DataFrame, key: list[str], idx: str, machine: Any, size: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Batch twin of the posture stream: (windows, events) of samples and commands (``streaming.scoring.Posture`` names the columns and numbers).
+
+    A ``calibrate`` command starts a new epoch. Within an epoch the first calibration that succeeds gives the baseline; what lies
+    before it is left out. Windows, limits and episodes are relations; an unsure window is a NULL label, which
+    keeps the active one.
+    """
+    m, c, by = machine, F.col, [*key, "epoch"]
+    d = block_scan(df, key, [m.t, idx], F.floor(c(m.t) / 600), [Scan("epoch", F.when(c("command") == "calibrate", 1).otherwise(0).cast("long"), "sum")])
+    d = d.filter("command IS NULL OR command = ''").withColumn("_hard", F.coalesce(c("source").startswith("hardware"), F.lit(False)) & c("roll").isNotNull() & c("pitch").isNotNull() & c("yaw").isNotNull())
+    d = staged(d.withColumnRenamed(m.t, "_t"), "epochs")
+    good = posture_calibrate(d, by, "_t", S.norm(c("gx"), c("gy"), c("gz")), m.seconds, m.still).filter("ok").select(*by, "start", c("end").alias("_end"))
+    d = spread_join(d, good, by, "inner").filter("_t >= start").withColumn("calibrating", c("_t") <= c("_end"))
+    d = staged(number_rows(d, by, ["_t", idx], F.floor(c("_t") / 600), "_j"), "posture")
+    soft = staged(number_rows(d.filter("NOT _hard"), by, ["_j"], index_block("_j", size), "_s"), "fused")
+    soft = staged(orientation_fusion(soft, by, "_s", "_t", "calibrating", size), "orientation").select(*by, "_j", *[c(f"{a}_deg").alias(f"_f{a}") for a in ("roll", "pitch", "yaw")], *[c(f"q{i}").alias(f"_fq{i}") for i in range(4)])
+    built = S.quat_from_euler(c("roll"), c("pitch"), c("yaw"))
+    d = d.join(soft, [*by, "_j"], "left")
+    d = d.withColumns({**{f"q{i}": F.when(c("_hard"), q).otherwise(c(f"_fq{i}")) for i, q in enumerate(built)}, **{a: F.when(c("_hard"), c(a)).otherwise(c(f"_f{a}")) for a in ("roll", "pitch", "yaw")}})
+    quats = [f"q{i}" for i in range(4)]
+    cols = [*AXIS_NAMES, "roll", "pitch", "yaw", *quats]
+    d = staged(d.select(*by, "_j", "_t", "_hard", "calibrating", *cols), "oriented")
+    base = staged(neutral_baseline(d.filter("calibrating"), by, ["ax", "ay", "az"], ["roll", "pitch", "yaw"], quats), "baseline")
+    live = staged(number_rows(d.filter("NOT calibrating"), by, ["_j"], index_block("_j", size), "_k"), "watched")
+    e = staged(causal_emissions(live, by, "_t", m.window, m.hop), "emissions")
+    g = emission_grid(live, e, by, "_k", "_t", cols, m.window, m.fs).withColumn("k", c("k") - 1)
+    g = staged(g, "grid")
+    n = int(round(m.window * m.fs))
+    grid = spread_join(g, base, by, "inner").withColumns({**{f"_b_{a}": c(f"base_{a}") for a in ("ax", "ay", "az", "roll", "pitch", "yaw")}, **{f"_b_{q}": F.get("base_quat", F.lit(i)) for i, q in enumerate(quats)}})
+    names = ["ax", "ay", "az", "roll", "pitch", "yaw", *quats]
+    wanted = sorted({*m.model.features, "relative_roll_mean", "relative_pitch_mean", "relative_yaw_mean", "gyro_mean_dps", "dynamic_acc_std_g"})
+    f = kernel_windows(grid, [*by, "now"], "k", [*cols, *[f"_b_{a}" for a in names]], n, n, wanted, lambda x: K.posture(x[..., :13], {a: x[:, 0, 13 + i] for i, a in enumerate(names)}, m.fs), size, 13)
+    f = staged(f.drop("win"), "features")
+    f = f.join(live.select(*by, c("_t").alias("now"), "_hard"), [*by, "now"])
+    p = m.model.columns()
+    f = staged(f.withColumns(p), "scored").withColumn("confidence", F.greatest(*[c(x) for x in m.model.classes]))
+    predicted = F.coalesce(*[F.when(c(x) == c("confidence"), x) for x in m.model.classes])
+    beyond = F.array_compact(F.array(*[F.when((F.abs(c(f"relative_{a}_mean")) >= m.limit) & (F.lit(a != "yaw") | c("_hard")), name) for name, a in (("head_pitch", "pitch"), ("head_tilt", "roll"), ("head_turn", "yaw"))]))
+    rows = f.select(*by, "now", predicted.alias("predicted"), "confidence", ((c("gyro_mean_dps") <= m.calm[0]) & (c("dynamic_acc_std_g") <= m.calm[1])).alias("stable"), F.array_join(beyond, ",").alias("deviations"),
+                    *[c(f"relative_{a}_mean").alias(a) for a in ("roll", "pitch", "yaw")], F.when(c("_hard"), "reliable").otherwise("degraded").alias("yaw_reliability"))
+    rows = rows.withColumn("predicted_state", F.when((c("predicted") != "normal") | (c("deviations") != ""), "poor").otherwise("normal"))
+    rows = staged(number_rows(rows, by, ["now"], F.floor(c("now") / 600), "_w"), "windows")
+    lab = F.when((c("confidence") >= m.threshold) & c("stable"), c("predicted_state"))
+    held = debounce_hold(rows.select(*by, "_w", "now", lab.alias("lab")), by, "_w", "now", "lab", m.on, m.off)
+    none = F.lit(None).cast("double")
+    began = held.select(*key, F.lit("posture_started").alias("kind"), c("label").alias("posture"), c("started_at").alias("at"), none.alias("duration_seconds"))
+    ended = held.filter("ended_at IS NOT NULL").select(*key, F.lit("posture_ended").alias("kind"), c("label").alias("posture"), c("ended_at").alias("at"), c("duration_s").alias("duration_seconds"))
+    return rows.drop("_w", "epoch"), began.unionByName(ended)
+
+
 def quiet_episodes(df: DataFrame, key: list[str], idx: str, t: str, level: Column, size: int = BLOCK_ROWS) -> DataFrame:
     """Cut a probability stream where the workout policy is certainly idle; adds ``episode``.
 

@@ -16,6 +16,7 @@ from ..operators import quality as Q
 from ..operators import windows as WN
 from ..operators.ordered import number_rows, spread_join
 from ..session import staged
+from ..streaming import scoring as SC
 from .q_windows import MAP, with_quats
 from .registry import query
 from .views import AXES, imu6, segments1, stream1, table, windows1
@@ -140,7 +141,7 @@ def q_sequence(spark, sf):
 
 
 def emissions(d, window, hop, **kw):
-    return LV.causal_emissions(d, DEV, "idx", "t", window, hop, **kw)
+    return LV.causal_emissions(d, DEV, "t", window, hop, **kw)
 
 
 @query("causal_windows")
@@ -155,16 +156,20 @@ LIVE_MODEL = {"intercept": -0.4, "median": [0.5, 0.3, 0.2], "mean": [0.5, 0.3, 1
 LIVE_FEATURES = ["dynamic_acc_mean", "acc_mag_std", "gyro_mag_dom_freq_hz"]
 
 
+def exercise_scores(d, key, model=LIVE_MODEL, hz=100.0):
+    n = staged(LV.live_normalize(d, key, "idx", "t", AXES, hz), "normalised")
+    e = staged(LV.causal_emissions(n, key, "t", 2.0, 1.0, keep=0.0, minimum=160, span=0.9), "emissions")
+    f = LV.window_features_live(LV.emission_windows(n, e, key, "t", 2.0), key, "t", MAP, 160)
+    s = E.logistic_score(f, LIVE_FEATURES, model, "probability")
+    s = number_rows(s.select(*key, "now", "probability"), key, ["now"], F.floor(F.col("now") / 600))
+    s = s.withColumn("label", F.when(F.col("probability") >= 0.5, "motion").otherwise("non_motion"))
+    return EP.debounce_count(staged(s, "scored"), key, "idx", "label").select(*key, "now", "probability", "stable")
+
+
 @query("live_exercise_score")
 def q_live_exercise(spark, sf):
-    d = staged(imu6(spark, sf).select("device", "idx", "t", *AXES), "samples")
-    n = staged(LV.live_normalize(d, DEV, "idx", "t", AXES, 100.0), "normalised")
-    e = staged(LV.causal_emissions(n, DEV, "k", "t", 2.0, 1.0, keep=0.0, minimum=160, span=0.9), "emissions")
-    f = LV.window_features_live(LV.emission_windows(n, e, DEV, "t", 2.0), DEV, "t", MAP, 160)
-    s = E.logistic_score(f, LIVE_FEATURES, LIVE_MODEL, "probability")
-    s = number_rows(s.select("device", "now", "probability"), DEV, ["now"], F.floor(F.col("now") / 600))
-    s = s.withColumn("label", F.when(F.col("probability") >= 0.5, "motion").otherwise("non_motion"))
-    return EP.debounce_count(staged(s, "scored"), DEV, "idx", "label").select("device", "now", r(F.col("probability")).alias("probability"), "stable")
+    s = exercise_scores(staged(imu6(spark, sf).select("device", "idx", "t", *AXES), "samples"), DEV)
+    return s.withColumn("probability", r(F.col("probability")))
 
 
 CLASSES = ["run", "squat", "sitting", "standing"]
@@ -179,26 +184,40 @@ def activity_probabilities(f):
     return f.withColumns({c: v / total for c, v in e.items()})
 
 
-@query("live_activity_score")
-def q_live_activity(spark, sf):
-    d = staged(imu6(spark, sf).select("device", "idx", "t", *AXES), "samples")
-    e = staged(emissions(d, 4.0, 1.0), "emissions")
-    g = staged(LV.emission_grid(d, e, DEV, "idx", "t", AXES, 4.0, 50.0), "grid")
-    f = LV.window_features_v2(g, DEV, MAP, 50.0, 200)
-    quality = Q.signal_quality(g, ["device", "now"], AXES[:3], AXES[3:])
-    return activity_rows(activity_probabilities(f).join(quality, ["device", "now"]))
+LIVE_SCORES = {**WEIGHTS, "other_motion": (0.9, 0.6, 0.004), "other_non_motion": (-0.2, -0.6, 0.001)}
+LIVE_SOFTMAX = SC.Softmax(tuple(LIVE_SCORES), ("acc_mag_mean", "dynamic_acc_std", "gyro_mag_std"), tuple(LIVE_SCORES.values()))
+LIVE_MOTION = ("run", "squat", "other_motion")
 
 
-def activity_rows(f):
+def activity_machine(t, axes, seq):
+    return SC.Activity(t, axes, seq, LIVE_SOFTMAX, LIVE_MOTION, {"run": "cardio", "squat": "strength"}, temperature=1.3)
+
+
+def activity_scores(d, key, m):
+    """The batch twin of ``SC.activity`` with the same numbers: every column of the stream."""
     from .q_quality import confidence_fallback
 
-    p = E.temperature_apply(f, CLASSES, F.lit(1.3))
-    m = F.map_from_arrays(F.array(*[F.lit(c) for c in CLASSES]), F.array(*[F.col(c) for c in CLASSES]))
-    p = p.withColumn("probabilities", m)
-    action, motion = confidence_fallback(F.col("probabilities"), ["run", "squat"])
-    valid = F.col("state") != "poor"
-    return p.select("device", "now", action.alias("action"), T.activity_family(action).alias("activity_family"), r(motion).alias("motion_probability"),
-                    F.when(valid, F.when(motion >= 0.5, "motion").otherwise("non_motion")).alias("motion_state"), F.when(valid, "valid").otherwise("invalid").alias("wear_state"), F.col("state").alias("signal_quality"))
+    c = F.col
+    e = staged(LV.causal_emissions(d, key, m.t, m.window, m.hop), "emissions")
+    g = staged(LV.emission_grid(d, e, key, "idx", m.t, m.axes, m.window, m.fs), "grid")
+    f = LV.window_features_v2(g, key, dict(zip(WN.AXES, m.axes)), m.fs, int(round(m.window * m.fs)))
+    p = E.temperature_apply(f.withColumns(m.model.columns()), list(m.model.classes), F.lit(m.temperature))
+    p = p.join(Q.signal_quality(g, [*key, "now"], m.axes[:3], m.axes[3:]), [*key, "now"])
+    gaps = LV.sequence_gaps(d.select(*key, "idx", c(m.t).alias("now"), m.seq), key, "idx", m.seq).join(e.withColumnRenamed("t", "now"), [*key, "now"]).select(*key, "now", "sequence_gaps")
+    p = p.join(gaps, [*key, "now"])
+    named = F.map_from_arrays(F.array(*[F.lit(x) for x in m.model.classes]), F.array(*[c(x) for x in m.model.classes]))
+    action, motion = confidence_fallback(named, list(m.motion), m.threshold)
+    valid = c("state") != "poor"
+    return p.select(*key, "now", action.alias("action"), T.activity_family(action).alias("activity_family"), F.array_max(F.map_values(named)).alias("action_probability"), motion.alias("motion_probability"),
+                    sum(c(x) for x in SC.UNKNOWN if x in m.model.classes).alias("unknown_probability"), F.when(valid, F.when(motion >= 0.5, "motion").otherwise("non_motion")).alias("motion_state"),
+                    F.when(valid, "valid").otherwise("invalid").alias("wear_state"), c("state").alias("signal_quality"), "sequence_gaps")
+
+
+@query("live_activity_score")
+def q_live_activity(spark, sf):
+    d = imu6(spark, sf).select("device", "idx", "t", *AXES, ((F.col("idx") + F.floor(F.col("idx") / 97) * 3) % 65536).alias("seq"))
+    out = activity_scores(staged(d, "samples"), DEV, activity_machine("t", AXES, "seq"))
+    return out.withColumns({n: r(F.col(n)) for n in ("action_probability", "motion_probability", "unknown_probability")})
 
 
 # --- orientation and posture -----------------------------------------------------------------

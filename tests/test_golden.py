@@ -313,7 +313,7 @@ def test_causal_emissions_equal_machine(spark):
     t = np.cumsum(rng.choice([0.02, 0.021, 0.05], 3000))
     t[1500:] += 7.0  # a stall
     d = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(t)], "dev int, idx int, t double")
-    got = sorted(r["t"] for r in LV.causal_emissions(d, ["dev"], "idx", "t", 4.0, 1.0).collect())
+    got = sorted(r["t"] for r in LV.causal_emissions(d, ["dev"], "t", 4.0, 1.0).collect())
     s, want = {}, []
     for x in t:
         e = MC.window_step(s, float(x))

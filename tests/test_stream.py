@@ -79,7 +79,7 @@ def test_normalise_and_windows_stream(spark, tmp_path):
     want = LV.live_normalize(d, ["dev"], "i", "t", ["v"]).orderBy("t").toPandas()
     np.testing.assert_allclose(got["v"], want["v"], atol=1e-6)
     win = replay(spark, tmp_path / "w", pdf, schema, lambda s: ST.causal_windows(s, ["dev"], "t", 2.0, 1.0))
-    assert sorted(win["now"]) == sorted(r["t"] for r in LV.causal_emissions(d, ["dev"], "i", "t", 2.0, 1.0).collect())
+    assert sorted(win["now"]) == sorted(r["t"] for r in LV.causal_emissions(d, ["dev"], "t", 2.0, 1.0).collect())
 
 
 def test_frames_and_clock_stream(spark, tmp_path):
