@@ -16,7 +16,7 @@ from ..session import staged
 from . import workout as WK
 from .episodes import debounce_hold
 from .joins import interval_join
-from .ordered import BLOCK_ROWS, Scan, block_scan, index_block, islands, neighbours, number_rows, spread_join, with_halo
+from .ordered import BLOCK_ROWS, Scan, block_entries, block_scan, index_block, islands, neighbours, number_rows, spread_join, with_halo
 from .posture import neutral_baseline
 from .resample import explode_range, lerp, uniform_resample
 from .windows import AXES, _aggregate_v2, _series, _spectra, _values, kernel_windows
@@ -83,11 +83,11 @@ def sequence_gaps(df: DataFrame, key: list[str], idx: str, seq: str, size: int =
 
 def greedy_chain(df: DataFrame, key: list[str], t: str, until: str, first: Column, block_s: float = 3600.0) -> DataFrame:
     """Rows picked one after another: the first with t >= ``first``, then always the first with
-    t >= ``until`` of the row picked before. Times are distinct per key.
+    t >= ``until`` of the row picked before. Times are distinct per key, and ``until`` does not decrease with them.
 
     Each time block is summarised by where it leaves off for every possible entry (its rows up to
-    the first ``until``); folding these small maps gives the blocks' entries, then all blocks pick in
-    parallel.
+    the first ``until``); composing these small maps in a tree gives the blocks' entries, then all blocks
+    pick in parallel.
     """
     d = df.withColumns({"_blk": F.floor(F.col(t) / block_s), "_first": first})
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
@@ -109,15 +109,19 @@ def greedy_chain(df: DataFrame, key: list[str], t: str, until: str, first: Colum
                              "_first": [float(pdf["_first"].iloc[0])]})
 
     maps = d.groupBy(*key, "_blk").applyInPandas(summary, f"{types}, _blk bigint, _at array<double>, _to array<double>, _end double, _first double")
-    rows = maps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_blk", "_at", "_to"))).alias("_m"), F.min("_first").alias("_first"))
 
-    def leave(state: Column, m: Column) -> Column:
-        pos = F.aggregate(m["_at"], F.lit(0), lambda a, v: a + F.when(v < state - 1e-9, 1).otherwise(0))
-        return F.when(pos < F.size(m["_at"]), F.get(m["_to"], pos)).otherwise(state)
+    def leave(m: list[Any], state: Any) -> np.ndarray:
+        at, to = (np.asarray(v, float) for v in m)
+        pos = np.searchsorted(at, np.asarray(state, float) - 1e-9)
+        return np.where(pos < len(at), to[np.minimum(pos, len(at) - 1)], state)
 
-    entry = F.aggregate("_m", F.array(F.col("_first")), lambda acc, m: F.concat(acc, F.array(leave(F.element_at(acc, -1), m))))
-    entries = rows.withColumn("_e", entry).select(*key, F.explode(F.arrays_zip(F.transform("_m", lambda m: m["_blk"]).alias("b"), F.slice("_e", 1, F.size("_m")).alias("e"))).alias("_x")).select(
-        *key, F.col("_x.b").alias("_blk"), F.col("_x.e").alias("_in"))
+    def compose(a: list[Any], b: list[Any]) -> list[Any]:
+        to = leave(b, a[1])
+        last = np.r_[np.flatnonzero(np.diff(to)), len(to) - 1]  # entries that lead elsewhere
+        later = np.asarray(b[0], float) > a[0][-1]  # an entry beyond the first block meets only the second
+        return [np.r_[np.asarray(a[0], float)[last], np.asarray(b[0], float)[later]].tolist(), np.r_[to[last], np.asarray(b[1], float)[later]].tolist()]
+
+    entries = block_entries(maps, key, "_blk", ["_at", "_to"], "_first", compose, lambda m, state: float(leave(m, state))).withColumnRenamed("entry", "_in")
 
     def pick(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         ts, _, nxt = chain(pdf)

@@ -199,6 +199,8 @@ def block_entries(blocks: DataFrame, key: list[str], seq: str, maps: list[str],
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
     types = ", ".join(f"`{k}` {kinds[k]}" for k in key)
     level = staged(blocks.select(*key, F.col(seq).cast("long").alias("_seq"), *maps, F.col(first).alias("_first")), "maps")
+    least = level.agg(F.min("_seq")).first()[0] or 0  # counted from zero, so that all of a key meet in one group in the end
+    level = level.withColumn("_seq", F.col("_seq") - least)
     start = staged(level.groupBy(*key).agg(F.min_by("_first", "_seq").alias("_entry")), "entries")
     levels = [level]
 
@@ -228,4 +230,4 @@ def block_entries(blocks: DataFrame, key: list[str], seq: str, maps: list[str],
         low, high = levels.pop().withColumn("_up", up), entries.withColumnRenamed("_seq", "_up")
         met = low.join(high, same(low, high, [*key, "_up"])).select(*[low[k] for k in key], low["_seq"], low["_up"], *[low[m] for m in maps], "_entry")
         entries = staged(met.groupBy(*key, "_up").applyInPandas(walk, f"{types}, _seq long, _entry {kinds[first]}"), "entries")
-    return entries.withColumnsRenamed({"_seq": seq, "_entry": "entry"})
+    return entries.withColumn("_seq", F.col("_seq") + least).withColumnsRenamed({"_seq": seq, "_entry": "entry"})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import machines as MC
 from ..session import staged
-from .ordered import index_block, number_rows, with_halo
+from .ordered import block_entries, index_block, number_rows, with_halo
 
 # fixed values of the wire formats
 AXIS_NAMES = ["ax_g", "ay_g", "az_g", "gx_dps", "gy_dps", "gz_dps", "roll_deg", "pitch_deg", "yaw_deg"]
@@ -24,7 +24,7 @@ def decode_frames(df: DataFrame, key: list[str], idx: str, arrival: str, payload
 
     Chunks are cut into blocks. What a block does to the stream depends only on how many bytes of a
     frame begun earlier it must skip (0..19), so each block first reports where it leaves off for
-    every entry; folding these gives the real entries and all blocks decode in parallel. Output
+    every entry; composing these in a tree gives the real entries and all blocks decode in parallel. Output
     rows: key, block, arrival of the chunk where the frame starts, frame number in the block, axes,
     and ``discarded`` (bytes skipped in the block, on its first row; rows with NULL axes carry
     blocks without frames).
@@ -63,10 +63,9 @@ def decode_frames(df: DataFrame, key: list[str], idx: str, arrival: str, payload
         return pd.DataFrame({**{k: [v] for k, v in zip(key, group)}, "_blk": [group[-1]], "_to": [[exit_from(s) for s in range(size)]]})
 
     maps = h.groupBy(*key, "_blk").applyInPandas(leave, f"{types}, _blk bigint, _to array<int>")
-    m = maps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_blk", "_to"))).alias("_m"))
-    entry = F.aggregate("_m", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.get(b["_to"], F.element_at(acc, -1)))))
-    e = m.withColumn("_e", entry).select(*key, F.explode(F.arrays_zip(F.transform("_m", lambda b: b["_blk"]).alias("b"), F.slice("_e", 1, F.size("_m")).alias("e"))).alias("_x"))
-    e = e.select(*key, F.col("_x.b").alias("_blk"), F.col("_x.e").alias("_in"))
+    steps = maps.withColumn("_none", F.lit(0))
+    e = block_entries(steps, key, "_blk", ["_to"], "_none", lambda a, b: [[int(b[0][i]) for i in a[0]]], lambda m, state: int(m[0][int(state)]))
+    e = e.withColumnRenamed("entry", "_in")
 
     def decode(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, data, n = load(pdf)

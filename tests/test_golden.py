@@ -472,3 +472,18 @@ def test_kernels_with_holes_gaps_and_small_blocks(spark):
             np.testing.assert_allclose([g[f"gyro_x_{k}"] for k in want], list(want.values()), rtol=1e-9)
     empty = WN.window_stats_v2(d.where("gx IS NULL AND idx < 0"), ["dev"], "idx", MAP)
     assert empty.count() == 0 and len(empty.columns) == 93
+
+
+def test_greedy_chain_over_many_blocks(spark):
+    """Steps of every length against a plain walk, with blocks shorter and longer than the steps."""
+    rng = np.random.default_rng(4)
+    t = np.unique(np.round(rng.uniform(0, 400, 500), 3))
+    until = np.maximum.accumulate(t + rng.choice([0.2, 1.0, 7.0, 60.0], len(t), p=[0.4, 0.4, 0.17, 0.03]))
+    want, at = [], -np.inf
+    for a, u in zip(t, until):
+        if a >= at - 1e-9:
+            want.append(a)
+            at = u
+    d = spark.createDataFrame(pd.DataFrame({"dev": 1, "t": t, "until": until}))
+    for block in (2.0, 50.0, 3600.0):
+        assert sorted(r["t"] for r in LV.greedy_chain(d, ["dev"], "t", "until", F.lit(-1e300), block).collect()) == want

@@ -159,3 +159,18 @@ def test_segment_assign_closes_last_segment(spark):
     seg = spark.createDataFrame([(1, 0, 0.0, 5.0), (1, 1, 5.0, 10.0)], "k int, s int, lo double, hi double")
     got = {r["s"]: (r["start_row"], r["end_row"], r["row_count"]) for r in J.segment_assign(rows, seg, ["k"], "t", "row", "s", "lo", "hi", 4.0).collect()}
     assert got == {0: (0, 4, 5), 1: (5, 10, 6)}
+
+
+def test_block_entries_in_a_tree(spark):
+    """Maps over three states composed in groups of two and of 64 give what a plain fold gives."""
+    rng = np.random.default_rng(3)
+    rows = [(k, int(s), rng.integers(0, 3, 3).tolist(), 1) for k in ("a", None) for s in np.r_[-4, np.sort(rng.choice(900, 70, replace=False))]]
+    df = spark.createDataFrame(rows, "k string, seq long, m array<int>, begin int").repartition(5)
+    want, state = {}, {}
+    for k, s, m, first in rows:
+        want[k, s] = state.setdefault(k, first)
+        state[k] = m[state[k]]
+    for fan in (8, 64):
+        out = O.block_entries(df, ["k"], "seq", ["m"], "begin", lambda a, b: [[int(b[0][i]) for i in a[0]]], lambda m, x: int(m[0][int(x)]), fan).collect()
+        assert {(r["k"], r["seq"]): r["entry"] for r in out} == want
+    assert O.block_entries(df.where("seq > 10000"), ["k"], "seq", ["m"], "begin", None, None).count() == 0
