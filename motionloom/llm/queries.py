@@ -76,26 +76,25 @@ def op3(spark, sf):
 
 
 OP6 = r"""
-WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1)) AS host,
+WITH p AS (SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1)) AS host,
   string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), chr(10)) AS lines FROM pages),
 d AS (SELECT DISTINCT host, lines FROM p),
 t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
 n AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM d) WHERE trim(line, ' ') <> '' GROUP BY host, line),
-b AS (SELECT n.host, line FROM n JOIN t ON n.host = t.host WHERE n >= 10 AND n > 0.1 * pages),
-l AS (SELECT page_id, host, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM p),
-k AS (SELECT l.page_id, l.host, l.line, i, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line)
+b AS (SELECT n.host, line FROM n JOIN t ON n.host = t.host WHERE n >= 2 AND n > 0.1 * pages AND n * n >= pages),
+l AS (SELECT r, page_id, host, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM p),
+k AS (SELECT l.r, l.page_id, l.host, l.line, i, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line)
 SELECT page_id, host, count(*) FILTER (WHERE trim(line, ' ') <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM k GROUP BY page_id, host
+FROM k GROUP BY r, page_id, host
 """
 
 
 @query("op6_line_dedup", OP6)
 def op6(spark, sf):
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("row"), linededup.page_host(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("lines"))
-    out = linededup.drop_lines(pages)
+    out = linededup.drop_lines(linededup.page_rows(table(spark, sf, "pages")))
     left = F.size(F.filter("kept", lambda x: F.trim(x) != "")).cast("long")
-    return out.select(F.col("row").alias("page_id"), "host", "n_lines", (F.col("n_lines") - left).alias("n_dropped"), F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("page_id", "host", "n_lines", (F.col("n_lines") - left).alias("n_dropped"), F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
 @query("op7_jaccard_join")

@@ -351,10 +351,10 @@ def test_no_labels_and_no_items(docs, spark, rows):
 def test_queries_equal_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         rel = con.sql(sql)
         df = queries.QUERIES[name](spark, sf)
         assert sorted(rel.columns) == sorted(df.columns)
-        assert sorted(tuple(r[c] for c in rel.columns) for r in df.collect()) == sorted(rel.fetchall()), name
+        assert sorted((tuple(r[c] for c in rel.columns) for r in df.collect()), key=str) == sorted(rel.fetchall(), key=str), name
