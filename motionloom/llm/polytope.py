@@ -21,8 +21,8 @@ PROBES = (2.2, 0.65)
 HOT_SHARE = 1 / 50_000
 ROTATIONS, CHUNK = 3, 256
 
-ENCODED = "dim int, tab int, cell long, code long, id long, vec array<double>"
-PROBED = "dim int, tab int, cell long, codes array<long>, id long, vec array<double>"
+ENCODED = "dim int, tab int, cell long, code long, id long, vec array<{}>"
+PROBED = "dim int, tab int, cell long, codes array<long>, id long, vec array<{}>"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -57,6 +57,7 @@ def rotate(x: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
 def signed_axes(vectors: np.ndarray, tab: int, axes: list[int]) -> list[np.ndarray]:
     """Per hash function, how near each unit vector is to every signed axis (the inner product with it)."""
     n = padded(vectors.shape[1])
+    vectors = vectors.astype(float)
     unit = vectors / np.abs(vectors).max(1, keepdims=True)
     unit = np.pad(unit / np.linalg.norm(unit, axis=1, keepdims=True), ((0, 0), (0, n - vectors.shape[1])))
     turned = [rotate(unit, (n, tab, k))[:, :a] for k, a in enumerate(axes)]
@@ -92,7 +93,7 @@ def lists(flat: np.ndarray, lengths: np.ndarray | int, count: int) -> pa.Array:
 
 
 def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the rows of each vector length."""
+    """(ids, matrix) of the rows of each vector length; vectors travel in the element type that they came in."""
     ids, vec = batch.column("id").to_numpy(), batch.column("vec")
     sizes, values = vec.value_lengths().to_numpy(), vec.flatten().to_numpy()
     starts = np.cumsum(sizes) - sizes
@@ -187,7 +188,7 @@ def search(k: int):
             for a, b in zip(cuts, [*cuts[1:], n]):
                 if key is None or (keys[a] != key).any():
                     key, held, group = keys[a], [], None
-                x = vec.slice(a, b - a).flatten().to_numpy().reshape(b - a, int(key[0]))
+                x = vec.slice(a, b - a).flatten().to_numpy().reshape(b - a, int(key[0])).astype(float)
                 if not asks[a]:
                     held.append((code[a:b].astype(np.int64), ids[a:b], x))
                     continue
@@ -204,7 +205,8 @@ def search(k: int):
 
 def usable(df: DataFrame, id_: str, vec: str) -> DataFrame:
     """(id, vec) of the rows with an id and a vector of finite components that are not all zero."""
-    v = F.col(vec).cast("array<double>")
+    kind = df.schema[vec].dataType.elementType.simpleString()
+    v = F.col(vec) if kind in ("float", "double") else F.col(vec).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df.where(F.col(id_).isNotNull() & F.col(vec).isNotNull()).where(fine & F.exists(v, lambda x: x != 0)).select(F.col(id_).cast("long").alias("id"), v.alias("vec"))
 
@@ -222,9 +224,12 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, id_: st
     repeated rows count once; ties go to the smaller id. Empty tables give an empty result; other columns are ignored.
     """
     points, asked = usable(rows, id_, vec), usable(queries, id_, vec)
+    if points.schema["vec"] != asked.schema["vec"]:
+        points, asked = (d.withColumn("vec", F.col("vec").cast("array<double>")) for d in (points, asked))
     n = points.count()
     index = Index(n)
-    encoded = points.mapInArrow(index.encode, ENCODED)
+    kind = points.schema["vec"].dataType.elementType.simpleString()
+    encoded = points.mapInArrow(index.encode, ENCODED.format(kind))
     full = encoded.select("dim", "tab", "cell").groupBy("dim", "tab", "cell").agg(F.count(F.lit(1)).alias("n"))
     limit = max(2 * CELL_ROWS, n * HOT_SHARE)
     hot = F.broadcast(staged(full.where(F.col("n") > limit).select("dim", "tab", "cell", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot-cells"))  # at most TABLES / HOT_SHARE rows
@@ -238,7 +243,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, id_: st
         met = met.repartition(*at, "part").sortWithinPartitions(*at, "part", "asks")
         return met.mapInArrow(search(k), FOUND).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
-    found = staged(answers(asked.mapInArrow(index.probe, PROBED), held), "neighbours")
+    found = staged(answers(asked.mapInArrow(index.probe, PROBED.format(kind)), held), "neighbours")
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = staged(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short-queries")
     if short.limit(1).count():
