@@ -5,8 +5,11 @@ Class vocabularies are catalogs (tens of names); rows, groups and subjects may g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -343,18 +346,30 @@ TEMPERATURES = [0.5 + i * 0.025 for i in range(101)]
 
 
 def temperature_fit(df: DataFrame, probs: list[str], label: str) -> DataFrame:
-    """Grid temperature with the smallest negative log-likelihood; the first one wins a tie. One aggregation, one loss a temperature."""
-    d = df.select(*[F.log(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), F.col(p)))).alias(f"_l{i}") for i, p in enumerate(probs)], F.col(label).alias("_y"))
-
-    def loss(t: float) -> Column:
-        z = [F.col(f"_l{i}") / F.lit(t) for i in range(len(probs))]
-        m = F.greatest(*z) if len(z) > 1 else z[0]
-        total = reduce(lambda a, v: a + F.exp(v - m), z, F.lit(0.0))
-        return -F.avg(F.log(F.exp(F.get(F.array(*z), F.col("_y")) - m) / total + 1e-12))
-
-    losses = d.agg(*[loss(t).alias(f"_t{i}") for i, t in enumerate(TEMPERATURES)])
-    best = losses.select(F.array_min(F.array(*[F.struct(F.col(f"_t{i}").alias("loss"), F.lit(t).alias("temperature")) for i, t in enumerate(TEMPERATURES)])).alias("_b"))
-    return best.select("_b.temperature", "_b.loss")
+    """Grid temperature with the smallest negative log-likelihood; the first one wins a tie.
+
+    Every Arrow batch adds up the losses of all temperatures in whole vectors; the batches' 101 sums meet in one aggregation.
+    """
+    d = df.select(*[F.col(p).cast("double").alias(f"p{i}") for i, p in enumerate(probs)], F.col(label).cast("int").alias("y"))
+    grid = np.array(TEMPERATURES)
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(grid)), 0
+        for b in batches:
+            p = np.stack([b.column(f"p{i}").to_numpy(zero_copy_only=False) for i in range(len(probs))], 1)
+            y = b.column("y").to_numpy(zero_copy_only=False)
+            real = ~np.isnan(p).any(1) & (y >= 0) & (y < len(probs))
+            logs, y = np.log(np.clip(p[real], 1e-9, 1.0)), y[real].astype(int)
+            rows += len(y)
+            for i, t in enumerate(grid):
+                z = logs / t
+                e = np.exp(z - z.max(1, keepdims=True))
+                total[i] -= np.log(e[np.arange(len(y)), y] / e.sum(1) + 1e-12).sum()
+        yield pa.record_batch([pa.array(range(len(grid)), pa.int32()), pa.array(total), pa.array([rows] * len(grid), pa.int64())], names=["i", "total", "n"])
+
+    sums = d.mapInArrow(losses, "i int, total double, n bigint").groupBy("i").agg((F.sum("total") / F.sum("n")).alias("loss"))
+    at = F.element_at(F.array(*[F.lit(float(t)) for t in TEMPERATURES]), F.col("i") + 1)
+    return sums.agg(F.min(F.struct("loss", at.alias("temperature"))).alias("_b")).select("_b.temperature", "_b.loss")
 
 
 def temperature_apply(df: DataFrame, probs: list[str], t: Column) -> DataFrame:

@@ -144,7 +144,15 @@ def emissions(d, window, hop, **kw):
     return LV.causal_emissions(d, DEV, "t", window, hop, **kw)
 
 
-@query("causal_windows")
+def emit_sql(window, hop, keep=0.25, minimum=16, span=0.95):
+    """Emission times of ``imu6`` as a CTE ``em`` (device, now), one after another in a recursion."""
+    return f""", eo AS (SELECT device, t, count(*) OVER w AS n, min(t) OVER w AS o FROM imu6 WINDOW w AS (PARTITION BY device ORDER BY CAST(round(t * 1000000) AS BIGINT) RANGE BETWEEN {int((window + keep) * 1e6)} PRECEDING AND CURRENT ROW)),
+ek AS (SELECT device, t FROM eo WHERE n >= {minimum} AND t - o >= {span * window!r} - 1e-9),
+em AS (WITH RECURSIVE r AS (SELECT device, min(t) AS now FROM ek GROUP BY 1 UNION ALL SELECT r.device, min(ek.t) FROM r JOIN ek ON ek.device = r.device AND ek.t >= r.now + {hop!r} - 1e-9 GROUP BY r.device, r.now) SELECT device, now FROM r)
+"""
+
+
+@query("causal_windows", uses="imu6", sql=emit_sql(4.0, 1.0) + "SELECT em.device, em.now, count(*) AS samples, min(t) AS oldest_s FROM em JOIN imu6 ON imu6.device = em.device AND t >= now - 4.0 - 1e-9 AND t <= now GROUP BY 1, 2")
 def q_causal(spark, sf):
     d = staged(imu6(spark, sf).select("device", "idx", "t"), "samples")
     e = emissions(d, 4.0, 1.0)
@@ -213,7 +221,29 @@ def activity_scores(d, key, m):
                     F.when(valid, "valid").otherwise("invalid").alias("wear_state"), c("state").alias("signal_quality"), "sequence_gaps")
 
 
-@query("live_activity_score")
+def softmax_sql(scores, features):
+    """Class scores of ``LIVE_SOFTMAX`` at temperature 1.3 over a relation with its features: p0, p1, ..."""
+    z = [" + ".join(f"{w!r} * {f}" for w, f in zip(ws, features)) for ws in scores.values()]
+    total = " + ".join(f"exp({x})" for x in z)
+    q = [f"pow(greatest(1e-9, exp({x}) / ({total})), 1 / 1.3)" for x in z]
+    return [f"({x}) / ({' + '.join(q)})" for x in q]
+
+
+LIVE_ACTIVITY_SQL = emit_sql(4.0, 1.0) + """, sq AS (SELECT device, idx, t, (idx + idx // 97 * 3) % 65536 AS s FROM imu6),
+sg AS (SELECT device, t, sum(g) OVER (PARTITION BY device ORDER BY idx) AS gaps FROM (SELECT *, coalesce(((s - lag(s) OVER (PARTITION BY device ORDER BY idx) - 1) % 65536 + 65536) % 65536, 0) AS g FROM sq) q),
+w AS (SELECT em.device, now, sqrt(ax*ax+ay*ay+az*az) AS am, sqrt(gx*gx+gy*gy+gz*gz) AS gm, (CASE WHEN abs(ax) >= 15.9 THEN 1 ELSE 0 END + CASE WHEN abs(ay) >= 15.9 THEN 1 ELSE 0 END + CASE WHEN abs(az) >= 15.9 THEN 1 ELSE 0 END
+  + CASE WHEN abs(gx) >= 1990 THEN 1 ELSE 0 END + CASE WHEN abs(gy) >= 1990 THEN 1 ELSE 0 END + CASE WHEN abs(gz) >= 1990 THEN 1 ELSE 0 END) / 6.0 AS clip FROM (SELECT device, now, UNNEST(generate_series(1, 200)) AS k FROM em) em JOIN imu6 ON imu6.device = em.device AND idx = greatest(0, CAST(round(now * 50) AS BIGINT) - 200 + k)),
+md AS (SELECT device, now, median(am) AS med FROM w GROUP BY 1, 2),
+f AS (SELECT w.device, w.now, avg(am) AS acc_mag_mean, stddev_pop(abs(am - med)) AS dynamic_acc_std, stddev_pop(gm) AS gyro_mag_std, avg(clip) AS clip FROM w JOIN md ON md.device = w.device AND md.now = w.now GROUP BY 1, 2),
+p AS (SELECT device, now, clip, """ + ", ".join(f"{x} AS p{i}" for i, x in enumerate(softmax_sql(LIVE_SCORES, LIVE_SOFTMAX.features))) + f""" FROM f),
+b AS (SELECT *, greatest({", ".join(f"p{i}" for i in range(len(LIVE_SCORES)))}) AS top, least(1, {" + ".join(f"p{i}" for i, c in enumerate(LIVE_SCORES) if c in LIVE_MOTION)}) AS motion, {" + ".join(f"p{i}" for i, c in enumerate(LIVE_SCORES) if c in SC.UNKNOWN)} AS unknown FROM p),
+a AS (SELECT *, CASE WHEN top >= 0.65 THEN CASE {" ".join(f"WHEN p{i} = top THEN '{c}'" for i, c in enumerate(LIVE_SCORES))} END WHEN motion >= 0.5 THEN 'other_motion' ELSE 'other_non_motion' END AS action,
+  CASE WHEN clip > 0.02 THEN 'poor' WHEN clip > 0.002 THEN 'fair' ELSE 'good' END AS q FROM b)
+SELECT a.device, a.now, action, CASE action WHEN 'run' THEN 'cardio' WHEN 'squat' THEN 'strength' ELSE 'other' END AS activity_family, round(top, 6) + 0.0 AS action_probability, round(motion, 6) + 0.0 AS motion_probability, round(unknown, 6) + 0.0 AS unknown_probability,
+ CASE WHEN q = 'poor' THEN NULL WHEN motion >= 0.5 THEN 'motion' ELSE 'non_motion' END AS motion_state, CASE WHEN q = 'poor' THEN 'invalid' ELSE 'valid' END AS wear_state, q AS signal_quality, CAST(gaps AS BIGINT) AS sequence_gaps FROM a JOIN sg ON sg.device = a.device AND sg.t = a.now"""
+
+
+@query("live_activity_score", uses="imu6", sql=LIVE_ACTIVITY_SQL)
 def q_live_activity(spark, sf):
     d = imu6(spark, sf).select("device", "idx", "t", *AXES, ((F.col("idx") + F.floor(F.col("idx") / 97) * 3) % 65536).alias("seq"))
     out = activity_scores(staged(d, "samples"), DEV, activity_machine("t", AXES, "seq"))

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsIn", "MapInPandas", "MapInArrow")
 NATIVE = ["time_axis_rebuild", "recording_summary", "channel_profile", "robust_outlier", "stream_quality", "clean_channel", "fill_short_gaps", "hampel_spike", "longest_run",
           "grid_interpolate", "uniform_resample_dedup", "sliding_windows", "label_validate", "timeline_gap_fill", "trial_audit", "loro_nearest_centroid",
-          "lopo_two_action", "roc_auc", "temperature_fit", "group_folds", "centroid_distance", "pairwise_cross", "equivalent_exports_test", "quality_totals", "impute_standardize",
+          "lopo_two_action", "roc_auc", "group_folds", "centroid_distance", "pairwise_cross", "equivalent_exports_test", "quality_totals", "impute_standardize",
           "assign_batch_clock", "live_normalize", "sequence_gaps", "debounce_hold", "debounce_count", "posture_monitor", "sessionize_gap", "interval_union_duration", "daily_summary",
           "quat_ops", "interval_union_duration", "legacy_contains_join", "segment_interval_join", "event_store_upsert"]
 
