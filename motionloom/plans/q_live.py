@@ -273,11 +273,22 @@ def q_pick(spark, sf):
     return o.select("device", "idx", "orientation_source", "yaw_reliability", r(c("roll")).alias("roll"), r(c("q0")).alias("q0"))
 
 
-@query("posture_calibrate")
+CALIBRATE_SQL = """, s AS (SELECT device, idx, t, sqrt(gx*gx+gy*gy+gz*gz) / 16 AS g FROM imu6),
+e AS (SELECT a.device, a.t AS st, min(b.t) AS en FROM s a JOIN s b ON b.device = a.device AND b.t >= a.t + 2.0 - 1e-9 GROUP BY 1, 2),
+x AS (SELECT e.*, n.t AS nx FROM e JOIN s ON s.device = e.device AND s.t = en LEFT JOIN s n ON n.device = e.device AND n.idx = s.idx + 1),
+ch AS (WITH RECURSIVE r AS (SELECT device, min(t) AS st, 1 AS k FROM s GROUP BY 1 UNION ALL SELECT r.device, nx, k + 1 FROM r JOIN x ON x.device = r.device AND x.st = r.st WHERE nx IS NOT NULL) SELECT * FROM r),
+tr AS (SELECT ch.device, k, ch.st, en, avg(g) AS m FROM ch JOIN x ON x.device = ch.device AND x.st = ch.st JOIN s ON s.device = ch.device AND s.t >= ch.st AND s.t <= en GROUP BY 1, 2, 3, 4),
+ok AS (SELECT device, min(k) AS k FROM tr WHERE m <= 7.6 GROUP BY 1), n AS (SELECT device, max(k) AS n FROM tr GROUP BY 1), dv AS (SELECT DISTINCT device FROM s)
+SELECT dv.device, ok.k IS NOT NULL AS ok, tr.st AS start, en AS "end", round(m, 6) + 0.0 AS mean_gyro, CAST(coalesce(ok.k, n, 0) AS INTEGER) AS attempts
+FROM dv LEFT JOIN ok ON ok.device = dv.device LEFT JOIN tr ON tr.device = ok.device AND tr.k = ok.k LEFT JOIN n ON n.device = dv.device"""
+
+
+@query("posture_calibrate", uses="imu6", sql=CALIBRATE_SQL)
 def q_calibrate(spark, sf):
     d = imu6(spark, sf)
     g = S.norm(F.col("gx"), F.col("gy"), F.col("gz")) / 16
-    return LV.posture_calibrate(staged(d.select("device", "t", g.alias("g")), "cal"), DEV, "t", F.col("g"), seconds=2.0, limit=7.6)
+    out = LV.posture_calibrate(staged(d.select("device", "t", g.alias("g")), "cal"), DEV, "t", F.col("g"), seconds=2.0, limit=7.6)
+    return out.withColumn("mean_gyro", r(F.col("mean_gyro")))
 
 
 HOLD_SQL = """c AS (SELECT *, CASE WHEN lab IS NOT DISTINCT FROM lag(lab) OVER w AND idx > 0 THEN 0 ELSE 1 END AS ch FROM o WINDOW w AS (PARTITION BY device ORDER BY idx)),
