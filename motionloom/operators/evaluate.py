@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .joins import class_pairs
-from .ordered import Scan, block_scan, exact_percentile, number_rows, one_row, spread_join, value_bin
+from .ordered import BLOCK_ROWS, Scan, block_scan, exact_percentile, in_ranges, number_rows, one_row, spread_join
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -197,30 +197,28 @@ def loro_nearest_centroid(df: DataFrame, group: str, label: str, feats: list[str
     return t.select(group, *keep, F.col(label).alias("actual"), F.array_min(dist)["label"].alias("predicted"))
 
 
-def median_without(df: DataFrame, group: str, feats: list[str], per_octave: int = 16) -> DataFrame:
+def median_without(df: DataFrame, group: str, feats: list[str], parts: int | None = None) -> DataFrame:
     """Median of each feature over all other groups, one row per (feature, group).
 
-    Counts per value bin locate the bins that hold the two middle ranks for each left-out group;
-    only rows of those bins are compared again.
+    All values share one order. Left out, a group's own values below the wanted rank push it up by
+    their number: those with at most that many others before them. So every group asks for one or two positions of the
+    shared order, and a running scan over values and questions answers all of them: the work is linear
+    in values and groups. A group that holds all values has no row.
     """
     long = df.select(group, *feats).unpivot([group], feats, "_f", "_v").filter("_v IS NOT NULL")
-    v = long.groupBy("_f", group, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    low = v.groupBy("_f").agg(F.min("_v").alias("_low"))
-    v = spread_join(v, low, ["_f"], "inner").withColumn("_b", value_bin(F.col("_v"), F.col("_low"), per_octave)).drop("_low")
-    hist = v.groupBy("_f", group, "_b").agg(F.sum("_k").alias("_k"))
-    total = hist.groupBy("_f", "_b").agg(F.sum("_k").alias("_t"))
-    who = hist.groupBy("_f", group).agg(F.sum("_k").alias("_own"))
-    rest = spread_join(who, total.groupBy("_f").agg(F.sum("_t").alias("_n")), ["_f"]).withColumn("_n", F.col("_n") - F.col("_own"))
-    cells = spread_join(rest, total, ["_f"], "inner").join(hist.withColumnRenamed("_k", "_mine"), ["_f", group, "_b"], "left")
-    cells = cells.withColumn("_c", F.col("_t") - F.coalesce("_mine", F.lit(0)))
-    run = block_scan(cells, ["_f", group], ["_b"], F.lit(0), [Scan("_to", F.col("_c"), "sum")])
+    v = in_ranges(long.groupBy("_f", group, "_v").agg(F.count(F.lit(1)).alias("_k")), ["_f", "_v", group], parts)
+    before = lambda d, key, order, out: block_scan(d, key, order, F.col("_bin"), [Scan(out, F.col("_k"), "sum", inclusive=False)]).withColumn(out, F.coalesce(out, F.lit(0)))
+    placed = staged(before(before(v, ["_f"], ["_v", group], "_pos"), ["_f", group], ["_v"], "_mine").drop("_bin"), "placed")
+    who = placed.groupBy("_f", group).agg(F.sum("_k").alias("_own"))
+    rest = spread_join(who, who.groupBy("_f").agg(F.sum("_own").alias("_n")), ["_f"]).withColumn("_n", F.col("_n") - F.col("_own")).filter("_n > 0")
     lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
-    need = run.filter((F.col("_to") > lo) & (F.col("_to") - F.col("_c") <= hi) & (F.col("_c") > 0)).select(
-        "_f", F.col(group).alias("_out"), "_b", (F.col("_to") - F.col("_c")).alias("_before"), lo.alias("_lo"), hi.alias("_hi"))
-    inside = spread_join(v, need, ["_f", "_b"], "inner").filter(F.col(group) != F.col("_out")).groupBy("_f", "_out", "_b", "_before", "_lo", "_hi", "_v").agg(F.sum("_k").alias("_k"))
-    cum = block_scan(inside, ["_f", "_out", "_b"], ["_v"], F.lit(0), [Scan("_in", F.col("_k"), "sum")]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    pick = lambda at: F.min(F.when(F.col("_rank") > F.col(at), F.col("_v")))
-    return cum.groupBy("_f", "_out").agg(((pick("_lo") + pick("_hi")) / 2).alias("median")).withColumnRenamed("_out", group).withColumnRenamed("_f", "feature")
+    pushed = lambda rank: rank + F.sum(F.when(F.col("_pos") - F.col("_mine") <= rank, F.col("_k")).otherwise(0))
+    asked = spread_join(placed, rest.select("_f", group, lo.alias("_lo"), hi.alias("_hi")), ["_f", group], "inner").groupBy("_f", group, "_lo", "_hi").agg(
+        F.array(pushed(F.col("_lo")), pushed(F.col("_hi"))).alias("_at"))
+    asked = asked.select("_f", group, F.posexplode("_at").alias("_ask", "_pos"))
+    both = placed.select("_f", group, "_pos", "_v", F.lit(-1).alias("_ask")).unionByName(asked.withColumn("_v", F.lit(None).cast(dict(placed.dtypes)["_v"])))
+    told = block_scan(both, ["_f"], ["_pos", "_ask", group], F.floor(F.col("_pos") / BLOCK_ROWS), [Scan("_found", F.col("_v"), "last")])
+    return told.filter("_ask >= 0").groupBy(F.col("_f").alias("feature"), group).agg(F.avg("_found").alias("median"))
 
 
 def lopo_two_action(df: DataFrame, person: str, action: str, a, b, feats: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ third of all rows, so nothing here does that. Each key's order is cut into block
                    neighbouring block, so each (key, block) can be computed alone;
 * ``spread_join``  rows to one-row-per-key tables with the hot keys salted;
 * ``block_entries`` the state in which a recursion enters each block, by composing the blocks' maps in a tree;
-* ``exact_percentile`` rank selection over distinct values in bins, never one task per key.
+* ``exact_percentile`` rank selection over distinct values in even ranges, never one task per key.
 """
 
 from __future__ import annotations
@@ -149,39 +149,43 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return u.agg(*[F.max(c).alias(c) for c in u.columns])
 
 
-def value_bin(v: Column, low: Column, per_octave: int = 512) -> Column:
-    """Monotone bin of ``v`` by the logarithm of its distance from the smallest value.
+def in_ranges(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """The rows cut into ranges of ``order``, with the number of each row's range as ``_bin``, written once.
 
-    Fine near the bulk of any distribution, a bounded number of bins however far the outliers, and
-    the same in every attempt of a task.
+    Spark samples the rows to place the cuts, so the ranges are even whatever the shape of the values, and
+    one key may span any number of them. ``_bin`` is monotone in ``order``. Rows equal in ``order`` stay
+    together: count them first. ``parts`` fixes the number of ranges; by default Spark sizes them.
     """
-    d = v - low
-    return F.when(d > 0, F.floor(F.log2(d) * per_octave)).otherwise(F.lit(-(1 << 40))).cast("long")
+    cut = df.repartitionByRange(*([parts] if parts else []), *order)
+    return staged(cut.withColumn("_bin", F.spark_partition_id()), "ranges")
 
 
-def exact_percentile(df: DataFrame, key: list[str], value: str, points: dict[str, float], per_octave: int = 512) -> DataFrame:
+def exact_percentile(df: DataFrame, key: list[str], value: str, points: dict[str, float], parts: int | None = None) -> DataFrame:
     """Exact linear-interpolated percentiles per key (numpy's default rule), one row per key.
 
-    Equal values are counted first, so copies cost nothing; running counts over value bins then
-    find the ranks. No task ever holds all values of a key.
+    Equal values are counted first, so copies cost nothing; the counted values are cut into even
+    ranges, running counts over the ranges find those that hold a wanted rank, and only these are
+    sorted. No task ever holds all values of a key.
     """
     if not key:
-        return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, points, per_octave).drop("_all")
+        return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, points, parts).drop("_all")
     v = F.col(value)
     real = v.isNotNull() & ~F.isnan(v) if dict(df.dtypes)[value] in ("double", "float") else v.isNotNull()
     counts = df.filter(real).groupBy(*key, v.alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
-    shape = counts.groupBy(*key).agg(F.min("_v").alias("_low"), F.sum("_rows").alias("_n"))
-    binned = spread_join(counts, shape, key, "inner").withColumn("_bin", value_bin(F.col("_v"), F.col("_low"), per_octave)).drop("_low")
-    cum = block_scan(binned, key, ["_v"], F.col("_bin"), [Scan("_cum", F.col("_rows"), "sum")])
+    ranged = in_ranges(counts, [*key, "_v"], parts)
+    here, upto = F.sum("_rows").over(W.partitionBy(*key)), F.sum("_rows").over(W.partitionBy(*key).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    totals = ranged.groupBy(*key, "_bin").agg(F.sum("_rows").alias("_rows")).select(*key, "_bin", here.alias("_n"), upto.alias("_upto"), (upto - F.col("_rows")).alias("_before"))
+    ranks = {name: (F.col("_n") - 1) * F.lit(p) for name, p in points.items()}
+    wanted = [(F.col("_before") <= end(at)) & (F.col("_upto") > end(at)) for at in ranks.values() for end in (F.floor, F.ceil)]
+    held = ranged.join(totals.filter(reduce(lambda a, b: a | b, wanted)), [*key, "_bin"])
+    cum = held.withColumn("_cum", F.col("_before") + F.sum("_rows").over(W.partitionBy(*key, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
     picks = []
-    for name, p in points.items():
-        at = (F.col("_n") - 1) * F.lit(p)
+    for name, at in ranks.items():
         picks.append(F.min(F.when(F.col("_cum") > F.floor(at), F.col("_v"))).alias(f"_lo_{name}"))
         picks.append(F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_v"))).alias(f"_hi_{name}"))
     found = cum.groupBy(*key, "_n").agg(*picks)
     result = []
-    for name, p in points.items():
-        at = (F.col("_n") - 1) * F.lit(p)
+    for name, at in ranks.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         result.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return found.select(*key, *result)

@@ -55,11 +55,34 @@ def test_halo_frames_equal_pandas(rows):
 
 def test_exact_percentile(rows):
     pdf, df = rows
-    got = O.exact_percentile(df, ["k"], "x", {"a": 0.5, "b": 0.95, "c": 0.0}, per_octave=4).toPandas().set_index("k").sort_index()
+    got = O.exact_percentile(df, ["k"], "x", {"a": 0.5, "b": 0.95, "c": 0.0}, parts=7).toPandas().set_index("k").sort_index()
     want = pdf.groupby("k")["x"].quantile([0.5, 0.95, 0.0]).unstack()
     np.testing.assert_allclose(got[["a", "b", "c"]], want[[0.5, 0.95, 0.0]], atol=1e-12)
 
 
+def test_ranges_are_even_beside_outliers(spark):
+    """Far outliers on both sides and a hot key do not gather the other values in one range."""
+    rng = np.random.default_rng(5)
+    v = np.r_[-1e300, rng.normal(1e6, 1e-3, 20000), 1e300]
+    df = spark.createDataFrame(pd.DataFrame({"k": np.where(np.arange(len(v)) % 3 == 1, 1, 0), "x": v}))
+    cut = O.in_ranges(df, ["k", "x"], parts=8)
+    held = [r["count"] for r in cut.groupBy("_bin").count().collect()]
+    assert len(held) == 8 and max(held) <= 2 * sum(held) / len(held)
+    edges = cut.groupBy("k", "_bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k", "lo").toPandas()
+    assert edges["_bin"].is_monotonic_increasing
+    for _, e in edges.groupby("k"):
+        assert (e["lo"].to_numpy()[1:] > e["hi"].to_numpy()[:-1]).all()
+    got = O.exact_percentile(df, [], "x", {"a": 0.5, "b": 0.99}, parts=8).first()
+    assert (got["a"], got["b"]) == tuple(np.quantile(v, [0.5, 0.99]))
+
+
+def test_percentile_of_nothing_and_of_copies(spark):
+    df = spark.createDataFrame([("a", None), ("b", 2.0), ("b", 2.0), ("b", float("nan")), ("c", 1.0)], "k string, x double")
+    assert {tuple(r) for r in O.exact_percentile(df, ["k"], "x", {"m": 0.5}, parts=3).collect()} == {("b", 2.0), ("c", 1.0)}
+    assert O.exact_percentile(df.filter("x > 9"), ["k"], "x", {"m": 0.5}).filter("k <> 'b'").count() == 0
+    assert O.exact_percentile(df.limit(0), [], "x", {"m": 0.5}).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1, 2, 5])
 def test_fill_equals_pandas_interpolate(rows, limit):
     pdf, df = rows
@@ -149,11 +172,21 @@ def test_interval_join_equals_brute_force(spark):
 def test_median_without(spark):
     rng = np.random.default_rng(1)
     p = pd.DataFrame({"g": rng.integers(0, 4, 301), "f": rng.normal(size=301)})
-    got = E.median_without(spark.createDataFrame(p), "g", ["f"], per_octave=4).toPandas().set_index("g")["median"]
+    got = E.median_without(spark.createDataFrame(p), "g", ["f"], parts=7).toPandas().set_index("g")["median"]
     for g in range(4):
         assert got[g] == pytest.approx(p[p["g"] != g]["f"].median(), abs=1e-12)
 
 
+def test_median_without_ties_and_hot_group(spark):
+    """Repeated values, a group with most rows, one with a single row, and a feature that one group alone has."""
+    rng = np.random.default_rng(2)
+    p = pd.DataFrame({"g": np.r_[np.where(rng.random(400) < 0.7, 0, rng.integers(1, 6, 400)), 9], "f": np.r_[rng.integers(0, 7, 400), 3].astype(float)})
+    p["only"] = np.where(p["g"] == 1, p["f"], None)
+    d = spark.createDataFrame(list(p.itertuples(index=False, name=None)), "g long, f double, only double")
+    got = {(r["feature"], r["g"]): r["median"] for r in E.median_without(d, "g", ["f", "only"], parts=5).collect()}
+    assert got == {("f", g): p[p["g"] != g]["f"].median() for g in p["g"].unique()}
+
+
 def test_segment_assign_closes_last_segment(spark):
     rows = spark.createDataFrame([(1, float(i), i) for i in range(11)], "k int, t double, row int")
     seg = spark.createDataFrame([(1, 0, 0.0, 5.0), (1, 1, 5.0, 10.0)], "k int, s int, lo double, hi double")
