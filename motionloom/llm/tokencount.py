@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import BYTE_CODE, Sums, mix, shards
+from .tokens import BYTE_CODE, Sums, mix, shards, word_codes
 
 #: Bytes of text whose distinct stretches share a table, and distinct stretches whose totals a worker remembers.
 SHARD, REMEMBERED = 6 << 20, 1_500_000
@@ -138,7 +138,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def totals(m: Model, texts: list[bytes]) -> np.ndarray:
     """Tokens of each text."""
     data, start, end, first = stretches(texts)
-    code = _code(Sums(BYTE_CODE[data]), start, end)
+    code = word_codes(data, start, end)
     kinds, at, back = np.unique(code, return_index=True, return_inverse=True)
     slot = np.minimum(np.searchsorted(m.seen, kinds), max(len(m.seen) - 1, 0))
     known = m.seen[slot] == kinds if len(m.seen) else np.zeros(len(kinds), bool)

@@ -16,6 +16,7 @@ _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -98,5 +99,15 @@ def find_words(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_codes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit code of each word's bytes."""
-    return Sums(BYTE_CODE[data]).of(start, stop) ^ mix((stop - start).astype(np.uint64))
+    """A 64-bit code of each word's bytes: every eight of them are scrambled with a key of their place, then added up.
+
+    Places have unrelated keys, so no arrangement of the same letters cancels out, as it does in a polynomial.
+    """
+    n = (stop - start + 7) >> 3
+    head = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(head, n)
+    at = np.repeat(start, n) + 8 * place
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))[at]
+    eight &= _FIRST[np.minimum(np.repeat(stop, n) - at, 8)]
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(eight ^ mix((place + 1).astype(np.uint64))), dtype=np.uint64)))
+    return mix((upto[head + n] - upto[head]) ^ mix((stop - start).astype(np.uint64)))

@@ -17,7 +17,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame(rows, brute.SCHEMA).repartition(5).localCheckpoint()
+    return spark.createDataFrame(rows, brute.SCHEMA).repartition(5).persist()
 
 
 @pytest.fixture(scope="module")
