@@ -9,15 +9,24 @@ from ..operators import evaluate as E
 from ..operators import models as M
 from ..session import staged
 from .registry import query
-from .views import FEATURES, features, scores, table
+from .views import FEATURES, SCORES, features, scores, table
 
-FL = "f0, f1, f2, f3"
-BEST_SQL = "CASE greatest(abs(f0),abs(f1),abs(f2),abs(f3)) WHEN abs(f0) THEN 0 WHEN abs(f1) THEN 1 WHEN abs(f2) THEN 2 ELSE 3 END"
+#: Fits and centroids expand expressions per feature: with all 64 their plans take minutes to compile.
+NARROW = FEATURES[:4]
+BEST_SQL = "CASE greatest(s0, s1, s2, s3) WHEN s0 THEN 0 WHEN s1 THEN 1 WHEN s2 THEN 2 ELSE 3 END"
 PRED_SQL = f", p AS (SELECT *, label % 4 AS actual, {BEST_SQL} AS predicted FROM features)"
 
 
+def each(form: str, sep: str = ", ") -> str:
+    """SQL over all features: ``form`` with ``$`` as the feature and ``#`` as its number."""
+    return sep.join(form.replace("$", f).replace("#", str(i)) for i, f in enumerate(FEATURES))
+
+
+LONG_SQL = f"UNNEST([{each(chr(39) + '$' + chr(39))}]) AS feature, UNNEST([{each('$')}]) AS v"
+
+
 def predicted(spark, sf):
-    a = [F.abs(f) for f in FEATURES]
+    a = [F.col(s) for s in SCORES]
     top = F.greatest(*a)
     best = F.when(a[0] == top, 0).when(a[1] == top, 1).when(a[2] == top, 2).otherwise(3)
     return features(spark, sf).withColumns({"actual": F.col("label") % 4, "predicted": best})
@@ -27,12 +36,12 @@ def rounded_all(df, keep, digits=6):
     return df.select(*keep, *[r(F.col(c), digits).alias(c) for c in df.columns if c not in keep])
 
 
-@query("class_feature_means", uses="features", sql="SELECT label, round(avg(f0), 7) + 0.0 AS f0, round(avg(f1), 7) + 0.0 AS f1, round(avg(f2), 7) + 0.0 AS f2, round(avg(f3), 7) + 0.0 AS f3 FROM features GROUP BY 1")
+@query("class_feature_means", uses="features", sql=f"SELECT label, {each('round(avg($), 7) + 0.0 AS $')} FROM features GROUP BY 1")
 def q_means(spark, sf):
     return rounded_all(E.class_means(features(spark, sf), "label", FEATURES), ["label"], 7)
 
 
-@query("effect_size", uses="features", sql=""", l AS (SELECT label, UNNEST(['f0','f1','f2','f3']) AS feature, UNNEST([f0, f1, f2, f3]) AS v FROM features),
+@query("effect_size", uses="features", sql=f", l AS (SELECT label, {LONG_SQL} FROM features)," + """
 g AS (SELECT feature, count(v) FILTER (label < 3) AS na, count(v) FILTER (label > 6) AS nb, avg(v) FILTER (label < 3) AS ma, avg(v) FILTER (label > 6) AS mb, var_samp(v) FILTER (label < 3) AS va, var_samp(v) FILTER (label > 6) AS vb FROM l GROUP BY 1),
 e AS (SELECT *, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS es FROM g)
 SELECT feature, round(ma, 7) + 0.0 AS mean_a, round(mb, 7) + 0.0 AS mean_b, round(es, 6) + 0.0 AS effect_size, round(abs(es), 6) + 0.0 AS abs_effect FROM e""")
@@ -45,7 +54,7 @@ def q_effect(spark, sf):
 c AS (SELECT label, avg((f0 - a0) / d0) AS z0, avg((f1 - a1) / d1) AS z1, avg((f2 - a2) / d2) AS z2, avg((f3 - a3) / d3) AS z3 FROM features, s GROUP BY 1)
 SELECT a.label AS label_a, b.label AS label_b, round(sqrt(((a.z0-b.z0)**2 + (a.z1-b.z1)**2 + (a.z2-b.z2)**2 + (a.z3-b.z3)**2) / 4), 6) + 0.0 AS distance FROM c a JOIN c b ON a.label < b.label""")
 def q_centroid(spark, sf):
-    return rounded_all(E.centroid_distance(features(spark, sf), "label", FEATURES), ["label_a", "label_b"])
+    return rounded_all(E.centroid_distance(features(spark, sf), "label", NARROW), ["label_a", "label_b"])
 
 
 @query("metrics_by_dim", uses="scores", sql="""SELECT dim, count(*) AS windows, count(DISTINCT grp) AS sessions, min(y) AS actual, round(avg(CASE WHEN y = CASE WHEN score >= 0.5 THEN 1 ELSE 0 END THEN 1.0 ELSE 0 END), 6) + 0.0 AS accuracy,
@@ -60,7 +69,7 @@ def q_support(spark, sf):
     return E.class_support(features(spark, sf), "label", "subject", "grp")
 
 
-@query("action_contrast", uses="features", sql=""", l AS (SELECT subject, label % 2 AS action, UNNEST(['f0','f1','f2','f3']) AS feature, UNNEST([f0, f1, f2, f3]) AS v FROM features),
+@query("action_contrast", uses="features", sql=f", l AS (SELECT subject, label % 2 AS action, {LONG_SQL} FROM features)," + """
 m AS (SELECT feature, subject, median(v) FILTER (action = 0) - median(v) FILTER (action = 1) AS d FROM l GROUP BY 1, 2), k AS (SELECT * FROM m WHERE d IS NOT NULL)
 SELECT feature, subject, round(d, 7) + 0.0 AS difference, count(*) OVER (PARTITION BY feature) >= 2 AND min(sign(d)) OVER (PARTITION BY feature) = max(sign(d)) OVER (PARTITION BY feature) AS direction_consistent FROM k""")
 def q_contrast(spark, sf):
@@ -87,28 +96,32 @@ def q_weights(spark, sf):
 
 def standardised(spark, sf):
     d = E.group_weights(features(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")), "y", "grp")
-    return staged(E.impute_standardize(d, FEATURES), "standardised")
+    return staged(E.impute_standardize(d, NARROW), "standardised")
 
 
 @query("logistic_l2_fit")
 def q_fit(spark, sf):
     z = standardised(spark, sf)
-    model = M.fit_logistic(z, FEATURES, "y", "weight", 1.0)
-    return spark.createDataFrame([(float(model.intercept), *[float(c) for c in model.coefficients])], ["intercept", *FEATURES])
+    model = M.fit_logistic(z, NARROW, "y", "weight", 1.0)
+    return spark.createDataFrame([(float(model.intercept), *[float(c) for c in model.coefficients])], ["intercept", *NARROW])
 
 
 @query("coefficient_table")
 def q_coefficients(spark, sf):
-    return M.coefficient_table(spark, M.fit_logistic(standardised(spark, sf), FEATURES, "y", "weight", 1.0), FEATURES)
+    return M.coefficient_table(spark, M.fit_logistic(standardised(spark, sf), NARROW, "y", "weight", 1.0), NARROW)
 
 
-MODEL = {"intercept": 0.25, "median": [0.0, 0.01, 0.02, 0.03], "mean": [0.01, 0.0, -0.01, 0.02], "scale": [0.12, 0.13, 0.11, 0.14], "coefficients": [0.8, -0.5, 1.2, 0.3]}
+#: A fixed model over all features: the place of a fitted model's numbers.
+MODEL = {"intercept": 0.25, "median": [i % 4 / 100 for i in range(64)], "mean": [i % 5 / 100 - 0.02 for i in range(64)],
+         "scale": [0.11 + i % 4 / 100 for i in range(64)], "coefficients": [(i * 7 % 11 - 5) / 40 for i in range(64)]}
+LOGIT_SQL = "CAST(0.25 AS DOUBLE) + " + " + ".join(
+    f"(coalesce(CASE WHEN vec_id % 9 <> {i % 9} THEN {f} END, CAST({m!r} AS DOUBLE)) - CAST({a!r} AS DOUBLE)) / CAST({s!r} AS DOUBLE) * CAST({c!r} AS DOUBLE)"
+    for i, (f, m, a, s, c) in enumerate(zip(FEATURES, MODEL["median"], MODEL["mean"], MODEL["scale"], MODEL["coefficients"])))
 
 
-@query("logistic_score", uses="features", sql="""SELECT vec_id, round(1 / (1 + exp(-greatest(-35, least(35, 0.25 + (coalesce(CASE WHEN vec_id % 9 <> 0 THEN f0 END, 0) - 0.01) / 0.12 * 0.8 + f1 / 0.13 * -0.5 + (f2 + 0.01) / 0.11 * 1.2 + (f3 - 0.02) / 0.14 * 0.3)))), 7) + 0.0 AS probability,
- 1 / (1 + exp(-greatest(-35, least(35, 0.25 + (coalesce(CASE WHEN vec_id % 9 <> 0 THEN f0 END, 0) - 0.01) / 0.12 * 0.8 + f1 / 0.13 * -0.5 + (f2 + 0.01) / 0.11 * 1.2 + (f3 - 0.02) / 0.14 * 0.3)))) >= 0.5 AS exercise FROM features""")
+@query("logistic_score", uses="features", sql=f", p AS (SELECT vec_id, 1 / (1 + exp(-greatest(-35, least(35, {LOGIT_SQL})))) AS p FROM features) SELECT vec_id, round(p, 7) + 0.0 AS probability, p >= 0.5 AS exercise FROM p")
 def q_score(spark, sf):
-    d = features(spark, sf).withColumn("f0", F.when(F.col("vec_id") % 9 != 0, F.col("f0")))
+    d = features(spark, sf).withColumns({f: F.when(F.col("vec_id") % 9 != i % 9, F.col(f)) for i, f in enumerate(FEATURES)})
     return E.logistic_score(d, FEATURES, MODEL).select("vec_id", r(F.col("probability"), 7).alias("probability"), (F.col("probability") >= 0.5).alias("exercise"))
 
 
@@ -121,9 +134,9 @@ def q_folds(spark, sf):
 
 @query("nested_cv")
 def q_nested(spark, sf):
-    d = features(spark, sf).select("vec_id", (F.col("label") < 5).cast("int").alias("y"), F.col("subject").alias("grp"), *FEATURES)
+    d = features(spark, sf).select("vec_id", (F.col("label") < 5).cast("int").alias("y"), F.col("subject").alias("grp"), *NARROW)
     d = d.withColumn("y", (F.col("grp") % 2).cast("int"))
-    _, folds = M.nested_cv(d, FEATURES, "y", "grp", grid=[0.1, 10.0], outer=2, inner=2)
+    _, folds = M.nested_cv(d, NARROW, "y", "grp", grid=[0.1, 10.0], outer=2, inner=2)
     return folds
 
 
@@ -169,7 +182,7 @@ q AS (SELECT held, count(*) AS windows, avg(CASE WHEN pred = 0 THEN 1.0 ELSE 0 E
 SELECT held AS subject, windows, round(ra, 6) + 0.0 AS recall_a, round(rb, 6) + 0.0 AS recall_b, round((ra + rb) / 2, 6) + 0.0 AS balanced_accuracy FROM q""")
 def q_lopo(spark, sf):
     d = features(spark, sf).withColumn("action", F.col("label") % 2)
-    return rounded_all(E.lopo_two_action(d, "subject", "action", 0, 1, FEATURES[:3]), ["subject", "windows"])
+    return rounded_all(E.lopo_two_action(d, "subject", "action", 0, 1, NARROW[:3]), ["subject", "windows"])
 
 
 @query("confusion_matrix", uses="features", sql=PRED_SQL + ", n AS (SELECT actual, predicted, count(*) AS n FROM p GROUP BY 1, 2) SELECT actual, predicted, n, round(n / sum(n) OVER (PARTITION BY actual), 6) + 0.0 AS share FROM n")
@@ -190,7 +203,7 @@ def q_report(spark, sf):
     return rounded_all(E.classification_report(predicted(spark, sf), "actual", "predicted"), ["label", "support"])
 
 
-@query("motion_metrics", uses="features", sql=""", p AS (SELECT CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, CASE WHEN (abs(f0) + abs(f2)) / (abs(f0) + abs(f1) + abs(f2) + abs(f3)) >= 0.5 THEN 1 ELSE 0 END AS p FROM features WHERE label <> 9),
+@query("motion_metrics", uses="features", sql=""", p AS (SELECT CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, CASE WHEN (s0 + s2) / (s0 + s1 + s2 + s3) >= 0.5 THEN 1 ELSE 0 END AS p FROM features WHERE label <> 9),
 c AS (SELECT count_if(y = 1 AND p = 1) AS tp, count_if(y = 0 AND p = 1) AS fp, count_if(y = 0 AND p = 0) AS tn, count_if(y = 1 AND p = 0) AS fn FROM p)
 SELECT tp + fp + tn + fn AS samples, round((tp + tn) / (tp + fp + tn + fn), 6) + 0.0 AS accuracy, round((2 * tp / greatest(1, 2 * tp + fp + fn) + 2 * tn / greatest(1, 2 * tn + fp + fn)) / 2, 6) + 0.0 AS macro_f1, round(tp / greatest(1, tp + fp), 6) + 0.0 AS precision_exercise,
  round(tp / greatest(1, tp + fn), 6) + 0.0 AS recall_exercise, round(tn / greatest(1, tn + fp), 6) + 0.0 AS specificity_non_exercise FROM c""")
@@ -237,26 +250,26 @@ def q_cover(spark, sf):
 
 def trained(spark, sf):
     d = E.group_weights(features(spark, sf).withColumn("y", F.col("label").cast("int")), "y", "grp")
-    return d, M.fit_forest(d, FEATURES, "y", "weight")
+    return d, M.fit_forest(d, NARROW, "y", "weight")
 
 
 @query("train_multiclass")
 def q_train(spark, sf):
     d, model = trained(spark, sf)
-    return E.classification_report(M.score_forest(model, d, FEATURES), "y", "predicted")
+    return E.classification_report(M.score_forest(model, d, NARROW), "y", "predicted")
 
 
 @query("feature_importance")
 def q_importance(spark, sf):
-    return M.feature_importance(spark, trained(spark, sf)[1], FEATURES)
+    return M.feature_importance(spark, trained(spark, sf)[1], NARROW)
 
 
-PR_SQL = ", p AS (SELECT vec_id, label % 4 AS y, abs(f0)/s AS p0, abs(f1)/s AS p1, abs(f2)/s AS p2, abs(f3)/s AS p3 FROM (SELECT *, abs(f0)+abs(f1)+abs(f2)+abs(f3) AS s FROM features) z)"
+PR_SQL = ", p AS (SELECT vec_id, label % 4 AS y, s0/s AS p0, s1/s AS p1, s2/s AS p2, s3/s AS p3 FROM (SELECT *, s0 + s1 + s2 + s3 AS s FROM features) z)"
 PROBS = ["p0", "p1", "p2", "p3"]
 
 
 def probabilities(spark, sf):
-    a = [F.abs(f) for f in FEATURES]
+    a = [F.col(s) for s in SCORES]
     total = a[0] + a[1] + a[2] + a[3]
     return features(spark, sf).select("vec_id", (F.col("label") % 4).alias("y"), *[(x / total).alias(p) for x, p in zip(a, PROBS)])
 

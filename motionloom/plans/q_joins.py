@@ -181,7 +181,7 @@ def q_devices(spark, sf):
     return J.device_set_match(l, m, "trial", "dev")
 
 
-PROB_SQL = """, p AS (SELECT vec_id, abs(f0) AS a, abs(f1) AS b, abs(f2) AS c, abs(f3) AS d, abs(f0)+abs(f1)+abs(f2)+abs(f3) AS s FROM features)"""
+PROB_SQL = """, p AS (SELECT vec_id, s0 AS a, s1 AS b, s2 AS c, s3 AS d, s0 + s1 + s2 + s3 AS s FROM features)"""
 
 
 @query("map_argmax", uses="features", sql=PROB_SQL + """

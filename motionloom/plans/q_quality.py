@@ -10,7 +10,7 @@ from ..operators import clean as C
 from ..operators import quality as Q
 from ..operators.ordered import exact_percentile, one_row, spread_join
 from .registry import query
-from .views import AXES, features, imu6, recordings, segments1, stream1, stream_rows, table
+from .views import AXES, SCORES, features, imu6, recordings, segments1, stream1, stream_rows, table
 
 DEV = ["device"]
 
@@ -249,7 +249,7 @@ def q_pose(spark, sf):
 
 
 @query("confidence_fallback", uses="features", sql="""
-, p AS (SELECT vec_id, abs(f0) AS a, abs(f1) AS b, abs(f2) AS c, abs(f3) AS d, abs(f0)+abs(f1)+abs(f2)+abs(f3) AS s FROM features),
+, p AS (SELECT vec_id, s0 AS a, s1 AS b, s2 AS c, s3 AS d, s0 + s1 + s2 + s3 AS s FROM features),
 g AS (SELECT *, greatest(a, b, c, d) / s AS top, CASE WHEN a = greatest(a,b,c,d) THEN 'run' WHEN b = greatest(a,b,c,d) THEN 'sitting' WHEN c = greatest(a,b,c,d) THEN 'squat' ELSE 'standing' END AS best, (a + c) / s AS motion FROM p)
 SELECT vec_id, CASE WHEN top < 0.65 THEN CASE WHEN motion >= 0.5 THEN 'other_motion' ELSE 'other_non_motion' END ELSE best END AS action, round(motion, 6) + 0.0 AS motion_probability FROM g""")
 def q_fallback(spark, sf):
@@ -260,7 +260,7 @@ def q_fallback(spark, sf):
 
 def class_probabilities(f):
     """features rows with a map of class probabilities, the shape a model would give."""
-    a = [F.abs(f"f{i}") for i in range(4)]
+    a = [F.col(s) for s in SCORES]
     total = a[0] + a[1] + a[2] + a[3]
     names = ["run", "sitting", "squat", "standing"]
     return f.withColumn("probabilities", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[x / total for x in a])))

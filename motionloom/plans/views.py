@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import number_rows
 
 IMU_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+FEATURES = [f"f{i}" for i in range(64)]
+SCORES = ["s0", "s1", "s2", "s3"]
 AXES = ["ax", "ay", "az", "gx", "gy", "gz"]
 
 
@@ -95,10 +100,11 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature table with class, capture group and subject, from embeddings."""
-    return table(spark, sf, "embeddings").select(
+    """Feature table with class, capture group, subject and four class scores (absolute sums of every fourth feature), from embeddings."""
+    rows = table(spark, sf, "embeddings").select(
         "vec_id", "label", (F.col("vec_id") % 10).alias("grp"), (F.col("vec_id") % 25).alias("subject"),
-        *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)])
+        *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)])
+    return rows.withColumns({s: F.abs(reduce(add, [F.col(f) for f in FEATURES[i::4]])) for i, s in enumerate(SCORES)})
 
 
 def recordings(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,8 +119,6 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
         (k % 13 != 0).alias("orientation_valid"), F.when(k % 17 == 0, "q0;q1").otherwise("").alias("missing_core_columns"))
 
 
-FEATURES = ["f0", "f1", "f2", "f3"]
-
 CTE = {
     "imu6": """SELECT l_suppkey AS device, idx, idx / CAST(50 AS DOUBLE) AS t,
   (l_quantity - 25) / 25 AS ax, (l_discount - CAST(0.05 AS DOUBLE)) * 10 AS ay, 1 + (l_tax - CAST(0.04 AS DOUBLE)) * 5 AS az,
@@ -141,7 +145,7 @@ FROM (SELECT device, idx // 150 AS segment_id, min(gx) AS g, max(roll) AS r FROM
  o_orderkey % 13 <> 0 AS orientation_valid, CASE WHEN o_orderkey % 17 = 0 THEN 'q0;q1' ELSE '' END AS missing_core_columns FROM orders""",
     "scores": """SELECT l.doc_id, l.quality AS y, l.toxic AS y2, CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS score, d.source AS grp, d.lang AS dim
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
-    "features": """SELECT vec_id, label, vec_id % 10 AS grp, vec_id % 25 AS subject, CAST(embedding[1] AS DOUBLE) AS f0,
-  CAST(embedding[2] AS DOUBLE) AS f1, CAST(embedding[3] AS DOUBLE) AS f2, CAST(embedding[4] AS DOUBLE) AS f3
-FROM embeddings""",
+    "features": "SELECT *, " + ", ".join(f"abs({' + '.join(FEATURES[i::4])}) AS {s}" for i, s in enumerate(SCORES)) + """
+FROM (SELECT vec_id, label, vec_id % 10 AS grp, vec_id % 25 AS subject, """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {f}" for i, f in enumerate(FEATURES)) + """
+FROM embeddings) z""",
 }
