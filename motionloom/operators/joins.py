@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .ordered import spread_join
 
 PAIR_SHARDS = 8
@@ -106,7 +107,7 @@ def override_join(captures: DataFrame, overrides: DataFrame, path: str) -> DataF
 
 def inherit_split(sessions: DataFrame, splits: DataFrame, subject: str) -> DataFrame:
     known = splits.groupBy(subject).agg(F.max("split").alias("split"))
-    s = spread_join(sessions, known, [subject]).withColumn("split", F.coalesce("split", F.lit("unassigned")))
+    s = spread_join(sessions, known, [subject], large=True).withColumn("split", F.coalesce("split", F.lit("unassigned")))
     return s.withColumn("formal_evaluation", F.col("split").isin("validation", "test"))
 
 

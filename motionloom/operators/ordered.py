@@ -7,7 +7,7 @@ third of all rows, so nothing here does that. Each key's order is cut into block
                    carry of all earlier blocks (a window over block totals, one row per block);
 * ``with_halo``    bounded frames (lag, lead, rolling): rows near a block edge are copied to the
                    neighbouring block, so each (key, block) can be computed alone;
-* ``spread_join``  rows to one-row-per-key tables with the hot keys salted;
+* ``spread_join``  rows to one-row-per-key tables with the hot keys salted (``large``: tables that grow like the rows);
 * ``block_entries`` the state in which a recursion enters each block, by composing the blocks' maps in a tree;
 * ``exact_percentile`` rank selection over distinct values in even ranges, never one task per key.
 """
@@ -28,6 +28,7 @@ from ..session import staged
 
 BLOCK_ROWS = 1 << 17
 SALTS = 16
+LARGE_SALTS = 4
 
 
 @dataclass(frozen=True)
@@ -132,15 +133,18 @@ def islands(df: DataFrame, key: list[str], idx: str, change: Column, out: str =
     return block_scan(df, key, [idx], index_block(idx, size), [start])
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join rows to a small per-key table, spreading each key over ``salts`` tasks.
+def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], how: str = "left", salts: int | None = None, large: bool = False) -> DataFrame:
+    """Join rows to a per-key table, spreading each key over ``salts`` tasks.
 
-    The salt is a hash of the row, so a recomputed task after a lost executor salts as before.
+    The salt is a hash of the row, so a recomputed task after a lost executor salts as before. Spark judges the
+    size of ``per_key`` before its rows are copied for the salts, so a ``large`` one (about as many keys as rows)
+    is always shuffled, never broadcast through the driver, and copied less.
     """
+    salts = salts or (LARGE_SALTS if large else SALTS)
     hashable = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge") if large else copies, [*key, "_salt"], how).drop("_salt")
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

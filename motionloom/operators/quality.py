@@ -145,7 +145,7 @@ def prefer_source_format(df: DataFrame, sample: list[str], fmt: str, order: dict
     for f, p in order.items():
         rank = F.when(F.col(fmt) == f, p).otherwise(rank)
     best = df.groupBy(*sample).agg(F.min(F.struct(rank, F.col(fmt))).alias("_b")).select(*sample, F.col("_b")[fmt].alias("_fmt"))
-    return spread_join(df, best, sample).filter(F.col(fmt) == F.col("_fmt")).drop("_fmt")
+    return spread_join(df, best, sample, large=True).filter(F.col(fmt) == F.col("_fmt")).drop("_fmt")
 
 
 def trainability_gate(iv: DataFrame, recordings: DataFrame, key: list[str], min_seconds: float = 4.0, allow_legacy: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -145,7 +145,7 @@ def q_audit(spark, sf):
 def audit_left_join(quality, split, log, on, recording, counts):
     """quality with its split and the summed cleaning counts; sums are taken before the join."""
     sums = log.groupBy(recording).agg(*[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("log_rows"))
-    return spread_join(quality, split, on).join(sums, recording, "left")
+    return spread_join(quality, split, on, large=True).join(sums.hint("merge"), recording, "left")
 
 
 @query("signal_quality", uses="imu6", sql="""
