@@ -53,18 +53,23 @@ def contains_first(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 
     The text's substrings as long as the shortest term meet the terms' beginnings by equality, for a
     dictionary of any size; each candidate carries as many characters as the longest term has, which decide.
+    One pattern takes those that start with some term's first letter in a single pass, so the work is linear in the text's length.
     Rows meet their answer by a digest of the text, so rows that share other columns are answered alone.
     """
+    terms = terms.filter("ordinal IS NOT NULL").withColumn("_one", F.lit(0))
+    bounds = terms.groupBy("_one").agg(F.min(F.length("term")).alias("_short"), F.max(F.length("term")).alias("_long"))
+    t = spread_join(terms, bounds, ["_one"], "inner").withColumn("_begin", F.substring(F.col("term"), F.lit(1), F.col("_short")))
+    t = staged(t.orderBy("ordinal").withColumn("_id", F.monotonically_increasing_id()), "terms")  # in files Spark knows its size
     d = df.withColumn("_digest", F.md5(text))
-    bounds = terms.agg(F.min(F.length("term")).alias("_short"), F.max(F.length("term")).alias("_long"))
-    b = spread_join(d.select("_digest", F.col(text).alias("_text"), F.lit(0).alias("_one")), bounds.withColumn("_one", F.lit(0)), ["_one"], "inner")
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_text") - F.col("_short") + 1, F.lit(1)))
-    parts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.col("_long"))))
+    texts = d.filter("_digest IS NOT NULL").select("_digest", F.col(text).alias("_text"), F.lit(0).alias("_one")).repartition("_digest")  # however few files hold them
+    letter = F.concat(F.lit("\\x{"), F.hex(F.ascii("term")), F.lit("}"))  # a text has candidates only where some term's first letter stands
+    b = spread_join(texts, t.groupBy("_one").agg(F.max("_short").alias("_short"), F.max("_long").alias("_long"), F.concat_ws("", F.collect_set(letter)).alias("_letters")), ["_one"], "inner")
+    begins_here = F.format_string("(?s)(?=(.{1,%d}))[%s]", F.greatest(F.col("_long"), F.lit(1)), F.col("_letters"))
+    parts = F.concat(F.regexp_extract_all("_text", begins_here, F.lit(1)), F.array(F.lit("")))
     g = b.select("_digest", "_short", F.explode(parts).alias("_part")).withColumn("_begin", F.substring(F.col("_part"), F.lit(1), F.col("_short")))
-    t = spread_join(terms.withColumn("_one", F.lit(0)), bounds.withColumn("_one", F.lit(0)), ["_one"], "inner").select("ordinal", "term", "value", F.substring(F.col("term"), F.lit(1), F.col("_short")).alias("_begin"))
-    hit = g.join(t, "_begin").filter(F.startswith("_part", "term"))
-    first = hit.groupBy("_digest").agg(F.min_by("value", "ordinal").alias("value"))
-    return d.join(first, "_digest", "left").drop("_digest")
+    hit = g.join(t.select("_id", "term", "_begin"), "_begin").filter(F.startswith("_part", "term"))
+    first = hit.groupBy("_digest").agg(F.min("_id").alias("_id")).join(t.select("_id", "value"), "_id")
+    return d.join(first.drop("_id"), "_digest", "left").drop("_digest")
 
 
 def dual_stream_pair(df: DataFrame, trial: str, side: str, start_ns: str) -> DataFrame:

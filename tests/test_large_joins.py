@@ -1,4 +1,6 @@
-"""Joins whose per-key side grows like the rows."""
+"""Joins whose per-key side grows like the rows, and texts that are long."""
+
+import time
 
 
 from motionloom.operators import joins as J
@@ -39,3 +41,15 @@ def test_inherit_split_and_source_format_shuffle_their_tables(spark):
     got = Q.prefer_source_format(recs, ["s"], "f", {"csv": 0, "txt": 1})
     assert "BroadcastHashJoin" not in plan(got)
     assert sorted(r["r"] for r in got.collect()) == [1, 3, 5]
+
+
+def test_contains_first_is_linear_in_a_text(spark):
+    far = "".join(chr(0x4E00 + i % 5000) for i in range(200_000))
+    docs = spark.createDataFrame([(1, far + "needle"), (2, far + "needl"), (3, "x\n\U0001F600b\n"), (4, ""), (5, None), (6, "a]^-b")], "id long, text string")
+    terms = spark.createDataFrame([(1, "needle", "n"), (2, "\U0001F600b", "smile"), (3, "^-", "marks"), (None, "x", "never")], "ordinal int, term string, value string")
+    start = time.time()
+    got = {r["id"]: r["value"] for r in J.contains_first(docs, "text", terms).collect()}
+    assert got == {1: "n", 2: None, 3: "smile", 4: None, 5: None, 6: "marks"}
+    assert time.time() - start < 60  # quadratic work on the long texts takes minutes
+    empty = spark.createDataFrame([(2, "", "any"), (1, "b", "b")], "ordinal int, term string, value string")
+    assert {r["id"]: r["value"] for r in J.contains_first(docs, "text", empty).collect()} == {1: "any", 2: "any", 3: "b", 4: "any", 5: None, 6: "b"}
