@@ -27,7 +27,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def imu6(spark: SparkSession, sf: str) -> DataFrame:
     """Per-device six-axis capture with Euler angles on a 50 Hz axis, from lineitem."""
     li = table(spark, sf, "lineitem").select("l_suppkey", *IMU_ORDER)
-    rows = number_rows(li, ["l_suppkey"], IMU_ORDER, F.col("l_shipdate"))
+    # quarters hold many rows of a device, days hardly one; rows without a device are numbered day by day
+    block = F.when(F.col("l_suppkey").isNull(), F.col("l_shipdate")).otherwise(F.date_trunc("quarter", "l_shipdate"))
+    rows = number_rows(li, ["l_suppkey"], IMU_ORDER, block)
     order, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     return rows.select(
         F.col("l_suppkey").alias("device"), "idx", (F.col("idx") / F.lit(50.0)).alias("t"),
