@@ -21,10 +21,8 @@ def neutral_baseline(df: DataFrame, key: list[str], acc: list[str], angles: list
 
     The mean quaternion needs ten sums per key; only those reach the 4x4 eigenvector function.
     """
-    med = None
-    for a in acc:
-        m = exact_percentile(df, key, a, {f"_g_{a}": 0.5})
-        med = m if med is None else med.join(m, key)
+    middle = exact_percentile(df.select(*key, *acc).unpivot(key, acc, "_axis", "_x"), [*key, "_axis"], "_x", {"_g": 0.5})
+    med = middle.groupBy(*key).agg(*[F.max(F.when(F.col("_axis") == a, F.col("_g"))).alias(f"_g_{a}") for a in acc]).dropna(subset=[f"_g_{a}" for a in acc])
     length = F.greatest(S.norm(*[F.col(f"_g_{a}") for a in acc]), F.lit(1e-9))
     aggs = [S.circular_mean(F.col(a)).alias(f"base_{a}") for a in angles]
     if quats:

@@ -10,6 +10,7 @@ from ..functions.spectral import autocorr_period, spectral
 from ..operators import ordered as O
 from ..operators import posture as P
 from ..operators import windows as WN
+from ..session import staged
 from .registry import query
 from .views import AXES, imu6, windows1
 
@@ -208,8 +209,6 @@ u AS (SELECT device, UNNEST(['n','acc_mag_std','acc_dynamic_p95','gyro_mag_mean'
  UNNEST([a0,a1,a2,a3,a4,a5,b1,b2,b3,b4,b5,b6,c1,c2,c3]) AS value FROM s UNION ALL SELECT device, 'acc_dominant_hz', arg_max(k, pa) * 50.0 / any_value(n) FROM pw GROUP BY 1 UNION ALL SELECT device, 'gyro_dominant_hz', arg_max(k, pg) * 50.0 / any_value(n) FROM pw GROUP BY 1)
 SELECT device, feature, round(value, 6) + 0.0 AS value FROM u""")
 def q_recording(spark, sf):
-    from ..session import staged
-
     d = staged(imu6(spark, sf), "imu6")
     c = WN.recording_contrast(d, DEV, "idx", MAP9)
     return long(c.withColumn("n", F.col("n").cast("double")), DEV)
@@ -230,7 +229,8 @@ def middle(spark, sf):
 SELECT device, round(m1 / greatest(sqrt(m1*m1+m2*m2+m3*m3), 1e-9), 5) + 0.0 AS base_ax, round(m2 / greatest(sqrt(m1*m1+m2*m2+m3*m3), 1e-9), 5) + 0.0 AS base_ay, round(m3 / greatest(sqrt(m1*m1+m2*m2+m3*m3), 1e-9), 5) + 0.0 AS base_az,
  round(br, 4) + 0.0 AS base_roll, round(bp, 4) + 0.0 AS base_pitch, round(by_, 4) + 0.0 AS base_yaw FROM nb""")
 def q_neutral(spark, sf):
-    b = P.neutral_baseline(middle(spark, sf), DEV, ["ax", "ay", "az"], ["roll", "pitch", "yaw"])
+    m = staged(middle(spark, sf).select("device", "ax", "ay", "az", "roll", "pitch", "yaw"), "middle")
+    b = P.neutral_baseline(m, DEV, ["ax", "ay", "az"], ["roll", "pitch", "yaw"])
     return b.select("device", *[r(F.col(f"base_{a}"), 5).alias(f"base_{a}") for a in ("ax", "ay", "az")], *[r(F.col(f"base_{a}"), 4).alias(f"base_{a}") for a in ("roll", "pitch", "yaw")])
 
 
