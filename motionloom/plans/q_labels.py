@@ -9,6 +9,7 @@ from ..functions.taxonomy import posture_by_name
 from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import timeaxis as ta
+from ..session import staged
 from .q_quality import STREAM_SQL, stream_report
 from .q_scalar import ACTIVITY_IDS, IDS_SQL, NAME_SQL
 from .registry import query
@@ -268,7 +269,7 @@ def convert_legacy_text(d, key, ts, row, fields, expected):
 
 def trial_reports(spark, sf):
     """Trials pair neighbouring devices; their label document has the trial's number."""
-    streams = stream_report(spark, sf).withColumn("trial", F.floor(F.col("device") / 2))
+    streams = staged(stream_report(spark, sf), "streams").withColumn("trial", F.floor(F.col("device") / 2))
     labels = validated(spark, sf).select(F.col("doc_id").alias("trial"), "errors", "evidence_tier")
     u = F.col("device")
     pair = J.dual_stream_pair(streams.select("trial", F.when(u % 2 == 0, "left").otherwise("right").alias("side"), (u * 37 % 700 * 1000000).alias("ns")), "trial", "side", "ns")

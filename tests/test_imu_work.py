@@ -41,3 +41,12 @@ def test_neutral_baseline_takes_its_medians_in_one_pass(spark, monkeypatch):
     assert len(calls) == 1 and [r["d"] for r in got] == [1]  # a device without values of an axis has no baseline
     m = np.array([median([1, 3, 2]), 2.0, 3.0])
     assert [got[0][f"base_{a}"] for a in ("ax", "ay", "az")] == pytest.approx((m / np.linalg.norm(m)).tolist())
+
+
+def test_session_audit_computes_its_streams_once(spark, monkeypatch):
+    from motionloom.plans import q_labels
+
+    kept = []
+    monkeypatch.setattr(q_labels, "staged", lambda df, name="stage": kept.append(name) or df)
+    q_labels.trial_reports(spark, "/root/testdata/sf0.001")
+    assert kept == ["streams"]
