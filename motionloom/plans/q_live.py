@@ -57,7 +57,7 @@ def frame_chunks(spark, sf):
 SELECT device, t AS arrival, {RAW_SQL}, CAST(lost AS BIGINT) AS discarded FROM imu6 JOIN l USING (device)""")
 def q_frames(spark, sf):
     d = PK.decode_frames(staged(frame_chunks(spark, sf), "chunks"), DEV, "idx", "arrival", "payload")
-    d = staged(d, "frames")
+    d = staged(d.select("device", "arrival", "ax_g", "gx_dps", "yaw_deg", "discarded"), "frames")
     lost = d.groupBy("device").agg(F.sum("discarded").alias("discarded"))
     return spread_join(d.filter("ax_g IS NOT NULL").select("device", "arrival", "ax_g", "gx_dps", "yaw_deg"), lost, DEV)
 

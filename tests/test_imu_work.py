@@ -50,3 +50,13 @@ def test_session_audit_computes_its_streams_once(spark, monkeypatch):
     monkeypatch.setattr(q_labels, "staged", lambda df, name="stage": kept.append(name) or df)
     q_labels.trial_reports(spark, "/root/testdata/sf0.001")
     assert kept == ["streams"]
+
+
+def test_frames_query_keeps_only_its_columns(spark, monkeypatch):
+    from motionloom.plans import q_live
+
+    kept = {}
+    real = q_live.staged
+    monkeypatch.setattr(q_live, "staged", lambda df, name="stage": kept.update({name: df.columns}) or real(df, name))
+    q_live.q_frames(spark, "/root/testdata/sf0.001")
+    assert kept["frames"] == ["device", "arrival", "ax_g", "gx_dps", "yaw_deg", "discarded"]
