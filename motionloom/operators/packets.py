@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import machines as MC
@@ -109,34 +112,60 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def same_lengths(packets: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, byte rows) of the packets of each length; a null has length 0."""
+    whole = pa.array(packets.fill_null(b""), pa.binary()) if packets.null_count else packets.cast(pa.binary())
+    length = pc.binary_length(whole).to_numpy(zero_copy_only=False)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        yield at, np.frombuffer(b"".join(whole.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), n)
+
+
+def crc_of(payload: Column) -> Column:
+    """CRC16 of each payload; NULL for NULL."""
+
+    @F.arrow_udf("int")
+    def run(packets: pa.Array) -> pa.Array:
+        crc = np.zeros(len(packets), np.int32)
+        for at, rows in same_lengths(packets):
+            crc[at] = crc16(rows)
+        return pa.array(crc, mask=packets.is_null().to_numpy(zero_copy_only=False))
+
+    return run(payload)
+
+
 def decode_compact(df: DataFrame, payload: str) -> DataFrame:
     """Add ``reason`` (NULL when good) and ``samples`` (array of structs) for compact packets."""
     names = ["ax_g", "ay_g", "az_g", "gx_dps", "gy_dps", "gz_dps"]
     sample = ",".join(["sequence_id:int"] + [f"{n}:double" for n in names])
 
-    @F.pandas_udf(f"struct<reason:string,samples:array<struct<{sample}>>>")
-    def run(packets: pd.Series) -> pd.DataFrame:
-        raw = [bytes(p) if p is not None else b"" for p in packets]
-        reason, samples = np.full(len(raw), None, object), [None] * len(raw)
-        length = np.array([len(p) for p in raw])
-        for n in np.unique(length):
-            at = np.flatnonzero(length == n)
+    @F.arrow_udf(f"struct<reason:string,samples:array<struct<{sample}>>>")
+    def run(packets: pa.Array) -> pa.Array:
+        reason, count, good = np.full(len(packets), None, object), np.zeros(len(packets), np.int64), np.zeros(len(packets), bool)
+        found = []
+        for at, m in same_lengths(packets):
+            n = m.shape[1]
             if n < 6:
                 reason[at] = "too_short"
                 continue
-            m = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)
             head = (m[:, 0] == COMPACT_MAGIC[0]) & (m[:, 1] == COMPACT_MAGIC[1]) & (m[:, 2] == COMPACT_VERSION)
             fits = m[:, 3].astype(int) * COMPACT_SAMPLE + 6 == n
-            good = crc16(m[:, :-2]) == np.ascontiguousarray(m[:, -2:]).view("<u2")[:, 0]
-            reason[at] = np.select([~head, ~fits, ~good], ["unsupported_packet", "length_mismatch", "crc_failed"], None)
-            ok = head & fits & good
+            same = crc16(m[:, :-2]) == np.ascontiguousarray(m[:, -2:]).view("<u2")[:, 0]
+            reason[at] = np.select([~head, ~fits, ~same], ["unsupported_packet", "length_mismatch", "crc_failed"], None)
+            ok = head & fits & same
             if not ok.any():
                 continue
-            body = np.ascontiguousarray(m[ok, 4:-2]).view("<i2").reshape(ok.sum(), -1, 7)
-            for i, b in zip(at[ok], body):
-                v = b[:, 1:] * np.repeat([16.0, 2000.0], 3) / 32768
-                samples[i] = [dict(zip(["sequence_id", *names], [int(s) & 0xFFFF, *map(float, r)])) for s, r in zip(b[:, 0], v)]
-        return pd.DataFrame({"reason": reason, "samples": samples})
+            body = np.ascontiguousarray(m[ok, 4:-2]).view("<i2").reshape(ok.sum(), (n - 6) // COMPACT_SAMPLE, 7)
+            good[at[ok]], count[at[ok]] = True, body.shape[1]
+            found.append((at[ok], body))
+        edges = np.r_[0, np.cumsum(count)]
+        values = np.zeros((edges[-1], 7), np.int16)
+        for at, body in found:
+            values[(edges[at][:, None] + np.arange(body.shape[1])).ravel()] = body.reshape(-1, 7)
+        columns = [pa.array(values[:, 0].astype(np.int32) & 0xFFFF)] + [pa.array(values[:, 1 + i] * (16.0 if i < 3 else 2000.0) / 32768) for i in range(6)]
+        rows = pa.StructArray.from_arrays(columns, ["sequence_id", *names])
+        samples = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows, mask=pa.array(~good))
+        return pa.StructArray.from_arrays([pa.array(reason, pa.string()), samples], ["reason", "samples"])
 
     d = df.withColumn("_d", run(payload))
     return d.withColumns({"reason": F.col("_d.reason"), "samples": F.col("_d.samples")}).drop("_d")

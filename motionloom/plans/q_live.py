@@ -76,15 +76,8 @@ def compact_packets(d):
     """One-sample compact packets with a CRC; some damaged."""
     i = F.col("idx")
     body = F.concat(F.when(i % 19 == 4, "494E").otherwise("494D"), F.lit("0101"), _int16((i % 65536).cast("int")), *[_int16(v) for v in raw_axes()[:6]])
-    flip = lambda v: F.when((v.bitwiseAND(32768)) != 0, F.shiftleft(v, 1).bitwiseXOR(0x1021)).otherwise(F.shiftleft(v, 1)).bitwiseAND(65535)
-
-    def eat(crc, byte):
-        v = crc.bitwiseXOR(F.shiftleft(byte, 8))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), v, lambda a, _: flip(a))
-
     d = d.withColumn("_h", body)
-    values = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda k: F.conv(F.substring(F.col("_h"), k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    d = d.withColumn("_c", F.aggregate(values, F.lit(65535), eat))
+    d = d.withColumn("_c", PK.crc_of(F.unhex("_h")))
     crc = F.when(i % 13 == 2, F.col("_c").bitwiseXOR(1)).otherwise(F.col("_c"))
     text = F.concat("_h", _int16(crc), F.when(i % 17 == 3, "00").otherwise(""))
     return d.select("device", "idx", F.unhex(text).alias("payload"))

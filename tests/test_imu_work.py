@@ -43,6 +43,30 @@ def test_neutral_baseline_takes_its_medians_in_one_pass(spark, monkeypatch):
     assert [got[0][f"base_{a}"] for a in ("ax", "ay", "az")] == pytest.approx((m / np.linalg.norm(m)).tolist())
 
 
+def compact(samples, magic=b"IM", damage=0):
+    body = magic + bytes([1, len(samples)]) + b"".join(np.array(s, "<i2").tobytes() for s in samples)
+    crc = int(PK.crc16(np.frombuffer(body, np.uint8)[None])[0]) ^ damage
+    return body + crc.to_bytes(2, "little")
+
+
+def test_compact_packets_of_mixed_lengths(spark):
+    two, one = [[65535 - 65536, 1, 2, 3, 4, 5, -6], [0, 32767, -32768, 0, 0, 0, 16]], [[7, 16, 0, 0, 0, 0, 0]]
+    rows = [(0, compact(two)), (1, None), (2, compact(one, b"IN")), (3, compact(one, damage=1)), (4, compact([])), (5, compact(one) + b"\0"), (6, b"IM"), (7, compact(one)), (8, b"")]
+    d = spark.createDataFrame([(i, None if p is None else bytearray(p)) for i, p in rows], "i int, payload binary").coalesce(1)
+    got = {r["i"]: (r["reason"], r["samples"]) for r in PK.decode_compact(d, "payload").collect()}
+    assert [got[i][0] for i in range(9)] == [None, "too_short", "unsupported_packet", "crc_failed", None, "length_mismatch", "too_short", None, "too_short"]
+    assert [got[i][1] is None for i in range(9)] == [False, True, True, True, False, True, True, False, True]
+    scale = lambda s: [s[0] & 0xFFFF, *[v * k / 32768 for v, k in zip(s[1:], [16.0] * 3 + [2000.0] * 3)]]
+    assert [[list(s) for s in got[i][1]] for i in (0, 4, 7)] == [[scale(s) for s in two], [], [scale(s) for s in one]]
+    crc = {r["i"]: r["c"] for r in d.select("i", PK.crc_of(d.payload).alias("c")).collect()}
+    assert crc[1] is None and crc[8] == 0xFFFF and crc[6] == int(PK.crc16(np.frombuffer(b"IM", np.uint8)[None])[0])
+
+
+def test_packets_are_grouped_by_length():
+    got = {rows.shape[1]: at.tolist() for at, rows in PK.same_lengths(pa.array([b"ab", None, b"c", b"de"], pa.binary()))}
+    assert got == {0: [1], 1: [2], 2: [0, 3]}
+
+
 def test_session_audit_computes_its_streams_once(spark, monkeypatch):
     from motionloom.plans import q_labels
 
