@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +26,8 @@ from .resample import explode_range, lerp, uniform_resample
 from .windows import AXES, _aggregate_v2, _series, _spectra, _values, kernel_windows
 
 AXIS_NAMES = ["ax", "ay", "az", "gx", "gy", "gz"]
+#: Rows of whole blocks that the gravity filter takes at a time, at least.
+STACK_ROWS = 1 << 18
 
 
 def assign_batch_clock(df: DataFrame, key: list[str], idx: str, count: str, arrival: str, rate_hz: float = 100.0, size: int = BLOCK_ROWS) -> DataFrame:
@@ -207,29 +213,83 @@ def gravity(df: DataFrame, key: list[str], idx: str, size: int = BLOCK_ROWS, war
     early has the same direction to the last bit that matters (0.94^800 < 1e-21).
     """
     c = F.col
-    d = neighbours(df, key, idx, {"_before": idx}, size=size).withColumn("_n", S.norm(c("ax"), c("ay"), c("az")))
-    usable = d.filter("_n > 1e-6").select(*key, idx, *[(c(a) / c("_n")).alias(f"_u{i}") for i, a in enumerate(("ax", "ay", "az"))], c("_before").isNotNull().alias("_late"))
-    h = with_halo(staged(number_rows(usable, key, [idx], index_block(idx, size), "_k"), "usable"), "_k", warm, 0, size)
+    d = df.withColumn("_n", S.norm(c("ax"), c("ay"), c("az")))
+    known = reduce(lambda a, b: a & b, [c(k).isNotNull() for k in key])  # rows without a key have no filter
+    usable = d.filter((c("_n") > 1e-6) & known).select(*key, idx, *[(c(a) / c("_n")).alias(f"_u{i}") for i, a in enumerate(("ax", "ay", "az"))], (c(idx) > 0).alias("_late"))
+    h = with_halo(number_rows(usable, key, [idx], index_block(idx, size), "_k"), "_k", warm, 0, size)
+    h = h.repartition(*key, "_blk").sortWithinPartitions(*key, "_blk", "_k")
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k")
-        u = pdf[["_u0", "_u1", "_u2"]].to_numpy(float)
-        g = np.array([0.0, 0.0, 1.0]) if pdf["_k"].iloc[0] == 0 and pdf["_late"].iloc[0] else u[0]
-        out = np.empty_like(u)
-        for i, v in enumerate(u):
-            g = 0.94 * g + 0.06 * v
-            g = g / max(float(np.sqrt(g @ g)), 1e-9)
-            out[i] = g
-        res = pdf[[*key, idx]].assign(g0=out[:, 0], g1=out[:, 1], g2=out[:, 2])
-        return res[pdf["_core"].to_numpy()]
-
-    g = h.groupBy(*key, "_blk").applyInPandas(follow, f"{types}, `{idx}` {df.schema[idx].dataType.simpleString()}, g0 double, g1 double, g2 double")
-    d = d.drop("_before", "_n").join(g.withColumn("_g", F.struct("g0", "g1", "g2")).drop("g0", "g1", "g2"), [*key, idx], "left")
+    def follow(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        u = np.stack([rows.column(f"_u{i}").to_numpy() for i in range(3)], 1)
+        fresh = (rows.column("_k").to_numpy()[starts] == 0) & rows.column("_late").to_numpy()[starts]
+        g = filter_directions(u, starts, np.where(fresh[:, None], [0.0, 0.0, 1.0], u[starts]))
+        out = rows.select([*key, idx])
+        for i in range(3):
+            out = out.append_column(f"g{i}", pa.array(g[:, i]))
+        return out.filter(rows.column("_core"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= STACK_ROWS:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                starts = group_starts(rows, [*key, "_blk"])
+                if starts[-1]:  # the last block may go on in the next batch
+                    yield from follow(rows.slice(0, starts[-1]), starts[:-1]).to_batches()
+                rest = rows.slice(starts[-1])
+                held, count = rest.to_batches(), rest.num_rows
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and rows.num_rows:
+            rows = rows.combine_chunks()
+            yield from follow(rows, group_starts(rows, [*key, "_blk"])).to_batches()
+
+    g = h.mapInArrow(run, f"{types}, `{idx}` {df.schema[idx].dataType.simpleString()}, g0 double, g1 double, g2 double")
+    d = d.drop("_n").join(g.withColumn("_g", F.struct("g0", "g1", "g2")).drop("g0", "g1", "g2"), [*key, idx], "left")
     d = block_scan(d, key, [idx], index_block(idx, size), [Scan("_last", c("_g"), "last")])
     return d.withColumns({f"g{i}": F.coalesce(c(f"_last.g{i}"), F.lit(up)) for i, up in enumerate((0.0, 0.0, 1.0))}).drop("_g", "_last")
 
 
+def group_starts(rows: pa.Table, by: list[str]) -> np.ndarray:
+    """Where the runs of equal ``by`` begin in sorted rows of one chunk."""
+    turns = np.zeros(rows.num_rows, bool)
+    turns[0] = True
+    for c in by:
+        codes = rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        turns[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(turns)
+
+
+def filter_directions(u: np.ndarray, starts: np.ndarray, first: np.ndarray, few: int = 16) -> np.ndarray:
+    """The gravity filter over runs of directions that begin at ``starts`` with the states ``first``.
+
+    All runs take a step at a time; the last ``few`` long ones are followed one by one.
+    """
+    size = np.r_[starts[1:], len(u)] - starts
+    order = np.argsort(-size, kind="stable")  # longest first
+    starts, size, g, out = starts[order], size[order], first[order], np.empty_like(u)
+    i = 0
+    while (m := int(np.searchsorted(-size, -i, "left"))) > few:
+        at = starts[:m] + i
+        g[:m] = 0.94 * g[:m] + 0.06 * u[at]
+        g[:m] /= np.maximum(np.sqrt((g[:m] * g[:m]).sum(1)), 1e-9)[:, None]
+        out[at] = g[:m]
+        i += 1
+    for k in range(m):
+        x, y, z = g[k].tolist()
+        a, b = starts[k] + i, starts[k] + size[k]
+        found = []
+        for p, q, r in u[a:b].tolist():
+            x, y, z = 0.94 * x + 0.06 * p, 0.94 * y + 0.06 * q, 0.94 * z + 0.06 * r
+            n = max(math.sqrt(x * x + y * y + z * z), 1e-9)
+            x, y, z = x / n, y / n, z / n
+            found.append((x, y, z))
+        out[a:b] = found
+    return out
+
+
 def orientation_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrating: str, size: int = BLOCK_ROWS, warm: int = 800) -> DataFrame:
     """Six-axis relative orientation (roll, pitch, yaw, q0..q3).
 
