@@ -93,6 +93,62 @@ def v2(x: np.ndarray, fs: float, names: list[str] | None = None) -> dict[str, np
     return {k: out[k] for k in names}
 
 
+def v2_gaps(x: np.ndarray, fs: float, names: list[str] | None = None) -> dict[str, np.ndarray]:
+    """``v2`` of windows with missing samples: they are skipped, and the dynamic part is missing where a whole acceleration is."""
+    names = V2_NAMES if names is None else names
+    acc = norm(x[..., :3])
+    n, some = x.shape[1], lambda v: (~np.isnan(v)).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        average = lambda v: np.nansum(v, 1) / some(v)
+        dynamic = np.abs(acc - rank(np.sort(acc, axis=1), 0.5, some(acc))[:, None])
+        y = np.concatenate([x, np.stack([acc, norm(x[..., 3:])], -1)], -1)
+        mean, s, count = average(y), np.sort(y, axis=1), some(y)
+        std = np.sqrt(average((y - mean[:, None]) ** 2))
+        last = np.take_along_axis(s, np.expand_dims(np.maximum(count - 1, 0), 1), 1)[:, 0]
+        jerk = np.nan_to_num(np.sqrt(average(np.diff(y, axis=1) ** 2))) * fs
+        stats = {"mean": mean, "std": std, "rms": np.sqrt(average(y * y)), "range": last - s[:, 0], "iqr": rank(s, 0.75, count) - rank(s, 0.25, count), "jerk_rms": jerk}
+        d = np.sort(dynamic, axis=1)
+        moved = {"mean": dynamic.mean(1), "std": dynamic.std(1), "rms": np.sqrt((dynamic * dynamic).mean(1)), "range": d[:, -1] - d[:, 0], "iqr": rank(d, 0.75) - rank(d, 0.25),
+                 "jerk_rms": np.sqrt((np.diff(dynamic, axis=1) ** 2).mean(1)) * fs}
+        out = {f"{ch}_{name}": v[:, i] for name, v in stats.items() for i, ch in enumerate(V2_CHANNELS[:-1])} | {f"dynamic_acc_{name}": v for name, v in moved.items()}
+        for ch, v in zip(V2_CHANNELS, [*np.moveaxis(y, -1, 0), dynamic]):
+            if any(name.startswith(ch) and name.endswith(("dominant_hz", "spectral_entropy", "period_s")) for name in names):
+                out[f"{ch}_dominant_hz"], out[f"{ch}_spectral_entropy"] = spectral(v, np.full(len(v), float(fs)))
+                out[f"{ch}_period_s"] = period(v, fs)
+        out["acc_sma"] = average(np.abs(x[..., :3] - mean[:, None, :3]).sum(-1))
+        length = np.fmax(norm(mean[:, :3]), 1e-9)
+        out |= {f"gravity_{a}": mean[:, i] / length for i, a in enumerate("xyz")}
+        for f, a, b in PAIRS:
+            i, j = (a, b) if f == "acc" else (a + 3, b + 3)
+            both = np.where(np.isnan(y[..., i] + y[..., j])[..., None], np.nan, y[..., [i, j]])
+            cov = average(np.prod(both - average(both)[:, None], axis=-1))
+            scale = std[:, i] * std[:, j]
+            out[f"{f}_corr_{'xyz'[a]}{'xyz'[b]}"] = np.where(scale * n > 1e-12, cov / scale, 0.0)
+    return {k: out[k] for k in names}
+
+
+def live(x: np.ndarray, t: np.ndarray) -> dict[str, np.ndarray]:
+    """The live subset of the first generation at the rate observed in each window (``t``: the samples' times); missing samples are skipped."""
+    acc, n = norm(x[..., :3]), x.shape[1]
+    y = np.concatenate([x, np.stack([acc, norm(x[..., 3:6]), np.abs(acc - 1.0)], -1)], -1)
+    fs = (n - 1) / np.maximum(t[:, -1] - t[:, 0], 1e-6)
+    real = ~np.isnan(y)
+    count = real.sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.nansum(y, 1) / count
+        std = np.sqrt(np.nansum((y - mean[:, None]) ** 2, 1) / (count - 1.0))
+    std[count < 2] = np.nan
+    out = {"fs": fs, **{f"{c}_mean": mean[:, i] for i, c in enumerate(V2_CHANNELS)}, **{f"{c}_std": std[:, i] for i, c in enumerate(V2_CHANNELS)}}
+    for i, c in list(enumerate(V2_CHANNELS))[6:]:
+        hz, entropy = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        for m in np.unique(count[:, i]):
+            at = np.flatnonzero(count[:, i] == m)
+            if m:
+                hz[at], entropy[at] = spectral(y[at, :, i][real[at, :, i]].reshape(len(at), m), fs[at], floor=0.0, entropy_floor=1e-12)
+        out[f"{c}_dom_freq_hz"], out[f"{c}_spec_entropy"] = hz, entropy
+    return out
+
+
 def v1(x: np.ndarray, axes: list[str], fs: np.ndarray | float, names: list[str] | None = None, floor: float = 0.0) -> dict[str, np.ndarray]:
     """The first generation: sample std, MAD, dynamic part about 1 g; missing samples are skipped, below two a channel's features are missing.
 

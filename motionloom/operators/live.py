@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from .episodes import debounce_hold
 from .joins import interval_join
 from .ordered import BLOCK_ROWS, Scan, block_entries, block_scan, index_block, islands, neighbours, number_rows, spread_join, with_halo
 from .posture import neutral_baseline
-from .resample import explode_range, lerp, uniform_resample
-from .windows import AXES, _aggregate_v2, _series, _spectra, _values, kernel_windows
+from .resample import uniform_resample
+from .windows import AXES, STACK, kernel_windows
 
 AXIS_NAMES = ["ax", "ay", "az", "gx", "gy", "gz"]
 #: Rows of whole blocks that the gravity filter takes at a time, at least.
@@ -90,31 +91,50 @@ def sequence_gaps(df: DataFrame, key: list[str], idx: str, seq: str, size: int =
 def greedy_chain(df: DataFrame, key: list[str], t: str, until: str, first: Column, block_s: float = 3600.0) -> DataFrame:
     """Rows picked one after another: the first with t >= ``first``, then always the first with
     t >= ``until`` of the row picked before. Times are distinct per key, and ``until`` does not decrease with them.
-
-    Each time block is summarised by where it leaves off for every possible entry (its rows up to
-    the first ``until``); composing these small maps in a tree gives the blocks' entries, then all blocks
-    pick in parallel.
     """
-    d = df.withColumns({"_blk": F.floor(F.col(t) / block_s), "_first": first})
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
+    rows = df.select(*key, t, until, first.alias("_first"))
+    return chain_blocks(rows, key, t, block_s, 0.0, lambda ts, block: (np.ones(len(ts), bool), block.column(until).to_numpy()))
 
-    def chain(pdf: pd.DataFrame):
-        pdf = pdf.sort_values(t)
-        ts, un = pdf[t].to_numpy(float), pdf[until].to_numpy(float)
-        return ts, un, np.searchsorted(ts, un - 1e-9)
 
-    def summary(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, un, nxt = chain(pdf)
-        out = un.copy()
-        for i in range(len(ts) - 1, -1, -1):
-            if nxt[i] < len(ts):
-                out[i] = out[nxt[i]]
-        m = len(ts) if not len(ts) else max(1, int(np.searchsorted(ts, max(un[0], pdf["_first"].iloc[0]))) + 1)
-        keep = np.r_[np.flatnonzero(np.diff(out[:m])), min(m, len(ts)) - 1]  # entries that lead elsewhere
-        return pd.DataFrame({**{k: [v] for k, v in zip(key, group)}, "_blk": [group[-1]], "_at": [ts[keep].tolist()], "_to": [out[keep].tolist()], "_end": [float(out[-1])],
-                             "_first": [float(pdf["_first"].iloc[0])]})
+def chain_blocks(rows: DataFrame, key: list[str], t: str, block_s: float, reach: float, links: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``greedy_chain`` in time blocks; ``rows`` has the key, ``t``, ``_first`` and what ``links`` needs.
 
-    maps = d.groupBy(*key, "_blk").applyInPandas(summary, f"{types}, _blk bigint, _at array<double>, _to array<double>, _end double, _first double")
+    ``links(times, block)`` tells which of a block's rows may be picked and their ``until``, with ``reach`` seconds of rows
+    ahead of the block to judge by. Each block is summarised by where it leaves off for every possible entry (its rows up to
+    the first ``until``); composing these small maps in a tree gives the blocks' entries, then all blocks
+    pick in parallel.
+    """
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+    by = [*key, "_blk"]
+    d = rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])).withColumn("_core", F.floor(F.col(t) / block_s))
+    d = d.withColumn("_blk", F.explode(F.sequence("_core", F.floor((F.col(t) + reach) / block_s)))).withColumn("_core", F.col("_core") == F.col("_blk"))
+    d = d.repartition(*by)
+
+    def chains(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        times, core = table.column(t).to_numpy(), table.column("_core").to_numpy()
+        for a, z in zip(starts, [*starts[1:], len(times)]):
+            ok, un = links(times[a:z], table.slice(a, z - a))
+            ok = ok & core[a:z]
+            if ok.any():
+                ts, un = times[a:z][ok], un[ok]
+                yield a, ts, un, np.searchsorted(ts, un - 1e-9)
+
+    def summary(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        first, found, at, to = table.column("_first").to_numpy(), [], [], []
+        for a, ts, un, nxt in chains(table, starts):
+            m = min(max(1, int(np.searchsorted(ts, max(un[0], first[a]))) + 1), len(ts))
+            now, go = np.arange(m), np.ones(m, bool)
+            while go.any():
+                go = (nxt[now] < len(ts)) & (nxt[now] > now)
+                now = np.where(go, nxt[np.where(go, now, 0)], now)
+            out = un[now]
+            keep = np.r_[np.flatnonzero(np.diff(out)), m - 1]  # entries that lead elsewhere
+            found.append(a)
+            at.append(ts[keep])
+            to.append(out[keep])
+        return table.select([*by, "_first"]).take(pa.array(found, pa.int64())).append_column("_at", lists(at)).append_column("_to", lists(to))
+
+    maps = d.sortWithinPartitions(*by, t).mapInArrow(whole_groups(by, summary), f"{types}, _blk bigint, _first double, _at array<double>, _to array<double>")
 
     def leave(m: list[Any], state: Any) -> np.ndarray:
         at, to = (np.asarray(v, float) for v in m)
@@ -129,80 +149,211 @@ def greedy_chain(df: DataFrame, key: list[str], t: str, until: str, first: Colum
 
     entries = block_entries(maps, key, "_blk", ["_at", "_to"], "_first", compose, lambda m, state: float(leave(m, state))).withColumnRenamed("entry", "_in")
 
-    def pick(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, _, nxt = chain(pdf)
-        i, got = int(np.searchsorted(ts, pdf["_in"].iloc[0] - 1e-9)), []
-        while i < len(ts):
-            got.append(ts[i])
-            i = int(nxt[i]) if nxt[i] > i else i + 1
-        return pd.DataFrame({**{k: [v] * len(got) for k, v in zip(key, group)}, t: got})
+    def pick(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        enter, found, picked = table.column("_in").to_numpy(), [], []
+        for a, ts, _, nxt in chains(table, starts):
+            i, nxt = int(np.searchsorted(ts, enter[a] - 1e-9)), nxt.tolist()
+            while i < len(ts):
+                found.append(a)
+                picked.append(ts[i])
+                i = nxt[i] if nxt[i] > i else i + 1
+        return table.select(key).take(pa.array(found, pa.int64())).append_column(t, pa.array(picked, pa.float64()))
+
+    return d.join(entries, by).sortWithinPartitions(*by, t).mapInArrow(whole_groups(by, pick), f"{types}, `{t}` double")
+
+
+def lists(parts: list[np.ndarray], null: bool = False) -> pa.ListArray:
+    """One list per array; with ``null`` a NaN is a missing value."""
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0), *parts]), pa.float64(), from_pandas=null))
+
+
+def whole_groups(by: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` on rows sorted by ``by``: ``work(rows, starts)`` gets many whole groups at a time and where they begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, enough = [], 0, STACK_ROWS
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= enough:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                starts = group_starts(rows, by)
+                if starts[-1]:  # the last group may go on in the next batch
+                    yield from work(rows.slice(0, starts[-1]), starts[:-1]).to_batches(512)
+                rest = rows.slice(starts[-1])
+                held, count = rest.to_batches(), rest.num_rows
+                enough = max(STACK_ROWS, 2 * count)
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and rows.num_rows:
+            rows = rows.combine_chunks()
+            yield from work(rows, group_starts(rows, by)).to_batches(512)
 
-    return d.drop("_first").join(entries, [*key, "_blk"]).groupBy(*key, "_blk").applyInPandas(pick, f"{types}, {t} double")
+    return run
 
 
-def causal_emissions(df: DataFrame, key: list[str], t: str, window: float, hop: float, minimum: int = 16, keep: float = 0.25, span: float = 0.95) -> DataFrame:
+def causal_emissions(df: DataFrame, key: list[str], t: str, window: float, hop: float, minimum: int = 16, keep: float = 0.25, span: float = 0.95, block_s: float = 600.0) -> DataFrame:
     """Times at which a live window is emitted: at least ``hop`` after the last one, ``minimum``
     samples held and ``span`` of the window covered. Anchored to the data, not to the epoch.
 
     The buffer holds the samples of the last ``window + keep`` seconds.
     """
-    usec = lambda x: (x * 1e6).cast("long")
-    d = df.select(*key, F.col(t).alias("t")).withColumn("_us", usec(F.col("t")))
     lag = int((window + keep) * 1e6)
-    block = F.floor(F.col("t") / 600.0)
-    # rows are copied to the next time block as look-back, so frames by time are exact per block
-    copies = d.withColumn("_blk", F.explode(F.sequence(block, F.floor((F.col("t") + window + keep) / 600.0)))).withColumn("_core", F.col("_blk") == block)
-    w = W.partitionBy(*key, "_blk").orderBy("_us").rangeBetween(-lag, 0)
-    e = copies.withColumns({"_n": F.count(F.lit(1)).over(w), "_old": F.min("t").over(w)}).filter("_core")
-    ok = e.filter((F.col("_n") >= minimum) & (F.col("t") - F.col("_old") >= span * window - 1e-9)).select(*key, "t", (F.col("t") + hop).alias("until"))
-    return greedy_chain(ok, key, "t", "until", F.lit(-1e300))
+
+    def ready(ts: np.ndarray, _: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        us = (ts * 1e6).astype(np.int64)
+        old = np.searchsorted(us, us - lag)
+        return (np.searchsorted(us, us, "right") - old >= minimum) & (ts - ts[old] >= span * window - 1e-9), ts + hop
+
+    d = df.filter(F.col(t).isNotNull()).select(*key, F.col(t).cast("double").alias("t"), F.lit(-1e300).alias("_first"))
+    return chain_blocks(d, key, "t", block_s, window + keep + 1e-6, ready)
 
 
-def emission_windows(samples: DataFrame, emissions: DataFrame, key: list[str], t: str, window: float) -> DataFrame:
-    """Samples of [emission - window, emission] for each emission, with 1 ns of tolerance at the old end."""
-    e = emissions.select(*key, F.col("t").alias("now"), (F.col("t") - window - 1e-9).alias("_lo"), F.col("t").alias("_hi"))
-    return interval_join(samples, e, key, t, "_lo", "_hi", max(window, 1.0), F.lit(True)).drop("_lo", "_hi")
+def at_emissions(samples: DataFrame, emissions: DataFrame, key: list[str], t: str, cols: list[str], reach: float, names: list[str], cut: Callable[..., list[pa.Array]], block_s: float = 600.0) -> DataFrame:
+    """One row per emission: key, ``now`` and the arrays ``names`` that ``cut`` makes of the samples up to ``reach`` seconds before it.
+
+    Samples and emissions meet once in time blocks of a key, sorted by time; ``cut(times, values, last, windows)`` gets the sorted times
+    and columns of many blocks, whether a sample is the last of its block, and (from, to, now) of each emission's samples.
+    """
+    c = F.col
+    by, types = [*key, "_blk"], ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in key)
+    known = reduce(lambda a, b: a & b, [c(k).isNotNull() for k in key])
+    rows = samples.filter(known & c(t).isNotNull()).select(*key, c(t).cast("double").alias("_t"), F.lit(False).alias("_e"), *[c(x).cast("double").alias(f"_c{i}") for i, x in enumerate(cols)])
+    block = lambda at: F.floor(at / block_s)
+    rows = rows.withColumn("_blk", F.explode(F.sequence(block(c("_t")), block(c("_t") + reach + 1e-6))))
+    marks = emissions.filter(known).select(*key, c("t").alias("_t"), F.lit(True).alias("_e"), *[F.lit(None).cast("double").alias(f"_c{i}") for i in range(len(cols))], block(c("t")).alias("_blk"))
+    both = rows.unionByName(marks).repartition(*by).sortWithinPartitions(*by, "_t", "_e")
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        marked = table.column("_e").to_numpy()
+        kept = np.flatnonzero(~marked)
+        times = table.column("_t").to_numpy()
+        values = np.stack([table.column(f"_c{i}").to_numpy()[kept] for i in range(len(cols))], 1) if cols else np.empty((len(kept), 0))
+        ends = np.r_[starts[1:], len(times)]
+        a, z = np.searchsorted(kept, starts), np.searchsorted(kept, ends)  # each group's samples
+        ts, last = times[kept], np.zeros(len(kept), bool)
+        last[z[z > a] - 1] = True
+        at = np.flatnonzero(marked)
+        group, now = np.searchsorted(starts, at, "right") - 1, times[at]
+        lo, hi = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        cuts = np.searchsorted(group, np.arange(len(starts) + 1))
+        for g in np.unique(group).tolist():
+            e, own = slice(cuts[g], cuts[g + 1]), ts[a[g]:z[g]]
+            lo[e] = a[g] + np.searchsorted(own, now[e] - reach)
+            hi[e] = a[g] + np.searchsorted(own, now[e], "right")
+        good, arrays = cut(ts, values, last, (lo, hi, now))
+        out = table.select(key).take(pa.array(at[good])).append_column("now", pa.array(now[good]))
+        for n, x in zip(names, arrays):
+            out = out.append_column(n, x)
+        return out
+
+    return both.mapInArrow(whole_groups(by, work), ", ".join([types, "now double", *(f"`{n}` array<double>" for n in names)]))
+
+
+def emission_windows(samples: DataFrame, emissions: DataFrame, key: list[str], t: str, window: float, channels: list[str] | None = None) -> DataFrame:
+    """One row per emission with arrays of its samples of [emission - window, emission] in time order (``t`` and the ``channels``), with 1 ns of
+    tolerance at the old end."""
+    channels = channels or []
+
+    def cut(ts: np.ndarray, values: np.ndarray, last: np.ndarray, windows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+        lo, hi, _ = windows
+        size = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
+        offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+        return np.ones(len(lo), bool), [pa.ListArray.from_arrays(offsets, pa.array(x[at], pa.float64(), from_pandas=True)) for x in (ts, *values.T)]
+
+    return at_emissions(samples, emissions, key, t, channels, window + 1e-9, [t, *channels], cut)
 
 
 def emission_grid(samples: DataFrame, emissions: DataFrame, key: list[str], idx: str, t: str, channels: list[str], window: float, fs: float, keep: float = 0.25,
                   size: int = BLOCK_ROWS) -> DataFrame:
-    """Each emission's window interpolated to now - window + k / fs (k = 1..n), ends clamped."""
+    """One row per emission with each channel interpolated to now - window + k / fs (k = 1..n) as an array, ends clamped."""
     n = int(round(window * fs))
     nxt = {f"_n_{c}": c for c in ["_t", *channels]}
     d = neighbours(samples.select(*key, idx, F.col(t).alias("_t"), *channels), key, idx, {}, nxt, size)
-    e = emissions.select(*key, F.col("t").alias("now"), (F.col("t") - (window + keep)).alias("_lo"), F.col("t").alias("_hi"))
-    j = interval_join(d, e, key, "_t", "_lo", "_hi", max(window, 1.0), F.lit(True))
-    base = F.col("now") - window
-    first = F.row_number().over(W.partitionBy(*key, "now").orderBy("_t")) == 1
-    j = j.withColumn("_first", first)
-    lo = F.when(F.col("_first"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil((F.col("_t") - base) * fs - 1e-6)))
-    hi = F.when(F.col("_t") >= F.col("now") - 1e-9, F.lit(n)).otherwise(F.least(F.lit(n), F.ceil((F.col("_n__t") - base) * fs - 1e-6) - 1))
-    g = explode_range(j, lo, hi, "k")
-    at = F.greatest(base + F.col("k") / F.lit(fs), F.col("_t"))
-    return g.select(*key, "now", "k", *[lerp(F.col(c), F.col(f"_n_{c}"), F.col("_t"), F.col("_n__t"), at).alias(c) for c in channels])
-
-
-def window_features_v2(grid: DataFrame, key: list[str], axes: dict[str, str], fs: float, n: int) -> DataFrame:
-    """Second-generation features of interpolated emission windows."""
+    # a value next to a missing one is missing: the next sample may lie in a later block, so every sample knows
+    gone = sum((F.when(F.col("_n__t").isNotNull() & F.col(f"_n_{c}").isNull(), 1 << i).otherwise(0) for i, c in enumerate(channels)), F.lit(0))
+    d = d.select(*key, "_t", *channels, gone.alias("_gone"))
+    ks = np.arange(1, n + 1)
+
+    def cut(ts: np.ndarray, values: np.ndarray, last: np.ndarray, windows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+        lo, hi, now = windows
+        base = now - window
+        at = np.empty((len(now), n), np.int64)
+        good = np.zeros(len(now), bool)
+        for e, (a, z, b) in enumerate(zip(lo.tolist(), hi.tolist(), base.tolist())):
+            if z > a and (z - 1 == a or ts[z - 2] < now[e] - 1e-9):  # one sample alone ends the window
+                own = np.ceil((ts[a:z] - b) * fs - 1e-6)
+                at[e] = a + np.maximum(np.searchsorted(own, ks, "right") - 1, 0)
+                good[e] = True
+        at, base = at[good], base[good]
+        t0, after = ts[at], np.minimum(at + 1, len(ts) - 1)
+        t1 = np.where(last[at], t0, ts[after])
+        when = np.maximum(base[:, None] + ks / fs, t0)
+        moving = t1 != t0
+        share = np.where(moving, (when - t0) / np.where(moving, t1 - t0, 1.0), 0.0)
+        missing = np.nan_to_num(values[:, -1]).astype(np.int64)
+        out = []
+        for i in range(len(channels)):
+            v = values[:, i]
+            y = np.where(moving, v[at] + (np.where(moving, v[after], 0.0) - v[at]) * share, v[at])
+            y[(missing[at] >> i) & 1 == 1] = np.nan
+            out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), pa.array(y.ravel(), pa.float64(), from_pandas=True)))
+        return good, out
+
+    return at_emissions(d, emissions, key, "_t", [*channels, "_gone"], window + keep, channels, cut)
+
+
+def grid_rows(grid: DataFrame, channels: list[str]) -> DataFrame:
+    """The rows of ``emission_grid``'s arrays, numbered ``k`` from 0."""
+    rest = [c for c in grid.columns if c not in channels]
+    return grid.select(*rest, F.posexplode(F.arrays_zip(*channels)).alias("k", "_v")).select(*rest, "k", *[F.col(f"_v.{c}").alias(c) for c in channels])
+
+
+def stack(batch: pa.RecordBatch, columns: list[str], rows: np.ndarray, n: int) -> np.ndarray:
+    """(windows, n, columns) of the array columns at ``rows``, each of ``n`` values; NaN is a missing one."""
+    return np.stack([batch.column(c).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in columns], -1)
+
+
+def window_features_v2(grid: DataFrame, key: list[str], axes: dict[str, str], fs: float, n: int, names: list[str] | None = None) -> DataFrame:
+    """Second-generation features of interpolated emission windows; missing values are skipped, the dynamic part needs all."""
+    names = K.V2_NAMES if names is None else names
     by = [*key, "now"]
-    d = grid.select(*by, "k", *[F.col(v).alias(a) for a, v in axes.items()])
-    d = d.withColumns({"acc_mag": S.norm(*[F.col(c) for c in AXES[:3]]), "gyro_mag": S.norm(*[F.col(c) for c in AXES[3:]])})
-    w = W.partitionBy(*by).orderBy("k")
-    d = d.withColumns({f"_p_{c}": F.lag(c).over(w) for c in AXES + ["acc_mag", "gyro_mag"]})
-    return _aggregate_v2(d, by, "k", fs, n)
+    types = ", ".join(f"`{k}` {grid.schema[k].dataType.simpleString()}" for k in by)
 
-
-def window_features_live(rows: DataFrame, key: list[str], t: str, axes: dict[str, str], minimum: int) -> DataFrame:
-    """First-generation live features of emission windows with any number of samples."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, STACK):
+                b = whole.slice(a, STACK)
+                x = stack(b, [axes[c] for c in AXES], np.arange(b.num_rows), n)
+                full, found = np.isfinite(x).all((1, 2)), {c: np.empty(len(x)) for c in names}
+                for some, kernel in ((full, K.v2), (~full, K.v2_gaps)):
+                    if some.any():
+                        for c, v in kernel(x[some], fs, names).items():
+                            found[c][some] = v
+                yield pa.record_batch([*[b.column(k) for k in by], *[pa.array(found[c], pa.float64(), from_pandas=True) for c in names]], names=[*by, *names])
+
+    return grid.select(*by, *[axes[c] for c in AXES]).mapInArrow(run, ", ".join([types, *(f"`{c}` double" for c in names)]))
+
+
+def window_features_live(windows: DataFrame, key: list[str], t: str, axes: dict[str, str], minimum: int) -> DataFrame:
+    """First-generation live features of emission windows (rows of ``emission_windows``) with any number of samples from ``minimum`` on."""
     by = [*key, "now"]
-    d = rows.select(*by, F.col(t).alias("_t"), *[F.col(v).alias(a) for a, v in axes.items()])
-    extra = {"acc_mag": S.norm(*[F.col(c) for c in AXES[:3]]), "gyro_mag": S.norm(*[F.col(c) for c in AXES[3:]])}
-    d = d.withColumns(extra).withColumn("dynamic_acc", F.abs(F.col("acc_mag") - 1.0))
-    channels = AXES + ["acc_mag", "gyro_mag", "dynamic_acc"]
-    stats = [F.avg(c).alias(f"{c}_mean") for c in channels] + [F.stddev_samp(c).alias(f"{c}_std") for c in channels]
-    fs = (F.count(F.lit(1)) - 1) / F.greatest(F.max("_t") - F.min("_t"), F.lit(1e-6))
-    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), fs.alias("fs"), *stats, _series(channels, "_t")).filter(F.col("samples") >= minimum)
-    return _spectra(g, _values(["acc_mag", "gyro_mag", "dynamic_acc"]), F.col("fs"), ("dom_freq_hz", "spec_entropy"), False, floor=0.0, entropy_floor=1e-12)
+    types = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in by)
+    names = list(K.live(np.zeros((0, 2, 6)), np.zeros((0, 2))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, STACK):
+                b = whole.slice(a, STACK)
+                size = pc.list_value_length(b.column(t)).to_numpy()
+                for n in np.unique(size[size >= minimum]).tolist():
+                    at = np.flatnonzero(size == n)
+                    found = K.live(stack(b, [axes[c] for c in AXES], at, n), stack(b, [t], at, n)[..., 0])
+                    keys = [b.column(k).take(pa.array(at)) for k in by]
+                    yield pa.record_batch([*keys, pa.array(np.full(len(at), n)), *[pa.array(found[c], pa.float64(), from_pandas=True) for c in names]], names=[*by, "samples", *names])
+
+    return windows.mapInArrow(run, ", ".join([types, "samples bigint", *(f"`{c}` double" for c in names)]))
 
 
 def gravity(df: DataFrame, key: list[str], idx: str, size: int = BLOCK_ROWS, warm: int = 800) -> DataFrame:
@@ -229,24 +380,7 @@ def gravity(df: DataFrame, key: list[str], idx: str, size: int = BLOCK_ROWS, war
             out = out.append_column(f"g{i}", pa.array(g[:, i]))
         return out.filter(rows.column("_core"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for b in batches:
-            held.append(b)
-            count += b.num_rows
-            if count >= STACK_ROWS:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                starts = group_starts(rows, [*key, "_blk"])
-                if starts[-1]:  # the last block may go on in the next batch
-                    yield from follow(rows.slice(0, starts[-1]), starts[:-1]).to_batches()
-                rest = rows.slice(starts[-1])
-                held, count = rest.to_batches(), rest.num_rows
-        rows = pa.Table.from_batches(held) if held else None
-        if rows is not None and rows.num_rows:
-            rows = rows.combine_chunks()
-            yield from follow(rows, group_starts(rows, [*key, "_blk"])).to_batches()
-
-    g = h.mapInArrow(run, f"{types}, `{idx}` {df.schema[idx].dataType.simpleString()}, g0 double, g1 double, g2 double")
+    g = h.mapInArrow(whole_groups([*key, "_blk"], follow), f"{types}, `{idx}` {df.schema[idx].dataType.simpleString()}, g0 double, g1 double, g2 double")
     d = d.drop("_n").join(g.withColumn("_g", F.struct("g0", "g1", "g2")).drop("g0", "g1", "g2"), [*key, idx], "left")
     d = block_scan(d, key, [idx], index_block(idx, size), [Scan("_last", c("_g"), "last")])
     return d.withColumns({f"g{i}": F.coalesce(c(f"_last.g{i}"), F.lit(up)) for i, up in enumerate((0.0, 0.0, 1.0))}).drop("_g", "_last")
@@ -377,8 +511,7 @@ def posture_monitor(df: DataFrame, key: list[str], idx: str, machine: Any, size:
     base = staged(neutral_baseline(d.filter("calibrating"), by, ["ax", "ay", "az"], ["roll", "pitch", "yaw"], quats), "baseline")
     live = staged(number_rows(d.filter("NOT calibrating"), by, ["_j"], index_block("_j", size), "_k"), "watched")
     e = staged(causal_emissions(live, by, "_t", m.window, m.hop), "emissions")
-    g = emission_grid(live, e, by, "_k", "_t", cols, m.window, m.fs).withColumn("k", c("k") - 1)
-    g = staged(g, "grid")
+    g = staged(grid_rows(emission_grid(live, e, by, "_k", "_t", cols, m.window, m.fs), cols), "grid")
     n = int(round(m.window * m.fs))
     grid = spread_join(g, base, by, "inner").withColumns({**{f"_b_{a}": c(f"base_{a}") for a in ("ax", "ay", "az", "roll", "pitch", "yaw")}, **{f"_b_{q}": F.get("base_quat", F.lit(i)) for i, q in enumerate(quats)}})
     names = ["ax", "ay", "az", "roll", "pitch", "yaw", *quats]

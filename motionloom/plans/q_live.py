@@ -150,7 +150,7 @@ def q_causal(spark, sf):
     d = staged(imu6(spark, sf).select("device", "idx", "t"), "samples")
     e = emissions(d, 4.0, 1.0)
     w = LV.emission_windows(d, e, DEV, "t", 4.0)
-    return w.groupBy("device", "now").agg(F.count(F.lit(1)).alias("samples"), F.min("t").alias("oldest_s"))
+    return w.select("device", "now", F.size("t").cast("long").alias("samples"), F.array_min("t").alias("oldest_s"))
 
 
 LIVE_MODEL = {"intercept": -0.4, "median": [0.5, 0.3, 0.2], "mean": [0.5, 0.3, 1.0], "scale": [0.2, 0.1, 2.0], "coefficients": [0.9, 0.7, 0.1]}
@@ -160,7 +160,7 @@ LIVE_FEATURES = ["dynamic_acc_mean", "acc_mag_std", "gyro_mag_dom_freq_hz"]
 def exercise_scores(d, key, model=LIVE_MODEL, hz=100.0):
     n = staged(LV.live_normalize(d, key, "idx", "t", AXES, hz), "normalised")
     e = staged(LV.causal_emissions(n, key, "t", 2.0, 1.0, keep=0.0, minimum=160, span=0.9), "emissions")
-    f = LV.window_features_live(LV.emission_windows(n, e, key, "t", 2.0), key, "t", MAP, 160)
+    f = LV.window_features_live(LV.emission_windows(n, e, key, "t", 2.0, AXES), key, "t", MAP, 160)
     s = E.logistic_score(f, LIVE_FEATURES, model, "probability")
     s = number_rows(s.select(*key, "now", "probability"), key, ["now"], F.floor(F.col("now") / 600))
     s = s.withColumn("label", F.when(F.col("probability") >= 0.5, "motion").otherwise("non_motion"))
@@ -201,9 +201,9 @@ def activity_scores(d, key, m):
     c = F.col
     e = staged(LV.causal_emissions(d, key, m.t, m.window, m.hop), "emissions")
     g = staged(LV.emission_grid(d, e, key, "idx", m.t, m.axes, m.window, m.fs), "grid")
-    f = LV.window_features_v2(g, key, dict(zip(WN.AXES, m.axes)), m.fs, int(round(m.window * m.fs)))
+    f = LV.window_features_v2(g, key, dict(zip(WN.AXES, m.axes)), m.fs, int(round(m.window * m.fs)), sorted(m.model.features))
     p = E.temperature_apply(f.withColumns(m.model.columns()), list(m.model.classes), F.lit(m.temperature))
-    p = p.join(Q.signal_quality(g, [*key, "now"], m.axes[:3], m.axes[3:]), [*key, "now"])
+    p = p.join(Q.signal_quality(LV.grid_rows(g, m.axes), [*key, "now"], m.axes[:3], m.axes[3:]), [*key, "now"])
     gaps = LV.sequence_gaps(d.select(*key, "idx", c(m.t).alias("now"), m.seq), key, "idx", m.seq).join(e.withColumnRenamed("t", "now"), [*key, "now"]).select(*key, "now", "sequence_gaps")
     p = p.join(gaps, [*key, "now"])
     named = F.map_from_arrays(F.array(*[F.lit(x) for x in m.model.classes]), F.array(*[c(x) for x in m.model.classes]))
