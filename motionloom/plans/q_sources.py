@@ -59,7 +59,9 @@ def q_tsv(spark, sf):
 @query("discover_captures", sql="SELECT user_id AS number, row_number() OVER (ORDER BY user_id) AS position FROM (SELECT DISTINCT user_id FROM events) z")
 def q_discover(spark, sf):
     path = scratch_path(spark, "captures")
-    table(spark, sf, "events").select(F.concat(F.lit("rec"), F.col("user_id").cast("string")).alias("rec"), "event_id", "value").repartition("rec").write.partitionBy("rec").csv(path)
+    folder = F.coalesce(F.concat(F.lit("rec"), F.col("user_id").cast("string")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = table(spark, sf, "events").select(F.concat(F.lit("rec="), folder, F.lit("/capture.csv")).alias("file"), F.to_csv(F.struct("event_id", "value")).alias("line"))
+    SK.write_small_files(rows, "file", "line", path)
     d = FS.discover_captures(spark, path)
     f = d.groupBy(F.regexp_extract("path", r"rec=rec(\d+)", 1).cast("long").alias("number")).agg(F.min("natural").alias("k"))
     n = number_rows(f.withColumn("_all", F.lit(0)), ["_all"], ["k"], F.regexp_extract("k", "^(.*rec\u0001[0-9]{6})", 1), "position")

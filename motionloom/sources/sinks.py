@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +41,41 @@ def write_lines(df: DataFrame, header: str, line: str, path: str) -> None:
             first = False
 
     df.select(line).mapInPandas(with_header, f"{line} string").write.text(path)
+
+
+def write_small_files(df: DataFrame, file: str, line: str, path: str) -> None:
+    """One text file per value of ``file`` (its name below ``path``) with that value's lines.
+
+    For many small files: Spark's writer opens and commits each through Hadoop's file system, which on a local disk starts several processes
+    a file. Here the tasks write them, each under a temporary name that is renamed when it is whole, so a repeated task repeats itself.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        name, out, made = None, None, set()
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                fs.move(f"{root}/{name}._part", f"{root}/{name}")
+
+        for b in batches:
+            names = b.column(file).dictionary_encode()
+            codes = names.indices.to_numpy()
+            starts = [0, *(i + 1 for i in (codes[1:] != codes[:-1]).nonzero()[0].tolist())] if len(codes) else []
+            lines = b.column(line).to_pylist()
+            for a, z in zip(starts, [*starts[1:], len(codes)]):
+                now = names.dictionary[int(codes[a])].as_py()
+                if now != name:
+                    close()
+                    name, folder = now, f"{root}/{now}".rpartition("/")[0]
+                    if folder not in made:
+                        fs.create_dir(folder)
+                        made = {folder}
+                    out = fs.open_output_stream(f"{root}/{name}._part")
+                out.write("".join(f"{x}\n" for x in lines[a:z]).encode())
+        close()
+        return iter(())
+
+    rows = df.filter(F.col(file).isNotNull() & F.col(line).isNotNull()).select(file, line)
+    rows.repartition(file).sortWithinPartitions(file).mapInArrow(write, "written long").count()
