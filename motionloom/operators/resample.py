@@ -22,9 +22,9 @@ def lerp(a: Column, b: Column, ta: Column, tb: Column, t: Column) -> Column:
     return F.when(tb.isNull() | (tb == ta), a).otherwise(a + (b - a) * (t - ta) / (tb - ta))
 
 
-def uniform_resample(df: DataFrame, key: list[str], idx: str, t: str, channels: list[str], hz: float, duration: str,
+def uniform_resample(df: DataFrame, key: list[str], idx: str, t: str, channels: list[str], hz: float, duration: str | None = None,
                      size: int = BLOCK_ROWS) -> DataFrame:
-    """Linear interpolation at k / hz up to the key's ``duration`` (a column; times start at 0).
+    """Linear interpolation at k / hz up to the key's ``duration`` (a column; times start at 0), or to its last time.
 
     Every sample emits the grid points between itself and the next sample, so one shuffle for the
     look-ahead is all it takes. Ends are clamped. ``idx`` orders strictly increasing times.
@@ -32,9 +32,11 @@ def uniform_resample(df: DataFrame, key: list[str], idx: str, t: str, channels:
     w = block_window(key, idx)
     nxt = {f"_n_{c}": F.lead(c).over(w) for c in [t, *channels]}
     d = keep_core(with_halo(df, idx, 0, 1, size).withColumns(nxt))
-    hi = F.least(F.round(F.col(duration) * hz), F.floor((F.col(duration) + 1e-9) * hz))
+    end = F.col(duration or t)  # only a key's last sample reaches its end
+    hi = F.least(F.round(end * hz), F.floor((end + 1e-9) * hz))
     lo_k = F.when(F.col(idx) == 0, F.lit(0)).otherwise(F.ceil(F.col(t) * hz))
-    hi_k = F.when(F.col(f"_n_{t}").isNull(), hi).otherwise(F.least(hi, F.ceil(F.col(f"_n_{t}") * hz) - 1))
+    before = F.ceil(F.col(f"_n_{t}") * hz) - 1
+    hi_k = F.when(F.col(f"_n_{t}").isNull(), hi).otherwise(F.least(hi, before) if duration else before)
     g = explode_range(d, lo_k, hi_k, "k")
     at = F.col("k") / F.lit(hz)
     return g.select(*key, "k", at.alias("grid_t"), *[lerp(F.col(c), F.col(f"_n_{c}"), F.col(t), F.col(f"_n_{t}"), at).alias(c) for c in channels])

@@ -53,16 +53,26 @@ w AS (SELECT device, segment_id, k, count(*) AS n, avg(ax) AS m FROM p JOIN (SEL
 SELECT device, segment_id, k AS win, round(m, 5) + 0.0 AS ax_mean FROM w WHERE n = 50""")
 def q_interval(spark, sf):
     x = staged(imu6(spark, sf).select("device", "idx", "ax", "gx", "gz", "roll"), "imu6-seg")
-    return segment_windows(x, segments6_of(x), 50.0, 50, 25).groupBy("device", "segment_id", "win").agg(
+    return segment_windows(x, segments6_of(x), 50.0, 50, 25).groupBy("device", "segment_id", "_wb", "win").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ax").alias("m")).filter("n = 50").select("device", "segment_id", "win", r(F.col("m"), 5).alias("ax_mean"))
 
 
+#: Windows of a segment that are worked on together.
+SEGMENT_WINDOWS = 1024
+
+
 def segment_windows(samples, segments, fs, n, step):
-    """Samples of each labelled segment, exploded to the windows numbered from the segment's start."""
+    """Samples of each labelled segment, exploded to the windows numbered from the segment's start.
+
+    Rows are dealt to (segment, ``_wb``: a block of its windows) before they are copied for the windows, so grouping by both and ``win`` shuffles nothing more.
+    """
     s = segments.withColumns({"lo": F.ceil(F.col("start_s") * fs), "hi": F.floor(F.col("end_s") * fs)})
     p = J.interval_join(samples, s, ["device"], "idx", "lo", "hi", 4096.0).withColumn("_j", F.col("idx") - F.col("lo"))
     first, last = F.greatest(F.lit(0), F.ceil((F.col("_j") - n + 1) / step)), F.floor(F.col("_j") / step)
-    return p.filter(first <= last).withColumn("win", F.explode(F.sequence(first, last)))
+    blocks = F.sequence(F.floor(first / SEGMENT_WINDOWS), F.floor(last / SEGMENT_WINDOWS))
+    p = p.filter(first <= last).withColumn("_wb", F.explode(blocks)).repartition("device", "segment_id", "_wb")
+    first, last = F.greatest(first, F.col("_wb") * SEGMENT_WINDOWS), F.least(last, F.col("_wb") * SEGMENT_WINDOWS + SEGMENT_WINDOWS - 1)
+    return p.withColumn("win", F.explode(F.sequence(first, last)))
 
 
 @query("segment_asof_assign", uses="imu6 segments6", sql="""

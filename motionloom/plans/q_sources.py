@@ -229,7 +229,7 @@ def q_dataset(spark, sf):
     eligible, _ = Q.trainability_gate(iv, rec, DEV, min_seconds=2.0)
     holes = x.withColumn("ax", F.when(c("idx") % 29 != 3, c("ax")))
     filled = staged(C.impute_linear_all(holes, DEV, "idx", ["ax"]), "filled")
-    grid = R.uniform_resample(spread_join(filled, rec.select("device", "duration_s"), DEV), DEV, "idx", "t", AXES, 50.0, "duration_s").withColumnRenamed("k", "idx")
+    grid = R.uniform_resample(filled, DEV, "idx", "t", AXES, 50.0).withColumnRenamed("k", "idx")  # up to each device's duration, its last time
     e = segment_windows(grid, staged(eligible.select("device", "segment_id", "start_s", "end_s", "activity", "motion_state"), "intervals"), 50.0, 100, 50)
     f = dataset_features(e, 100)
     n = f.groupBy("device").agg(F.count(F.lit(1)).alias("_n"))
@@ -245,7 +245,7 @@ def dataset_features(e, n):
 
     from ..functions import scalar as S
 
-    by = ["device", "segment_id", "win", "start_s", "activity", "motion_state"]
+    by = ["device", "segment_id", "_wb", "win", "start_s", "activity", "motion_state"]
     d = e.select(*by, "idx", *[F.col(v).alias(k) for k, v in MAP.items()]).withColumns({"acc_mag": S.norm(*[F.col(c) for c in WN.AXES[:3]]), "gyro_mag": S.norm(*[F.col(c) for c in WN.AXES[3:]])})
     w = W.partitionBy(*by).orderBy("idx")
     d = d.withColumns({f"_p_{c}": F.lag(c).over(w) for c in WN.AXES + ["acc_mag", "gyro_mag"]})
