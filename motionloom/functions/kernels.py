@@ -204,6 +204,43 @@ def contrast(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
     return out | {f"angle_{a}_range_p90": rank(angles, 0.95)[:, i] - rank(angles, 0.05)[:, i] for i, a in enumerate("xyz")}
 
 
+def partial_dft(x: np.ndarray, start: int, n: int, k0: int, bins: int) -> np.ndarray:
+    """Share of samples ``start..`` in bins k0.. of an n-point DFT (chirp transform, any n)."""
+    j, k = np.arange(len(x)), np.arange(bins)
+    chirp = lambda m: np.exp(-1j * np.pi * ((m.astype(object) * m.astype(object)) % (2 * n)).astype(float) / n)
+    turn = lambda m: np.exp(-2j * np.pi * (m % n) / n)
+    size = 1 << int(np.ceil(np.log2(len(x) + bins)))
+    wj, wk = chirp(j), chirp(k)
+    kernel = np.zeros(size, complex)
+    kernel[:bins] = 1 / wk
+    kernel[size - len(x) + 1:] = 1 / wj[1:][::-1]
+    y = np.fft.ifft(np.fft.fft(x * turn(j * k0) * wj, size) * np.fft.fft(kernel))[:bins] * wk
+    return y * turn(start * (k0 + k))
+
+
+def recording(x: np.ndarray, start: int, fs: float) -> dict[str, float] | None:
+    """``contrast`` of one whole recording (rows, six axes and three angles) whose first row has the position ``start``; missing values are skipped.
+
+    None where a feature has no value at all: no acceleration, neither gyroscope nor angles, or too few rows for a bin.
+    """
+    n = len(x)
+    k0, k1 = int(np.ceil(0.15 * n / fs - 1e-9)), int(np.floor(min(3.0, fs / 2) * n / fs + 1e-9))
+    acc, gyro = norm(x[:, :3]), norm(x[:, 3:6])
+    real = lambda v: v[~np.isnan(v)]
+    point = lambda v, p: rank(np.sort(real(v))[None], p)[0] if len(real(v)) else np.nan
+    std = lambda v: real(v).std() if len(real(v)) else np.nan
+    spans = {f"angle_{a}_range_p90": point(x[:, 6 + i], 0.95) - point(x[:, 6 + i], 0.05) for i, a in enumerate("xyz")}
+    p95 = point(gyro, 0.95)
+    if k1 < k0 or not len(real(acc)) or np.isnan([p95, *spans.values()]).all():
+        return None
+    hz = {}
+    for name, m in (("acc", acc), ("gyro", gyro)):
+        y = partial_dft(m - (real(m).mean() if len(real(m)) else np.nan), start, n, k0, k1 - k0 + 1)
+        hz[f"{name}_dominant_hz"] = (k0 + int(np.argmax(y.real * y.real + y.imag * y.imag))) * fs / n
+    return {"n": n, "acc_mag_std": std(acc), "gyro_mag_mean": real(gyro).mean() if len(real(gyro)) else np.nan, "gyro_mag_std": std(gyro), **{f"{a}_std": std(x[:, i]) for i, a in enumerate(AXES)},
+            "gyro_mag_p95": p95, **spans, "acc_dynamic_p95": point(np.abs(acc - point(acc, 0.5)), 0.95), **hz}
+
+
 def wrap(v: np.ndarray, base: np.ndarray | float) -> np.ndarray:
     return np.mod(v - base + 180.0, 360.0) - 180.0
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import kernels
+from .kernels import partial_dft as partial_dft
 
 
 def _batches(arrays: pd.Series):
@@ -53,20 +54,6 @@ def autocorr_period(array: Column, fs: float) -> Column:
     return run(array)
 
 
-def partial_dft(x: np.ndarray, start: int, n: int, k0: int, bins: int) -> np.ndarray:
-    """Share of samples ``start..`` in bins k0.. of an n-point DFT (chirp transform, any n)."""
-    j, k = np.arange(len(x)), np.arange(bins)
-    chirp = lambda m: np.exp(-1j * np.pi * ((m.astype(object) * m.astype(object)) % (2 * n)).astype(float) / n)
-    turn = lambda m: np.exp(-2j * np.pi * (m % n) / n)
-    size = 1 << int(np.ceil(np.log2(len(x) + bins)))
-    wj, wk = chirp(j), chirp(k)
-    kernel = np.zeros(size, complex)
-    kernel[:bins] = 1 / wk
-    kernel[size - len(x) + 1:] = 1 / wj[1:][::-1]
-    y = np.fft.ifft(np.fft.fft(x * turn(j * k0) * wj, size) * np.fft.fft(kernel))[:bins] * wk
-    return y * turn(start * (k0 + k))
-
-
 def mean_quaternion(products: Column) -> Column:
     """Largest eigenvector of the summed 4x4 outer product (10 upper entries, row by row)."""
 

@@ -21,14 +21,12 @@ from ..session import staged
 from . import workout as WK
 from .episodes import debounce_hold
 from .joins import interval_join
-from .ordered import BLOCK_ROWS, Scan, block_entries, block_scan, index_block, islands, neighbours, number_rows, spread_join, with_halo
+from .ordered import BLOCK_ROWS, STACK_ROWS, Scan, block_entries, block_scan, group_starts, index_block, islands, neighbours, number_rows, spread_join, whole_groups, with_halo
 from .posture import neutral_baseline
 from .resample import uniform_resample
 from .windows import AXES, STACK, kernel_windows
 
 AXIS_NAMES = ["ax", "ay", "az", "gx", "gy", "gz"]
-#: Rows of whole blocks that the gravity filter takes at a time, at least.
-STACK_ROWS = 1 << 18
 
 
 def assign_batch_clock(df: DataFrame, key: list[str], idx: str, count: str, arrival: str, rate_hz: float = 100.0, size: int = BLOCK_ROWS) -> DataFrame:
@@ -134,7 +132,7 @@ def chain_blocks(rows: DataFrame, key: list[str], t: str, block_s: float, reach:
             to.append(out[keep])
         return table.select([*by, "_first"]).take(pa.array(found, pa.int64())).append_column("_at", lists(at)).append_column("_to", lists(to))
 
-    maps = d.sortWithinPartitions(*by, t).mapInArrow(whole_groups(by, summary), f"{types}, _blk bigint, _first double, _at array<double>, _to array<double>")
+    maps = d.sortWithinPartitions(*by, t).mapInArrow(whole_groups(by, summary, STACK_ROWS), f"{types}, _blk bigint, _first double, _at array<double>, _to array<double>")
 
     def leave(m: list[Any], state: Any) -> np.ndarray:
         at, to = (np.asarray(v, float) for v in m)
@@ -159,7 +157,7 @@ def chain_blocks(rows: DataFrame, key: list[str], t: str, block_s: float, reach:
                 i = nxt[i] if nxt[i] > i else i + 1
         return table.select(key).take(pa.array(found, pa.int64())).append_column(t, pa.array(picked, pa.float64()))
 
-    return d.join(entries, by).sortWithinPartitions(*by, t).mapInArrow(whole_groups(by, pick), f"{types}, `{t}` double")
+    return d.join(entries, by).sortWithinPartitions(*by, t).mapInArrow(whole_groups(by, pick, STACK_ROWS), f"{types}, `{t}` double")
 
 
 def lists(parts: list[np.ndarray], null: bool = False) -> pa.ListArray:
@@ -168,30 +166,6 @@ def lists(parts: list[np.ndarray], null: bool = False) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0), *parts]), pa.float64(), from_pandas=null))
 
 
-def whole_groups(by: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For ``mapInArrow`` on rows sorted by ``by``: ``work(rows, starts)`` gets many whole groups at a time and where they begin."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, enough = [], 0, STACK_ROWS
-        for b in batches:
-            held.append(b)
-            count += b.num_rows
-            if count >= enough:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                starts = group_starts(rows, by)
-                if starts[-1]:  # the last group may go on in the next batch
-                    yield from work(rows.slice(0, starts[-1]), starts[:-1]).to_batches(512)
-                rest = rows.slice(starts[-1])
-                held, count = rest.to_batches(), rest.num_rows
-                enough = max(STACK_ROWS, 2 * count)
-        rows = pa.Table.from_batches(held) if held else None
-        if rows is not None and rows.num_rows:
-            rows = rows.combine_chunks()
-            yield from work(rows, group_starts(rows, by)).to_batches(512)
-
-    return run
-
-
 def causal_emissions(df: DataFrame, key: list[str], t: str, window: float, hop: float, minimum: int = 16, keep: float = 0.25, span: float = 0.95, block_s: float = 600.0) -> DataFrame:
     """Times at which a live window is emitted: at least ``hop`` after the last one, ``minimum``
     samples held and ``span`` of the window covered. Anchored to the data, not to the epoch.
@@ -247,7 +221,7 @@ def at_emissions(samples: DataFrame, emissions: DataFrame, key: list[str], t: st
             out = out.append_column(n, x)
         return out
 
-    return both.mapInArrow(whole_groups(by, work), ", ".join([types, "now double", *(f"`{n}` array<double>" for n in names)]))
+    return both.mapInArrow(whole_groups(by, work, STACK_ROWS), ", ".join([types, "now double", *(f"`{n}` array<double>" for n in names)]))
 
 
 def emission_windows(samples: DataFrame, emissions: DataFrame, key: list[str], t: str, window: float, channels: list[str] | None = None) -> DataFrame:
@@ -380,22 +354,12 @@ def gravity(df: DataFrame, key: list[str], idx: str, size: int = BLOCK_ROWS, war
             out = out.append_column(f"g{i}", pa.array(g[:, i]))
         return out.filter(rows.column("_core"))
 
-    g = h.mapInArrow(whole_groups([*key, "_blk"], follow), f"{types}, `{idx}` {df.schema[idx].dataType.simpleString()}, g0 double, g1 double, g2 double")
+    g = h.mapInArrow(whole_groups([*key, "_blk"], follow, STACK_ROWS), f"{types}, `{idx}` {df.schema[idx].dataType.simpleString()}, g0 double, g1 double, g2 double")
     d = d.drop("_n").join(g.withColumn("_g", F.struct("g0", "g1", "g2")).drop("g0", "g1", "g2"), [*key, idx], "left")
     d = block_scan(d, key, [idx], index_block(idx, size), [Scan("_last", c("_g"), "last")])
     return d.withColumns({f"g{i}": F.coalesce(c(f"_last.g{i}"), F.lit(up)) for i, up in enumerate((0.0, 0.0, 1.0))}).drop("_g", "_last")
 
 
-def group_starts(rows: pa.Table, by: list[str]) -> np.ndarray:
-    """Where the runs of equal ``by`` begin in sorted rows of one chunk."""
-    turns = np.zeros(rows.num_rows, bool)
-    turns[0] = True
-    for c in by:
-        codes = rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        turns[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(turns)
-
-
 def filter_directions(u: np.ndarray, starts: np.ndarray, first: np.ndarray, few: int = 16) -> np.ndarray:
     """The gravity filter over runs of directions that begin at ``starts`` with the states ``first``.
 

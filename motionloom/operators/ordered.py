@@ -14,12 +14,14 @@ third of all rows, so nothing here does that. Each key's order is cut into block
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from ..session import staged
 BLOCK_ROWS = 1 << 17
 SALTS = 16
 LARGE_SALTS = 4
+#: Rows of whole groups that an Arrow kernel takes at a time, at least.
+STACK_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -239,3 +243,37 @@ def block_entries(blocks: DataFrame, key: list[str], seq: str, maps: list[str],
         met = low.join(high, same(low, high, [*key, "_up"])).select(*[low[k] for k in key], low["_seq"], low["_up"], *[low[m] for m in maps], "_entry")
         entries = staged(met.groupBy(*key, "_up").applyInPandas(walk, f"{types}, _seq long, _entry {kinds[first]}"), "entries")
     return entries.withColumn("_seq", F.col("_seq") + least).withColumnsRenamed({"_seq": seq, "_entry": "entry"})
+
+
+def whole_groups(by: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], least: int = STACK_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` on rows sorted by ``by``: ``work(rows, starts)`` gets many whole groups of ``least`` rows or more at a time and where they begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, enough = [], 0, least
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= enough:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                starts = group_starts(rows, by)
+                if starts[-1]:  # the last group may go on in the next batch
+                    yield from work(rows.slice(0, starts[-1]), starts[:-1]).to_batches(512)
+                rest = rows.slice(starts[-1])
+                held, count = rest.to_batches(), rest.num_rows
+                enough = max(least, 2 * count)
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and rows.num_rows:
+            rows = rows.combine_chunks()
+            yield from work(rows, group_starts(rows, by)).to_batches(512)
+
+    return run
+
+
+def group_starts(rows: pa.Table, by: list[str]) -> np.ndarray:
+    """Where the runs of equal ``by`` begin in sorted rows of one chunk."""
+    turns = np.zeros(rows.num_rows, bool)
+    turns[0] = True
+    for c in by:
+        codes = rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        turns[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(turns)

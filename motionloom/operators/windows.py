@@ -9,6 +9,7 @@ windows instead; grouping by (key, block, window) is a refinement of the same pa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import scalar as S
 from ..functions.spectral import autocorr_period, partial_dft, spectral
-from .ordered import BLOCK_ROWS, block_window, exact_percentile, spread_join, with_halo
+from ..session import staged
+from .ordered import BLOCK_ROWS, block_window, exact_percentile, spread_join, whole_groups, with_halo
 
 AXES = ["acc_x", "acc_y", "acc_z", "gyro_x", "gyro_y", "gyro_z"]
 
@@ -258,10 +260,46 @@ def contrast_windows(df: DataFrame, key: list[str], idx: str, axes: dict[str, st
 def recording_contrast(df: DataFrame, key: list[str], idx: str, axes: dict[str, str], fs: float = 50.0, size: int = BLOCK_ROWS, bins: int = 1 << 14) -> DataFrame:
     """The contrast features of whole recordings of any length.
 
-    Percentiles use rank selection; the spectrum sums the blocks' shares of each DFT bin, so no
-    recording is ever held by one task.
+    Recordings of up to ``size`` rows are worked on whole, many at a time, after one shuffle. For longer ones percentiles use
+    rank selection and the spectrum sums the blocks' shares of each DFT bin, so no long recording is ever held by one task.
     """
-    src = df.select(*key, idx, *[F.col(v).alias(k) for k, v in axes.items()]).withColumns({"acc_mag": _magnitude(AXES[:3]), "gyro_mag": _magnitude(AXES[3:])})
+    rows = df.select(*key, idx, *[F.col(v).cast("double").alias(k) for k, v in axes.items()])
+    long = staged(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select(*key), "long")
+    if long.isEmpty():
+        return _short_contrast(rows, key, idx, fs)
+    short = _short_contrast(rows.join(long, key, "left_anti"), key, idx, fs)
+    return short.unionByName(_long_contrast(rows.join(long, key, "left_semi"), key, idx, fs, size, bins))
+
+
+CONTRAST = ["n", "acc_mag_std", "gyro_mag_mean", "gyro_mag_std", *[f"{c}_std" for c in AXES], "gyro_mag_p95", *[f"angle_{a}_range_p90" for a in "xyz"], "acc_dynamic_p95",
+            "acc_dominant_hz", "gyro_dominant_hz"]
+
+
+def _short_contrast(rows: DataFrame, key: list[str], idx: str, fs: float) -> DataFrame:
+    """Contrast features of recordings that one task can hold, from their rows in order."""
+    channels = [*AXES, "angle_x", "angle_y", "angle_z"]
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = np.stack([table.column(c).to_numpy() for c in channels], 1)
+        at, found, kept = table.column(idx).to_numpy(), [], []
+        for a, z in zip(starts, [*starts[1:], len(x)]):
+            v = K.recording(x[a:z], int(at[a]), fs)
+            if v is not None:
+                kept.append(a)
+                found.append(v)
+        out = table.select(key).take(pa.array(kept, pa.int64()))
+        for c in CONTRAST:
+            out = out.append_column(c, pa.array([v[c] for v in found], pa.int64() if c == "n" else pa.float64(), from_pandas=True))
+        return out
+
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    rows = rows.filter(known).select(*key, idx, *channels).repartition(*key).sortWithinPartitions(*key, idx)
+    return rows.mapInArrow(whole_groups(key, work), ", ".join([types, "n bigint", *(f"`{c}` double" for c in CONTRAST[1:])]))
+
+
+def _long_contrast(rows: DataFrame, key: list[str], idx: str, fs: float, size: int, bins: int) -> DataFrame:
+    src = rows.withColumns({"acc_mag": _magnitude(AXES[:3]), "gyro_mag": _magnitude(AXES[3:])})
     stats = src.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("acc_mag").alias("acc_mag_std"), F.avg("gyro_mag").alias("gyro_mag_mean"),
                                   F.stddev_pop("gyro_mag").alias("gyro_mag_std"), *[F.stddev_pop(c).alias(f"{c}_std") for c in AXES],
                                   F.avg("acc_mag").alias("_ma"), F.avg("gyro_mag").alias("_mg"))
@@ -273,7 +311,7 @@ def recording_contrast(df: DataFrame, key: list[str], idx: str, axes: dict[str,
         *[F.max(F.when(F.col("_ch") == f"angle_{a}", F.col("hi") - F.col("lo"))).alias(f"angle_{a}_range_p90") for a in "xyz"])
     d95 = exact_percentile(dyn, key, "_dyn", {"acc_dynamic_p95": 0.95})
     peak = _dominant_bins(src, stats, key, idx, fs, size, bins)
-    return stats.drop("_ma", "_mg").join(pct, key).join(d95, key).join(peak, key)
+    return stats.drop("_ma", "_mg").join(pct, key).join(d95, key).join(peak, key).select(*key, *CONTRAST)
 
 
 def _dominant_bins(src: DataFrame, stats: DataFrame, key: list[str], idx: str, fs: float, size: int, bins: int) -> DataFrame:
