@@ -181,6 +181,24 @@ def robust_jump(df: DataFrame, key: list[str], idx: str, value: str, out: str =
     return robust_flag(steps(df, key, idx, value, size), key, "_step", 10.0, out, limits).drop("_step")
 
 
+def robust_jumps(df: DataFrame, key: list[str], idx: str, outs: dict[str, str], size: int = BLOCK_ROWS, basis: DataFrame | None = None) -> DataFrame:
+    """``robust_jump`` of several channels in one pass: ``outs`` maps each channel to its flag. ``basis`` as there."""
+    names = {v: f"_step_{v}" for v in outs}
+
+    def stepped(d: DataFrame) -> DataFrame:
+        change = {n: F.abs(F.col(v) - F.lag(v).over(block_window(key, idx))) for v, n in names.items()}
+        return keep_core(with_halo(d, idx, 1, 0, size).withColumns(change))
+
+    source = stepped((df if basis is None else basis).select(*key, idx, *outs))
+    limits = robust_limits(long_channels(source, key, list(names.values())), [*key, "channel"], "x")
+    of = lambda c, n: F.max(F.when(F.col("channel") == n, F.col(c))).alias(f"{c}{n}")
+    limits = limits.groupBy(*key).agg(*[of(c, n) for n in names.values() for c in ("med", "mad")])
+    d = spread_join(stepped(df), limits, key)
+    z = {v: MAD_SCALE * F.abs(F.col(n) - F.col(f"med{n}")) / F.col(f"mad{n}") for v, n in names.items()}
+    flags = {outs[v]: F.coalesce(F.when(F.col(f"mad{n}") > 1e-12, z[v] > 10.0), F.lit(False)) for v, n in names.items()}
+    return d.withColumns(flags).drop(*names.values(), *[f"{c}{n}" for n in names.values() for c in ("med", "mad")])
+
+
 def dedupe_keep_first(df: DataFrame, columns: list[str], row: str) -> DataFrame:
     """One row per distinct ``columns``: the one with the smallest ``row``. Aggregates map-side first."""
     rest = [c for c in df.columns if c not in columns and c != row]

@@ -133,10 +133,29 @@ def cleaned_with_jumps(spark, sf):
     return C.robust_jump(c, DEV, "idx", "ax_raw", "ax_jump", basis=base.withColumnRenamed("ax", "ax_raw"))
 
 
-@query("row_anomaly_flags", uses="imu6", sql=CLEAN_SQL + JUMP_SQL + """
-SELECT device, idx, zero OR spike AS row_repaired, zero OR spike OR raw IS NULL OR jump OR lim AS row_anomaly FROM w""".replace(", t AS", ", t AS"))
+FLAGS_SQL = f""", s AS (SELECT device, idx, UNNEST({list(LIMITS)}) AS channel, UNNEST([{", ".join(LIMITS)}]) AS raw, UNNEST([{", ".join(f"CAST({v} AS DOUBLE)" for v in LIMITS.values())}]) AS top FROM imu6),
+z AS (SELECT *, CASE WHEN NOT coalesce(raw = 0 AND sign(l) = sign(rr) AND abs(l - rr) <= greatest(0.2 * abs((l + rr) / 2), 0.01) AND abs((l + rr) / 2) > 0.02, false) THEN raw END AS y
+  FROM (SELECT *, lag(raw) OVER w AS l, lead(raw) OVER w AS rr FROM s WINDOW w AS (PARTITION BY device, channel ORDER BY idx)) q),
+m AS (SELECT *, abs(y - CASE WHEN count(y) OVER w >= 3 THEN median(y) OVER w END) AS dev, lag(y) OVER o AS yl, lead(y) OVER o AS yr FROM z
+  WINDOW w AS (PARTITION BY device, channel ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), o AS (PARTITION BY device, channel ORDER BY idx)),
+k AS (SELECT *, 8 * 1.4826 * CASE WHEN count(dev) OVER w >= 3 THEN median(dev) OVER w END AS lim FROM m
+  WINDOW w AS (PARTITION BY device, channel ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+p AS (SELECT device, idx, channel, raw, top, raw IS NOT NULL AND y IS NULL AS zero, coalesce(dev > lim AND lim > 1e-12 AND abs(yl - yr) <= greatest(0.25 * dev, 1e-9), false) AS spike FROM k),
+t AS (SELECT *, abs(raw - lag(raw) OVER (PARTITION BY device, channel ORDER BY idx)) AS step FROM p),
+jm AS (SELECT device, channel, median(step) AS med FROM t GROUP BY 1, 2),
+ja AS (SELECT device, channel, med, median(abs(step - med)) AS mad FROM t JOIN jm USING (device, channel) GROUP BY 1, 2, 3),
+w AS (SELECT t.*, coalesce(CASE WHEN mad > 1e-12 THEN 0.67448975 * abs(step - med) / mad > 10 END, false) AS jump, coalesce(abs(raw) > top, false) AS lim
+  FROM t JOIN ja USING (device, channel))
+"""
+
+
+@query("row_anomaly_flags", uses="imu6", sql=FLAGS_SQL + """
+SELECT device, idx, bool_or(zero OR spike) AS row_repaired, bool_or(zero OR spike OR raw IS NULL OR jump OR lim) AS row_anomaly FROM w GROUP BY 1, 2""")
 def q_flags(spark, sf):
-    return C.row_flags(cleaned_with_jumps(spark, sf), ["ax"], LIMITS).select("device", "idx", "row_repaired", "row_anomaly")
+    base = staged(imu6(spark, sf).select("device", "idx", *AXES), "imu6-axes")
+    c = C.clean_channels(base, DEV, "idx", AXES, 62.0)
+    d = C.robust_jumps(c, DEV, "idx", {f"{a}_raw": f"{a}_jump" for a in AXES}, basis=base.withColumnsRenamed({a: f"{a}_raw" for a in AXES}))
+    return C.row_flags(d, AXES, LIMITS).select("device", "idx", "row_repaired", "row_anomaly")
 
 
 @query("anomaly_events", uses="imu6", sql=CLEAN_SQL + JUMP_SQL + """
