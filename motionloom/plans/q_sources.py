@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded as r
 from ..operators import clean as C
 from ..operators import episodes as EP
+from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import posture as P
 from ..operators import quality as Q
@@ -252,16 +253,61 @@ def dataset_features(e, n):
     return WN._aggregate_v2(d, by, "idx", 50.0, n)
 
 
+#: Rows of one held pose (4 s) in the posture captures.
+POSE_ROWS = 200
+
+
+def posture_captures(spark, sf):
+    """imu6 as captures of a head that holds a pose for four seconds each, and the segments of their label documents.
+
+    Motion is a twentieth, dynamic acceleration a tenth and scatter of the angles a thirtieth of the raw columns (a sitting person);
+    devices by eleven keep moving, devices by five hardly turn.
+    """
+    c = F.col
+    pose = lambda segment: F.pmod(c("device") * 3 + segment, F.lit(7))
+    x = imu6(spark, sf).withColumns({"segment_id": F.floor(c("idx") / POSE_ROWS)}).withColumn("_p", pose(c("segment_id")))
+    calm = F.when(c("device") % 11 == 0, 4.0).otherwise(20.0)
+    held = {"roll": F.when(c("_p") == 1, 20.0).when(c("_p") == 3, -20.0), "pitch": F.when(c("_p").isin(1, 5), -25.0).when(c("_p") == 2, 25.0),
+            "yaw": F.when(c("_p").isin(2, 4), F.when(c("device") % 5 == 0, 6.0).otherwise(30.0))}
+    x = x.withColumns({"ax": c("ax") / 10, "ay": c("ay") / 10, "az": 1 + (c("az") - 1) / 10, **{g: c(g) / calm for g in AXES[3:]},
+                       **{a: F.coalesce(h, F.lit(0.0)) + c(a) / 30 for a, h in held.items()}}).drop("_p")
+    samples = staged(with_quats(x), "posture")
+    rec = samples.groupBy("device").agg(F.max("idx").alias("_last"), F.max("t").alias("duration_s"))
+    seg = R.explode_range(rec, F.lit(0), F.floor(c("_last") / POSE_ROWS), "segment_id").drop("_last").withColumn("_p", pose(c("segment_id")))
+    p = c("_p")
+    deviations = (F.when(p == 1, F.array(F.lit("head_tilt_left"), F.lit("head_down"))).when(p == 2, F.array(F.lit("head_up"), F.lit("head_turn_left"))).when(p == 3, F.array(F.lit("head_tilt_right")))
+                  .when(p == 4, F.array(F.lit("head_turn_left"))).when(p == 5, F.array(F.lit("forward_head_candidate"), F.lit("head_down"))).otherwise(F.array().cast("array<string>")))
+    start = c("segment_id") * (POSE_ROWS / 50.0)
+    seg = seg.withColumns({"start_s": start + c("segment_id") % 3 / 100, "end_s": start + POSE_ROWS / 50.0 - c("segment_id") % 2 / 10, "posture_state": F.when(p.isin(0, 6), "normal").otherwise("poor"), "deviations": deviations,
+                           "reference_source": F.when(c("device") % 2 == 1, "video_review"), "window_trainable": c("segment_id") % 10 != 9, "evidence_tier": F.when(c("device") % 4 == 0, "legacy_reviewed").otherwise("gold")})
+    return samples, seg.drop("_p")
+
+
 @query("build_posture_dataset")
 def q_posture_dataset(spark, sf):
-    """segments -> neutral baseline -> windows -> stability gate."""
+    """segments -> neutral baseline of the normal ones -> windows of each segment -> cap -> stability gate; kind ``manifest``: one row per segment."""
+    samples, segments = posture_captures(spark, sf)
+    return posture_dataset(samples, segments)
+
+
+def posture_dataset(samples, segments, cap=160):
+    """Windows of stable poses and the manifest. A segment lies in the ``POSE_ROWS`` rows of its number."""
     c = F.col
-    d = staged(with_quats(imu6(spark, sf)), "posture")
-    mid = P.middle_of_segments(d, "idx", F.lit(0), F.floor(c("idx") / 600) * 600 + 600)
-    base = P.neutral_baseline(mid, DEV, ["ax", "ay", "az"], ["roll", "pitch", "yaw"], ["q0", "q1", "q2", "q3"])
-    j = spread_join(d, staged(base, "baseline"), DEV)
+    n, step = WN.window_rows(3.0, 50.0), WN.step_by_hop(0.5, 50.0)
+    seg = P.posture_segments(segments).withColumns({"start_s": F.greatest(F.lit(0.0), c("start_s")), "end_s": F.least(c("duration_s"), c("end_s"))})
+    seg = staged(seg.select("device", "segment_id", "label", "evidence_tier", "duration_s", F.floor(c("start_s") * 50.0).alias("_lo"), F.floor(c("end_s") * 50.0).alias("_hi"), F.ceil(c("start_s") * 50.0).alias("_first")), "segments")
+    normal = samples.join(seg.filter("label = 'normal'").select("device", "segment_id", "_lo", "_hi"), ["device", "segment_id"]).filter((c("idx") >= c("_lo")) & (c("idx") < c("_hi")))
+    base = P.neutral_baseline(P.middle_of_segments(normal, "idx", c("_lo"), c("_hi")), DEV, ["ax", "ay", "az"], ["roll", "pitch", "yaw"], ["q0", "q1", "q2", "q3"])
+    manifest = staged(J.baseline_join(seg, base, DEV, "base_ax"), "manifest")
+    known = manifest.filter("included")
     ref = {**{a: c(f"base_{a}") for a in ("ax", "ay", "az", "roll", "pitch", "yaw")}, **{f"q{i}": F.get("base_quat", F.lit(i)) for i in range(4)}}
-    w = P.posture_windows(j, DEV, "idx", ref)
-    label = F.when(c("device") % 3 == 0, "normal").otherwise("head_turn")
-    stable = Q.stable_pose(c("gyro_mean_dps") / 20, c("dynamic_acc_std_g") / 10, c("rotation_degrees_mean"), label)
-    return w.withColumn("posture", label).filter(stable).select("device", "win", "posture", *[r(c(k), 4).alias(k) for k in ("rotation_degrees_mean", "gravity_change_degrees", "gyro_mean_dps", "dynamic_acc_std_g")])
+    j = samples.join(known.select("device", "segment_id", "_first", "_hi", *[f"base_{a}" for a in ("ax", "ay", "az", "roll", "pitch", "yaw", "quat")]), ["device", "segment_id"])
+    j = j.filter((c("idx") >= c("_first")) & (c("idx") < c("_hi"))).withColumn("idx", c("idx") - c("_first"))
+    w = P.posture_windows(j, ["device", "segment_id"], "idx", ref).join(known.drop(*base.columns[1:]), ["device", "segment_id"])
+    starts = F.ceil((c("_hi") - c("_first") - n + 1) / step)
+    stable = Q.stable_pose(c("gyro_mean_dps"), c("dynamic_acc_std_g"), c("rotation_degrees_mean"), c("label"))
+    w = w.filter(WN.keep_linspace(c("win"), starts, cap)).filter(stable)
+    windows = w.select(F.lit("window").alias("kind"), "device", "segment_id", "win", F.round((c("_first") + c("win") * step) / 50.0, 3).alias("window_start_s"), c("label").alias("posture"), "evidence_tier",
+                       *[r(c(k), 4).alias(k) for k in ("rotation_degrees_mean", "gravity_change_degrees", "gyro_mean_dps", "dynamic_acc_std_g")])
+    listed = manifest.select(F.lit("manifest").alias("kind"), "device", "segment_id", c("label").alias("posture"), "evidence_tier", F.round("duration_s", 3).alias("duration_s"), "included", "excluded_reason")
+    return windows.unionByName(listed, allowMissingColumns=True)

@@ -38,3 +38,40 @@ def test_row_flags_see_jumps_of_every_channel(spark, tmp_path):
     captures(spark, tmp_path, [1], 80, lambda device, i, row: row | {"l_linenumber": 5 + i % 2 if i < 70 else 7, "l_partkey": 300 + i * i % 7 + (60 if i >= 40 else 0)})
     got = {r["idx"]: r["row_anomaly"] for r in q_clean.q_flags(spark, str(tmp_path)).collect()}
     assert [i for i in range(80) if got[i]] == [40]  # only gx leaves its usual steps
+
+
+SEGMENT = "device long, segment_id long, start_s double, end_s double, duration_s double, posture_state string, deviations array<string>, reference_source string, window_trainable boolean, evidence_tier string"
+
+
+def test_posture_dataset_takes_segments_baselines_and_the_gate(spark):
+    from pyspark.sql import functions as F
+
+    from motionloom.plans import q_sources
+
+    poses = {1: [(0.0, 1.0), (30.0, 1.0), (40.0, 50.0), (25.0, 1.0), (0.0, 1.0)], 2: [(0.0, 1.0)], 3: [(0.0, 1.0), (5.0, 1.0), (20.0, 1.0)]}
+    rows = [(d, i, 0.0, 0.0, 1.0, motion, 0.0, 0.0, 0.0, 0.0, yaw) for d, held in poses.items() for s, (yaw, motion) in enumerate(held) for i in range(s * 200, s * 200 + 200)]
+    samples = q_sources.with_quats(spark.createDataFrame(rows, "device long, idx long, ax double, ay double, az double, gx double, gy double, gz double, roll double, pitch double, yaw double")
+                                   .withColumns({"segment_id": F.floor(F.col("idx") / 200), "t": F.col("idx") / 50.0}))
+    turn = ("poor", ["head_turn_left"])
+    labels = {1: [("normal", []), turn, turn, turn, ("poor", ["forward_head_candidate", "head_down"])], 2: [turn], 3: [("normal", []), turn, turn]}
+    seg = spark.createDataFrame([(d, s, s * 4.0, s * 4.0 + 3.9, len(ls) * 4 - 0.02, state, dev, None, not (d == 3 and s == 2), "gold") for d, ls in labels.items() for s, (state, dev) in enumerate(ls)], SEGMENT)
+    got = q_sources.posture_dataset(samples, seg).collect()
+    windows = sorted((r["device"], r["segment_id"], int(r["win"]), r["window_start_s"], r["posture"], r["rotation_degrees_mean"]) for r in got if r["kind"] == "window")
+    # seg 2 of device 1 moves, device 2 has no normal segment, device 3 turns by 5 degrees only; two windows of 3 s begin in 3.9 s
+    want = [(1, s, w, s * 4 + w / 2, name, yaw) for s, name, yaw in ((0, "normal", 0.0), (1, "head_turn", 30.0), (3, "head_turn", 25.0)) for w in (0, 1)]
+    assert windows == sorted(want + [(3, 0, w, w / 2, "normal", 0.0) for w in (0, 1)])
+    manifest = {(r["device"], r["segment_id"]): (r["included"], r["excluded_reason"]) for r in got if r["kind"] == "manifest"}
+    assert manifest == {k: (True, "") for k in [(1, 0), (1, 1), (1, 2), (1, 3), (3, 0), (3, 1)]} | {(2, 0): (False, "missing_normal_seated_baseline")}
+    capped = q_sources.posture_dataset(samples.filter("device = 1"), seg.filter("device = 1").withColumn("end_s", F.col("start_s") + 4), cap=2).filter("kind = 'window' AND segment_id = 1")
+    assert sorted(int(r["win"]) for r in capped.collect()) == [0, 2]  # of the starts 0, 1 and 2
+
+
+def test_posture_query_gates_on_the_features_it_returns(spark, tmp_path):
+    from motionloom.plans import q_sources
+
+    captures(spark, tmp_path, [1, 2, 5, 7, 11, 22], 600, lambda device, i, row: row | {"l_partkey": 181 * 2 + i % 5, "l_orderkey": 361 * 3 + i % 7, "l_linenumber": 1 + i % 7})
+    got = [r for r in q_sources.q_posture_dataset(spark, str(tmp_path)).collect()]
+    windows = [r for r in got if r["kind"] == "window"]
+    assert {r["posture"] for r in windows} > {"normal"} and {r["included"] for r in got if r["kind"] == "manifest"} == {True, False}
+    assert all(r["gyro_mean_dps"] <= 12 and r["dynamic_acc_std_g"] <= 0.08 for r in windows)
+    assert all(r["rotation_degrees_mean"] <= 12 if r["posture"] == "normal" else r["rotation_degrees_mean"] >= 15 for r in windows)
