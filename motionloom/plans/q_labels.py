@@ -267,10 +267,10 @@ def convert_legacy_text(d, key, ts, row, fields, expected):
 
 
 
-def trial_reports(spark, sf):
-    """Trials pair neighbouring devices; their label document has the trial's number."""
-    streams = staged(stream_report(spark, sf), "streams").withColumn("trial", F.floor(F.col("device") / 2))
-    labels = validated(spark, sf).select(F.col("doc_id").alias("trial"), "errors", "evidence_tier")
+def trial_reports(spark, sf, report=None, docs=None):
+    """Trials pair neighbouring devices; their label document has the trial's number. ``report`` of the streams (written) and validated ``docs``: those of the other queries, if not given."""
+    streams = (staged(stream_report(spark, sf), "streams") if report is None else report).withColumn("trial", F.floor(F.col("device") / 2))
+    labels = (validated(spark, sf) if docs is None else docs).select(F.col("doc_id").alias("trial"), "errors", "evidence_tier")
     u = F.col("device")
     pair = J.dual_stream_pair(streams.select("trial", F.when(u % 2 == 0, "left").otherwise("right").alias("side"), (u * 37 % 700 * 1000000).alias("ns")), "trial", "side", "ns")
     return L.trial_audit(streams, labels, pair, "trial", "device")

@@ -182,12 +182,13 @@ q AS (SELECT o.*, long_gap_count, concat_ws(';', CASE WHEN reorder_count > 0 THE
 """
 
 
-def strict_stream(spark, sf):
-    """imu6 as a strict stream: ns clock with jitter, sequence ids, missing and clipped values."""
+def strict_stream(spark, sf, axes=("ax", "gx"), sound=None):
+    """imu6 as a strict stream: ns clock with jitter, sequence ids, missing and clipped values; without these faults where ``sound``."""
     c = F.col
+    bad = F.lit(True) if sound is None else ~sound
     return imu6(spark, sf).select(
-        "device", "idx", (c("idx") * 20000000 + F.when(c("gx") > 190, 90000000).when(c("gy") == 150, -40000000).otherwise(0)).alias("ns"),
-        ((c("idx") + F.when(c("gz") == 60, 1).otherwise(0)) % 65536).alias("seq"), F.when(c("idx") % 211 != 5, c("ax")).alias("ax"), "gx")
+        "device", "idx", (c("idx") * 20000000 + F.when(bad & (c("gx") > 190), 90000000).when(bad & (c("gy") == 150), -40000000).otherwise(0)).alias("ns"),
+        ((c("idx") + F.when(bad & (c("gz") == 60), 1).otherwise(0)) % 65536).alias("seq"), F.when(~bad | (c("idx") % 211 != 5), c("ax")).alias("ax"), *[a for a in axes if a != "ax"])
 
 
 def stream_report(spark, sf):

@@ -12,6 +12,7 @@ from ..operators import labels as L
 from ..operators import posture as P
 from ..operators import quality as Q
 from ..operators import resample as R
+from ..operators import timeaxis as TA
 from ..operators import windows as WN
 from ..operators.ordered import number_rows, spread_join
 from ..session import scratch_path, staged
@@ -19,8 +20,9 @@ from ..sources import files as FS
 from ..sources import sinks as SK
 from ..streaming import sources as SS
 from .q_joins import segment_windows
-from .q_labels import trial_reports
+from .q_labels import label_docs, trial_reports
 from .q_quality import strict_stream
+from .q_scalar import ACTIVITY_IDS
 from .q_windows import MAP, with_quats
 from .registry import query
 from .views import AXES, imu6, segments6_of, table
@@ -133,8 +135,6 @@ def q_manifest(spark, sf):
 SELECT o_orderkey AS doc_id, o_orderkey % 9 = 0 AS legacy, CASE WHEN o_totalprice / 1500 > 180 THEN 'recordings over 180 seconds must use session_weak' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_totalprice / 1500 > 180 THEN ';' ELSE '' END || 'segments[0] has invalid bounds' ELSE '' END AS errors
 FROM orders WHERE o_orderkey % 9 <> 0 UNION ALL SELECT o_orderkey, true, '' FROM orders WHERE o_orderkey % 9 = 0""")
 def q_docs(spark, sf):
-    from .q_scalar import ACTIVITY_IDS
-
     path = scratch_path(spark, "labels")
     k = F.col("o_orderkey")
     seg = F.struct(F.lit(0.0).alias("start_s"), F.when(k % 4 == 0, 0.0).otherwise(0.1).alias("end_s"), F.lit("squat").alias("activity_id"), F.lit("motion").alias("motion_state"), F.lit("valid").alias("wear_state"), F.lit("active").alias("phase"),
@@ -208,15 +208,51 @@ def q_sink(spark, sf):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+def sound_trials(trial):
+    """Trials recorded without faults: every fourth."""
+    return trial % 4 == 0
+
+
+def trial_streams(spark, sf):
+    """Six-axis streams of trials. Those of sound trials tick at their configured rate, up to 2 ms late, and every sixteenth device of theirs
+    loses sequence numbers; the others have the faults of ``strict_stream``."""
+    c = F.col
+    sound = sound_trials(F.floor(c("device") / 2))
+    s = strict_stream(spark, sf, AXES, sound).withColumn("rate", F.when(c("device") % 4 == 0, 60.0).otherwise(50.0))
+    tick = c("idx") * F.bround(1e9 / c("rate"), 0).cast("long") + c("idx") % 3 * 1000000
+    return s.withColumns({"ns": F.when(sound, tick).otherwise(c("ns")), "seq": F.when(sound & (c("device") % 16 == 9) & (c("gz") == 60), (c("idx") + 1) % 65536).otherwise(c("seq"))})
+
+
+def trial_labels(spark, sf):
+    """Label documents; two of three sound trials have one without errors."""
+    k = F.col("doc_id")
+    fine = sound_trials(k) & (k % 3 != 2)
+    good = {"schema_version": F.lit("2.0"), "taxonomy_version": F.lit("t1"), "annotation_scope": F.lit("full_recording"), "recording_duration_s": F.lit(120.0), "evidence_tier": F.lit("gold")}
+    d = label_docs(spark, sf).withColumns({n: F.when(fine, v).otherwise(F.col(n)) for n, v in good.items()})
+    d = d.withColumn("segments", F.filter("segments", lambda s: ~fine))
+    return d.withColumn("errors", L.label_errors(ACTIVITY_IDS))
+
+
 @query("training_captures_write")
 def q_captures(spark, sf):
+    """Stream reports and labels -> audit of the trials -> SI units and the configured rate for streams without issues of trials that passed -> captures."""
     c = F.col
-    s = strict_stream(spark, sf)
-    ordered = staged(s.select("device", (c("idx") * 20000000).alias("ns"), "idx", "ax", "gx").fillna(0.0, ["ax"]), "strict")
-    grid = R.resample_ns(ordered, DEV, "idx", "ns", ["ax", "gx"], F.lit(50.0)).withColumnRenamed("ns", "timestamp_monotonic_ns").withColumn("trial", F.floor(c("device") / 2))
-    path = scratch_path(spark, "captures")
-    rep = trial_reports(spark, sf).withColumn("status", F.when(c("trial") % 4 == 0, "accepted_with_note").otherwise(c("status")))
-    return SK.write_captures(grid, rep, "trial", "device", path)
+    s = staged(trial_streams(spark, sf), "strict")
+    sound = sound_trials(F.floor(c("device") / 2))
+    wide = lambda most, narrow: F.when(sound, most).otherwise(narrow)
+    report = staged(Q.stream_quality(s, DEV, "idx", "ns", "seq", AXES[:3], AXES[3:], c("rate"), wide(16.0, 0.96), wide(2000.0, 200.0)), "reports")
+    rep = staged(trial_reports(spark, sf, report, trial_labels(spark, sf)), "trials")
+    return accepted_captures(s, report, rep, scratch_path(spark, "captures"))
+
+
+def accepted_captures(streams, report, trials, path):
+    """Captures of the streams without an issue whose trial need not be recollected, in SI units at their configured rate."""
+    c = F.col
+    usable = report.filter(F.size("issues") == 0).withColumn("trial", F.floor(c("device") / 2))
+    usable = usable.join(trials.filter("status <> 'recollect_required'").select("trial"), "trial", "left_semi").select("device")
+    ordered = TA.to_si_units(spread_join(streams, usable, DEV, "inner"), AXES[:3], AXES[3:], F.lit("g"), F.lit("deg/s"), [F.lit(1.0)] * 3)
+    grid = R.resample_ns(ordered, DEV, "idx", "ns", AXES, c("rate")).withColumnRenamed("ns", "timestamp_monotonic_ns").withColumn("trial", F.floor(c("device") / 2))
+    return SK.write_captures(grid, trials, "trial", "device", path)
 
 
 @query("build_feature_dataset")

@@ -75,3 +75,38 @@ def test_posture_query_gates_on_the_features_it_returns(spark, tmp_path):
     assert {r["posture"] for r in windows} > {"normal"} and {r["included"] for r in got if r["kind"] == "manifest"} == {True, False}
     assert all(r["gyro_mean_dps"] <= 12 and r["dynamic_acc_std_g"] <= 0.08 for r in windows)
     assert all(r["rotation_degrees_mean"] <= 12 if r["posture"] == "normal" else r["rotation_degrees_mean"] >= 15 for r in windows)
+
+
+def test_captures_are_written_only_of_trials_that_pass(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from motionloom.plans import q_sources
+
+    axes = "ax double, ay double, az double, gx double, gy double, gz double"
+    # 50 Hz configured, every second sample 4 ms late; 100 samples a device
+    rows = [(d, i, i * 20000000 + i % 2 * 4000000, i, 50.0, 1.0, 0.0, float(i), 180.0, 0.0, 0.0) for d in (2, 3, 4, 5, 6, 7) for i in range(100)]
+    s = spark.createDataFrame(rows, f"device long, idx long, ns long, seq long, rate double, {axes}")
+    report = spark.createDataFrame([(d, ["sequence_gap"] if d == 7 else []) for d in (2, 3, 4, 5, 6, 7)], "device long, issues array<string>")
+    trials = spark.createDataFrame([(1, "accepted", "gold"), (2, "recollect_required", "rejected"), (3, "accepted_with_note", "gold")], "trial long, status string, evidence_tier string")
+    path = f"{tmp_path}/captures"
+    got = sorted((r["trial"], r["device"], r["row_count"], r["duration_seconds"], r["last_sequence_id"]) for r in q_sources.accepted_captures(s, report, trials, path).collect())
+    assert got == [(1, 2, 100, 1.98, 99), (1, 3, 100, 1.98, 99), (3, 6, 100, 1.98, 99)]
+    stored = {r["sequence_id"]: r for r in spark.read.parquet(path).filter("device = 2").collect()}
+    assert stored[1]["timestamp_monotonic_ns"] == 20000000 and abs(stored[1]["az"] - 9.80665 * 20 / 24) < 1e-9  # between samples 0 and 1, which came at 24 ms
+    assert abs(stored[0]["ax"] - 9.80665) < 1e-9 and abs(stored[5]["gx"] - 3.141592653589793) < 1e-9
+
+
+def test_the_audit_decides_what_captures_are_written(spark):
+    from motionloom.plans import q_sources
+
+    seen = {}
+    real = q_sources.accepted_captures
+    try:
+        q_sources.accepted_captures = lambda s, report, trials, path: seen.update(trials=trials, report=report) or real(s, report, trials, path)
+        got = {(r["trial"], r["device"]) for r in q_sources.q_captures(spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        q_sources.accepted_captures = real
+    status = {r["trial"]: r["status"] for r in seen["trials"].collect()}
+    clean = {r["device"] for r in seen["report"].collect() if not r["issues"]}
+    assert got == {(d // 2, d) for d in clean if status[d // 2] != "recollect_required"}
+    assert set(status.values()) > {"recollect_required"} and got
