@@ -195,10 +195,10 @@ BODY_SCHEMA = "gram long, row long, doc long, pos int, low int, high int, places
 SPAN_SCHEMA = "row long, low int, high int"
 
 
-def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, same_doc: bool, resolve) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, same_doc: bool, resolve, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """``keyed`` texts dealt by row, and (row, spans) of the stretches that repeated windows cover.
 
-    ``resolve`` maps BODY rows of whole anchors to SPAN rows. The texts are shuffled once, by row, and meet first
+    ``resolve`` maps BODY rows of whole anchors (sorted by anchor if ``ordered``) to SPAN rows. The texts are shuffled once, by row, and meet first
     the contexts to compare and then the spans.
     """
     texts = keyed(docs).repartition("row")
@@ -206,7 +206,8 @@ def repeated_spans(docs: DataFrame, unit: str, window: int, k: int, same_doc: bo
     wanted = found.where("not known").groupBy("row").agg(F.collect_list(F.struct("gram", "pos", "low", "high", "places")).alias("items"))
     bodies = texts.join(wanted, "row").select("row", "doc", "text", "items").mapInArrow(_bodies(unit), BODY_SCHEMA)
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a partition should be one shard
-    compared = bodies.repartition(parts, "gram").mapInArrow(resolve, SPAN_SCHEMA)
+    dealt = bodies.repartition(parts, "gram")
+    compared = (dealt.sortWithinPartitions("gram") if ordered else dealt).mapInArrow(resolve, SPAN_SCHEMA)
     known = found.where("known").select("row", F.col("pos") - F.col("low"), F.col("high") - F.col("pos"), F.explode("places").alias("p")).toDF("row", "back", "ahead", "p")
     spans = compared.union(known.select("row", (F.col("p") - F.col("back")).alias("low"), (F.col("p") + F.col("ahead")).alias("high")))
     return texts, spans.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
