@@ -391,11 +391,93 @@ def filter_directions(u: np.ndarray, starts: np.ndarray, first: np.ndarray, few:
 def orientation_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrating: str, size: int = BLOCK_ROWS, warm: int = 800) -> DataFrame:
     """Six-axis relative orientation (roll, pitch, yaw, q0..q3).
 
-    Only the gravity filter is recursive (see ``gravity``). Bias, baseline, yaw (a running sum) and the
-    quaternions are plain Spark expressions.
+    Only the gravity filter is recursive (see ``gravity``); bias, baseline and yaw (a running sum) follow from it.
+    Captures of up to ``size`` rows are worked on whole, many at a time, after one shuffle; longer ones, and rows without
+    a key, in blocks. The quaternions are plain Spark expressions.
     """
-    c = F.col
     cols = [f.name for f in df.schema]
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    named = df.filter(known)
+    long = staged(named.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(*key), "long")
+    nameless = df.filter(~known)
+    some_long, some_nameless = not long.isEmpty(), not nameless.isEmpty()
+    d = _short_fusion(named.join(long, key, "left_anti") if some_long else named, key, idx, t, calibrating)
+    if some_long or some_nameless:
+        rest = nameless.unionByName(named.join(long, key, "left_semi")) if some_long else nameless
+        d = d.unionByName(_long_fusion(rest, key, idx, t, calibrating, size, warm).select(*d.columns))
+    return _oriented(d, cols, calibrating)
+
+
+FUSED = ["g0", "g1", "g2", "_zg0", "_zg1", "_zg2", "_yaw"]
+
+
+def _short_fusion(rows: DataFrame, key: list[str], idx: str, t: str, calibrating: str) -> DataFrame:
+    """Adds ``FUSED`` (gravity, its direction at the end of calibration, yaw) to captures that one task can hold, as ``_long_fusion`` does."""
+
+    def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = rows.num_rows
+        stop = np.r_[starts[1:], n]
+        owner = np.repeat(np.arange(len(starts)), stop - starts)
+
+        def values(name: str) -> tuple[np.ndarray, np.ndarray]:
+            column = rows.column(name).combine_chunks()
+            return column.cast(pa.float64()).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+
+        (x, xn), (y, yn), (z, zn) = (values(a) for a in ("ax", "ay", "az"))
+        at, (time, unknown) = rows.column(idx).to_numpy(), values(t)
+        cal = np.asarray(pc.fill_null(rows.column(calibrating), False))
+        with np.errstate(invalid="ignore", over="ignore"):
+            length = np.sqrt(x * x + y * y + z * z)
+            usable = np.flatnonzero(~(xn | yn | zn) & ((length > 1e-6) | np.isnan(length)))
+            u = np.stack([x, y, z], 1)[usable] / length[usable][:, None]
+            turns = np.ones(len(usable), bool)
+            turns[1:] = owner[usable][1:] != owner[usable][:-1]
+            begin = np.flatnonzero(turns)
+            up = np.array([0.0, 0.0, 1.0])
+            followed = filter_directions(u, begin, np.where((at[usable[begin]] > 0)[:, None], up, u[begin]))
+            place = np.full(n, -1)
+            place[usable] = np.arange(len(usable))
+            place = np.maximum.accumulate(place)  # unusable rows keep the last direction of their capture
+            have = (place >= 0) & (owner[usable[place]] == owner) if len(usable) else np.zeros(n, bool)
+            g = np.where(have[:, None], followed[place], up) if len(usable) else np.tile(up, (n, 1))
+
+            gyro = [values(a) for a in ("gx", "gy", "gz")]
+            bias, end = np.full((len(starts), 3), np.nan), np.full((len(starts), 3), np.nan)
+            lacking, after, done = np.ones((len(starts), 3), bool), np.full(len(starts), -1), np.zeros(len(starts), bool)
+            for k, (a, b) in enumerate(zip(starts.tolist(), stop.tolist())):
+                still = a + np.flatnonzero(cal[a:b])
+                if len(still):
+                    done[k], after[k], end[k] = True, at[still[-1]] + 1, g[still[-1]]
+                    for i, (v, null) in enumerate(gyro):
+                        v = np.sort(v[still][~null[still]])
+                        if len(v):
+                            lacking[k, i], bias[k, i] = False, 0.5 * v[(len(v) - 1) // 2] + 0.5 * v[len(v) // 2]
+            step = time - np.r_[np.nan, time[:-1]]
+            step[starts] = np.nan
+            step = np.maximum(0.0, np.fmin(0.1, step))  # without a time before, a tenth of a second
+            step[done[owner] & (at == after[owner])] = 0.0
+            rate = sum(((v - bias[owner, i]) * g[:, i] for i, (v, _) in enumerate(gyro[1:], 1)), (gyro[0][0] - bias[owner, 0]) * g[:, 0])
+            skip = reduce(lambda p, q: p | q, [null | lacking[owner, i] for i, (_, null) in enumerate(gyro)])
+            idle = np.asarray(pc.fill_null(rows.column(calibrating), True))  # neither turning nor unknown
+            turn = np.where(idle, 0.0, rate * (math.pi / 180) * step)
+            skip &= ~idle
+            yaw, blank = np.empty(n), np.empty(n, bool)
+            turn[skip] = 0.0
+            for a, b in zip(starts.tolist(), stop.tolist()):
+                np.cumsum(turn[a:b], out=yaw[a:b])
+                blank[a:b] = np.logical_and.accumulate(skip[a:b])
+        out = rows
+        for name, v, null in [*((f"g{i}", g[:, i], None) for i in range(3)), *((f"_zg{i}", end[owner, i], ~done[owner]) for i in range(3)), ("_yaw", yaw, blank)]:
+            out = out.append_column(name, pa.array(v, pa.float64(), mask=null))
+        return out
+
+    types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`{c}` double" for c in FUSED)])
+    return rows.repartition(*key).sortWithinPartitions(*key, idx).mapInArrow(whole_groups(key, work, STACK_ROWS), types)
+
+
+def _long_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrating: str, size: int, warm: int) -> DataFrame:
+    """Adds ``FUSED`` to captures of any length, in blocks."""
+    c = F.col
     d = staged(gravity(df, key, idx, size, warm), "gravity")
     cal = d.filter(calibrating)
     ends = cal.groupBy(*key).agg(*[F.percentile(x, F.lit(0.5)).alias(f"_b{x}") for x in ("gx", "gy", "gz")], *[F.max_by(x, idx).alias(f"_z{x}") for x in ("g0", "g1", "g2")], F.max(idx).alias("_ci"))
@@ -403,7 +485,12 @@ def orientation_fusion(df: DataFrame, key: list[str], idx: str, t: str, calibrat
     dt = F.when(c(idx) == c("_ci") + 1, 0.0).otherwise(S.clip(c(t) - c("_pt"), 0.0, 0.1))
     rate = (c("gx") - c("_bgx")) * c("g0") + (c("gy") - c("_bgy")) * c("g1") + (c("gz") - c("_bgz")) * c("g2")
     d = d.withColumn("_turn", F.when(~c(calibrating), F.radians(rate) * dt).otherwise(0.0))
-    d = block_scan(d, key, [idx], index_block(idx, size), [Scan("_yaw", c("_turn"), "sum")])
+    return block_scan(d, key, [idx], index_block(idx, size), [Scan("_yaw", c("_turn"), "sum")])
+
+
+def _oriented(d: DataFrame, cols: list[str], calibrating: str) -> DataFrame:
+    """Angles and quaternions from ``FUSED``."""
+    c = F.col
     length = F.greatest(S.norm(c("_zg0"), c("_zg1"), c("_zg2")), F.lit(1e-9))
     d = d.withColumns({f"_zg{i}": c(f"_zg{i}") / length for i in range(3)})
     tilt = S.quat_between(tuple(c(f"_zg{i}") for i in range(3)), tuple(c(f"g{i}") for i in range(3)))
