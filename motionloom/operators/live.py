@@ -65,8 +65,78 @@ def split_at_stalls(df: DataFrame, key: list[str], idx: str, t: str, stall: floa
     return islands(d, key, idx, F.col("_pt").isNull() | (F.col(t) - F.col("_pt") > stall), "seg", size).drop("_pt")
 
 
-def live_normalize(df: DataFrame, key: list[str], idx: str, t: str, channels: list[str], hz: float = 100.0, smooth: float = 0.06, size: int = BLOCK_ROWS) -> DataFrame:
-    """Causal resampling to ``hz`` between stalls, then the trailing mean of ``smooth`` seconds."""
+def live_normalize(df: DataFrame, key: list[str], idx: str, t: str, channels: list[str], hz: float = 100.0, smooth: float = 0.06, size: int = BLOCK_ROWS, whole: bool = False) -> DataFrame:
+    """Causal resampling to ``hz`` between stalls, then the trailing mean of ``smooth`` seconds.
+
+    With ``whole``, captures of up to ``size`` rows are worked on whole, many at a time, in Arrow batches after one shuffle; longer
+    ones, and those with a time that is not a number, in blocks. Rows without a key have no capture.
+    """
+    if not whole:
+        return _long_normalize(df, key, idx, t, channels, hz, smooth, size)
+    rows = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])).select(*key, idx, F.col(t).cast("double").alias(t), *channels)
+    count, odd = F.count(F.lit(1)).alias("_n"), F.bool_or(F.coalesce(F.isnan(t), F.lit(False))).alias("_odd")
+    long = staged(rows.groupBy(*key).agg(count, odd).filter((F.col("_n") > size) | F.col("_odd")).select(*key), "long")
+    if long.isEmpty():
+        return _short_normalize(rows, key, idx, t, channels, hz, smooth)
+    short = _short_normalize(rows.join(long, key, "left_anti"), key, idx, t, channels, hz, smooth)
+    return short.unionByName(_long_normalize(rows.join(long, key, "left_semi"), key, idx, t, channels, hz, smooth, size))
+
+
+def _short_normalize(rows: DataFrame, key: list[str], idx: str, t: str, channels: list[str], hz: float, smooth: float) -> DataFrame:
+    """``_long_normalize`` for captures that one task can hold."""
+    back = int(round(smooth * hz))
+
+    def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        at, time = rows.column(idx).to_numpy(), rows.column(t).to_numpy()
+        lowest = np.where(np.isnan(time), -np.inf, time - at * 1e-6)  # a missing time takes the one before, on by a microsecond a row
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            np.maximum.accumulate(lowest[a:z], out=lowest[a:z])
+        first = np.zeros(len(at), bool)
+        first[starts] = True
+        kept = np.flatnonzero(lowest > -np.inf)
+        owner = (np.cumsum(first) - 1)[kept]
+        at, time = at[kept], lowest[kept] + at[kept] * 1e-6
+        n = len(at)
+        new = np.ones(n, bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (time[1:] - time[:-1] > 0.25)
+        place = np.arange(n)
+        head = np.maximum.accumulate(np.where(new, place, 0))
+        last = np.append(new[1:], True)[:n]
+        tail = np.minimum.accumulate(np.where(last, place, n)[::-1])[::-1]
+        run = time - time[head]
+        whole = time[tail] - time[head] if n else time
+        top = np.minimum(np.floor(whole * hz + 0.5), np.floor((whole + 1e-9) * hz)).astype(np.int64)
+        nxt = np.append(run[1:], 0.0)[:n]
+        low = np.where(new, 0, np.ceil(run * hz)).astype(np.int64)
+        high = np.where(last, top, np.minimum(top, np.ceil(nxt * hz).astype(np.int64) - 1))
+        points = np.maximum(high - low + 1, 0)
+        row = np.repeat(place, points)
+        k = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(points) - points, points)
+        grid, flat = k / hz, last[row] | (nxt[row] == run[row])
+        after = np.minimum(row + 1, max(n - 1, 0))
+        out = rows.select(key).take(pa.array(kept[row]))
+        out = out.append_column("seg", pa.array(at[head[row]])).append_column("k", pa.array(k)).append_column("t", pa.array(time[head[row]] + grid))
+        for c in channels:
+            column = rows.column(c).combine_chunks()
+            x, null = column.cast(pa.float64()).to_numpy(zero_copy_only=False)[kept], column.is_null().to_numpy(zero_copy_only=False)[kept]
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                v = np.where(flat, x[row], x[row] + (x[after] - x[row]) * (grid - run[row]) / (nxt[row] - run[row]))
+                gone = null[row] | (~flat & null[after])
+                total, count = np.zeros(len(v)), np.zeros(len(v), np.int64)
+                for j in range(back, -1, -1):  # oldest first
+                    src = np.arange(len(v)) - j
+                    ok = (k >= j) & ~gone[src]
+                    total += np.where(ok, v[src], 0.0)
+                    count += ok
+                out = out.append_column(c, pa.array(total / np.maximum(count, 1), pa.float64(), mask=count == 0))
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    types = ", ".join([*(f"`{x}` {kinds[x]}" for x in key), f"seg {kinds[idx]}", "k bigint", "t double", *(f"`{x}` double" for x in channels)])
+    return rows.repartition(*key).sortWithinPartitions(*key, idx).mapInArrow(whole_groups(key, work, STACK_ROWS // 4), types)
+
+
+def _long_normalize(df: DataFrame, key: list[str], idx: str, t: str, channels: list[str], hz: float, smooth: float, size: int) -> DataFrame:
     d = split_at_stalls(increasing_times(df, key, idx, t, size), key, idx, t, size=size)
     d = staged(d.select(*key, idx, t, "seg", *channels), "normalise")
     start = d.groupBy(*key, "seg").agg(F.min(t).alias("_t0"), (F.max(t) - F.min(t)).alias("_dur"))

@@ -158,7 +158,7 @@ LIVE_FEATURES = ["dynamic_acc_mean", "acc_mag_std", "gyro_mag_dom_freq_hz"]
 
 
 def exercise_scores(d, key, model=LIVE_MODEL, hz=100.0):
-    n = staged(LV.live_normalize(d, key, "idx", "t", AXES, hz), "normalised")
+    n = staged(LV.live_normalize(d, key, "idx", "t", AXES, hz, whole=True), "normalised")
     e = staged(LV.causal_emissions(n, key, "t", 2.0, 1.0, keep=0.0, minimum=160, span=0.9), "emissions")
     f = LV.window_features_live(LV.emission_windows(n, e, key, "t", 2.0, AXES), key, "t", MAP, 160)
     s = E.logistic_score(f, LIVE_FEATURES, model, "probability")
